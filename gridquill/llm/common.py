@@ -65,12 +65,20 @@ def put_file(folder: str, name: str, content: bytes) -> None:
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         out.write(content)
     store.move(part, f"{path}/{name}")
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most: what bounds a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded size, which this sets for the session."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(task, schema)
 
 

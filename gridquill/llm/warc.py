@@ -11,21 +11,21 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, put_file, shared_dir
+from .common import cut, filesystem, map_arrow, shared_dir
 
 #: Fixed values of the Zstandard format and of the WARC-Zstandard convention.
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DICT_MAGIC = b"\x5d\x2a\x4d\x18"
 
-#: Bytes of records after which a writer closes a shard and starts the next.
-SHARD_BYTES = 64 << 20
+#: Compressed bytes after which a writer closes a shard and starts the next.
+SHARD_BYTES = 32 << 20
 #: A shard's dictionary is trained on its first records only.
 DICT_BYTES, DICT_RECORDS, DICT_SAMPLE_BYTES = 32 << 10, 256, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -97,7 +97,7 @@ def parse_record(raw: bytes) -> Record:
     return Record(headers, block)
 
 
-def frame_size(raw: bytes, at: int) -> int:
+def frame_size(raw: bytes | memoryview, at: int) -> int:
     """Bytes of the Zstandard frame that begins at a place, by its block headers."""
     if raw[at : at + 4] != FRAME_MAGIC:
         raise ValueError("no Zstandard frame here")
@@ -118,12 +118,12 @@ def frame_size(raw: bytes, at: int) -> int:
     return i - at
 
 
-def read_archive(raw: bytes) -> Iterator[Record]:
+def read_archive(raw: bytes | memoryview) -> Iterator[Record]:
     """The records of an archive, one frame decoded at a time."""
     at, loaded = 0, None
     if raw[:4] == DICT_MAGIC:
         size = int.from_bytes(raw[4:8], "little")
-        content = raw[8 : 8 + size]
+        content = bytes(raw[8 : 8 + size])
         if len(content) != size:
             raise ValueError("a dictionary that is cut off")
         if content[:4] == FRAME_MAGIC:
@@ -135,25 +135,53 @@ def read_archive(raw: bytes) -> Iterator[Record]:
             at += 8 + int.from_bytes(raw[at + 4 : at + 8], "little")
             continue
         size = frame_size(raw, at)
-        yield parse_record(unpack.decompress(raw[at : at + size]))
+        yield parse_record(unpack.decompress(bytes(raw[at : at + size])))
         at += size
 
 
-def build_archive(records: list[bytes]) -> bytes:
-    """One archive of whole records, its dictionary trained on the first of them."""
-    sample, held = [], 0
-    for r in records[:DICT_RECORDS]:
-        sample.append(r[: 64 << 10])
-        held += len(sample[-1])
-        if held >= DICT_SAMPLE_BYTES:
-            break
+def train(sample: list[bytes]) -> bytes:
+    """A dictionary for records like these; of too few, the start of the first serves as it is."""
+    held = sum(map(len, sample))
     try:
-        content = zstandard.train_dictionary(min(DICT_BYTES, max(1024, held // 8)), sample).as_bytes()
-    except zstandard.ZstdError:  # too few or too short samples: the first record's start serves as it is
-        content = records[0][:1024]
-    packed = zstandard.ZstdCompressor(level=3).compress(content)
-    squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=True, write_checksum=True)
-    return b"".join([DICT_MAGIC, len(packed).to_bytes(4, "little"), packed, *map(squeeze.compress, records)])
+        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, held // 8)), sample).as_bytes()
+    except zstandard.ZstdError:
+        return sample[0][:1024]
+
+
+class ArchiveWriter:
+    """Writes one archive as its records come; only the first ones are held, to train the dictionary on."""
+
+    def __init__(self, sink: BinaryIO) -> None:
+        self.sink, self.waiting, self.held = sink, [], 0
+        self.squeeze: zstandard.ZstdCompressor | None = None
+        self.records = self.bytes = 0
+
+    def _put(self, raw: bytes) -> None:
+        self.sink.write(raw)
+        self.bytes += len(raw)
+
+    def _begin(self) -> None:
+        content = train([r[: 64 << 10] for r in self.waiting])
+        packed = zstandard.ZstdCompressor(level=3).compress(content)
+        self.squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=True, write_checksum=True)
+        self._put(DICT_MAGIC + len(packed).to_bytes(4, "little") + packed)
+        for r in self.waiting:
+            self._put(self.squeeze.compress(r))
+        self.waiting = []
+
+    def add(self, record: bytes) -> None:
+        self.records += 1
+        if self.squeeze:
+            self._put(self.squeeze.compress(record))
+            return
+        self.waiting.append(record)
+        self.held += len(record)
+        if len(self.waiting) >= DICT_RECORDS or self.held >= DICT_SAMPLE_BYTES:
+            self._begin()
+
+    def end(self) -> None:
+        if self.waiting:
+            self._begin()
 
 
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_payload: int) -> DataFrame:
@@ -173,27 +201,29 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Writes (page_id, url, payload, refers_to) into archives below folder; returns the manifest (shard, n_records, n_bytes)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records: list[bytes] = []
-        held = 0
+        store, path = filesystem(folder)
+        store.create_dir(path, recursive=True)
+        writer = name = None
 
-        def flush() -> pa.RecordBatch:
-            nonlocal records, held
-            name, raw = f"{uuid.uuid4().hex}.warc.zst", build_archive(records)
-            put_file(folder, name, raw)
-            row = pa.RecordBatch.from_pydict({"shard": [name], "n_records": [len(records)], "n_bytes": [len(raw)]})
-            records, held = [], 0
-            return row
+        def close() -> pa.RecordBatch:
+            writer.end()
+            writer.sink.close()
+            store.move(f"{path}/.{name}", f"{path}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": [name], "n_records": [writer.records], "n_bytes": [writer.bytes]})
 
         for batch in batches:
             for page, url, payload, refers in zip(*(batch.column(i) for i in range(4))):
-                records.append(build_record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py()))
-                held += len(records[-1])
-                if held >= SHARD_BYTES:
-                    yield flush()
-        if records:
-            yield flush()
+                if writer is None:
+                    name = f"{uuid.uuid4().hex}.warc.zst"
+                    writer = ArchiveWriter(store.open_output_stream(f"{path}/.{name}", compression=None))
+                writer.add(build_record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py()))
+                if writer.bytes >= SHARD_BYTES:
+                    yield close()
+                    writer = None
+        if writer is not None:
+            yield close()
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(task, "shard string, n_records long, n_bytes long")
+    return map_arrow(records.select("page_id", "url", "payload", "refers_to"), task, "shard string, n_records long, n_bytes long")
 
 
 def page_number(urn: str | None) -> int | None:
@@ -212,7 +242,7 @@ def read_warc(spark, folder: str) -> DataFrame:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows: list[tuple] = []
                 held = 0
-                for r in read_archive(raw.as_py()):
+                for r in read_archive(memoryview(raw.as_buffer()).cast("B")):
                     http, _, payload = r.block.partition(b"\r\n\r\n")
                     fields = dict(x.lower().split(b": ", 1) for x in http.split(b"\r\n")[1:])
                     size, kind = int(fields[b"content-length"]), r.headers["warc-type"]
@@ -228,7 +258,7 @@ def read_warc(spark, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    return files.mapInArrow(task, "shard string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return map_arrow(files, task, "shard string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0) -> DataFrame:
