@@ -13,6 +13,7 @@ directory, its length (8 bytes, little-endian), magic.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import uuid
@@ -26,14 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import cut, partitions, put_file, shared_dir, texts
+from .common import cut, map_arrow, partitions, put_file, shared_dir, texts
 
 MAGIC = b"GQWM0001"
 #: Ids of a segment and of a file, at most, unless one document is longer than a file.
 SEGMENT_IDS = 1 << 18
-SHARD_IDS = 1 << 24
+SHARD_IDS = 1 << 23
 #: Words that a worker remembers with their ids; further ones are encoded each time they come.
 CACHED_WORDS = 1 << 20
+ENCODED_AT_ONCE = 10_000
 RANK_BITS = 512
 END_ID = 1
 
@@ -255,7 +257,7 @@ class WordEncoder:
         if not known.all():
             new = np.flatnonzero(~known)
             strings = [s.data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace") for i in first[new]]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            found = [x.ids for lo in range(0, len(strings), ENCODED_AT_ONCE) for x in self.tokenizer.encode_batch_fast(strings[lo : lo + ENCODED_AT_ONCE], add_special_tokens=False)]
             sizes = np.array([len(x) for x in found], dtype=np.int64)
             refs[new, 0] = len(pool) + np.cumsum(sizes) - sizes
             refs[new, 1] = sizes
@@ -275,6 +277,12 @@ class WordEncoder:
         return np.diff(upto, prepend=0), ids
 
 
+@functools.cache
+def word_encoder(tokenizer_path: str) -> WordEncoder:
+    """One for a worker process: what a task has looked up serves the next."""
+    return WordEncoder(tokenizer_path)
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, an end id after each, into wavelet shards below folder.
 
@@ -284,7 +292,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
     attempt may leave, counts for nothing."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = WordEncoder(tokenizer_path), 0
+        encoder, made = word_encoder(tokenizer_path), 0
         docs_in: list[int | None] = []
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -316,8 +324,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
 
     rows = texts(docs, id_col, text_col)
     n = partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, F.col("doc_id"), F.col("text")).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(task, "shard string, first_doc long, part int, n_docs long, n_ids long, n_bytes long")
+    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    return map_arrow(ordered, task, "shard string, first_doc long, part int, n_docs long, n_ids long, n_bytes long")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -336,7 +344,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select("path", "content")
-    found = files.mapInArrow(task, "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    found = map_arrow(files, task, "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long")
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return found.join(offsets, "shard").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "shard")
