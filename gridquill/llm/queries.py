@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, secrets, telephony, warc, wavelet
+from . import decontam, partenum, secrets, telephony, warc, wavelet
 from .common import read_table
 
 
@@ -43,12 +43,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_classes(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_token_ids": op4_token_ids,
     "op6_telephony": op6_telephony,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
