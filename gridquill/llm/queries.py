@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, partenum, secrets, telephony, warc, wavelet
+from . import decontam, partenum, repeats, secrets, telephony, warc, wavelet
 from .common import read_table
 
 
@@ -22,6 +22,11 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = telephony.media_round_trip(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -50,6 +55,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_token_ids": op4_token_ids,
+    "op5_repeats": op5_repeats,
     "op6_telephony": op6_telephony,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
