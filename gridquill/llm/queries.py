@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, partenum, repeats, secrets, telephony, warc, wavelet
+from . import blocks, decontam, partenum, repeats, secrets, telephony, warc, wavelet
 from .common import read_table
 
 
@@ -48,6 +48,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.remove_seen_windows(read_table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_classes(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_telephony": op6_telephony,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op9_blocks": op9_blocks,
     "op10_jaccard": op10_jaccard,
 }
 
