@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of (id, key) that are broadcast at most: some 16 MB.
+BROADCAST_KEYS = 500_000
+
+
+def without(df: DataFrame, gone: DataFrame, keys: list[tuple[Column, str]]) -> DataFrame:
+    """df less the rows whose keys, null-safe, are in gone, a written table; gone is broadcast if it is counted to be small."""
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    named = gone.select(*(F.col(name).alias(f"__gone_{i}") for i, (_, name) in enumerate(keys)))
+    same = None
+    for i, (mine, _) in enumerate(keys):
+        one = mine.eqNullSafe(F.col(f"__gone_{i}"))
+        same = one if same is None else same & one
+    return df.join(named, same, "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: what the cluster's owner has sized to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
