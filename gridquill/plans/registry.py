@@ -1,6 +1,9 @@
-"""Queries over the test tables by name, and the SQL that must give the same rows."""
+"""All queries of the engine's operators, and the SQL twin of each that has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from gridquill.plans import exposure, food, layers, library, session
+
+_AREAS = (exposure, layers, food, library, session)
+QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}
