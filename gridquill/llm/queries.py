@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import blocks, decontam, packing, partenum, quality, repeats, secrets, telephony, warc, wavelet
 from .common import read_table
+from .sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_blocks": op9_blocks,
     "op10_jaccard": op10_jaccard,
 }
-
-ORACLE_SQL: dict[str, str] = {}
