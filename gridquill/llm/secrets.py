@@ -2,10 +2,10 @@
 
 Beside the patterns, every long token of an encoding's alphabet is tested for looking random:
 chi-squared uniformity over the inferred alphabet, a runs test of the upper against the lower half of
-the alphabet, and the lag-1 serial correlation.  The three z values make one distance from
-randomness.  What distance is small enough is decided for each stratum of lengths against the corpus'
-own words: all-letter tokens of the stratum are the null, and the largest distance is taken at which
-null tokens account for at most the given rate of the discoveries.
+the alphabet, and the lag-1 serial correlation.  A token that any of them rejects is ordinary.  Of the others the
+p value is how likely an ordinary token of the same length would be as uniform: its chi-squared grows with
+the length, so short tokens hardly ever reach a small p.  Within each stratum of lengths the
+Benjamini-Hochberg procedure then bounds the share of ordinary tokens among those that are reported.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ SYMBOLS = {"hex": "0-9a-f", "HEX": "0-9A-F", "base32": "A-Z2-7", "base64": "A-Za
 #: Tokens that are tested have this many characters at least.
 MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_\-]{{{MIN_TOKEN},}}={{0,2}}"
-#: Distances are counted in bins of 1/BINS_PER_UNIT up to MAX_BIN; from the chi-squared 0.999 quantile for three degrees on, no token passes.
-BINS_PER_UNIT, MAX_BIN, MAX_DISTANCE = 4, 400, 16.27
+#: What a test may deviate by, in standard deviations, before it rejects a token as not random (one in a thousand).
+REJECT_CHI, REJECT_TWO_SIDED = 3.09, 3.29
+#: Sum of the squared shares of symbols in ordinary tokens: of digits alone in hexadecimal, of letters of a language in the others.
+ORDINARY = {"hex": 0.1, "HEX": 0.1, "base32": 0.066, "base64": 0.066, "base64url": 0.066}
+#: p values are counted in bins of their normal deviate, BINS_PER_UNIT to a unit; what is rejected is in the last.
+BINS_PER_UNIT, LOWEST, LAST_BIN = 20, -10, 400
 BLOCK = 256
 
 
@@ -62,18 +66,20 @@ def encoding_of(token: Column) -> Column:
     return out
 
 
-def distance(token: Column, encoding: str) -> Column:
-    """How far a token is from random symbols of an encoding: the sum of three squared z values."""
+def battery(token: Column, encoding: str) -> Column:
+    """struct<text,chi,runs,serial>: chi, runs and serial deviate from 0 where a token isn't random; text is the
+    deviate of its chi-squared among those of ordinary tokens of its length, far below 0 if it is too uniform for one."""
     alphabet = ALPHABETS[encoding]
     k = float(len(alphabet))
     body = F.regexp_replace(token, "=+$", "")
     n = F.length(body).cast("double")
-    chars = F.split(body, "")
-    chars = F.filter(chars, lambda c: c != "")
+    chars = F.filter(F.split(body, ""), lambda c: c != "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
-    chi = F.lit(k) / n * squares - n
+    chi = F.greatest(F.lit(k) / n * squares - n, F.lit(0.0))
     df = k - 1
-    z_chi = F.greatest((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5, F.lit(0.0))
+    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    off = n * F.lit(k * ORDINARY[encoding] - 1)
+    z_text = (chi - df - off) / F.sqrt(2 * (df + 2 * off))
     half = len(alphabet) // 2
     bits = F.translate(body, alphabet, "0" * half + "1" * (len(alphabet) - half))
     ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
@@ -92,30 +98,45 @@ def distance(token: Column, encoding: str) -> Column:
     mu = sums["s"] / n
     spread = sums["q"] / n - mu * mu
     z_serial = F.when(spread > 0, (sums["p"] / F.greatest(n - 1, F.lit(1.0)) - mu * mu) / spread * F.sqrt(n)).otherwise(F.sqrt(n))
-    return z_chi * z_chi + z_runs * z_runs + z_serial * z_serial
+    return F.struct(z_text.alias("text"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"))
 
 
 def token_tests(token: Column) -> Column:
-    """struct<stratum,bin,null>: the stratum of lengths, the binned distance, whether the token is all letters."""
+    """struct<stratum,bin>: the stratum of lengths and the bin of the p value, the last for what a test rejects."""
     kind = encoding_of(token)
-    d = F.lit(None).cast("double")
+    z = F.lit(None).cast("struct<text:double,chi:double,runs:double,serial:double>")
     for name in ALPHABETS:
-        d = F.when(kind == name, distance(token, name)).otherwise(d)
+        z = F.when(kind == name, battery(token, name)).otherwise(z)
+
+    def place(t: Column) -> Column:
+        passed = (t["chi"] <= REJECT_CHI) & (F.abs(t["runs"]) <= REJECT_TWO_SIDED) & (F.abs(t["serial"]) <= REJECT_TWO_SIDED)
+        found = F.greatest(F.floor((t["text"] - LOWEST) * BINS_PER_UNIT), F.lit(0))
+        return F.when(passed, F.least(found, F.lit(LAST_BIN))).otherwise(F.lit(LAST_BIN)).cast("int")
+
+    # The tests' results are named once, so that they are computed once.
+    bins = F.transform(F.array(z), place)
     body = F.length(F.regexp_replace(token, "=+$", ""))
-    place = F.when(d.isNotNull(), F.least(F.floor(d * BINS_PER_UNIT), F.lit(MAX_BIN)).cast("int"))
-    return F.struct(F.floor(F.log2(body.cast("double")) * 2).cast("int").alias("stratum"), place.alias("bin"), token.rlike("^[A-Za-z]+$").alias("null"))
+    return F.struct(F.floor(F.log2(body.cast("double")) * 2).cast("int").alias("stratum"), F.coalesce(F.element_at(bins, 1), F.lit(LAST_BIN)).alias("bin"))
+
+
+def normal_below(z: Column) -> Column:
+    """The share of a normal distribution below z, right to seven places (a rational approximation of erf)."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + F.lit(0.3275911) * x)
+    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
+    tail = F.greatest(poly * F.exp(-x * x) / 2, F.lit(0.0))
+    return F.when(z < 0, tail).otherwise(1 - tail)
 
 
 def thresholds(tested: DataFrame, rate: float) -> DataFrame:
-    """(stratum, most): the largest bin of each stratum at which the estimated share of false discoveries
-    is at most rate.  Input (stratum, bin, null), counted into bins before anything is compared: strata
-    times MAX_BIN rows at most, whatever the corpus' size."""
-    counts = tested.where(F.col("bin").isNotNull()).groupBy("stratum", "bin").agg(F.sum(F.col("null").cast("long")).alias("nulls"), F.sum((~F.col("null")).cast("long")).alias("others"))
+    """(stratum, most): the largest bin of each stratum up to which tokens are reported, by Benjamini-Hochberg at
+    this rate.  Input (stratum, bin), counted into bins before anything is compared: strata times LAST_BIN
+    rows at most, whatever the corpus' size."""
+    counts = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("stratum").orderBy("bin")
-    whole = Window.partitionBy("stratum")
-    c = counts.select("stratum", "bin", F.sum("nulls").over(upto).alias("n"), F.sum("others").over(upto).alias("m"), F.sum("nulls").over(whole).alias("n_all"), F.sum("others").over(whole).alias("m_all"))
-    p = (F.col("n") + 1) / (F.col("n_all") + 1)
-    good = (F.col("bin") < int(MAX_DISTANCE * BINS_PER_UNIT)) & (F.col("m") > 0) & (p * F.col("m_all") <= rate * F.col("m"))
+    c = counts.select("stratum", "bin", F.sum("n").over(upto).alias("found"), F.sum("n").over(Window.partitionBy("stratum")).alias("tested"))
+    p = normal_below((F.col("bin") + 1) / F.lit(float(BINS_PER_UNIT)) + LOWEST)
+    good = (F.col("bin") < LAST_BIN) & (p * F.col("tested") <= rate * F.col("found"))
     return c.where(good).groupBy("stratum").agg(F.max("bin").alias("most"))
 
 
@@ -142,7 +163,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limits = thresholds(found.select(F.explode("tests.test").alias("x")).select("x.*"), rate)
     # A row for each stratum of lengths, two to each doubling: fewer than 64.
     limits = limits.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "most"))).alias("limits"))
-    random = F.filter("tests", lambda t: ~t["test"]["null"] & (t["test"]["bin"] <= F.element_at("limits", t["test"]["stratum"])))
+    random = F.filter("tests", lambda t: F.coalesce(t["test"]["bin"] <= F.element_at("limits", t["test"]["stratum"]), F.lit(False)))
     joined = found.crossJoin(F.broadcast(limits))  # one row
     more = F.transform(random, as_span(3))
     return joined.select("doc_id", "n_chars", *(f"keep_{c}" for c in keep), "base", F.array_sort(F.concat("base", more)).alias("spans"))
