@@ -163,3 +163,19 @@ def test_size_band_edges(spark):
         base = [f"w{i}x{j}" for j in range(size)]
         rows += [(1000 + 10 * i, " ".join(base)), (1001 + 10 * i, " ".join(base + [f"z{i}"])), (1002 + 10 * i, " ".join(base + [f"y{i}x{j}" for j in range(size // 9 + 1)]))]
     assert counted(partenum.jaccard_classes(odd_docs(spark, rows), 1, 90, 100), *JACCARD) == plain_jaccard(rows, 1, 90, 100)
+
+
+def test_jaccard_large_clusters(spark, monkeypatch):
+    """Clusters that are split by rare shingles and dealt into many blocks lose no link."""
+    monkeypatch.setattr(partenum, "LARGE", 2)
+    monkeypatch.setattr(partenum, "BLOCK", 2)
+    shared = " ".join(f"s{j}" for j in range(40))
+    rows = [(i, f"{shared} " + " ".join(f"t{i // 3}x{j}" for j in range(12)) + (f" u{i}" if i % 3 else "")) for i in range(24)] + odd_texts()
+    for n, num, den in ((1, 80, 100), (3, 90, 100), (2, 60, 100)):
+        assert counted(partenum.jaccard_classes(odd_docs(spark, rows), n, num, den), *JACCARD) == plain_jaccard(rows, n, num, den)
+
+
+def test_jaccard_same_id_other_text(spark):
+    """Rows that share an id are texts like others."""
+    rows = [(1, "a b c d e f g h i j k"), (1, "z y x w v u t s r q p"), (2, "z y x w v u t s r q p"), (3, "a b c d e f g h i j k l"), (1, None)]
+    assert counted(partenum.jaccard_classes(odd_docs(spark, rows), 1, 80, 100), *JACCARD) == plain_jaccard(rows, 1, 80, 100)
