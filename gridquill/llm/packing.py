@@ -14,6 +14,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BUCKETS, BUDGET = 16, 65_536
 #: Documents that are numbered in one group, about; a bucket has as many groups as it takes.
 GROUP = 8192
@@ -70,11 +72,12 @@ def pack_batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET,
     length: tokens of a document, by default its words; null counts as 0, and documents of length 0 take
     part like others.  A batch holds budget // padded documents, one at least, so only a document longer than
     the budget exceeds it, alone; each bucket has one batch that isn't full at most.  Documents are dealt to
-    batches by a hash of id and length, then by id and text, so repeated rows lie side by side; null ids
-    are dealt like one id; an empty table gives no rows."""
+    batches by a hash of id, length and text, then by id and text, so repeated rows lie side by side; null ids
+    are ids like others; an empty table gives no rows."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(word_count(F.col(text_col).cast("string")) if length is None else length.cast("long"), F.lit(0)).alias("length"), F.xxhash64(F.col(text_col).cast("string")).alias("tie")
     )
+    rows = cut(rows, "lengths")  # three numbers a document: the texts are read and their words counted once
     # A row for each different length: bounded by the longest document, whatever the number of documents.
     histogram = [(r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()]
     bounds, _ = best_boundaries(histogram, buckets)
@@ -89,7 +92,7 @@ def pack_batches(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET,
     for i, b in reversed(list(enumerate(bounds))):
         bucket = F.when(F.col("length") <= b, F.lit(i)).otherwise(bucket)
     pick = lambda k: F.element_at(F.array(*(F.lit(t[k]).cast("long") for t in table)), F.col("bucket") + 1)
-    rows = rows.withColumn("bucket", bucket).withColumn("group", F.pmod(F.xxhash64("doc_id", "length"), pick(3)))
+    rows = rows.withColumn("bucket", bucket).withColumn("group", F.pmod(F.xxhash64("doc_id", "length", "tie"), pick(3)))
     # Numbered within groups; what stands in front of a group is a running sum over counts.
     order = Window.partitionBy("bucket", "group").orderBy("doc_id", "tie")
     numbered = rows.withColumn("at", F.row_number().over(order) - 1)
