@@ -22,6 +22,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.driver.memory", "3g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
@@ -33,6 +34,10 @@ def spark():
     session.stop()
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def plain(x):
     if isinstance(x, (bool, str, bytes)) or x is None:
         return x
