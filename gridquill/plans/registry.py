@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridquill.plans import exposure, food, layers, library, session
+from gridquill.plans import choices, exposure, food, layers, library, session
 
-_AREAS = (exposure, layers, food, library, session)
+_AREAS = (exposure, layers, choices, food, library, session)
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}

@@ -210,3 +210,20 @@ def test_sessions(spark):
     assert tuple(session.usage(calls, 0.1, 0.2).first()) == (2, 10, 5, 2.0)
     says = spark.createDataFrame([("it is 1,500 now", 1500), ("15", 5), (None, 5), ("x", 5)], "answer string, n int")
     assert [r[0] for r in says.select(session.grounded(F.col("answer"), F.col("n"))).collect()] == [True, True, False, False]
+
+
+def test_requests(spark):
+    from gridquill.operators import menus
+
+    assert menus.area_rings([0, 1, 2, 3]) == [[(0.0, 1.0), (2.0, 1.0), (2.0, 3.0), (0.0, 3.0)]]
+    assert menus.area_rings({"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1]]], [[[5, 5], [6, 5], [6, 6]]]]})[1][0] == (5.0, 5.0)
+    for wrong in ([1, 2], {"type": "Point", "coordinates": [1, 2]}):
+        with pytest.raises(ValueError):
+            menus.area_rings(wrong)
+    rows = spark.createDataFrame([('{"crop": null, "focus": " "}',), ("[]",), ('{"crop',), ("5",), (None,)], "raw string")
+    found = [r[0] for r in rows.select(menus.parsed_arguments(F.col("raw"), F.lit(" why "))).collect()]
+    assert tuple(found[0]) == ("", "", "why") and found[1:] == [None] * 4
+    kinds = spark.createDataFrame([("MultiPolygon",), ("Polygon",)], "geom_type string")
+    assert menus.layer_kinds(kinds).first()["kind"] == "Polygon" and menus.layer_kinds(kinds.unionByName(kinds.limit(1).withColumn("geom_type", F.lit("Point")))).first()["kind"] == "Vector"
+    listed = spark.createDataFrame([(0, "a", " x ", None), (1, "b", None, True)], "ord int, layer string, description string, internal boolean")
+    assert menus.menu(menus.visible_catalogue(listed)).first()["menu"] == "- a: x" and menus.menu(menus.visible_catalogue(listed.limit(0))).first()["menu"] == menus.NO_LAYERS
