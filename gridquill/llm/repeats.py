@@ -8,6 +8,10 @@ whole surroundings repeat are decided by that alone.  The others' suffixes, sort
 per anchor; a stack scan over its common-prefix lengths gives the interval tree, whose every node is a repeat that
 ends alike in all its occurrences.  A node's occurrences, sorted by what stands before them, show
 where their left extensions part: each maximal group that reaches the length is marked in all its occurrences.
+
+No anchor makes a large group.  What repeats within a slice of some megabytes is decided there and leaves it once.
+An anchor with more than HOT different surroundings, as a short passage that very many texts share has, makes no tree: the
+windows around its occurrences are counted by hash instead, again once a slice, which spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +30,13 @@ from .slicerows import Held, answers, answers_schema, by_bucket, column, dealt,
 ANCHOR = 64
 #: Windows whose least gram is looked for at once: places in them fit 24 bits.
 STRETCH = 8 << 20
-DECIDED, OPEN = 0, 1
+DECIDED, OPEN, WINDOWS = 0, 1, 2
+#: Different surroundings of an anchor up to which they are sorted together.
+HOT = 1024
+#: Marks a place that stands for several of its slice; places themselves need 31 bits.
+SEVERAL = np.uint32(1 << 31)
+#: Kinds of rows on the way to scan: surroundings of an anchor, spans that are settled, windows.
+AROUND, SETTLED, WINDOW = 0, 1, 2
 
 
 class Grams:
@@ -117,6 +127,21 @@ def mark_group(right: np.ndarray, r_len: np.ndarray, left: np.ndarray, l_len: np
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, which places of it are the first of equal keys, how many equals each place has), keys from the last on."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    kind = np.cumsum(new) - 1
+    return order, new, np.bincount(kind)[kind] if len(order) else np.zeros(0, dtype=np.int64)
+
+
+def settled(name: int, spans: np.ndarray) -> pa.RecordBatch:
+    """Spans that need no other task, on their way to their slice."""
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([SETTLED], pa.int32()), pa.array([name]), pa.array([spans.astype("<u4").tobytes()], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3", "c4"])
+
+
 def covered(spans: np.ndarray, n: int) -> np.ndarray:
     """Which of n places the spans (rows lo, hi) cover."""
     change = np.bincount(spans[:, 0], minlength=n + 1) - np.bincount(spans[:, 1], minlength=n + 1)
@@ -143,25 +168,40 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 lo, hi = reach(h.text, at, length, gram)
                 key = grams.of(at, at + gram)
                 around = T.mix(grams.of(lo, hi) ^ T.mix((at - lo).astype(np.uint64) * np.uint64(1 << 32) + (hi - at).astype(np.uint64)))
-                out = dealt(h.name, (key >> np.uint64(40)) % np.uint64(count), count, [key, around, at.astype(np.uint32)])
+                order, new, copies = once(around, key)
+                at, key, around = at[order], key[order], around[order]
+                rest = at[~new]  # their whole surroundings repeat in this slice
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(key[0] % np.uint64(count))], pa.int32()), pa.array([1], pa.int32()), pa.array([h.name]), pa.array([rest.astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
+                place = at.astype(np.uint32) | np.where(copies > 1, SEVERAL, np.uint32(0))
+                out = dealt(h.name, (key[new] >> np.uint64(40)) % np.uint64(count), count, [key[new], around[new], place[new]])
                 if out is not None:
                     yield out
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in merged(batches, "bucket"):
+            kinds_of = table.column("kind").to_numpy()
+            for i in np.flatnonzero(kinds_of == 1):
+                at = np.frombuffer(table.column("c0")[int(i)].as_buffer(), "<u4")
+                yield answers(np.full(len(at), table.column("slice")[int(i)].as_py(), dtype=np.int64), [at, np.full(len(at), DECIDED, np.uint8)])
+            table = table.filter(pa.array(kinds_of == 0))
+            if not table.num_rows:
+                continue
             key, around, at = column(table, "c0", "<u8"), column(table, "c1", "<u8"), column(table, "c2", "<u4")
             name = np.repeat(table.column("slice").to_numpy(), entry_counts(table, "c0", 8))
             order = np.lexsort((around, key))
             key, around, at, name = key[order], around[order], at[order], name[order]
+            several, at = (at & SEVERAL) != 0, at & ~SEVERAL
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             new = new_key | np.concatenate([[True], around[1:] != around[:-1]])
             group, kind = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-            copies = np.bincount(kind)[kind]
+            copies = np.bincount(kind, 1 + several)[kind]
             kinds = np.bincount(group, new)[group]
             decided = copies > 1
             # The first of repeated surroundings stands for them where others of the anchor are open.
             shown = (kinds > 1) & (new | ~decided)
-            what = np.concatenate([np.full(int(decided.sum()), DECIDED, np.uint8), np.full(int(shown.sum()), OPEN, np.uint8)])
+            what = np.where(kinds[shown] > HOT, WINDOWS, OPEN).astype(np.uint8)
+            what = np.concatenate([np.full(int(decided.sum()), DECIDED, np.uint8), what])
             out = answers(np.concatenate([name[decided], name[shown]]), [np.concatenate([at[decided], at[shown]]), what])
             if out is not None:
                 yield out
@@ -170,16 +210,34 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     found = cut(found, "anchors")
     pow_two: dict[str, T.Powers] = {}
 
+    def windows_of(h: Held, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, pow_: T.Powers) -> Iterator[pa.RecordBatch]:
+        n = np.maximum(np.minimum(at, hi - length) - lo + 1, 0)
+        begin = np.unique(np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        if not len(begin):
+            return
+        key = Grams(h.text.data, pow_).of(begin, begin + length)
+        order, new, copies = once(key)
+        begin, key = begin[order], key[order]
+        again = begin[copies > 1]
+        if len(again):
+            yield settled(h.name, np.stack([again, again + length], axis=1))
+        place = begin.astype(np.uint32) | np.where(copies > 1, SEVERAL, np.uint32(0))
+        none = np.zeros((int(new.sum()), 0), np.uint8)
+        yield dealt(h.name, (key[new] >> np.uint64(40)) % np.uint64(count), count, [key[new], place[new], none, none, none], WINDOW)
+
     def show(h: Held, right: pa.Table) -> Iterator[pa.RecordBatch]:
         pow_ = pow_two.setdefault("", T.Powers())
         at, what = column(right, "c0", "<u4").astype(np.int64), column(right, "c1", "u1")
         lo, hi = reach(h.text, at, length, gram)
         sure = what == DECIDED
         whole = sure & (hi - lo >= length)
-        spans = np.stack([lo[whole], hi[whole]], axis=1).astype("<u4")
-        if len(spans):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3", "c4"])
-        at, lo, hi = at[~sure], lo[~sure], hi[~sure]
+        if whole.any():
+            yield settled(h.name, np.stack([lo[whole], hi[whole]], axis=1))
+        wide = what == WINDOWS
+        if wide.any():
+            yield from windows_of(h, at[wide], lo[wide], hi[wide], pow_)
+        tree = what == OPEN
+        at, lo, hi = at[tree], lo[tree], hi[tree]
         if len(at):
             data = np.concatenate([np.zeros(before, np.uint8), h.text.data, np.zeros(length, np.uint8)])
             after = data[(at + before)[:, None] + np.arange(length)]
@@ -188,15 +246,24 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             ahead[np.arange(before) >= (at - lo)[:, None]] = 0
             key = Grams(h.text.data, pow_).of(at, at + gram)
             sizes = np.stack([at - lo, hi - at], axis=1).astype("<u4")
-            yield dealt(h.name, (key >> np.uint64(40)) % np.uint64(count), count, [key, at.astype(np.uint32), sizes, ahead, after])
+            yield dealt(h.name, (key >> np.uint64(40)) % np.uint64(count), count, [key, at.astype(np.uint32), sizes, ahead, after], AROUND)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in merged(batches, "bucket"):
             kinds = table.column("kind").to_numpy()
-            sure = table.filter(pa.array(kinds == 1))
+            sure = table.filter(pa.array(kinds == SETTLED))
             for i in range(sure.num_rows):
                 yield pa.RecordBatch.from_arrays([sure.column("slice").slice(i, 1).combine_chunks(), sure.column("c0").slice(i, 1).combine_chunks()], names=["slice", "c0"])
-            mine = table.filter(pa.array(kinds == 0))
+            wide = table.filter(pa.array(kinds == WINDOW))
+            if wide.num_rows:
+                key, at = column(wide, "c0", "<u8"), column(wide, "c1", "<u4")
+                name = np.repeat(wide.column("slice").to_numpy(), entry_counts(wide, "c0", 8))
+                _, kind = np.unique(key, return_inverse=True)
+                twice = np.bincount(kind, 1 + ((at & SEVERAL) != 0))[kind] > 1
+                begin = (at & ~SEVERAL)[twice]
+                if len(begin):
+                    yield answers(name[twice], [np.stack([begin, begin + np.uint32(length)], axis=1).astype("<u4")])
+            mine = table.filter(pa.array(kinds == AROUND))
             if not mine.num_rows:
                 continue
             name = np.repeat(mine.column("slice").to_numpy(), entry_counts(mine, "c0", 8))
