@@ -10,20 +10,20 @@ is looked up among the windows around the blocks that were hit.  Windows that re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textscan as T
-from .common import cut, map_arrow, merged, partitions, texts
+from .common import cut, map_arrow, partitions, texts
 from .slicerows import Held, answers, answers_schema, by_bucket, dealt, dealt_schema, entry_counts, held, slice_rows, column, with_answers
 
 WINDOW = 50
 #: An anchor with more distinct surroundings in the index sends none of them along with a hit; its hits look up windows.
 SURROUNDINGS = 8
-INDEX, PROBE = 0, 1
+INDEX, PROBE, SPANS = 0, 1, 2
 SURE, SEEK, GIVE = 0, 1, 2
 
 
@@ -52,6 +52,104 @@ class WordSlice:
         return T.mix(self.run(lo, hi) ^ T.mix((at - lo).astype(np.uint64) * np.uint64(1 << 32) + (hi - at).astype(np.uint64)))
 
 
+def least_of(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Places of the least id for each combination of keys."""
+    order = np.lexsort((ids, *keys))
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order[new]
+
+
+class BlockIndex:
+    """The blocks of one bucket, which probes are held against one row after the other."""
+
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(rows)
+        ids, near, key = column(table, "c2", "<i8"), column(table, "c3", "<u8"), column(table, "c0", "<u4")
+        name = np.repeat(table.column("slice").to_numpy(), entry_counts(table, "c0", 4))
+        first = least_of(ids, near, key)
+        self.at, self.ids, self.near, self.name = column(table, "c1", "<u4")[first], ids[first], near[first], name[first]
+        self.keys, self.first = np.unique(key[first], return_index=True)
+        self.kinds = np.diff(np.concatenate([self.first, [len(first)]]))
+        self.least = np.minimum.reduceat(self.ids, self.first)
+        self.hit = np.zeros(len(self.keys), dtype=bool)
+
+    def answer(self, row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """SURE with surroundings of an earlier block, or SEEK for a hit to look its windows up."""
+        short = np.frombuffer(row.column("c0")[0].as_buffer(), "<u4")
+        where = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
+        same = np.flatnonzero(self.keys[where] == short)
+        if not len(same):
+            return
+        raw = memoryview(row.column("c1")[0].as_buffer())
+        place = np.cumsum(np.frombuffer(raw[1:], "<u4" if bytes(raw[:1]) == b"W" else "<u2"), dtype=np.int64)
+        doc = np.repeat(np.frombuffer(row.column("c2")[0].as_buffer(), "<i8"), np.frombuffer(row.column("c3")[0].as_buffer(), "<u4"))
+        where, place, doc = where[same], place[same], doc[same]
+        later = self.least[where] < doc
+        where, place, doc = where[later], place[later], doc[later]
+        if not len(where):
+            return
+        self.hit[where] = True
+        few = self.kinds[where] <= SURROUNDINGS
+        n = np.where(few, self.kinds[where], 0)
+        entry = np.repeat(self.first[where], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        earlier = self.ids[entry] < np.repeat(doc, n)
+        at, near = np.repeat(place, n)[earlier], self.near[entry][earlier]
+        many = place[~few]
+        out = [np.concatenate([at, many]).astype("<u4"), np.concatenate([np.full(len(at), SURE, np.uint8), np.full(len(many), SEEK, np.uint8)]), np.concatenate([near, np.zeros(len(many), np.uint64)])]
+        yield answers(np.full(len(out[0]), row.column("slice")[0].as_py(), dtype=np.int64), out)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """GIVE for the blocks that were hit and whose windows are to be looked up in."""
+        give = np.repeat(self.hit, self.kinds)
+        if give.any():
+            yield answers(self.name[give], [self.at[give].astype("<u4"), np.full(int(give.sum()), GIVE, np.uint8), self.near[give]])
+
+
+class WindowIndex:
+    """The windows of one bucket with the least document that has each."""
+
+    def __init__(self, rows: list[pa.RecordBatch], window: int) -> None:
+        table = pa.Table.from_batches(rows)
+        key, ids = column(table, "c0", "<u8"), column(table, "c1", "<i8")
+        first = least_of(ids, key)
+        self.key, self.ids, self.window = key[first], ids[first], window
+
+    def answer(self, row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        mine, doc, at = (np.frombuffer(row.column(c)[0].as_buffer(), k) for c, k in (("c0", "<u8"), ("c1", "<i8"), ("c2", "<u4")))
+        where = np.minimum(np.searchsorted(self.key, mine), len(self.key) - 1)
+        gone = at[(self.key[where] == mine) & (self.ids[where] < doc)]
+        if len(gone):
+            spans = np.stack([gone, gone + np.uint32(self.window)], axis=1).astype("<u4")
+            yield pa.RecordBatch.from_arrays([row.column("slice"), pa.array([spans.tobytes()], pa.binary())], names=["slice", "c0"])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def probed(batches: Iterator[pa.RecordBatch], build: Callable[[list[pa.RecordBatch]], BlockIndex | WindowIndex]) -> Iterator[pa.RecordBatch]:
+    """Of rows by bucket, an index' in front of its probes: a task holds one bucket's index, never its probes."""
+    bucket, rows, index = None, [], None
+    for batch in batches:
+        for i, (b, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist())):
+            if b != bucket:
+                if index is not None:
+                    yield from index.end()
+                bucket, rows, index = b, [], None
+            row = batch.slice(i, 1)
+            if kind == SPANS:
+                yield pa.RecordBatch.from_arrays([row.column("slice"), row.column("c0")], names=["slice", "c0"])
+            elif kind == INDEX:
+                rows.append(row)
+            elif rows:
+                if index is None:
+                    index = build(rows)
+                yield from index.answer(row)
+    if index is not None:
+        yield from index.end()
+
+
 def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per input row: doc_id, n_words, n_removed, kept_sha256 and spans, an array of the removed runs'
     begins and ends in words; with keep_text also kept, the remaining words joined by one space.
@@ -81,7 +179,11 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
                 bucket = key % np.uint64(count)
                 short = (key >> np.uint64(32)).astype(np.uint32)
                 aligned = np.flatnonzero(inside % block == 0)
-                index = dealt(h.name, bucket[aligned], count, [short[aligned], at[aligned].astype(np.uint32), h.ids[doc[aligned]], ws.surroundings(at[aligned], window, block)], INDEX)
+                # One block, of the slice's least document, stands for all with the same surroundings.
+                near = ws.surroundings(at[aligned], window, block)
+                first = least_of(h.ids[doc[aligned]], near, key[aligned])
+                aligned, near = aligned[first], near[first]
+                index = dealt(h.name, bucket[aligned], count, [short[aligned], at[aligned].astype(np.uint32), h.ids[doc[aligned]], near], INDEX)
                 order = np.argsort(bucket.astype(np.uint32), kind="stable")
                 bucket, short, at, doc = bucket[order], short[order], at[order], doc[order]
                 rows = dealt_probes(h, bucket, count, short, at, doc)
@@ -109,56 +211,8 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
         )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Answers (place, what, surroundings): SURE with surroundings of an earlier block, SEEK for a hit to
-        look its windows up, GIVE for a block that was hit and whose windows are to be looked up in."""
-        for bucket_table in merged(batches, "bucket"):
-            numbers = bucket_table.column("bucket").to_numpy()
-            for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1):
-                yield from match_bucket(bucket_table.slice(int(part[0]), len(part)))
-
-    def match_bucket(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = table.column("kind").to_numpy()
-        index, probes = table.filter(pa.array(kinds == INDEX)), table.filter(pa.array(kinds == PROBE))
-        if not index.num_rows or not probes.num_rows:
-            return
-        key, at = column(index, "c0", "<u4"), column(index, "c1", "<u4")
-        ids, near = column(index, "c2", "<i8"), column(index, "c3", "<u8")
-        name = np.repeat(index.column("slice").to_numpy(), entry_counts(index, "c0", 4))
-        order = np.lexsort((ids, near, key))
-        key, at, ids, near, name = key[order], at[order], ids[order], near[order], name[order]
-        # One block, of the least document, stands for all with the same surroundings.
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (near[1:] != near[:-1])])
-        key, at, ids, near, name = key[new], at[new], ids[new], near[new], name[new]
-        keys, first = np.unique(key, return_index=True)
-        kinds_of = np.diff(np.concatenate([first, [len(key)]]))
-        least = np.minimum.reduceat(ids, first)
-        hit_by_later = np.zeros(len(keys), dtype=bool)
-        for i in range(probes.num_rows):
-            short = np.frombuffer(probes.column("c0")[i].as_buffer(), "<u4")
-            where = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-            same = np.flatnonzero(keys[where] == short)
-            if not len(same):
-                continue
-            raw = memoryview(probes.column("c1")[i].as_buffer())
-            place = np.cumsum(np.frombuffer(raw[1:], "<u4" if bytes(raw[:1]) == b"W" else "<u2"), dtype=np.int64)
-            doc = np.repeat(np.frombuffer(probes.column("c2")[i].as_buffer(), "<i8"), np.frombuffer(probes.column("c3")[i].as_buffer(), "<u4"))
-            where, place, doc = where[same], place[same], doc[same]
-            later = least[where] < doc
-            where, place, doc = where[later], place[later], doc[later]
-            if not len(where):
-                continue
-            hit_by_later[where] = True
-            few = kinds_of[where] <= SURROUNDINGS
-            n = np.where(few, kinds_of[where], 0)
-            entry = np.repeat(first[where], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            earlier = ids[entry] < np.repeat(doc, n)
-            sure_at, sure_near = np.repeat(place, n)[earlier], near[entry][earlier]
-            many = place[~few]
-            out = [np.concatenate([sure_at, many]).astype("<u4"), np.concatenate([np.full(len(sure_at), SURE, np.uint8), np.full(len(many), SEEK, np.uint8)]), np.concatenate([sure_near, np.zeros(len(many), np.uint64)])]
-            yield answers(np.full(len(out[0]), probes.column("slice")[i].as_py(), dtype=np.int64), out)
-        give = np.repeat(hit_by_later, kinds_of)
-        if give.any():
-            yield answers(name[give], [at[give].astype("<u4"), np.full(int(give.sum()), GIVE, np.uint8), near[give]])
+        """Answers (place, what, surroundings) of BlockIndex."""
+        return probed(batches, BlockIndex)
 
     found = cut(map_arrow(by_bucket(map_arrow(slices, probe, dealt_schema(4))), match, answers_schema(3)), "hits")
 
@@ -173,7 +227,7 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
         done = np.unique(at[hit & (what == SURE) & (mine == near) & (hi - lo >= window)])
         spans = np.stack(ws.around(done, window, block), axis=1).astype("<u4") if len(done) else np.zeros((0, 2), "<u4")
         if len(done):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([2], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([SPANS], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
         for kind, places in ((INDEX, np.unique(at[~hit])), (PROBE, np.setdiff1d(at[hit], done))):
             if not len(places):
                 continue
@@ -188,29 +242,14 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
                 begin = begin[np.cumsum(inside)[begin] <= 0]
             if not len(begin):
                 continue
-            key = ws.run(begin, begin + window)
-            yield dealt(h.name, key % np.uint64(count), count, [key, h.ids[ws.words.doc[begin]], begin.astype(np.uint32)], kind)
+            key, ids = ws.run(begin, begin + window), h.ids[ws.words.doc[begin]]
+            if kind == INDEX:
+                first = least_of(ids, key)
+                key, ids, begin = key[first], ids[first], begin[first]
+            yield dealt(h.name, key % np.uint64(count), count, [key, ids, begin.astype(np.uint32)], kind)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in merged(batches, "bucket"):
-            kinds = table.column("kind").to_numpy()
-            for i in np.flatnonzero(kinds == 2):
-                yield pa.RecordBatch.from_arrays([table.column("slice").slice(int(i), 1).combine_chunks(), table.column("c0").slice(int(i), 1).combine_chunks()], names=["slice", "c0"])
-            index, probes = table.filter(pa.array(kinds == INDEX)), table.filter(pa.array(kinds == PROBE))
-            if not index.num_rows or not probes.num_rows:
-                continue
-            key, ids = column(index, "c0", "<u8"), column(index, "c1", "<i8")
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            key, ids = key[new], ids[new]
-            for i in range(probes.num_rows):
-                mine, doc, at = (np.frombuffer(probes.column(c)[i].as_buffer(), k) for c, k in (("c0", "<u8"), ("c1", "<i8"), ("c2", "<u4")))
-                where = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-                gone = at[(key[where] == mine) & (ids[where] < doc)]
-                if len(gone):
-                    spans = np.stack([gone, gone + np.uint32(window)], axis=1).astype("<u4")
-                    yield pa.RecordBatch.from_arrays([probes.column("slice").slice(i, 1).combine_chunks(), pa.array([spans.tobytes()], pa.binary())], names=["slice", "c0"])
+        return probed(batches, lambda rows: WindowIndex(rows, window))
 
     spans = cut(map_arrow(by_bucket(with_answers(slices, found, extend, dealt_schema(3))), settle, answers_schema(1)), "windows")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept string"
