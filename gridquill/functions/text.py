@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Forms of citations, numbers, months and names of monthly layers.
 CITATION = r"\[([\d\s,–\-]+)\]"
 NUMBER = r"\d+(?:\.\d+)?"
 #: Numbers that a citation range adds to its first one, at most; citation numbers lie below the limit.
 RANGE_SPAN, CITATION_LIMIT = 50, 1000
+MONTHLY = r"^Global_Synthesis_(\d{4})(\d{2})$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
@@ -57,7 +59,7 @@ def month_number(key: Column) -> Column:
 
 def layer_month(name: Column) -> Column:
     """yyyy-MM of a monthly layer's name; null if it isn't one."""
-    part = lambda i: F.regexp_extract(name, r"^Global_Synthesis_(\d{4})(\d{2})$", i)
+    part = lambda i: F.regexp_extract(name, MONTHLY, i)
     return F.when(part(1) != "", F.concat_ws("-", part(1), part(2)))
 
 

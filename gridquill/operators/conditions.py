@@ -131,6 +131,7 @@ def calendar_citations(calendar: DataFrame, asked: DataFrame, overrides: DataFra
     s = seasons.select(F.lower("country").alias("__c"), F.lower("crop").alias("__k"), "ord", "season", "planting", "harvest", "adjusted")
     a = asked.withColumns({"__c": keys(asked)[0], "__k": keys(asked)[1]})
     both = a.join(s, ["__c", "__k"])
+    # The wording of a citation.
     line = F.concat(
         "season", F.lit(": planting "), sn.window_label(F.col("planting")), F.lit(", harvest "), sn.window_label(F.col("harvest")), F.lit(" — "),
         F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMMM"), F.lit(" falls in the "), sn.phase(F.col("month"), F.col("planting"), F.col("harvest")),

@@ -80,6 +80,7 @@ def parsed_arguments(raw: Column, question: Column) -> Column:
 
 def query_texts(crop: Column, country: Column, focus: Column) -> Column:
     """struct<forecast,retrospective>: the two texts that a question is searched by."""
+    # The wording of both.
     ahead = F.trim(F.concat_ws(" ", F.lit("El Nino seasonal rainfall forecast outlook"), country, crop, focus))
     back = F.trim(F.concat(F.lit("impact of past El Nino events on "), F.coalesce(tx.blank_to_null(crop), F.lit("crop")), F.lit(" production and food security in "), country))
     return F.struct(ahead.alias("forecast"), back.alias("retrospective"))

@@ -15,6 +15,8 @@ from gridquill.functions import geo
 from gridquill.functions import text as tx
 
 AREA_CAP_KM2 = 1500.0
+# Kinds of settlements, the best first, and the names of how an area was found.
+HOW = ("nominatim", "radius_box")
 KINDS = ("city", "town", "municipality", "village", "suburb")
 
 
@@ -123,7 +125,7 @@ def areas(gazetteer: DataFrame, cap: float = AREA_CAP_KM2, km: float = 12.0) ->
     box = geo.radius_box(F.col("lon"), F.col("lat"), km)
     both = centres(gazetteer).join(boundaries(gazetteer, cap).select("query", F.col("name").alias("b_name"), "km2"), "query", "left")
     named = F.col("b_name").isNotNull()
-    return both.select("query", F.coalesce("b_name", "name").alias("name"), F.when(named, "nominatim").otherwise("radius_box").alias("how"), "km2", F.when(~named, box).alias("box")).select("query", "name", "how", "km2", "box.*")
+    return both.select("query", F.coalesce("b_name", "name").alias("name"), F.when(named, HOW[0]).otherwise(HOW[1]).alias("how"), "km2", F.when(~named, box).alias("box")).select("query", "name", "how", "km2", "box.*")
 
 
 #: What each operation reads besides the area.
