@@ -10,15 +10,15 @@ nothing, so they give no signature.  Sets with more than slack empty parts may s
 partner that they'd be missed by has more than slack empty parts too, and those sets are split once more by
 another hash.  So no pair is lost, whatever the sizes.
 
-Sets that share a signature make candidate clusters.  A cluster's sets are dealt into blocks, and a task
-takes two blocks; within it pairs already connected are skipped, a byte sketch of the parts rules out
+Sets that share a signature make candidate clusters; a large one is split by prefixes of rare shingles, which parts
+sets that only share a passage.  A cluster's sets are dealt into blocks, and a task takes two blocks; within it pairs already connected are skipped, a byte sketch of the parts rules out
 most others by a lower bound of their difference, and the rest are intersected.  Only a spanning forest of the
 links leaves a task, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +36,12 @@ BLOCK = 1024
 LEVELS = 6
 #: Candidate documents whose ids are broadcast at most; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Clusters of more sets than this are split by their rarest shingles before pairs are looked at.
+LARGE = BLOCK
+#: Sets that share a rare shingle are compared with each other up to this many, beyond it through one of them.
+PAIRED = 8
+#: Counters of shingles, and how many of them travel together.
+COUNTERS, CHUNK = 1 << 20, 1 << 14
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,32 +175,26 @@ def star_edges(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.stack([sig[head].view(np.int64), node[head]], axis=1), edges[:, 0], edges[:, 1]
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): each set that shares a signature with others is tied to the least of them.
+def packed_heads(sig: np.ndarray, node: np.ndarray, count: int) -> pa.RecordBatch:
+    """(signature, node) pairs as a row for each bucket of signatures, and the edges they make on the spot in one more."""
+    heads, a, b = star_edges(sig, node)
+    bucket = (heads[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(count)
+    order = np.argsort(bucket.astype(np.uint32), kind="stable")
+    heads, bucket = heads[order], bucket[order].astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange(count + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    rows = [(int(i), np.ascontiguousarray(heads[cuts[i] : cuts[i + 1]]).tobytes(), False) for i in some]
+    if len(a):
+        rows.append((int(bucket[0]), np.stack([a, b], axis=1).tobytes(), True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.bool_()))], names=["bucket", "pairs", "edges"])
 
-    Signatures travel packed, a row for each bucket of signatures and batch; a signature that many sets
-    of a batch share leaves it once, its edges made on the spot."""
-    count = 4 * partitions(docs.sparkSession)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pow_ = T.Powers()
-        for batch in batches:
-            for s in T.slices(batch.column(1)):
-                k = len(s.starts)
-                doc, h = shingle_rows(s, n, pow_)
-                if not len(doc):
-                    continue
-                sig, at = signatures(doc, h, k, num, den)
-                heads, a, b = star_edges(sig, set_hashes(doc, h, k).view(np.int64)[at])
-                bucket = (heads[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(count)
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                heads, bucket = heads[order], bucket[order].astype(np.int64)
-                cuts = np.searchsorted(bucket, np.arange(count + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                rows = [(int(i), np.ascontiguousarray(heads[cuts[i] : cuts[i + 1]]).tobytes(), False) for i in some]
-                if len(a):
-                    rows.append((int(bucket[0]), np.stack([a, b], axis=1).tobytes(), True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.bool_()))], names=["bucket", "pairs", "edges"])
+def tied(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(a, b): each node that shares a signature with others is tied to the least of them.
+
+    emit makes packed_heads of a task's batches.  Signatures travel packed, a row for each bucket of signatures and
+    batch; a signature that many sets of a batch share leaves it once, its edges made on the spot."""
+    count = 4 * partitions(df.sparkSession)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in merged(batches, "bucket"):
@@ -211,11 +211,230 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in (0, 1)], names=["a", "b"])
 
-    packed = map_arrow(docs, emit, "bucket int, pairs binary, edges boolean")
-    dealt = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    packed = map_arrow(df, lambda batches: emit(batches, count), "bucket int, pairs binary, edges boolean")
+    dealt = packed.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, match, "a long, b long")
 
 
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): each set that shares a PartEnum signature with others is tied to the least of them."""
+
+    def emit(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+        pow_ = T.Powers()
+        for batch in batches:
+            for s in T.slices(batch.column(1)):
+                k = len(s.starts)
+                doc, h = shingle_rows(s, n, pow_)
+                if len(doc):
+                    sig, at = signatures(doc, h, k, num, den)
+                    yield packed_heads(sig, set_hashes(doc, h, k).view(np.int64)[at], count)
+
+    return tied(docs, emit)
+
+
+def member_texts(docs: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """(node, text, columns) of the document that stands for each candidate set; rows that share its id come along."""
+    chosen = members.select(F.col("doc_id").alias("member"), "node", *columns)
+    if members.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    return docs.join(chosen, F.col("doc_id") == F.col("member")).select("node", "text", *columns)
+
+
+def member_sets(batch: pa.RecordBatch, n: int, pow_: T.Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the batch, their cuts, shingle hashes) for each slice of (node, text, ...): of rows whose set is the node's."""
+    node = batch.column(0).to_numpy()
+    for s in T.slices(batch.column(1)):
+        k = len(s.starts)
+        doc, h = shingle_rows(s, n, pow_)
+        mine = set_hashes(doc, h, k).view(np.int64) == node[s.first : s.first + k]
+        take = mine[doc]
+        sizes = np.bincount(doc[take], minlength=k)[mine]
+        yield np.flatnonzero(mine) + s.first, np.concatenate([[0], np.cumsum(sizes)]), h[take]
+
+
+def shingle_counts(found: DataFrame, n: int) -> np.ndarray:
+    """How often shingles come in (node, text) rows, by COUNTERS buckets of their hashes: 4 bytes a bucket, whatever
+    the input's size.  Shingles of one bucket count together, which makes some look less rare than they are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pow_, total = T.Powers(), np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for _, _, h in member_sets(batch, n, pow_):
+                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        parts = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(parts.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw.as_buffer(), dtype=np.int64)
+        for chunk, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    packed = map_arrow(found, count, "chunk int, counts binary").repartition(min(partitions(found.sparkSession), COUNTERS // CHUNK), "chunk")
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.uint32)
+    for r in map_arrow(packed, add, "chunk int, counts binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(r["counts"], dtype="<u4")
+    return out.reshape(-1)
+
+
+def tied_or_paired(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(a, b, sure) of nodes that share a signature.
+
+    emit makes (signature, node) pairs.  Up to PAIRED nodes of a signature are paired with each other, sure is
+    false; where there are more, each is tied to the least of them, sure is true, and those of one batch leave it as one."""
+    count = 4 * partitions(df.sparkSession)
+    entry, edge, hot = 0, 1, 2
+
+    def groups(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node = sig[new], node[new]
+        head = np.concatenate([[True], sig[1:] != sig[:-1]])
+        first = np.flatnonzero(head)
+        return sig, node, first, np.diff(np.concatenate([first, [len(sig)]]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, node in emit(batches):
+            sig, node, first, size = groups(sig, node)
+            many = np.repeat(size > PAIRED, size)
+            start = np.repeat(node[first], size)
+            lead = np.zeros(len(sig), dtype=bool)
+            lead[first] = True
+            rows = []
+            for kind, take in ((entry, ~many), (hot, many & lead)):
+                bucket = ((sig[take] >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                both = np.stack([sig[take].view(np.int64), node[take]], axis=1)[order]
+                cuts = np.searchsorted(bucket[order], np.arange(count + 1))
+                rows += [(int(i), both[cuts[i] : cuts[i + 1]].tobytes(), kind) for i in np.flatnonzero(np.diff(cuts))]
+            rest = many & ~lead
+            if rest.any():
+                rows.append((int(start[rest][0]) % count, np.stack([start[rest], node[rest]], axis=1).tobytes(), edge))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int32()))], names=["bucket", "pairs", "kind"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in merged(batches, "bucket"):
+            kinds = table.column("kind").to_pylist()
+            parts = [np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2) for x in table.column("pairs")]
+            ties = [p for p, k in zip(parts, kinds) if k == edge]
+            known = np.unique(np.concatenate([p[:, 0] for p, k in zip(parts, kinds) if k == hot] or [np.zeros(0, np.int64)]))
+            mine = [p for p, k in zip(parts, kinds) if k != edge]
+            pairs = []
+            if mine:
+                both = np.concatenate(mine)
+                sig, node, first, size = groups(np.ascontiguousarray(both[:, 0]).view(np.uint64), np.ascontiguousarray(both[:, 1]))
+                many = np.repeat((size > PAIRED) | np.isin(sig[first].view(np.int64), known), size)
+                start = np.repeat(node[first], size)
+                rest = many & (start != node)
+                ties.append(np.stack([start[rest], node[rest]], axis=1))
+                for step in range(1, PAIRED):
+                    near = np.flatnonzero((sig[:-step] == sig[step:]) & ~many[:-step])
+                    pairs.append(np.stack([node[near], node[near + step]], axis=1))
+            for found, sure in ((ties, True), (pairs, False)):
+                out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(out[:, i])) for i in (0, 1)), pa.array(np.full(len(out), sure))], names=["a", "b", "sure"])
+
+    packed = map_arrow(df, send, "bucket int, pairs binary, kind int")
+    dealt = packed.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return map_arrow(dealt, match, "a long, b long, sure boolean")
+
+
+def prefix_edges(found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b, sure) among (node, text, cluster) rows: sets of a cluster that share one of their rarest shingles.
+
+    Linked sets share num/den of the larger one's shingles, so under any order of the shingles they share one of the
+    first that a set has more than it may lack; ordered by rarity, a passage that many texts share comes last."""
+    counts = found.sparkSession.sparkContext.broadcast(shingle_counts(found, n))  # COUNTERS numbers
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        pow_ = T.Powers()
+        for batch in batches:
+            node, cluster = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for rows, cuts, h in member_sets(batch, n, pow_):
+                if not len(h):
+                    continue
+                sizes = np.diff(cuts)
+                owner = np.repeat(np.arange(len(rows)), sizes)
+                order = np.lexsort((h, counts.value[(h >> np.uint64(44)).astype(np.int64)], owner))
+                rank = np.arange(len(h)) - np.repeat(cuts[:-1], sizes)
+                first = rank < (sizes - (sizes * num + den - 1) // den + 1)[owner]
+                who = rows[owner[first]]
+                yield T.mix(h[order][first] ^ T.mix(cluster[who].view(np.uint64))), node[who]
+
+    return tied_or_paired(found, emit)
+
+
+def sketch_rows(found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, size, sketch) of (node, text, ...) rows: a byte for each of a power of two of parts, more than
+    may differ between linked sets; a wider sketch folds into a narrower one."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pow_ = T.Powers()
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for rows, cuts, h in member_sets(batch, n, pow_):
+                sizes = np.diff(cuts)
+                most = sizes * 2 * (den - num) // (den + num)
+                width = np.array([1 << min(max(6, int(m + m // 4 + 4).bit_length()), 12) for m in most], dtype=np.int64)
+                base = np.cumsum(width) - width
+                owner = np.repeat(np.arange(len(rows)), sizes)
+                x = T.mix(h + np.uint64(5))
+                flat = np.zeros(int(width.sum()), dtype=np.uint8)
+                np.bitwise_xor.at(flat, base[owner] + (x & (width[owner] - 1).astype(np.uint64)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
+                sketch = [flat[b : b + w].tobytes() for b, w in zip(base, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(sizes.astype(np.int64)), pa.array(sketch, pa.binary())], names=["node", "size", "sketch"])
+
+    return map_arrow(found, task, "node long, size long, sketch binary")
+
+
+def alike(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) whose sizes and sketches do not rule a link out."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            fits = np.minimum(size_a, size_b) * den >= np.maximum(size_a, size_b) * num
+            for i in np.flatnonzero(fits):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (3, 5))
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) < len(y) else (y, x)
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                fits[i] = np.count_nonzero(x != y) * (den + num) <= (size_a[i] + size_b[i]) * (den - num)
+            kept = pa.array(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
+
+    side = lambda c: sketched.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    return map_arrow(both, task, "a long, b long")
+
+
+def split_large(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """members (node, cluster, doc_id) with the clusters of more than LARGE sets split by prefix_edges.
+
+    Texts that share a passage share signatures of parts that hold little else, and through them most of a corpus
+    may hang together; what shares none of its rarest shingles, or shares some but differs too much by its
+    sketch, is parted here, and no link is lost."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    large = sizes.where(F.col("size") > LARGE).select("cluster")
+    big = cut(members.join(large, "cluster", "left_semi"), "large-clusters")
+    if big.isEmpty():
+        return members
+    found = cut(member_texts(docs, big, "cluster"), "large-texts")
+    edges = cut(prefix_edges(found, n, num, den), "prefixes")
+    sketched = cut(sketch_rows(found, n, num, den).dropDuplicates(["node"]), "sketches")
+    near = alike(edges.where("not sure").select("a", "b").distinct(), sketched, num, den)
+    parts = components(edges.where("sure").select("a", "b").unionByName(near))
+    split = parts.select("node", F.col("label").alias("cluster")).join(big.select("node", "doc_id"), "node")
+    small = members.join(sizes.where(F.col("size") <= LARGE).select("cluster"), "cluster", "left_semi")
+    return cut(small.select("node", "cluster", "doc_id").unionByName(split.select("node", "cluster", "doc_id")), "members")
+
+
 def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
     """A byte for each of width parts of each set; two sets differ in at least as many elements as bytes."""
     out = np.zeros((len(sets), width), dtype=np.uint8)
@@ -268,20 +487,18 @@ def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> Da
     members: (node, cluster, doc_id), a document for each candidate set."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sized = members.join(members.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
-    chosen = sized.select(F.col("doc_id").alias("member"), "node", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(9)), blocks).cast("int").alias("block"))
-    if members.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    found = docs.join(chosen, F.col("doc_id") == F.col("member")).dropDuplicates(["node"]).select("node", "cluster", "blocks", "block", "text")
+    placed = sized.select("doc_id", "node", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(9)), blocks).cast("int").alias("block"))
+    found = member_texts(docs, placed, "cluster", "blocks", "block")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pow_ = T.Powers()
         for batch in batches:
-            for s in T.slices(batch.column(4)):
-                k = len(s.starts)
-                doc, h = shingle_rows(s, n, pow_)
-                cuts = np.searchsorted(doc, np.arange(k + 1))
-                sets = [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(k)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(s.first, k) for i in range(4)), pa.array(sets, pa.binary())], names=["node", "cluster", "blocks", "block", "shingles"])
+            rest = pa.Table.from_batches([batch]).select(["node", "cluster", "blocks", "block"])
+            for rows, cuts, h in member_sets(batch, n, pow_):
+                if len(rows):
+                    kept = rest.take(pa.array(rows)).combine_chunks()
+                    sets = pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                    yield from kept.append_column("shingles", sets).combine_chunks().to_batches()
 
     sets = map_arrow(found, to_sets, "node long, cluster long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -317,7 +534,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     candidates = components(candidate_edges(rows, n, num, den))
     reps = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = cut(candidates.select("node", F.col("label").alias("cluster")).join(reps, "node"), "members")
-    found = components(links(rows, members, n, num, den))
+    found = components(links(rows, split_large(rows, members, n, num, den), n, num, den))
     named = known.join(found, "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     return named.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

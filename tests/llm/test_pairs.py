@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from gridquill.llm import blocks, decontam, partenum, queries, repeats
 from tests.conftest import DATA, assert_same
-from tests.llm.fixtures import clashing, empty_docs, odd_docs, odd_texts
+from tests.llm.fixtures import clashing, empty_docs, odd_docs, odd_texts, prose
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -165,9 +165,11 @@ def test_size_band_edges(spark):
     assert counted(partenum.jaccard_classes(odd_docs(spark, rows), 1, 90, 100), *JACCARD) == plain_jaccard(rows, 1, 90, 100)
 
 
-def test_jaccard_large_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("paired", [1, 2, 8])
+def test_jaccard_large_clusters(spark, monkeypatch, paired):
     """Clusters that are split by rare shingles and dealt into many blocks lose no link."""
     monkeypatch.setattr(partenum, "LARGE", 2)
+    monkeypatch.setattr(partenum, "PAIRED", paired)
     monkeypatch.setattr(partenum, "BLOCK", 2)
     shared = " ".join(f"s{j}" for j in range(40))
     rows = [(i, f"{shared} " + " ".join(f"t{i // 3}x{j}" for j in range(12)) + (f" u{i}" if i % 3 else "")) for i in range(24)] + odd_texts()
@@ -179,3 +181,16 @@ def test_jaccard_same_id_other_text(spark):
     """Rows that share an id are texts like others."""
     rows = [(1, "a b c d e f g h i j k"), (1, "z y x w v u t s r q p"), (2, "z y x w v u t s r q p"), (3, "a b c d e f g h i j k l"), (1, None)]
     assert counted(partenum.jaccard_classes(odd_docs(spark, rows), 1, 80, 100), *JACCARD) == plain_jaccard(rows, 1, 80, 100)
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_repeats_hot_anchors(spark, monkeypatch, hot):
+    """A short passage that all texts share, whole copies, and passages that overlap; with and without trees."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    passage, other = prose(21, 40), prose(22, 70)
+    rows = [(i, f"{prose(200 + i, 25)} {passage} {prose(300 + i, 25)}") for i in range(25)] + [(100 + i, f"{other} {passage[: 60 + i]}") for i in range(6)] + [(200 + i, rows_) for i, rows_ in enumerate([other] * 4 + [None, ""])]
+    for parts in (1, 7):
+        docs = odd_docs(spark, rows).repartition(parts)
+        for length in (200, 90):
+            assert counted(repeats.remove_repeats(docs, length), *REPEATS) == plain_repeats(rows, length)
+        assert counted(blocks.remove_seen_windows(docs, 20), *WINDOWS) == plain_windows(rows, 20)
