@@ -137,9 +137,9 @@ def once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, np.bincount(kind)[kind] if len(order) else np.zeros(0, dtype=np.int64)
 
 
-def settled(name: int, spans: np.ndarray) -> pa.RecordBatch:
-    """Spans that need no other task, on their way to their slice."""
-    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([SETTLED], pa.int32()), pa.array([name]), pa.array([spans.astype("<u4").tobytes()], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3", "c4"])
+def settled(name: int, count: int, spans: np.ndarray) -> pa.RecordBatch:
+    """Spans that need no other task, on their way to their slice by a bucket that its name gives."""
+    return pa.RecordBatch.from_arrays([pa.array([name % count], pa.int32()), pa.array([SETTLED], pa.int32()), pa.array([name]), pa.array([spans.astype("<u4").tobytes()], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3", "c4"])
 
 
 def covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 at, key, around = at[order], key[order], around[order]
                 rest = at[~new]  # their whole surroundings repeat in this slice
                 if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(key[0] % np.uint64(count))], pa.int32()), pa.array([1], pa.int32()), pa.array([h.name]), pa.array([rest.astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
+                    yield pa.RecordBatch.from_arrays([pa.array([h.name % count], pa.int32()), pa.array([1], pa.int32()), pa.array([h.name]), pa.array([rest.astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
                 place = at.astype(np.uint32) | np.where(copies > 1, SEVERAL, np.uint32(0))
                 out = dealt(h.name, (key[new] >> np.uint64(40)) % np.uint64(count), count, [key[new], around[new], place[new]])
                 if out is not None:
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         begin, key = begin[order], key[order]
         again = begin[copies > 1]
         if len(again):
-            yield settled(h.name, np.stack([again, again + length], axis=1))
+            yield settled(h.name, count, np.stack([again, again + length], axis=1))
         place = begin.astype(np.uint32) | np.where(copies > 1, SEVERAL, np.uint32(0))
         none = np.zeros((int(new.sum()), 0), np.uint8)
         yield dealt(h.name, (key[new] >> np.uint64(40)) % np.uint64(count), count, [key[new], place[new], none, none, none], WINDOW)
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         sure = what == DECIDED
         whole = sure & (hi - lo >= length)
         if whole.any():
-            yield settled(h.name, np.stack([lo[whole], hi[whole]], axis=1))
+            yield settled(h.name, count, np.stack([lo[whole], hi[whole]], axis=1))
         wide = what == WINDOWS
         if wide.any():
             yield from windows_of(h, at[wide], lo[wide], hi[wide], pow_)
