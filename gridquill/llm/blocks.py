@@ -227,7 +227,7 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
         done = np.unique(at[hit & (what == SURE) & (mine == near) & (hi - lo >= window)])
         spans = np.stack(ws.around(done, window, block), axis=1).astype("<u4") if len(done) else np.zeros((0, 2), "<u4")
         if len(done):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([SPANS], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array([h.name % count], pa.int32()), pa.array([SPANS], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
         for kind, places in ((INDEX, np.unique(at[~hit])), (PROBE, np.setdiff1d(at[hit], done))):
             if not len(places):
                 continue
