@@ -89,7 +89,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(draft_id, draft): documents with citations and headings put in by their id."""
+    """(draft_id, draft): whole documents with citations and headings put in by their id."""
     k = F.col("doc_id") % 7
     cite = (
         F.when(k == 0, F.lit(""))
@@ -100,10 +100,9 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 5, F.lit(" [9-4] [1200]"))
         .otherwise(F.format_string(" about %d,%03d.5 tonnes [2]", F.col("doc_id") % 40, F.col("doc_id") % 1000))
     )
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
     heads = F.when(F.col("doc_id") % 3 == 0, F.lit("## What history says\n")).otherwise(F.lit("## The current signal\n"))
     more = F.when(F.col("doc_id") % 5 == 0, F.lit("\n\n## Sources\nnone\n\n## Season timing caveat\nplain words only")).otherwise(F.lit("\n\n## What's missing and how to weigh it\nnothing much [1]"))
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), F.concat(heads, first, cite, more).alias("draft"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), F.concat(heads, F.coalesce("text", F.lit("")), cite, more).alias("draft"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,16 @@
+"""Drafts hold the whole text of their documents: the registered SQL with its cut to the first line taken out."""
+
+from __future__ import annotations
+
+import pytest
+
+from gridquill.plans import library
+from tests.conftest import DATA, assert_same
+
+FIRST_LINE = "string_split(coalesce(text, ''), chr(10))[1]"
+
+
+@pytest.mark.parametrize("name", ["cited_numbers", "number_tokens", "brief_claims", "claim_edges", "provenance_reachability"])
+def test_whole_texts(spark, name):
+    sql = library.ORACLE_SQL[name].replace(FIRST_LINE, "coalesce(text, '')")
+    assert_same(library.QUERIES[name](spark, DATA), sql)
