@@ -18,6 +18,7 @@ K, FLOOR, LABEL, TARGET, LINE = 10, 0.5, 3, 600, r"\n"
 STORED_BELOW, AS_OF = 100, "1997-05"
 #: Coefficients of a stated query vector: component i is cos(i), at unit length by the engine.
 QUERY = [math.cos(i) for i in range(64)]
+#: Documents that the SQL takes for evidence; the queries search all of them.
 EVIDENCE_IDS = range(1, 9)
 
 
@@ -82,7 +83,7 @@ def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits without vectors: of each language the documents by length, longest first."""
-    rows = t.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("text"))
+    rows = t.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))
     return rows.withColumn("rank", rank).where("rank <= 5")
 
@@ -114,18 +115,31 @@ def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(t.drafts(spark, sf_dir).select("draft_id", tx.number_tokens(tx.without_citations(F.col("draft"))).alias("numbers")), "numbers")
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered evidence of a question: documents of two kinds, conditions of a month, the calendar."""
-    docs = t.read(spark, sf_dir, "documents").where(F.col("doc_id").between(min(EVIDENCE_IDS), max(EVIDENCE_IDS))).select(
-        F.col("doc_id").alias("rank"), F.lit("document").alias("kind"), "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("1997-05").alias("pub_date"),
-        F.when(F.col("doc_id") % 2 == 1, "forecast").otherwise("retrospective").alias("temporal"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 200).alias("text"),
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents, each with a vector: embeddings are fewer than chunks, so they are dealt out by (doc_id + ord)."""
+    docs = t.read(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit("document").alias("kind"), "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("1997-05").alias("pub_date"),
+        F.when(F.col("doc_id") % 2 == 1, "forecast").otherwise("retrospective").alias("temporal"),
     )
+    v = t.vectors(spark, sf_dir).select("vec_id", "embedding")
+    dealt = rt.chunk(docs, TARGET, LINE).join(F.broadcast(v.agg(F.count("*").alias("n_vectors"))), how="cross")  # one row
+    return dealt.withColumn("vec_id", (F.col("doc_id").cast("long") + F.col("ord")) % F.nullif("n_vectors", F.lit(0))).join(v, "vec_id")
+
+
+def found_chunks(spark: SparkSession, sf_dir: str, temporal: str) -> DataFrame:
+    """The ranked chunks of a search of one kind, whole; documents without text have none."""
+    top = rt.search(embedded_chunks(spark, sf_dir), QUERY, rt.TOP_K, temporal=temporal)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("temporal").orderBy(F.col("score").desc(), "chunk_id")))
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered evidence of a question: what two searches find, conditions of a month, the calendar."""
     month = t.conditions(spark, sf_dir).where(F.col("month") == AS_OF)
     summary = month.agg(F.count("*").alias("n"), F.count_distinct("country").alias("countries"))
     cond = summary.select(F.lit(1).alias("rank"), F.lit("conditions").alias("kind"), F.lit("Crop conditions").alias("source"), F.lit("Global crop conditions").alias("title"), F.lit(AS_OF).alias("pub_date"), F.lit("multi-agency-consensus").alias("validation"), F.format_string("%d rows of %d countries", "n", "countries").alias("text"))
     cal = catalog.calendar(spark).where("country = 'Zambia'").select(F.lit(1).alias("rank"), F.lit("calendar").alias("kind"), F.lit("Crop calendar").alias("source"), F.concat("country", F.lit(" "), "crop").alias("title"), F.lit(False).alias("adjusted"), "season")
     cal = cal.withColumnRenamed("season", "text")
-    return ev.union([docs.where("temporal = 'forecast'"), docs.where("temporal = 'retrospective'"), cond, cal])
+    return ev.union([found_chunks(spark, sf_dir, "forecast"), found_chunks(spark, sf_dir, "retrospective"), cond, cal])
 
 
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:

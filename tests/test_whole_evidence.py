@@ -1,0 +1,32 @@
+"""Evidence comes from ranked searches over the chunks of all documents, whole: the registered SQL over what a search in SQL finds."""
+
+from __future__ import annotations
+
+import pytest
+
+from gridquill.operators import retrieval as rt
+from gridquill.plans import library
+from tests.conftest import DATA, assert_same
+from tests.test_whole_drafts import FIRST_LINE
+
+#: The chunks' rows as the SQL has the documents', with their rank.
+FOUND = f"""{library._CHUNKS}, q AS (SELECT {library._QUERY} AS v), n AS (SELECT count(*) AS n_vectors FROM embeddings),
+ near AS (SELECT CAST(c.doc_id AS BIGINT) AS doc_id, c.text, d.source, round({library._SIM}, 4) AS score, c.doc_id || ':' || c.ord AS chunk_id FROM chunks c JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.doc_id
+  CROSS JOIN n JOIN embeddings e ON e.vec_id = (d.doc_id + c.ord) % n_vectors CROSS JOIN q),
+ hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY score DESC, chunk_id) AS hit FROM near QUALIFY hit <= {rt.TOP_K}), """
+CUTS = {"doc_id AS rank": "hit AS rank", "substr(text, 1, 200) AS text": "text", "FROM documents WHERE doc_id BETWEEN 1 AND 8": "FROM hit", FIRST_LINE: "coalesce(text, '')"}
+
+
+def whole(sql: str) -> str:
+    for cut, instead in CUTS.items():
+        sql = sql.replace(cut, instead)
+    return "WITH " + FOUND + sql.removeprefix("WITH ")
+
+
+@pytest.mark.parametrize("name", ["evidence_union", "evidence_stats", "evidence_feeds", "grouped_sources", "sources_text", "phantom_citations", "uncited_paragraphs", "groundedness_report"])
+def test_evidence(spark, name):
+    assert_same(library.QUERIES[name](spark, DATA), whole(library.ORACLE_SQL[name]))
+
+
+def test_source_block(spark):
+    assert_same(library.QUERIES["source_block"](spark, DATA), library.ORACLE_SQL["source_block"].replace("substr(coalesce(text, ''), 1, 40)", "coalesce(text, '')"))
