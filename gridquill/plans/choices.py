@@ -21,7 +21,7 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def layer_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The menu of each region's readers, whose own layers are named after its nations; one takes a catalogue layer's name."""
     k = F.col("n_nationkey")
-    own = t.read(spark, sf_dir, "nation").where("n_regionkey < 3").select(
+    own = t.read(spark, sf_dir, "nation").select(
         F.col("n_regionkey").alias("thread_id"), (k + 100).alias("ord"), F.when(k % 5 == 0, "hazard_flood").otherwise(F.lower("n_name")).alias("layer"), F.concat(F.lit("own "), k.cast("string")).alias("description")
     )
     own = own.dropDuplicates(["thread_id", "layer"]).withColumn("description", F.when(F.col("layer") == "hazard_flood", "own flood").otherwise(F.col("description"))).withColumn("ord", F.when(F.col("layer") == "hazard_flood", 99).otherwise(F.col("ord")))

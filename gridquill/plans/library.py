@@ -197,7 +197,7 @@ def provenance_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.used_citations(ev.claims(t.drafts(spark, sf_dir).where("draft_id < 8")), evidence(spark, sf_dir)).select("n", "kind", "used")
+    return ev.used_citations(ev.claims(t.drafts(spark, sf_dir)), evidence(spark, sf_dir)).select("n", "kind", "used")
 
 
 def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

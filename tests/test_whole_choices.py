@@ -1,0 +1,16 @@
+"""Queries over all drafts and all regions: the registered SQL without its subsets of ids."""
+
+from __future__ import annotations
+
+from gridquill.plans import choices, library
+from tests.conftest import DATA, assert_same
+from tests.test_whole_evidence import whole
+
+
+def test_used_citations(spark):
+    assert_same(library.QUERIES["used_citations"](spark, DATA), whole(library.ORACLE_SQL["used_citations"]).replace(" WHERE draft_id < 8", ""))
+
+
+def test_layer_menu(spark):
+    assert choices.QUERIES["layer_menu"](spark, DATA).count() == spark.read.parquet(f"{DATA}/region.parquet").count()
+    assert_same(choices.QUERIES["layer_menu"](spark, DATA), choices.ORACLE_SQL["layer_menu"].replace(" WHERE n_regionkey < 3", ""))
