@@ -229,14 +229,15 @@ class WordEncoder:
     """Ids of white-space separated words, encoded once and looked up by hash and length afterwards.
 
     The tokenizer lower-cases, drops white space and never joins what white space parts, so
-    the ids of a text are those of its words in turn."""
+    the ids of a text are those of its words in turn.  A text with the literal of a special token is encoded
+    whole: the literal counts in its exact case, which the words' keys don't have."""
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = max(1, int(self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.keys = np.zeros(0, dtype=np.uint64)
@@ -244,8 +245,37 @@ class WordEncoder:
         self.pool = np.array([END_ID], dtype=self.kind)
         self.powers = T.Powers()
 
+    def with_literals(self, s: T.Slice) -> list[int]:
+        """Texts of the slice that have a special token's literal."""
+        raw, found = s.data.tobytes(), set()
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                i = int(np.searchsorted(s.ends, at, side="right"))
+                inside = at + len(literal) <= s.ends[i]
+                if inside:
+                    found.add(i)
+                at = raw.find(literal, int(s.ends[i]) if inside else at + 1)
+        return sorted(found)
+
     def encode(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text with the end id, all ids of the slice)."""
+        special = self.with_literals(s)
+        if not special:
+            return self.encode_words(s)
+        data = s.data.copy()
+        for i in special:
+            data[s.starts[i] : s.ends[i]] = 0x20
+        counts, ids = self.encode_words(T.Slice(s.first, data, s.starts, s.ends))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in special:
+            text = s.data[s.starts[i] : s.ends[i]].tobytes().decode("utf-8", "replace")
+            parts[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], dtype=self.kind)
+            counts[i] = len(parts[i])
+        return counts, np.concatenate(parts)
+
+    def encode_words(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of texts without special tokens."""
         w = T.words(s, T.WHITE, T.LOWER, self.powers)
         key = T.mix(w.hash + (w.end - w.start).astype(np.uint64))
         distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
