@@ -29,6 +29,10 @@ SYMBOLS = {"hex": "0-9a-f", "HEX": "0-9A-F", "base32": "A-Z2-7", "base64": "A-Za
 #: Tokens that are tested have this many characters at least.
 MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_\-]{{{MIN_TOKEN},}}={{0,2}}"
+#: Stretches of a run that are tested each: of base64 and base64url, and between all separators.
+STRETCHES = tuple(rf"[{x}]{{{MIN_TOKEN},}}={{0,2}}" for x in (r"A-Za-z0-9+/", r"A-Za-z0-9_\-", r"A-Za-z0-9+"))
+#: A stretch between separators that has a narrower alphabet than its run.
+NARROW = r"(?:^|[/_\-])(?:" + "|".join(f"[{SYMBOLS[x]}]{{{MIN_TOKEN},}}" for x in ("hex", "HEX", "base32")) + r")(?:$|[/_=\-])"
 #: What a test may deviate by, in standard deviations, before it rejects a token as not random (one in a thousand).
 REJECT_CHI, REJECT_TWO_SIDED = 3.09, 3.29
 #: Sum of the squared shares of symbols in ordinary tokens: of digits alone in hexadecimal, of letters of a language in the others.
@@ -119,6 +123,20 @@ def token_tests(token: Column) -> Column:
     return F.struct(F.floor(F.log2(body.cast("double")) * 2).cast("int").alias("stratum"), F.coalesce(F.element_at(bins, 1), F.lit(LAST_BIN)).alias("bin"))
 
 
+def stretches(run: Column) -> Column:
+    """array<struct<start,end,found>> of what is tested of a run of TOKEN: all of it, unless it has symbols of both base64 and
+    base64url or keys of a narrower alphabet between separators; then its stretches of each alphabet, which may overlap."""
+    text = run["found"]
+
+    def parts(pattern: str) -> Column:
+        long = F.filter(matches(text, pattern), lambda x: F.length(F.regexp_replace(x["found"], "=+$", "")) >= MIN_TOKEN)
+        return F.transform(long, lambda x: F.struct((run["start"] + x["start"]).alias("start"), (run["start"] + x["end"]).alias("end"), x["found"].alias("found")))
+
+    mixed = text.rlike("[+/]") & text.rlike(r"[_\-]")
+    joined = text.rlike(r"[/_\-]") & text.rlike(NARROW)
+    return F.when(mixed | joined, F.array_distinct(F.concat(*map(parts, STRETCHES)))).otherwise(F.array(run))
+
+
 def normal_below(z: Column) -> Column:
     """The share of a normal distribution below z, right to seven places (a rational approximation of erf)."""
     x = F.abs(z) / 2**0.5
@@ -157,13 +175,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = spans.select(
         "doc_id", "n_chars", *(f"keep_{c}" for c in keep),
         F.array_sort(F.concat(F.transform(F.filter("a", long_enough), as_span(0)), F.transform("k", as_span(1)), F.transform("h", as_span(2)))).alias("base"),
-        F.transform("t", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), token_tests(m["found"]).alias("test"))).alias("tests"),
+        F.transform("t", lambda run: F.transform(stretches(run), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), token_tests(m["found"]).alias("test")))).alias("tests"),
     )
     found = cut(found, "secret-tests")
-    limits = thresholds(found.select(F.explode("tests.test").alias("x")).select("x.*"), rate)
+    limits = thresholds(found.select(F.explode(F.flatten("tests")).alias("x")).select("x.test.*"), rate)
     # A row for each stratum of lengths, two to each doubling: fewer than 64.
     limits = limits.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "most"))).alias("limits"))
-    random = F.filter("tests", lambda t: F.coalesce(t["test"]["bin"] <= F.element_at("limits", t["test"]["stratum"]), F.lit(False)))
+    passed = lambda run: F.filter(run, lambda t: F.coalesce(t["test"]["bin"] <= F.element_at("limits", t["test"]["stratum"]), F.lit(False)))
+    within = lambda t, o: (o["start"] <= t["start"]) & (o["end"] >= t["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+    # Of stretches of a run that lie in each other the longest is reported.
+    longest = lambda run: F.filter(run, lambda t: ~F.exists(run, lambda o: within(t, o)))
+    random = F.flatten(F.transform(F.transform("tests", passed), longest))
     joined = found.crossJoin(F.broadcast(limits))  # one row
     more = F.transform(random, as_span(3))
     return joined.select("doc_id", "n_chars", *(f"keep_{c}" for c in keep), "base", F.array_sort(F.concat("base", more)).alias("spans"))
