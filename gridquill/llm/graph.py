@@ -30,14 +30,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node it is connected to.
 
     Each round is written to the shared folder, so a lost executor costs a round at most.  A hub's edges
-    meet in a join that Spark splits where it is skewed, its minimum in a partial aggregate."""
+    meet in a join that Spark splits where it is skewed, its minimum in a partial aggregate.  Raises if edges
+    still change after MAX_ROUNDS."""
     now = cut(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS + 1):
         size, check = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not size or (size, check) == seen:
             break
         seen = (size, check)
         now = cut(small_star(large_star(now)), "edges")
+    else:
+        raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
