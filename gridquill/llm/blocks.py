@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textscan as T
-from .common import cut, map_arrow, partitions, texts
-from .slicerows import Held, answers, answers_schema, by_bucket, dealt, dealt_schema, entry_counts, held, slice_rows, column, with_answers
+from .common import cut, map_arrow, texts
+from .slicerows import Held, answers, answers_schema, buckets, by_bucket, dealt, dealt_schema, entry_counts, held, slice_rows, column, with_answers
 
 WINDOW = 50
 #: An anchor with more distinct surroundings in the index sends none of them along with a hit; its hits look up windows.
@@ -157,8 +157,9 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     Words are runs of no white space.  Removed is each word of a window whose words also stand, in this order and
     unchanged, in a document with a smaller id.  A null text has no words; a document with a null id
     is neither earlier nor later than any; rows with the same id don't affect each other; an empty table gives no rows."""
-    block, count = (window + 1) // 2, partitions(docs.sparkSession)
+    block = (window + 1) // 2
     slices = slice_rows(texts(docs, id_col, text_col))
+    count = buckets(slices)
     cache: dict[str, T.Powers] = {}
 
     def powers_() -> T.Powers:
@@ -214,7 +215,7 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
         """Answers (place, what, surroundings) of BlockIndex."""
         return probed(batches, BlockIndex)
 
-    found = cut(map_arrow(by_bucket(map_arrow(slices, probe, dealt_schema(4))), match, answers_schema(3)), "hits")
+    found = cut(map_arrow(by_bucket(map_arrow(slices, probe, dealt_schema(4)), count), match, answers_schema(3)), "hits")
 
     def extend(h: Held, right: pa.Table) -> Iterator[pa.RecordBatch]:
         if not right.num_rows:
@@ -251,7 +252,7 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return probed(batches, lambda rows: WindowIndex(rows, window))
 
-    spans = cut(map_arrow(by_bucket(with_answers(slices, found, extend, dealt_schema(3))), settle, answers_schema(1)), "windows")
+    spans = cut(map_arrow(by_bucket(with_answers(slices, found, extend, dealt_schema(3)), count), settle, answers_schema(1)), "windows")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept string"
 
     def finish(h: Held, right: pa.Table) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Documents packed as slices, one row for a few megabytes of text, and what tasks send back to them.
 
 A job that looks up every place of every text would drown in rows.  Here a row is a slice:
-ids, text ends and bytes of neighbouring documents, named by a hash of these, so a slice that is computed
-again after a loss has the same name.  Tasks on slices deal packed arrays out by bucket; answers come back by
-slice and meet it in a cogroup.
+ids, text ends and compressed bytes of neighbouring documents, named by a hash of these.  Slices are written
+once and read for each step, so every step sees the same ones whatever order the input's rows come in.  Tasks on
+slices deal packed arrays out by bucket; answers come back by slice and meet it in a cogroup, which fails on an answer without a slice.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import map_arrow, partitions
+from .common import cut, map_arrow, partitions
 
-SCHEMA = "slice long, ids binary, known binary, ends binary, data binary"
+SCHEMA = "slice long, n_bytes long, ids binary, known binary, ends binary, data binary"
+#: Bytes of text for each bucket of what slices deal out, where that makes more buckets than the session has partitions.
+BUCKET_BYTES = 64 << 20
 
 
 class Held:
@@ -29,9 +33,10 @@ class Held:
 
 
 def slice_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as slices; a null text is empty."""
+    """(doc_id, text) as written slices; a null text is empty."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -42,15 +47,25 @@ def slice_rows(docs: DataFrame) -> DataFrame:
                 name = xxhash.xxh3_64()
                 for p in parts:
                     name.update(p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([name.intdigest()], dtype=np.uint64).view(np.int64)), *(pa.array([p], pa.binary()) for p in parts)], names=["slice", "ids", "known", "ends", "data"])
+                parts[3] = squeeze.compress(parts[3])
+                numbered = [pa.array(np.array([name.intdigest()], dtype=np.uint64).view(np.int64)), pa.array([len(s.data)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*numbered, *(pa.array([p], pa.binary()) for p in parts)], names=["slice", "n_bytes", "ids", "known", "ends", "data"])
 
-    return map_arrow(docs, task, SCHEMA)
+    return cut(map_arrow(docs, task, SCHEMA), "slices")
+
+
+def buckets(slices: DataFrame) -> int:
+    """How many buckets to deal to: by the size of the text, and no fewer than the session's partitions."""
+    total = slices.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    return max(partitions(slices.sparkSession), -(-total // BUCKET_BYTES))
 
 
 def held(table: pa.Table | pa.RecordBatch) -> Iterator[Held]:
     """The slices in rows of slice_rows."""
+    unpack = zstandard.ZstdDecompressor()
     for i in range(table.num_rows):
-        raw = [memoryview(table.column(c)[i].as_buffer()) for c in ("ids", "known", "ends", "data")]
+        raw = [memoryview(table.column(c)[i].as_buffer()) for c in ("ids", "known", "ends")]
+        raw.append(unpack.decompress(table.column("data")[i].as_buffer()))
         ids, known, ends = np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], bool), np.frombuffer(raw[2], "<i8")
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         yield Held(table.column("slice")[i].as_py(), ids, known, T.Slice(0, np.frombuffer(raw[3], np.uint8), starts, ends))
@@ -75,9 +90,9 @@ def dealt_schema(arrays: int) -> str:
     return "bucket int, kind int, slice long" + "".join(f", c{i} binary" for i in range(arrays))
 
 
-def by_bucket(packed: DataFrame) -> DataFrame:
-    """Rows of dealt, each bucket in one task and together."""
-    return packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+def by_bucket(packed: DataFrame, count: int) -> DataFrame:
+    """Rows of dealt to count buckets, each bucket in one task and together."""
+    return packed.repartition(count, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def answers(name: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -102,19 +117,16 @@ def column(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def column_of(table: pa.Table, name: str, sizes: np.ndarray, key: str) -> np.ndarray:
-    """A plain column, repeated for each entry of its row."""
-    return np.repeat(table.column(key).to_numpy(), sizes)
-
-
 def entry_counts(table: pa.Table, name: str, width: int) -> np.ndarray:
     return np.array([len(x.as_buffer()) // width for x in table.column(name)], dtype=np.int64)
 
 
 def with_answers(slices: DataFrame, replies: DataFrame, task: Callable[[Held, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Gives every slice, with all answers to it, to task."""
+    """Gives every slice, with all answers to it, to task; answers to no slice fail the job."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows and not left.num_rows:
+            raise ValueError("answers to a slice that is not there")
         out = [batch for h in held(left) for batch in task(h, right) if batch is not None]
         return pa.Table.from_batches(out) if out else empty.empty_table()
 

@@ -177,6 +177,48 @@ def test_jaccard_large_clusters(spark, monkeypatch, paired):
         assert counted(partenum.jaccard_classes(odd_docs(spark, rows), n, num, den), *JACCARD) == plain_jaccard(rows, n, num, den)
 
 
+NUL_ROWS = [(3 * i + j, t) for i in range(20) for j, t in enumerate((f"{prose(700 + i, 3)}{'q%d ' % i}{prose(900 + i, 60)[:145]}" + chr(0) * 50, f"{'q%d ' % i}{prose(900 + i, 60)[:145]}" + chr(0) * 50, f"{'q%d ' % i}{prose(900 + i, 60)[:145]}"))]
+NUL_ROWS += [(100, chr(0) * 300), (101, "a" + chr(0) * 230 + "b"), (102, chr(0) * 199), (103, f"{chr(0) * 90}{prose(5, 60)}"), (104, f"x{chr(0) * 120}{prose(5, 60)}{chr(0)}"), (105, f"{prose(5, 60)}{chr(0) * 3}")]
+
+
+@pytest.mark.parametrize("hot, length", [(1024, 200), (1024, 120), (1, 200)])
+def test_repeats_nul_bytes(spark, monkeypatch, hot, length):
+    """An end of a text is no NUL byte, whatever pads it."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    assert counted(repeats.remove_repeats(odd_docs(spark, NUL_ROWS), length), *REPEATS) == plain_repeats(NUL_ROWS, length)
+
+
+def plain_groups(rows, length):
+    """The bytes of each string of `length` bytes that repeats, with all places where it begins."""
+    places = defaultdict(set)
+    for doc, text in rows:
+        raw = (text or "").encode()
+        for i in range(len(raw) - length + 1):
+            places[raw[i : i + length]].add((doc, i))
+    return {k: v for k, v in places.items() if len(v) > 1}
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_maximal_repeats(spark, monkeypatch, hot):
+    """Occurrences of a group are equal bytes, no group can be extended within its reach, and together they have every repeated window at every place."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows, length = [(i, t) for i, (_, t) in enumerate(odd_texts()) if i not in (11, 12)] + [(100 + i, t) for i, t in NUL_ROWS], 90
+    groups = defaultdict(set)
+    for g, doc, lo, hi in repeats.maximal_repeats(odd_docs(spark, rows), length).collect():
+        groups[g].add((doc, lo, hi))
+    raw = {i: (t or "").encode() for i, t in rows}
+    want, seen = plain_groups(rows, length), defaultdict(set)
+    for spans in groups.values():
+        content = {raw[d][lo:hi] for d, lo, hi in spans}
+        assert len(content) == 1 and len(next(iter(content))) >= length and len(spans) > 1
+        lo, hi = min(h - l for _, l, h in spans), max(h - l for _, l, h in spans)
+        assert lo == hi <= 2 * length - min(repeats.ANCHOR, length)
+        for d, lo, hi in spans:
+            for i in range(lo, hi - length + 1):
+                seen[raw[d][i : i + length]].add((d, i))
+    assert seen == want
+
+
 def test_jaccard_same_id_other_text(spark):
     """Rows that share an id are texts like others."""
     rows = [(1, "a b c d e f g h i j k"), (1, "z y x w v u t s r q p"), (2, "z y x w v u t s r q p"), (3, "a b c d e f g h i j k l"), (1, None)]
