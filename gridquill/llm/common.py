@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder URI below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session of a test) a temporary folder of this machine
-    serves, and the setting is then made for the session."""
+    Where the setting is absent a local session, as in tests, gets a temporary folder of this machine, and the
+    setting is then made; a cluster has no folder that all its machines see, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridquill-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:

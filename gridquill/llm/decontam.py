@@ -34,14 +34,14 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per distinct (id, text) of docs: doc_id, text_key, n_words, n_hit, items (sorted as strings).
+    """Per input row: doc_id, text_key, n_words, n_hit, items (sorted as strings).
 
     A word is hit if it lies in an occurrence of a window.  A null or wordless text has no words; an
-    item without words or id has no windows; a null doc_id is kept as such; repeated rows make one
-    row, for which match_key joins back; empty tables give no rows or no hits."""
+    item without words or id has no windows; a null doc_id is kept as such; repeated rows are judged once and
+    each give a row; match_key finds a row by its text; empty tables give no rows or no hits."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", key.alias("text_key"), words_of(F.col("text")).alias("words"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = plain.select("doc_id", key.alias("text_key"), words_of(F.col("text")).alias("words"))
     windows = item_windows(items, item_id_col, item_text_col, window)
     small = windows.count() <= broadcast_windows
     hint = F.broadcast if small else lambda d: d
@@ -50,7 +50,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     counts = spread.select("word").join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     # The rarest word of each window with its first offset; a word that no document has rules the window out.
-    held = windows.select("window", "items", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
+    held = windows.select("window", "items", F.posexplode("window").alias("offset", "word")).join(hint(counts), "word", "left")
     first = held.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest"), F.first("items").alias("items")).where(F.col("rarest.n") > 0)
     prefix = first.select(F.col("rarest.word").alias("token"), F.col("rarest.offset").alias("offset"), "window", "items")
 
@@ -70,9 +70,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         kept = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["window"])) == p["window"])
         both = both.select("r.doc_id", "r.text_key", F.size("words").alias("n_words"), F.explode_outer(kept).alias("p"))
         hits = both.select("doc_id", "text_key", "n_words", F.when(F.col("p").isNotNull(), F.struct(F.col("p.start").alias("start"), F.size("p.window").alias("size"))).alias("hit"), F.col("p.items").alias("items"))
-    found = hits.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    # A row of its own for each input row counts how often it comes.
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema}
+    each = plain.select("doc_id", key.alias("text_key"), none["n_words"], none["hit"], none["items"], F.lit(1).alias("copies"))
+    both = hits.select("doc_id", "text_key", "n_words", "hit", "items", F.lit(0).alias("copies")).unionByName(each)
+    found = both.groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("copies").cast("int").alias("copies")
+    )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    return found.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    out = found.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), F.array_sort("items").alias("items"), "copies")
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copy", "copies")
 
 
 def match_key(text: Column) -> Column:

@@ -10,17 +10,23 @@ from .common import cut
 MAX_ROUNDS = 60
 
 
+def least_neighbours(pairs: DataFrame) -> DataFrame:
+    """(a, m): the least b of each a.  Aggregated by the turned bits of a: what follows joins on a, and so meets this
+    side after an exchange of its own, without which Spark does not split the other side where a hub makes it skewed."""
+    return pairs.groupBy(F.bitwise_not("a").alias("turned")).agg(F.min("b").alias("m")).select(F.bitwise_not("turned").alias("a"), "m")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = least_neighbours(both)
     return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = least_neighbours(down)
     joined = down.join(least, "a")
     moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()

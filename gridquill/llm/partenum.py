@@ -1,17 +1,19 @@
 """Jaccard join of n-gram sets by PartEnum signatures, and the classes that its links make.
 
 Sets are banded by size.  Two sets whose Jaccard similarity reaches the threshold lie in the same or in
-neighbouring bands, and there the threshold bounds how many elements they differ in, say by k.  The
-domain of the elements is split into k + 1 + slack parts by hash; at most k parts hold a
-difference, so the sets agree on 1 + slack parts or more, and each part that a set has elements in gives
-one signature: enumerating subsets of parts is needed only where a part alone would say too little,
-and with parts of about ten elements at 0.9 none is.  Parts empty in both sets would agree as well but say
-nothing, so they give no signature.  Sets with more than slack empty parts may share only such; any
-partner that they'd be missed by has more than slack empty parts too, and those sets are split once more by
-another hash.  So no pair is lost, whatever the sizes.
+neighbouring bands, and there the threshold bounds how many elements they differ in, say by k.  The domain of the elements is
+split by hash into k // 2 + 1 + slack parts, and each part into SUBPARTS smaller ones.  Of the parts 1 + slack or more hold
+one difference at most, and then all but one of their subparts agree: so the subsets of all subparts but one are
+enumerated, and the elements in each make one signature.  Subsets that are empty in both sets would agree as well but say
+nothing, so they give no signature.  Of a set with slack thin parts or fewer, those that have an empty subset, some part
+that agrees isn't thin; sets with more are split once more by another hash, and so is any partner that they'd be missed
+by.  So no pair is lost, whatever the sizes.
 
 Sets that share a signature make candidate clusters; a large one is split by prefixes of rare shingles, which parts
-sets that only share a passage.  A cluster's sets are dealt into blocks, and a task takes two blocks; within it pairs already connected are skipped, a byte sketch of the parts rules out
+sets that only share a passage.  The sets of candidates are written once, as packed hashes.  A cluster that fits a block of sets goes to one task.
+Of a larger one every set is first held against the most alike of those that it was tied to, which mostly joins near copies to
+one component; then only the sets outside of the largest component are compared with all others, block by block.
+Within a task pairs already connected are skipped, a byte sketch of the parts rules out
 most others by a lower bound of their difference, and the rest are intersected.  Only a spanning forest of the
 links leaves a task, never all pairs.
 """
@@ -32,6 +34,8 @@ from .graph import components
 
 #: Members of a block, about; a task holds two.
 BLOCK = 1024
+#: Subparts of a part; a part with one difference agrees in all but one of them.
+SUBPARTS = 3
 #: Splits by another hash before empty parts give signatures after all.
 LEVELS = 6
 #: Candidate documents whose ids are broadcast at most; beyond it the texts are joined by a shuffle.
@@ -46,7 +50,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Bands:
-    """Size bands, and for each group (a band with the one below it) the parts and the slack."""
+    """Size bands, and for each group (a band with the one below it) the parts, their subparts and the slack."""
 
     def __init__(self, num: int, den: int, largest: int) -> None:
         low = [1]
@@ -54,17 +58,21 @@ class Bands:
             low.append(low[-1] * den // num + 1)
         self.low = np.array(low, dtype=np.int64)
         self.parts = np.ones(len(low) + 1, dtype=np.int64)
+        self.subparts = np.ones(len(low) + 1, dtype=np.int64)
         self.slack = np.zeros(len(low) + 1, dtype=np.int64)
         for g in range(len(low) + 1):
             high = low[min(g, len(low) - 1)] * den // num if g < len(low) else (low[-1] * den // num + 1) * den // num
             least = low[g - 1] if g else 1
             k = 2 * high * (den - num) // (den + num)
-            slack = 0
-            for _ in range(8 if k else 0):
-                n = k + 1 + slack
-                empty = n * (1 - 1 / n) ** least
-                slack = int(np.ceil(empty + 3 * np.sqrt(empty))) if empty > 0.05 else 0
-            self.parts[g], self.slack[g] = k + 1 + slack, slack
+            if not k:
+                continue  # equal sets only
+            base, slack = k // 2 + 1, 0
+            for _ in range(8):
+                n = base + slack
+                empty = (1 - 1 / (SUBPARTS * n)) ** least
+                thin = n * (SUBPARTS * empty ** (SUBPARTS - 1) * (1 - empty) + empty**SUBPARTS)
+                slack = min(base, int(np.ceil(thin + 3 * np.sqrt(thin)))) if thin > 0.05 else 0
+            self.parts[g], self.subparts[g], self.slack[g] = base + slack, SUBPARTS, slack
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -121,32 +129,45 @@ def signatures(doc: np.ndarray, h: np.ndarray, docs: int, num: int, den: int) ->
             ids = np.flatnonzero(todo)
             if not len(ids):
                 break
-            group = own[ids] + offset
-            n = bands.parts[group]
-            base = np.zeros(docs, dtype=np.int64)
-            base[ids] = np.cumsum(n) - n
-            parts = np.zeros(docs, dtype=np.uint64)
-            parts[ids] = n.astype(np.uint64)
-            take = todo[doc]
-            d, x = doc[take], h[take]
-            spread = T.mix(x ^ np.uint64(int(GOLDEN) * (2 * level + 3) % 2**64))
-            part = ((spread >> np.uint64(32)) * parts[d]) >> np.uint64(32)
-            key = base[d] + part.astype(np.int64)
-            cells = int(n.sum())
-            sums, filled = cell_sums(key, T.mix(x + GOLDEN), cells), np.bincount(key, minlength=cells)
-            cell_doc = np.repeat(ids, n)
-            cell_part = np.arange(cells) - base[cell_doc]
-            label = T.mix(np.repeat(group, n).astype(np.uint64) * np.uint64(64) + np.uint64(level)) ^ T.mix(cell_part.astype(np.uint64) + GOLDEN)
-            keep = filled > 0 if level < LEVELS - 1 else np.ones(cells, dtype=bool)
-            out_sig.append(T.mix(sums[keep] ^ label[keep]))
-            out_doc.append(cell_doc[keep])
-            empty = np.bincount(cell_doc, filled == 0, docs).astype(np.int64)
             again = np.zeros(docs, dtype=bool)
-            again[ids] = empty[ids] > bands.slack[group]
+            for width in (1, SUBPARTS):
+                mine = ids[bands.subparts[own[ids] + offset] == width]
+                if len(mine):
+                    sig, at, thin = enumerated(doc, h, mine, own[mine] + offset, bands, width, level, docs)
+                    out_sig.append(sig)
+                    out_doc.append(at)
+                    again[mine] = thin > bands.slack[own[mine] + offset]
             todo = again
     return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
+def enumerated(doc: np.ndarray, h: np.ndarray, ids: np.ndarray, group: np.ndarray, bands: Bands, width: int, level: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, doc) of the subsets of width - 1 of the width subparts of every part (of the part where width is 1), and the thin parts of each of ids."""
+    n = bands.parts[group]
+    base, parts = np.zeros(docs, dtype=np.int64), np.zeros(docs, dtype=np.uint64)
+    base[ids], parts[ids] = np.cumsum(n) - n, (n * width).astype(np.uint64)
+    take = parts[doc] > 0
+    d, x = doc[take], h[take]
+    spread = T.mix(x ^ np.uint64(int(GOLDEN) * (2 * level + 3) % 2**64))
+    subpart = (((spread >> np.uint64(32)) * parts[d]) >> np.uint64(32)).astype(np.int64)
+    key, cells = base[d] * width + subpart, int(n.sum()) * width
+    filled = np.bincount(key, minlength=cells).reshape(-1, width)
+    sums = cell_sums(key, T.mix(x + GOLDEN), cells).reshape(-1, width)
+    sums = np.where(filled > 0, T.mix(sums ^ T.mix(np.arange(width, dtype=np.uint64) + np.uint64(7))), np.uint64(0))
+    part_doc = np.repeat(ids, n)
+    part = np.arange(len(part_doc)) - base[part_doc]
+    label = T.mix(np.repeat(group, n).astype(np.uint64) * np.uint64(64) + np.uint64(level)) ^ T.mix(part.astype(np.uint64) + GOLDEN)
+    total, count = sums.sum(axis=1, dtype=np.uint64), filled.sum(axis=1)
+    sig, at, thin = [], [], np.zeros(len(part_doc), dtype=bool)
+    for left_out in range(width):
+        rest, some = (total, count) if width == 1 else (total - sums[:, left_out], count - filled[:, left_out])
+        thin |= some == 0
+        keep = some > 0 if level < LEVELS - 1 else np.ones(len(some), dtype=bool)
+        sig.append(T.mix(rest[keep] ^ T.mix(label[keep] + np.uint64(left_out))))
+        at.append(part_doc[keep])
+    return np.concatenate(sig), np.concatenate(at), np.bincount(part_doc, thin, docs).astype(np.int64)[ids]
+
+
 def nodes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, node): node names a distinct set, null for a document without words."""
 
@@ -232,35 +253,56 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return tied(docs, emit)
 
 
-def member_texts(docs: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
-    """(node, text, columns) of the document that stands for each candidate set; rows that share its id come along."""
-    chosen = members.select(F.col("doc_id").alias("member"), "node", *columns)
+def candidate_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(node, size, shingles), once for each of members (node, doc_id): the packed hashes, in order, of the set of the document that stands for it."""
+    chosen = members.select(F.col("doc_id").alias("member"), "node")
     if members.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    return docs.join(chosen, F.col("doc_id") == F.col("member")).select("node", "text", *columns)
+    texts_ = docs.join(chosen, F.col("doc_id") == F.col("member")).select("node", "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pow_ = T.Powers()
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for s in T.slices(batch.column(1)):
+                k = len(s.starts)
+                doc, h = shingle_rows(s, n, pow_)
+                sizes = np.bincount(doc, minlength=k)
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                # Rows that share the document's id but not its text are left out, and repeats of it within the slice.
+                mine = np.flatnonzero(set_hashes(doc, h, k).view(np.int64) == node[s.first : s.first + k])
+                mine = mine[np.unique(node[s.first + mine], return_index=True)[1]]
+                if len(mine):
+                    raw = pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in mine], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(node[s.first + mine]), pa.array(sizes[mine].astype(np.int64)), raw], names=["node", "size", "shingles"])
+
+    sets = cut(map_arrow(texts_, task, "node long, size long, shingles binary"), "candidate-sets")
+    return cut(sets.dropDuplicates(["node"]), "candidate-sets") if sets.count() > members.count() else sets
+
+
+def of_members(sets: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """The sets of members, with columns of theirs."""
+    few = members.count() <= BROADCAST_IDS
+    mine = members.select("node", *columns)
+    found = sets.join(F.broadcast(mine) if few else mine, "node").select("node", "size", "shingles", *columns)
+    return found if few else cut(found, "member-sets")
 
 
-def member_sets(batch: pa.RecordBatch, n: int, pow_: T.Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of the batch, their cuts, shingle hashes) for each slice of (node, text, ...): of rows whose set is the node's."""
-    node = batch.column(0).to_numpy()
-    for s in T.slices(batch.column(1)):
-        k = len(s.starts)
-        doc, h = shingle_rows(s, n, pow_)
-        mine = set_hashes(doc, h, k).view(np.int64) == node[s.first : s.first + k]
-        take = mine[doc]
-        sizes = np.bincount(doc[take], minlength=k)[mine]
-        yield np.flatnonzero(mine) + s.first, np.concatenate([[0], np.cumsum(sizes)]), h[take]
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, hashes) of the sets in a batch of (node, size, shingles, ...)."""
+    sizes = batch.column(1).to_numpy()
+    raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(raw) if raw else np.zeros(0, np.uint64)
 
 
-def shingle_counts(found: DataFrame, n: int) -> np.ndarray:
-    """How often shingles come in (node, text) rows, by COUNTERS buckets of their hashes: 4 bytes a bucket, whatever
+def shingle_counts(found: DataFrame) -> np.ndarray:
+    """How often shingles come in (node, size, shingles) rows, by COUNTERS buckets of their hashes: 4 bytes a bucket, whatever
     the input's size.  Shingles of one bucket count together, which makes some look less rare than they are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pow_, total = T.Powers(), np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for _, _, h in member_sets(batch, n, pow_):
-                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount((unpacked(batch)[1] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
         parts = total.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         if len(some):
@@ -345,94 +387,129 @@ def tied_or_paired(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Ite
     return map_arrow(dealt, match, "a long, b long, sure boolean")
 
 
-def prefix_edges(found: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b, sure) among (node, text, cluster) rows: sets of a cluster that share one of their rarest shingles.
+def prefix_edges(found: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, sure) among (node, size, shingles, cluster) rows: sets of a cluster that share one of their rarest shingles.
 
     Linked sets share num/den of the larger one's shingles, so under any order of the shingles they share one of the
     first that a set has more than it may lack; ordered by rarity, a passage that many texts share comes last."""
-    counts = found.sparkSession.sparkContext.broadcast(shingle_counts(found, n))  # COUNTERS numbers
+    counts = found.sparkSession.sparkContext.broadcast(shingle_counts(found))  # COUNTERS numbers
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        pow_ = T.Powers()
         for batch in batches:
-            node, cluster = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for rows, cuts, h in member_sets(batch, n, pow_):
-                if not len(h):
-                    continue
-                sizes = np.diff(cuts)
-                owner = np.repeat(np.arange(len(rows)), sizes)
-                order = np.lexsort((h, counts.value[(h >> np.uint64(44)).astype(np.int64)], owner))
-                rank = np.arange(len(h)) - np.repeat(cuts[:-1], sizes)
-                first = rank < (sizes - (sizes * num + den - 1) // den + 1)[owner]
-                who = rows[owner[first]]
-                yield T.mix(h[order][first] ^ T.mix(cluster[who].view(np.uint64))), node[who]
+            if not batch.num_rows:
+                continue
+            node, cluster = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            cuts, h = unpacked(batch)
+            sizes = np.diff(cuts)
+            owner = np.repeat(np.arange(len(node)), sizes)
+            order = np.lexsort((h, counts.value[(h >> np.uint64(44)).astype(np.int64)], owner))
+            rank = np.arange(len(h)) - np.repeat(cuts[:-1], sizes)
+            first = rank < (sizes - (sizes * num + den - 1) // den + 1)[owner]
+            who = owner[first]
+            yield T.mix(h[order][first] ^ T.mix(cluster[who].view(np.uint64))), node[who]
 
     return tied_or_paired(found, emit)
 
 
-def sketch_rows(found: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, size, sketch) of (node, text, ...) rows: a byte for each of a power of two of parts, more than
+def sketch_rows(found: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, size, sketch) of (node, size, shingles, ...) rows: a byte for each of a power of two of parts, more than
     may differ between linked sets; a wider sketch folds into a narrower one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pow_ = T.Powers()
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            for rows, cuts, h in member_sets(batch, n, pow_):
-                sizes = np.diff(cuts)
-                most = sizes * 2 * (den - num) // (den + num)
-                width = np.array([1 << min(max(6, int(m + m // 4 + 4).bit_length()), 12) for m in most], dtype=np.int64)
-                base = np.cumsum(width) - width
-                owner = np.repeat(np.arange(len(rows)), sizes)
-                x = T.mix(h + np.uint64(5))
-                flat = np.zeros(int(width.sum()), dtype=np.uint8)
-                np.bitwise_xor.at(flat, base[owner] + (x & (width[owner] - 1).astype(np.uint64)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
-                sketch = [flat[b : b + w].tobytes() for b, w in zip(base, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(sizes.astype(np.int64)), pa.array(sketch, pa.binary())], names=["node", "size", "sketch"])
+            cuts, h = unpacked(batch)
+            sizes = np.diff(cuts)
+            most = sizes * 2 * (den - num) // (den + num)
+            width = np.array([1 << min(max(6, int(m + m // 4 + 4).bit_length()), 12) for m in most], dtype=np.int64)
+            base = np.cumsum(width) - width
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            x = T.mix(h + np.uint64(5))
+            flat = np.zeros(int(width.sum()), dtype=np.uint8)
+            np.bitwise_xor.at(flat, base[owner] + (x & (width[owner] - 1).astype(np.uint64)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
+            sketch = [flat[b : b + w].tobytes() for b, w in zip(base, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch, pa.binary())], names=["node", "size", "sketch"])
 
     return map_arrow(found, task, "node long, size long, sketch binary")
 
 
 def alike(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) whose sizes and sketches do not rule a link out."""
+    """The (a, b) whose sizes and sketches do not rule a link out, and unlike, how many bytes of the sketches differ."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size_a, size_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             fits = np.minimum(size_a, size_b) * den >= np.maximum(size_a, size_b) * num
+            unlike = np.zeros(len(fits), dtype=np.int64)
             for i in np.flatnonzero(fits):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (3, 5))
                 while len(x) != len(y):
                     x, y = (x, y) if len(x) < len(y) else (y, x)
                     y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                fits[i] = np.count_nonzero(x != y) * (den + num) <= (size_a[i] + size_b[i]) * (den - num)
+                unlike[i] = np.count_nonzero(x != y)
+                fits[i] = unlike[i] * (den + num) <= (size_a[i] + size_b[i]) * (den - num)
             kept = pa.array(fits)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(kept) for i in (0, 1)), pa.array(unlike[fits])], names=["a", "b", "unlike"])
 
     side = lambda c: sketched.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    return map_arrow(both, task, "a long, b long, unlike long")
+
+
+def shares(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets, each in order, are linked."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    shared = int(np.count_nonzero(y[at] == x))
+    return den * shared >= num * (len(x) + len(y) - shared)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of pairs that are linked; a set that many pairs have meets them in a join that Spark splits where it is skewed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
+            kept = pa.array([shares(p, q, num, den) for p, q in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     return map_arrow(both, task, "a long, b long")
 
 
-def split_large(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """members (node, cluster, doc_id) with the clusters of more than LARGE sets split by prefix_edges.
+def large_of(members: DataFrame, most: int) -> DataFrame:
+    """(cluster) of more than most members; by turned bits, as in graph.least_neighbours."""
+    sized = members.groupBy(F.bitwise_not("cluster").alias("turned")).agg(F.count("*").alias("members"))
+    return sized.where(F.col("members") > most).select(F.bitwise_not("turned").alias("cluster"))
+
 
-    Texts that share a passage share signatures of parts that hold little else, and through them most of a corpus
+def split_large(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (node, cluster) with comp: clusters of more than LARGE sets split by prefix_edges, and of those that still have more than BLOCK the components that links found at once make.
+
+    Texts that share a passage share signatures that hold little else, and through them most of a corpus
     may hang together; what shares none of its rarest shingles, or shares some but differs too much by its
-    sketch, is parted here, and no link is lost."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > LARGE).select("cluster")
-    big = cut(members.join(large, "cluster", "left_semi"), "large-clusters")
+    sketch, is parted here, and no link is lost.  Then each set of a cluster beyond a block is held against the one, of those that it is
+    tied to, whose sketch differs least."""
+    plain = members.select("node", "cluster", F.col("node").alias("comp"))
+    big = cut(members.join(large_of(members, LARGE), "cluster", "left_semi").select("node", "cluster"), "large-clusters")
     if big.isEmpty():
-        return members
-    found = cut(member_texts(docs, big, "cluster"), "large-texts")
-    edges = cut(prefix_edges(found, n, num, den), "prefixes")
-    sketched = cut(sketch_rows(found, n, num, den).dropDuplicates(["node"]), "sketches")
-    near = alike(edges.where("not sure").select("a", "b").distinct(), sketched, num, den)
-    parts = components(edges.where("sure").select("a", "b").unionByName(near))
-    split = parts.select("node", F.col("label").alias("cluster")).join(big.select("node", "doc_id"), "node")
-    small = members.join(sizes.where(F.col("size") <= LARGE).select("cluster"), "cluster", "left_semi")
-    return cut(small.select("node", "cluster", "doc_id").unionByName(split.select("node", "cluster", "doc_id")), "members")
+        return plain
+    found = of_members(sets, big, "cluster")
+    edges = cut(prefix_edges(found, num, den), "prefixes")
+    sketched = cut(sketch_rows(found, num, den), "sketches")
+    near = cut(alike(edges.where("not sure").select("a", "b").distinct(), sketched, num, den), "near")
+    tied_ = edges.where("sure").select("a", "b").distinct()
+    parts = components(tied_.unionByName(near.select("a", "b"))).select("node", F.col("label").alias("cluster"))
+    small = plain.join(big.select("node"), "node", "left_anti")
+    huge = cut(parts.join(large_of(parts, BLOCK), "cluster", "left_semi"), "huge-clusters")
+    if huge.isEmpty():
+        return cut(small.unionByName(parts.withColumn("comp", F.col("node"))), "members")
+    mine = huge.select(F.col("node").alias("b"))
+    choices = alike(tied_.join(mine, "b", "left_semi"), sketched, num, den).unionByName(near.join(mine, "b", "left_semi"))
+    best = choices.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    comps = components(verified(cut(best, "ties"), sets, num, den)).withColumnRenamed("label", "comp")
+    named = parts.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
+    return cut(small.unionByName(named), "members")
 
 
 def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -444,13 +521,14 @@ def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of one side, or where there are two sides between them."""
+def forest(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different components, of one side, or where there are two sides between them."""
     sizes = np.array([len(x) for x in sets])
     most = int(sizes.max() * 2 * (den - num) // (den + num))
     sk = sketches(sets, 1 << min(max(6, (4 * most + 4).bit_length()), 12))
     two = side.any() and not side.all()
-    parent = list(range(len(sets)))
+    parent = np.unique(comp, return_index=True, return_inverse=True)
+    parent = parent[1][parent[2].reshape(-1)].tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -462,7 +540,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list
     for i in range(len(sets)):
         near = np.arange(i + 1, len(sets))
         small, large = np.minimum(sizes[i], sizes[near]), np.maximum(sizes[i], sizes[near])
-        near = near[(small * den >= large * num) & ((side[near] != side[i]) if two else True)]
+        near = near[(small * den >= large * num) & (comp[near] != comp[i]) & ((side[near] != side[i]) if two else True)]
         if not len(near):
             continue
         unlike = np.count_nonzero(sk[near] != sk[i], axis=1)
@@ -470,42 +548,36 @@ def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list
         near = near[fits][np.argsort(unlike[fits], kind="stable")]
         for j in near:
             a, b = root(i), root(int(j))
-            if a == b:
-                continue
-            x, y = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            shared = int(np.count_nonzero(y[at] == x))
-            if den * shared >= num * (len(x) + len(y) - shared):
+            if a != b and shares(sets[i], sets[j], num, den):
                 parent[b] = a
                 links.append((i, int(j)))
     return links
 
 
-def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect all sets of each cluster which links connect at all.
-
-    members: (node, cluster, doc_id), a document for each candidate set."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    sized = members.join(members.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
-    placed = sized.select("doc_id", "node", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(9)), blocks).cast("int").alias("block"))
-    found = member_texts(docs, placed, "cluster", "blocks", "block")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pow_ = T.Powers()
-        for batch in batches:
-            rest = pa.Table.from_batches([batch]).select(["node", "cluster", "blocks", "block"])
-            for rows, cuts, h in member_sets(batch, n, pow_):
-                if len(rows):
-                    kept = rest.take(pa.array(rows)).combine_chunks()
-                    sets = pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-                    yield from kept.append_column("shingles", sets).combine_chunks().to_batches()
-
-    sets = map_arrow(found, to_sets, "node long, cluster long, blocks int, block int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = sets.select("*", other).select(
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).alias("second"), "node", "shingles"
+def placed_in_blocks(members: DataFrame) -> DataFrame:
+    """members (node, cluster, comp) with block and the range first..last of blocks to meet: all of a cluster's sets in one block where they fit.
+    Of others those outside of the largest component fill the first blocks and meet all; those in it come behind and meet the first
+    ones only, so a cluster that is one component goes nowhere."""
+    comps = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = comps.groupBy(F.bitwise_not("cluster").alias("turned")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main"))
+    main = main.select(F.bitwise_not("turned").alias("cluster"), "size", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inner"))
+    whole, inside = F.col("size") <= BLOCK, F.col("comp") == F.col("main")
+    deal = lambda count: F.pmod(F.xxhash64("node", F.lit(9)), F.greatest(count, F.lit(1))).cast("int")
+    zero = F.lit(0)
+    block = F.when(whole, zero).when(inside, F.col("outer") + deal(F.col("inner"))).otherwise(deal(F.col("outer")))
+    last = F.when(whole, zero).when(inside, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
+    return members.join(main, "cluster").select("node", "cluster", "comp", block.alias("block"), last.alias("last")).where("last >= 0")
+
+
+def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect all sets of each cluster which links connect at all and which comp doesn't join.
+
+    members: (node, cluster, comp)."""
+    found = of_members(sets, cut(placed_in_blocks(members), "blocks"), "cluster", "comp", "block", "last")
+    tasks = found.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")).select(
+        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).alias("second"), "node", "comp", "shingles"
     )
-    tasks = tasks.repartition(partitions(docs.sparkSession), "task").sortWithinPartitions("task")
+    tasks = tasks.repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in merged(batches, "task"):
@@ -513,8 +585,8 @@ def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> Da
             for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
                 mine = table.slice(int(part[0]), len(part))
                 node = mine.column("node").to_numpy()
-                sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in mine.column("shingles")]
-                pairs = forest(sets, mine.column("second").to_numpy(zero_copy_only=False), num, den)
+                packed = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in mine.column("shingles")]
+                pairs = forest(packed, mine.column("comp").to_numpy(), mine.column("second").to_numpy(zero_copy_only=False), num, den)
                 if pairs:
                     at = np.array(pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(node[at[:, i]]) for i in (0, 1)], names=["a", "b"])
@@ -532,9 +604,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rows = texts(docs, id_col, text_col)
     known = cut(nodes(rows, n), "sets")
     candidates = components(candidate_edges(rows, n, num, den))
-    reps = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    worded = known.where(F.col("node").isNotNull())
+    reps = worded.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = cut(candidates.select("node", F.col("label").alias("cluster")).join(reps, "node"), "members")
-    found = components(links(rows, split_large(rows, members, n, num, den), n, num, den))
-    named = known.join(found, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    sets = candidate_sets(rows, members, n)
+    placed = split_large(sets, members, num, den)
+    joined = placed.where(F.col("comp") != F.col("node")).select(F.col("comp").alias("a"), F.col("node").alias("b"))
+    found = components(links(sets, placed, num, den).unionByName(joined))
+    # The least id of a class by way of its sets, then of each set; documents without words meet nothing.
+    in_class = reps.join(found, "node")
+    least = in_class.groupBy(F.bitwise_not("label").alias("turned")).agg(F.min("doc_id").alias("least")).select(F.bitwise_not("turned").alias("label"), "least")
+    of_node = in_class.join(least, "label").select("node", "least")
+    named = cut(reps.join(of_node, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id")), "classes")
+    out = worded.join(named, "node", "left").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(known.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -187,12 +187,13 @@ class ArchiveWriter:
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_payload: int) -> DataFrame:
     """(page_id, url, payload, refers_to): of pages with equal payloads of min_payload bytes or more,
     all but that with the largest id refer to it.  Only (digest, largest id) goes through the shuffle
-    of the aggregate, one row per digest and task; a payload that many pages share is no hot group."""
+    of the aggregate, one row per digest and task.  It is made by the reversed digest, so the join on the digest has an
+    exchange on both sides and Spark splits the payloads' side where a payload that many pages share makes it skewed."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload")
     ).withColumn("key", F.sha1("payload"))
-    heads = rows.where(F.length("payload") >= min_payload).groupBy("key").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("head").isNotNull())
-    found = rows.join(heads.select("key", "head"), "key", "left")
+    heads = rows.where(F.length("payload") >= min_payload).groupBy(F.reverse("key").alias("turned")).agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("head").isNotNull())
+    found = rows.join(heads.select(F.reverse("turned").alias("key"), "head"), "key", "left")
     own = F.col("head").isNull() | (F.col("head").eqNullSafe(F.col("page_id")))
     return found.select("page_id", "url", "payload", F.when(~own, F.col("head")).alias("refers_to"))
 

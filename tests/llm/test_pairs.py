@@ -84,7 +84,7 @@ def plain_hits(rows, items, window=10):
         if item is not None and w:
             for i in range(max(1, len(w) - window + 1)):
                 wins[tuple(w[i : i + window])].add(str(item))
-    out = set()
+    out = []
     for doc, text in rows:
         w = PLAIN.findall((text or "").translate(LOWER))
         hit, found = set(), set()
@@ -93,8 +93,8 @@ def plain_hits(rows, items, window=10):
                 if tuple(w[i : i + n]) in wins:
                     hit |= set(range(i, i + n))
                     found |= wins[tuple(w[i : i + n])]
-        out.add((doc, len(w), len(hit), tuple(sorted(found))))
-    return out
+        out.append((doc, len(w), len(hit), tuple(sorted(found))))
+    return Counter(out)
 
 
 def counted(df, *names):
@@ -126,7 +126,7 @@ ITEMS = [(1, " ".join(odd_texts()[0][1].split(" ")[18:40])), (2, "changed"), (3,
 def test_decontamination_odd(spark, most):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = decontam.decontaminate(clashing(odd_docs(spark)), items, broadcast_windows=most)
-    assert {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in found.collect()} == plain_hits(odd_texts(), ITEMS)
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in found.collect()) == plain_hits(odd_texts(), ITEMS)
 
 
 def test_empty_tables(spark):
