@@ -2,14 +2,18 @@
 
 Beside the patterns, every long token of an encoding's alphabet is tested for looking random:
 chi-squared uniformity over the inferred alphabet, a runs test of the upper against the lower half of
-the alphabet, and the lag-1 serial correlation.  A token that any of them rejects is ordinary.  Of the others the
-p value is how likely an ordinary token of the same length would be as uniform: its chi-squared grows with
-the length, so short tokens hardly ever reach a small p.  Within each stratum of lengths the
+the alphabet, and the lag-1 serial correlation.  Each test gives the probability that an ordinary token of the same length would
+look as random: of the chi-squared, whose excess in ordinary text grows with the length, and of how near runs and correlation are to
+what chance expects.  The three are combined to one p value by a weighted Cauchy combination, in which a strong pattern
+in runs or correlation outweighs any uniformity; short tokens hardly ever reach a small p.  Within each stratum of lengths the
 Benjamini-Hochberg procedure then bounds the share of ordinary tokens among those that are reported.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +37,17 @@ TOKEN = rf"[A-Za-z0-9+/_\-]{{{MIN_TOKEN},}}={{0,2}}"
 STRETCHES = tuple(rf"[{x}]{{{MIN_TOKEN},}}={{0,2}}" for x in (r"A-Za-z0-9+/", r"A-Za-z0-9_\-", r"A-Za-z0-9+"))
 #: A stretch between separators that has a narrower alphabet than its run.
 NARROW = r"(?:^|[/_\-])(?:" + "|".join(f"[{SYMBOLS[x]}]{{{MIN_TOKEN},}}" for x in ("hex", "HEX", "base32")) + r")(?:$|[/_=\-])"
-#: What a test may deviate by, in standard deviations, before it rejects a token as not random (one in a thousand).
-REJECT_CHI, REJECT_TWO_SIDED = 3.09, 3.29
 #: Sum of the squared shares of symbols in ordinary tokens: of digits alone in hexadecimal, of letters of a language in the others.
 ORDINARY = {"hex": 0.1, "HEX": 0.1, "base32": 0.066, "base64": 0.066, "base64url": 0.066}
-#: p values are counted in bins of their normal deviate, BINS_PER_UNIT to a unit; what is rejected is in the last.
-BINS_PER_UNIT, LOWEST, LAST_BIN = 20, -10, 400
+#: Weights of the chi-squared, the runs and the serial correlation in the combined p value.
+WEIGHTS = (0.8, 0.1, 0.1)
+#: Runs and correlation speak against a token without bound, and for it no more than a p value of this.
+FOR_IT = 0.1
+#: Least p value of the chi-squared and least share beyond runs and correlation, so that a clear pattern outweighs any uniformity.
+LEAST_P, LEAST_BEYOND = 1e-15, 1e-30
+#: p values are counted in bins of their logarithm, BINS_PER_DECADE to a power of ten, down to 10 ** LOWEST; what has no encoding is in the last.
+BINS_PER_DECADE, LOWEST = 20, -16
+LAST_BIN = -LOWEST * BINS_PER_DECADE
 BLOCK = 256
 
 
@@ -70,9 +79,35 @@ def encoding_of(token: Column) -> Column:
     return out
 
 
+#: Coefficients of a Chebyshev fit to the logarithm of erfc, right to seven places.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_beyond(x: Column) -> Column:
+    """The share of a normal distribution beyond x >= 0 standard deviations on one side."""
+    x = x / 2**0.5
+    t = 1 / (1 + x / 2)
+    poly = functools.reduce(lambda a, c: a * t + c, ERFC[-2::-1], F.lit(ERFC[-1]))
+    return t * F.exp(poly - x * x) / 2
+
+
+def combined(z_text: Column, runs: Column, serial: Column) -> Column:
+    """One p value: z_text is the deviate of the chi-squared among ordinary tokens', runs and serial are absolute deviates from chance."""
+    beyond = normal_beyond(F.abs(z_text))
+    p_text = F.greatest(F.when(z_text < 0, beyond).otherwise(1 - beyond), F.lit(LEAST_P))
+    # tan((1/2 - p) pi) is the cotangent of p pi, and with q = 1 - p less that of q pi.
+    against = lambda z: -F.cot(F.lit(math.pi) * F.least(F.greatest(2 * normal_beyond(z), F.lit(LEAST_BEYOND)), F.lit(1 - FOR_IT)))
+    t = WEIGHTS[0] * F.cot(F.lit(math.pi) * F.least(p_text, F.lit(1 - LEAST_P))) + WEIGHTS[1] * against(runs) + WEIGHTS[2] * against(serial)
+    return F.atan2(F.lit(1.0), t) / math.pi
+
+
+#: Deviates that stand for no variation at all.
+NO_VARIATION = 99.0
+
+
 def battery(token: Column, encoding: str) -> Column:
-    """struct<text,chi,runs,serial>: chi, runs and serial deviate from 0 where a token isn't random; text is the
-    deviate of its chi-squared among those of ordinary tokens of its length, far below 0 if it is too uniform for one."""
+    """struct<text,runs,serial>: text is the deviate of the token's chi-squared among those of ordinary tokens of its length, far
+    below 0 if it is too uniform for one; runs and serial are how far it is from chance, runs by half a run more."""
     alphabet = ALPHABETS[encoding]
     k = float(len(alphabet))
     body = F.regexp_replace(token, "=+$", "")
@@ -81,7 +116,6 @@ def battery(token: Column, encoding: str) -> Column:
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
     chi = F.greatest(F.lit(k) / n * squares - n, F.lit(0.0))
     df = k - 1
-    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
     off = n * F.lit(k * ORDINARY[encoding] - 1)
     z_text = (chi - df - off) / F.sqrt(2 * (df + 2 * off))
     half = len(alphabet) // 2
@@ -91,7 +125,7 @@ def battery(token: Column, encoding: str) -> Column:
     runs = F.length(F.regexp_replace(F.regexp_replace(bits, "0+", "0"), "1+", "1")).cast("double")
     mean = 2 * ones * zeros / n + 1
     var = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
-    z_runs = F.when(var > 0, (runs - mean) / F.sqrt(var)).otherwise(F.sqrt(n))
+    z_runs = F.when(var > 0, (F.abs(runs - mean) + 0.5) / F.sqrt(var)).otherwise(F.lit(NO_VARIATION))
     value = lambda c: F.instr(F.lit(alphabet), c).cast("double")
     start = F.struct(F.lit(None).cast("double").alias("last"), *(F.lit(0.0).alias(x) for x in ("s", "q", "p")))
 
@@ -101,24 +135,19 @@ def battery(token: Column, encoding: str) -> Column:
     sums = F.aggregate(F.transform(chars, value), start, add)
     mu = sums["s"] / n
     spread = sums["q"] / n - mu * mu
-    z_serial = F.when(spread > 0, (sums["p"] / F.greatest(n - 1, F.lit(1.0)) - mu * mu) / spread * F.sqrt(n)).otherwise(F.sqrt(n))
-    return F.struct(z_text.alias("text"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"))
+    z_serial = F.when(spread > 0, F.abs((sums["p"] / F.greatest(n - 1, F.lit(1.0)) - mu * mu) / spread * F.sqrt(n))).otherwise(F.lit(NO_VARIATION))
+    return F.struct(z_text.alias("text"), z_runs.alias("runs"), z_serial.alias("serial"))
 
 
 def token_tests(token: Column) -> Column:
-    """struct<stratum,bin>: the stratum of lengths and the bin of the p value, the last for what a test rejects."""
+    """struct<stratum,bin>: the stratum of lengths and the bin of the combined p value, the last for what has no encoding."""
     kind = encoding_of(token)
-    z = F.lit(None).cast("struct<text:double,chi:double,runs:double,serial:double>")
+    z = F.lit(None).cast("struct<text:double,runs:double,serial:double>")
     for name in ALPHABETS:
         z = F.when(kind == name, battery(token, name)).otherwise(z)
-
-    def place(t: Column) -> Column:
-        passed = (t["chi"] <= REJECT_CHI) & (F.abs(t["runs"]) <= REJECT_TWO_SIDED) & (F.abs(t["serial"]) <= REJECT_TWO_SIDED)
-        found = F.greatest(F.floor((t["text"] - LOWEST) * BINS_PER_UNIT), F.lit(0))
-        return F.when(passed, F.least(found, F.lit(LAST_BIN))).otherwise(F.lit(LAST_BIN)).cast("int")
-
+    place = lambda p: F.least(F.greatest(F.floor((F.log10(p) - LOWEST) * BINS_PER_DECADE), F.lit(0)), F.lit(LAST_BIN - 1)).cast("int")
     # The tests' results are named once, so that they are computed once.
-    bins = F.transform(F.array(z), place)
+    bins = F.transform(F.array(z), lambda t: F.when(t.isNotNull(), place(combined(t["text"], t["runs"], t["serial"]))))
     body = F.length(F.regexp_replace(token, "=+$", ""))
     return F.struct(F.floor(F.log2(body.cast("double")) * 2).cast("int").alias("stratum"), F.coalesce(F.element_at(bins, 1), F.lit(LAST_BIN)).alias("bin"))
 
@@ -137,15 +166,6 @@ def stretches(run: Column) -> Column:
     return F.when(mixed | joined, F.array_distinct(F.concat(*map(parts, STRETCHES)))).otherwise(F.array(run))
 
 
-def normal_below(z: Column) -> Column:
-    """The share of a normal distribution below z, right to seven places (a rational approximation of erf)."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + F.lit(0.3275911) * x)
-    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
-    tail = F.greatest(poly * F.exp(-x * x) / 2, F.lit(0.0))
-    return F.when(z < 0, tail).otherwise(1 - tail)
-
-
 def thresholds(tested: DataFrame, rate: float) -> DataFrame:
     """(stratum, most): the largest bin of each stratum up to which tokens are reported, by Benjamini-Hochberg at
     this rate.  Input (stratum, bin), counted into bins before anything is compared: strata times LAST_BIN
@@ -153,7 +173,7 @@ def thresholds(tested: DataFrame, rate: float) -> DataFrame:
     counts = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("stratum").orderBy("bin")
     c = counts.select("stratum", "bin", F.sum("n").over(upto).alias("found"), F.sum("n").over(Window.partitionBy("stratum")).alias("tested"))
-    p = normal_below((F.col("bin") + 1) / F.lit(float(BINS_PER_UNIT)) + LOWEST)
+    p = F.pow(F.lit(10.0), (F.col("bin") + 1) / F.lit(float(BINS_PER_DECADE)) + LOWEST)  # the largest of the bin
     good = (F.col("bin") < LAST_BIN) & (p * F.col("tested") <= rate * F.col("found"))
     return c.where(good).groupBy("stratum").agg(F.max("bin").alias("most"))
 
