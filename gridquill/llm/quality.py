@@ -1,28 +1,36 @@
 """A quality classifier learned from trusted positives and unlabelled text: non-negative PU risk.
 
-The positive class' share of the corpus, its prior, is estimated from the labelled rows of the learning
+The positive class' share of the corpus, its prior p, is estimated from the labelled rows of the learning
 fold.  With it the risk of a scorer f under a loss l is  p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]): what
-negatives cost is what unlabelled text costs less the positives in it, and never less than nothing.
-The scorer is a small network over counts that a scan of the bytes gives: shares of kinds of bytes,
-lengths, repetition of words and lines.
+negatives cost is what unlabelled text costs less the positives in it, and never less than nothing.  Where it falls below that, the
+descent goes the other way, as the method has it, so what is minimised there is its distance from nothing.
+With the logistic loss the parts are convex in the weights of f, a sum of hinges over counts that a scan of the
+bytes gives: shares of kinds of bytes, lengths, repetition of words and lines.  So some Newton steps minimise it, the
+corner at nothing rounded, each a sum over all positives and all unlabelled documents that tasks add up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import map_arrow
+from .common import cut, map_arrow
 
-#: Rows that the fit sees at most: positives, and unlabelled documents.  The only bound of this operator.
-MAX_POSITIVES = MAX_UNLABELLED = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 1024, 3e-3, 1e-4
+#: Weight of the squared weights in the risk, evaluations of the risk at most, and the gain under which the fit ends.
+RIDGE, MOST_EVALUATIONS, LEAST_GAIN = 1e-3, 20, 1e-5
+#: How far the corner at nothing is rounded.
+ROUND = 0.02
+#: Where hinges begin, in standard deviations, and how far a feature counts.
+KNOTS, FAR = (-1.5, -0.75, 0.0, 0.75, 1.5), 5.0
+#: Partial sums of tasks are added up in so many groups before they reach the driver.
+SUM_GROUPS = 32
 
 #: Kinds of bytes whose shares are features; later ones win.
 KINDS = np.zeros(256, dtype=np.uint8)
@@ -78,64 +86,115 @@ def features(s: T.Slice, pow_: T.Powers) -> np.ndarray:
 
 
 class Scorer(NamedTuple):
-    """A network with one hidden layer over standardised, square-rooted features."""
+    """Hinges over standardised, square-rooted features, weighted; w has the constant at its end."""
 
     middle: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    prior: float
+    w: np.ndarray
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((np.sqrt(np.maximum(x, 0)) - self.middle) / self.scale, -8, 8)
-
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(self.inputs(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2[0]
+        z = np.clip((np.sqrt(np.maximum(x, 0)) - self.middle) / self.scale, -FAR, FAR)
+        return np.concatenate([z, *(np.maximum(z - k, 0) for k in KNOTS), np.ones((len(z), 1))], axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Scorer:
-    """Minimises the non-negative PU risk with Adam.  Where a batch's estimate of what negatives cost falls
-    below zero, the step goes the other way, as the method has it.  Without positives or text the prior is the score."""
-    rng = np.random.default_rng(seed)
-    both = np.sqrt(np.maximum(np.concatenate([positive, unlabelled]), 0))
-    if not len(positive) or not len(unlabelled):
-        d = N_FEATURES
-        return Scorer(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))]), prior)
-    d = both.shape[1]
-    net = Scorer(both.mean(axis=0), both.std(axis=0) + 1e-3, rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1), prior)
-    xp, xu = net.inputs(positive), net.inputs(unlabelled)
-    params = [net.w1, net.b1, net.w2, net.b2]
-    moment, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(xu))
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
-        for lo in range(0, len(xu), BATCH):
-            u, p = xu[order[lo : lo + BATCH]], xp[rng.integers(0, len(xp), min(BATCH, len(xp)))]
-            x = np.concatenate([p, u])
-            hidden = np.maximum(x @ net.w1 + net.b1, 0)
-            g = 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2[0], -30, 30)))
-            gp, gu = g[: len(p)], g[len(p) :]
-            negative = np.mean(-np.log1p(-np.minimum(gu, 1 - 1e-9))) - prior * np.mean(-np.log1p(-np.minimum(gp, 1 - 1e-9)))
-            slope = np.zeros(len(x))
-            if negative >= 0:
-                slope[: len(p)] = prior * (gp - 1) / len(p) - prior * gp / len(p)
-                slope[len(p) :] = gu / len(u)
-            else:
-                slope[: len(p)] = prior * gp / len(p)
-                slope[len(p) :] = -gu / len(u)
-            back = np.outer(slope, net.w2) * (hidden > 0)
-            grads = [x.T @ back + DECAY * net.w1, back.sum(axis=0), hidden.T @ slope + DECAY * net.w2, np.array([slope.sum()])]
-            step += 1
-            for q, m, v, gr in zip(params, moment, square, grads):
-                m += 0.1 * (gr - m)
-                v += 0.001 * (gr * gr - v)
-                q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return net
+        # A sum along each row, not a product of matrices, whose last digit depends on a row's place.
+        return 1 / (1 + np.exp(-np.clip((self.inputs(x) * self.w).sum(axis=1), -30, 30)))
+
+
+class Sums(NamedTuple):
+    """What a fit adds up over documents: how many positive and unlabelled ones, what they cost as negatives, the positives' inputs, and of both costs the slope and the upper half of the curvature."""
+
+    n_pos: float
+    n_un: float
+    cost_pos: float
+    cost_un: float
+    x_pos: np.ndarray
+    slope_pos: np.ndarray
+    slope_un: np.ndarray
+    curve_pos: np.ndarray
+    curve_un: np.ndarray
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([np.atleast_1d(np.asarray(v, dtype=np.float64)) for v in self])
+
+    @staticmethod
+    def size(d: int) -> int:
+        return 4 + 3 * d + d * (d + 1)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, d: int) -> Sums:
+        return cls(*flat[:4], *np.split(flat[4 : 4 + 3 * d], 3), *np.split(flat[4 + 3 * d :], 2))
+
+
+def sums_of(scorer: Scorer, x: np.ndarray, marked: np.ndarray) -> Sums:
+    inputs = scorer.inputs(x)
+    f = inputs @ scorer.w
+    g = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    cost, p, u = np.logaddexp(0, f), marked == 1, marked == 0
+    half = np.triu_indices(inputs.shape[1])
+    curve = lambda take: ((inputs[take] * (g * (1 - g))[take, None]).T @ inputs[take])[half]
+    return Sums(p.sum(), u.sum(), cost[p].sum(), cost[u].sum(), inputs[p].sum(axis=0), g[p] @ inputs[p], g[u] @ inputs[u], curve(p), curve(u))
+
+
+def risk_of(t: Sums, w: np.ndarray, prior: float) -> tuple[float, float]:
+    """(the risk, its corner rounded and with its ridge, what negatives cost)."""
+    negative = t.cost_un / t.n_un - prior * t.cost_pos / t.n_pos
+    positive = (t.cost_pos - t.x_pos @ w) / t.n_pos  # the loss of being positive is that of being negative less f
+    return float(prior * positive + np.hypot(negative, ROUND) + RIDGE / 2 * (w @ w)), float(negative)
+
+
+def symmetric(half: np.ndarray, d: int) -> np.ndarray:
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = half
+    return out + np.triu(out, 1).T
+
+
+def minimise(start: Scorer, prior: float, evaluate: Callable[[Scorer], Sums]) -> Scorer:
+    """Newton steps on the risk, without curvature that is not convex, each accepted if it lowers the risk, else shortened."""
+    best, t = start, evaluate(start)
+    risk, negative = risk_of(t, best.w, prior)
+    d, share = len(start.w), 1.0
+    for _ in range(MOST_EVALUATIONS):
+        way = negative / np.hypot(negative, ROUND)  # 1 where negatives cost something, -1 where the descent goes the other way
+        cost = t.slope_un / t.n_un - prior * t.slope_pos / t.n_pos
+        slope = prior * (t.slope_pos - t.x_pos) / t.n_pos + way * cost + RIDGE * best.w
+        curve = prior * (1 - way) * symmetric(t.curve_pos, d) / t.n_pos + max(way, 0) * symmetric(t.curve_un, d) / t.n_un
+        curve += (1 - way**2) / np.hypot(negative, ROUND) * np.outer(cost, cost) + RIDGE * np.eye(d)
+        step = np.linalg.solve(curve, slope)
+        tried = best._replace(w=best.w - share * step)
+        found = evaluate(tried)
+        new, at = risk_of(found, tried.w, prior)
+        if new < risk:
+            gain, best, t, risk, negative = risk - new, tried, found, new, at
+            if gain < LEAST_GAIN:
+                break
+            share = min(1.0, share * 2)
+        elif share * float(slope @ step) < LEAST_GAIN:
+            break
+        else:
+            share /= 4
+    return best
+
+
+def prior_only(prior: float) -> Scorer:
+    """What scores everything alike."""
+    d = N_FEATURES
+    w = np.zeros(d * (1 + len(KNOTS)) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    return Scorer(np.zeros(d), np.ones(d), w)
+
+
+def moments_of(x: np.ndarray) -> np.ndarray:
+    root = np.sqrt(np.maximum(x, 0))
+    return np.concatenate([[len(x)], root.sum(axis=0), (root**2).sum(axis=0)])
+
+
+def begin(moments: np.ndarray, prior: float) -> Scorer:
+    """The scorer that a fit begins with, standardised by the unlabelled documents."""
+    n, total, squares = moments[0], moments[1 : 1 + N_FEATURES], moments[1 + N_FEATURES :]
+    middle = total / n
+    scale = np.sqrt(np.maximum(squares / n - middle**2, 0)) + 1e-3
+    return prior_only(prior)._replace(middle=middle, scale=scale)
 
 
 def held_out(doc_id) -> F.Column:
@@ -157,31 +216,52 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, task, "doc_id long, marked int, x binary")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_positives: int, max_unlabelled: int) -> Scorer:
-    """Fits a scorer on bounded samples: the positives of the learning fold and documents of any label or none."""
+def added(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of sums(features, marked) over (doc_id, marked, x) rows: a row of numbers from each task, added up in SUM_GROUPS groups."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+                total += sums(x, batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for raw in batch.column(1):
+                total += np.frombuffer(raw.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    parts = map_arrow(rows.select("marked", "x"), part, "part int, sums binary").repartition(SUM_GROUPS, "part")
+    found = map_arrow(parts, add, "part int, sums binary").select("sums").collect()  # SUM_GROUPS rows
+    return np.sum([np.frombuffer(r["sums"]) for r in found], axis=0)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Scorer:
+    """Fits a scorer on all positives and all documents, labelled or not, of the learning fold."""
     fold = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     n, ones = fold.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
     prior = min(max((ones + 1) / (n + 2), 0.01), 0.99)
-    order = F.xxhash64("doc_id", F.lit(5))
-    trusted = fold.where("label = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positives).withColumn("marked", F.lit(1))
-    any_ = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(max_unlabelled).withColumn("marked", F.lit(0))
-    chosen = F.broadcast(trusted.unionByName(any_).select(F.col("doc_id").alias("member"), "marked"))  # two bounded samples of ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("member")).select("doc_id", "text", "marked")
-    found = feature_rows(rows).limit(2 * (max_positives + max_unlabelled)).toArrow()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
-    marked, ids = found.column("marked").to_numpy(), found.column("doc_id").to_numpy()
-    order = np.lexsort((ids, marked))
-    x, marked = x[order], marked[order]
-    return fit(x[marked == 1], x[marked == 0], prior)
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("marked")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    unlabelled = cut(feature_rows(rows), "features")
+    trusted = fold.where("label = 1").select("doc_id").distinct()
+    positive = cut(unlabelled.join(trusted, "doc_id", "left_semi").withColumn("marked", F.lit(1)).select("doc_id", "marked", "x"), "positives")
+    if positive.isEmpty():
+        return prior_only(prior)
+    start = begin(added(unlabelled, lambda x, marked: moments_of(x), 1 + 2 * N_FEATURES), prior)
+    both, d = positive.unionByName(unlabelled), len(start.w)
+    return minimise(start, prior, lambda scorer: Sums.of(added(both, lambda x, marked: sums_of(scorer, x, marked).flat(), Sums.size(d)), d))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per input row: doc_id, held_out, score in 0..1 and predicted (1 from 0.5 on); keep: further columns to carry along.
 
     Only the text goes into a score.  A null text is empty and is scored like one; a null id is never learned
     from and not held out; rows that repeat are scored alike; without labels every score is the prior; an empty
     table gives no rows."""
-    scorer = learn(docs, labels, id_col, text_col, label_col, max_positives, max_unlabelled)
+    scorer = learn(docs, labels, id_col, text_col, label_col)
     others = [c for c in keep if c != text_col]  # the text itself goes to the workers once
     carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in others))
     dropped = {"text"} if text_col not in keep else set()

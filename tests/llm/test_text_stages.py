@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridquill.llm import packing, quality, queries, secrets
+from gridquill.llm import textscan as T
 from tests.conftest import DATA
 from tests.llm.fixtures import clashing, empty_docs, odd_docs, odd_texts, prose
 from tests.llm.test_pairs import plain_hits, plain_jaccard
@@ -53,6 +56,67 @@ def test_random_tokens_are_found(spark):
     assert not any(found[1000 + i] for i in range(40))
 
 
+def plain_p(token):
+    """The combined p value of a token, by the formulas with exact normal tails; None without an encoding."""
+    body = token.rstrip("=")
+    name = next((k for k in secrets.ALPHABETS if set(body) <= set(secrets.ALPHABETS[k])), None)
+    if name is None:
+        return None
+    alphabet, n = secrets.ALPHABETS[name], len(body)
+    k, values = len(alphabet), [alphabet.index(c) for c in body]
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    off = n * (k * secrets.ORDINARY[name] - 1)
+    z = (chi - (k - 1) - off) / math.sqrt(2 * (k - 1 + 2 * off))
+    beyond = lambda x: math.erfc(x / math.sqrt(2)) / 2
+    bits = [v >= k // 2 for v in values]
+    ones, runs = sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:]))
+    mean = 2 * ones * (n - ones) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = (abs(runs - mean) + 0.5) / math.sqrt(var) if var > 0 else secrets.NO_VARIATION
+    mu = sum(values) / n
+    spread = sum(v * v for v in values) / n - mu * mu
+    serial = abs((sum(a * b for a, b in zip(values, values[1:])) / (n - 1) - mu * mu) / spread * math.sqrt(n)) if spread > 0 else secrets.NO_VARIATION
+    cot = lambda p: 1 / math.tan(math.pi * p)
+    against = lambda x: -cot(min(max(2 * beyond(x), secrets.LEAST_BEYOND), 1 - secrets.FOR_IT))
+    t = secrets.WEIGHTS[0] * cot(min(max(beyond(-z), secrets.LEAST_P), 1 - secrets.LEAST_P)) + secrets.WEIGHTS[1] * against(z_runs) + secrets.WEIGHTS[2] * against(serial)
+    return math.atan2(1, t) / math.pi
+
+
+def some_tokens():
+    hexes, b64 = random_tokens(30, 8)
+    r = random.Random(9)
+    words = ["".join(r.choice(["anti", "dis", "establish", "ment", "arian", "Word", "Other", "page", "and", "more"]) for _ in range(r.randint(6, 14))) for _ in range(60)]
+    short = ["".join(r.choice("0123456789abcdef") for _ in range(22)) for _ in range(10)]
+    b32 = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(52)) + "==" for _ in range(10)]
+    return [*hexes, *b64, *short, *b32, *(w for w in words if len(w) >= 20) , "0123456789abcdef" * 20, "ab" * 40, "0" * 30, "1234567890" * 5]
+
+
+def test_combined_p(spark):
+    tokens = some_tokens()
+    got = {r["t"]: r["x"]["bin"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.token_tests(F.col("t")).alias("x")).collect()}
+    for t in tokens:
+        p = plain_p(t)
+        assert p is not None and abs(got[t] - min(max((math.log10(p) - secrets.LOWEST) * secrets.BINS_PER_DECADE, 0), secrets.LAST_BIN - 1)) <= 4, t
+    none = spark.range(1).select(secrets.token_tests(F.lit("a+b-c_d/" * 4)).alias("x")).first()["x"]
+    assert none["bin"] == secrets.LAST_BIN
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.3])
+def test_false_discovery_control(spark, rate):
+    """The limits of each stratum are those of the Benjamini-Hochberg procedure over its tokens' p values, each taken as the largest of its bin."""
+    r = random.Random(4)
+    tested = [(s, int(r.choice([r.uniform(0, 60), r.uniform(250, 321)]))) for s in (8, 9, 10) for _ in range(40)] + [(11, secrets.LAST_BIN)]
+    got = {x["stratum"]: x["most"] for x in secrets.thresholds(spark.createDataFrame(tested, "stratum int, bin int"), rate).collect()}
+    want = {}
+    for s in {s for s, _ in tested}:
+        bins = sorted(b for x, b in tested if x == s)
+        p = [10 ** ((b + 1) / secrets.BINS_PER_DECADE + secrets.LOWEST) for b in bins]
+        good = [b for i, (b, q) in enumerate(zip(bins, p)) if b < secrets.LAST_BIN and q * len(bins) <= rate * sum(x <= b for x in bins)]
+        if good:
+            want[s] = max(good)
+    assert got == want
+
+
 def test_redaction(spark):
     rows = [(1, "a password=hunter2hunter2 b"), (2, None), (3, "nothing"), (4, "token=12345678 token=abcdefgh"), (5, f"é {'ab' * 20} x")]
     found = secrets.scan_secrets(odd_docs(spark, rows), keep=("text",))
@@ -96,11 +160,55 @@ def test_quality_odd(spark):
     assert quality.score_quality(empty_docs(spark), labels).count() == quality.score_quality(empty_docs(spark), none).count() == 0
 
 
-def test_risk_gradient():
-    """The fit lowers the non-negative risk and parts two clouds whose prior it is told."""
+def plain_risk(w, inputs, marked, prior):
+    """The risk, a document at a time."""
+    costs = {0: [], 1: []}
+    gains = []
+    for x, m in zip(inputs, marked):
+        f = float(x @ w)
+        costs[m].append(math.log1p(math.exp(-abs(f))) + max(f, 0))  # of being negative
+        if m:
+            gains.append(math.log1p(math.exp(-abs(f))) + max(-f, 0))  # of being positive
+    mean = lambda v: sum(v) / len(v)
+    return prior * mean(gains) + math.hypot(mean(costs[0]) - prior * mean(costs[1]), quality.ROUND) + quality.RIDGE / 2 * float(w @ w)
+
+
+def test_quality_is_the_minimum(spark):
+    """The scores over a small table are those of a plain descent on the risk over the same rows."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    table = docs.select("doc_id", "text").orderBy("doc_id").toArrow()
+    ids = table.column(0).to_pylist()
+    x = np.concatenate([quality.features(s, T.Powers()) for s in T.slices(table.column(1))]).astype(float)
+    learning = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in ids])
+    fold = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    prior = (sum(fold.values()) + 1) / (len(fold) + 2)
+    positive = x[[fold.get(i) == 1 for i in ids]]
+    root = np.sqrt(np.maximum(x[learning], 0))
+    scorer = quality.Scorer(root.mean(axis=0), root.std(axis=0) + 1e-3, np.zeros(quality.N_FEATURES * (1 + len(quality.KNOTS)) + 1))
+    inputs, marked = scorer.inputs(np.concatenate([positive, x[learning]])), [1] * len(positive) + [0] * int(learning.sum())
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    # The weights behind the scores, from the documents' own log odds.
+    odds = np.log(np.array([got[i] for i in ids]) / (1 - np.array([got[i] for i in ids])))
+    w = np.linalg.lstsq(scorer.inputs(x), odds, rcond=None)[0]
+    at = plain_risk(w, inputs, marked, prior)
+    down, step = np.zeros(len(w)), 0.02
+    p, u = inputs[np.array(marked) == 1], inputs[np.array(marked) == 0]
+    for _ in range(4000):
+        gp, gu = 1 / (1 + np.exp(-p @ down)), 1 / (1 + np.exp(-u @ down))
+        negative = np.logaddexp(0, u @ down).mean() - prior * np.logaddexp(0, p @ down).mean()
+        slope = prior * ((gp - 1) @ p) / len(p) + negative / math.hypot(negative, quality.ROUND) * (gu @ u / len(u) - prior * (gp @ p) / len(p)) + quality.RIDGE * down
+        down = down - step * slope
+    assert at <= plain_risk(down, inputs, marked, prior) + 2e-3
+    assert np.mean(np.abs(1 / (1 + np.exp(-scorer.inputs(x) @ down)) - np.array([got[i] for i in ids]))) < 0.1
+
+
+def test_risk_of_two_clouds():
+    """The fit parts two clouds whose prior it is told."""
     rng = np.random.default_rng(0)
     good, bad = rng.gamma(4, 1, (600, quality.N_FEATURES)), rng.gamma(4, 3, (600, quality.N_FEATURES))
-    scorer = quality.fit(good[:300], np.concatenate([good[300:], bad[:300]]), 0.5)
+    un = np.concatenate([good[300:], bad[:300]])
+    x, marked = np.concatenate([good[:300], un]), np.array([1] * 300 + [0] * 600)
+    scorer = quality.minimise(quality.begin(quality.moments_of(un), 0.5), 0.5, lambda s: quality.sums_of(s, x, marked))
     assert np.mean(scorer.scores(bad[300:]) < 0.5) > 0.9 and np.mean(scorer.scores(good) >= 0.5) > 0.9
 
 
