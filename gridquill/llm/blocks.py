@@ -5,6 +5,7 @@ begins (2b - 1 <= w).  So the index needs only the non-overlapping blocks of eac
 b-word window probes it.  A hit is extended to the windows that contain it: where the words around it are
 those around an indexed block of an earlier document all of them repeat at once; otherwise each window around it
 is looked up among the windows around the blocks that were hit.  Windows that repeat join to maximal exact repeats.
+A block may be hit by chance; what decides, surroundings and windows, is told by two 64-bit hashes of its words.
 """
 
 from __future__ import annotations
@@ -36,12 +37,17 @@ class WordSlice:
         self.begin = np.cumsum(counts) - counts
         self.end = self.begin + counts
         up, self.down = pow_.to(len(self.words.hash) + 1)
-        self.total = np.zeros(len(self.words.hash) + 1, dtype=np.uint64)
-        np.cumsum(T.mix(self.words.hash + np.uint64(3)) * up[: len(self.words.hash)], out=self.total[1:])
+        self.total, self.other = np.zeros((2, len(self.words.hash) + 1), dtype=np.uint64)
+        for total, start in ((self.total, 3), (self.other, 11)):
+            np.cumsum(T.mix(self.words.hash + np.uint64(start)) * up[: len(self.words.hash)], out=total[1:])
 
     def run(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return T.mix((self.total[hi] - self.total[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
+    def check(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Another hash of a run: runs alike in both are taken as equal."""
+        return T.mix((self.other[hi] - self.other[lo]) * self.down[lo])
+
     def around(self, at: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the windows whose first whole block is at a place can lie, within its document."""
         doc = self.words.doc[at]
@@ -66,10 +72,10 @@ class BlockIndex:
 
     def __init__(self, rows: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(rows)
-        ids, near, key = column(table, "c2", "<i8"), column(table, "c3", "<u8"), column(table, "c0", "<u4")
+        ids, near, check, key = column(table, "c2", "<i8"), column(table, "c3", "<u8"), column(table, "c4", "<u8"), column(table, "c0", "<u4")
         name = np.repeat(table.column("slice").to_numpy(), entry_counts(table, "c0", 4))
-        first = least_of(ids, near, key)
-        self.at, self.ids, self.near, self.name = column(table, "c1", "<u4")[first], ids[first], near[first], name[first]
+        first = least_of(ids, check, near, key)
+        self.at, self.ids, self.near, self.check, self.name = column(table, "c1", "<u4")[first], ids[first], near[first], check[first], name[first]
         self.keys, self.first = np.unique(key[first], return_index=True)
         self.kinds = np.diff(np.concatenate([self.first, [len(first)]]))
         self.least = np.minimum.reduceat(self.ids, self.first)
@@ -95,16 +101,17 @@ class BlockIndex:
         n = np.where(few, self.kinds[where], 0)
         entry = np.repeat(self.first[where], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         earlier = self.ids[entry] < np.repeat(doc, n)
-        at, near = np.repeat(place, n)[earlier], self.near[entry][earlier]
+        at, near, check = np.repeat(place, n)[earlier], self.near[entry][earlier], self.check[entry][earlier]
         many = place[~few]
-        out = [np.concatenate([at, many]).astype("<u4"), np.concatenate([np.full(len(at), SURE, np.uint8), np.full(len(many), SEEK, np.uint8)]), np.concatenate([near, np.zeros(len(many), np.uint64)])]
+        none = np.zeros(len(many), np.uint64)
+        out = [np.concatenate([at, many]).astype("<u4"), np.concatenate([np.full(len(at), SURE, np.uint8), np.full(len(many), SEEK, np.uint8)]), np.concatenate([near, none]), np.concatenate([check, none])]
         yield answers(np.full(len(out[0]), row.column("slice")[0].as_py(), dtype=np.int64), out)
 
     def end(self) -> Iterator[pa.RecordBatch]:
         """GIVE for the blocks that were hit and whose windows are to be looked up in."""
         give = np.repeat(self.hit, self.kinds)
         if give.any():
-            yield answers(self.name[give], [self.at[give].astype("<u4"), np.full(int(give.sum()), GIVE, np.uint8), self.near[give]])
+            yield answers(self.name[give], [self.at[give].astype("<u4"), np.full(int(give.sum()), GIVE, np.uint8), self.near[give], self.check[give]])
 
 
 class WindowIndex:
@@ -112,14 +119,20 @@ class WindowIndex:
 
     def __init__(self, rows: list[pa.RecordBatch], window: int) -> None:
         table = pa.Table.from_batches(rows)
-        key, ids = column(table, "c0", "<u8"), column(table, "c1", "<i8")
-        first = least_of(ids, key)
-        self.key, self.ids, self.window = key[first], ids[first], window
+        key, ids, check = column(table, "c0", "<u8"), column(table, "c1", "<i8"), column(table, "c3", "<u8")
+        first = least_of(ids, check, key)
+        self.key, self.check, self.ids, self.window = key[first], check[first], ids[first], window
 
     def answer(self, row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        mine, doc, at = (np.frombuffer(row.column(c)[0].as_buffer(), k) for c, k in (("c0", "<u8"), ("c1", "<i8"), ("c2", "<u4")))
+        mine, doc, at, check = (np.frombuffer(row.column(c)[0].as_buffer(), k) for c, k in (("c0", "<u8"), ("c1", "<i8"), ("c2", "<u4"), ("c3", "<u8")))
         where = np.minimum(np.searchsorted(self.key, mine), len(self.key) - 1)
-        gone = at[(self.key[where] == mine) & (self.ids[where] < doc)]
+        while True:  # on to the next of other windows with the same first hash
+            next_ = np.minimum(where + 1, len(self.key) - 1)
+            wrong = (self.key[where] == mine) & (self.check[where] < check) & (self.key[next_] == mine) & (next_ > where)
+            if not wrong.any():
+                break
+            where = np.where(wrong, next_, where)
+        gone = at[(self.key[where] == mine) & (self.check[where] == check) & (self.ids[where] < doc)]
         if len(gone):
             spans = np.stack([gone, gone + np.uint32(self.window)], axis=1).astype("<u4")
             yield pa.RecordBatch.from_arrays([row.column("slice"), pa.array([spans.tobytes()], pa.binary())], names=["slice", "c0"])
@@ -181,10 +194,10 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
                 short = (key >> np.uint64(32)).astype(np.uint32)
                 aligned = np.flatnonzero(inside % block == 0)
                 # One block, of the slice's least document, stands for all with the same surroundings.
-                near = ws.surroundings(at[aligned], window, block)
-                first = least_of(h.ids[doc[aligned]], near, key[aligned])
-                aligned, near = aligned[first], near[first]
-                index = dealt(h.name, bucket[aligned], count, [short[aligned], at[aligned].astype(np.uint32), h.ids[doc[aligned]], near], INDEX)
+                near, check = ws.surroundings(at[aligned], window, block), ws.check(*ws.around(at[aligned], window, block))
+                first = least_of(h.ids[doc[aligned]], check, near, key[aligned])
+                aligned, near, check = aligned[first], near[first], check[first]
+                index = dealt(h.name, bucket[aligned], count, [short[aligned], at[aligned].astype(np.uint32), h.ids[doc[aligned]], near, check], INDEX)
                 order = np.argsort(bucket.astype(np.uint32), kind="stable")
                 bucket, short, at, doc = bucket[order], short[order], at[order], doc[order]
                 rows = dealt_probes(h, bucket, count, short, at, doc)
@@ -207,28 +220,28 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
             columns[2].append(h.ids[doc[a:b][heads]].astype("<i8").tobytes())
             columns[3].append(runs.astype("<u4").tobytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), PROBE, np.int32)), pa.array(np.full(len(some), h.name, np.int64)), *(pa.array(c, pa.binary()) for c in columns)],
-            names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3"],
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), PROBE, np.int32)), pa.array(np.full(len(some), h.name, np.int64)), *(pa.array(c, pa.binary()) for c in columns), pa.nulls(len(some), pa.binary())],
+            names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3", "c4"],
         )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Answers (place, what, surroundings) of BlockIndex."""
         return probed(batches, BlockIndex)
 
-    found = cut(map_arrow(by_bucket(map_arrow(slices, probe, dealt_schema(4)), count), match, answers_schema(3)), "hits")
+    found = cut(map_arrow(by_bucket(map_arrow(slices, probe, dealt_schema(5)), count), match, answers_schema(4)), "hits")
 
     def extend(h: Held, right: pa.Table) -> Iterator[pa.RecordBatch]:
         if not right.num_rows:
             return
         ws = WordSlice(h, powers_())
-        at, what, near = column(right, "c0", "<u4").astype(np.int64), column(right, "c1", "u1"), column(right, "c2", "<u8")
-        mine = ws.surroundings(at, window, block)
+        at, what = column(right, "c0", "<u4").astype(np.int64), column(right, "c1", "u1")
         lo, hi = ws.around(at, window, block)
+        same = (ws.surroundings(at, window, block) == column(right, "c2", "<u8")) & (ws.check(lo, hi) == column(right, "c3", "<u8"))
         hit = what != GIVE
-        done = np.unique(at[hit & (what == SURE) & (mine == near) & (hi - lo >= window)])
+        done = np.unique(at[hit & (what == SURE) & same & (hi - lo >= window)])
         spans = np.stack(ws.around(done, window, block), axis=1).astype("<u4") if len(done) else np.zeros((0, 2), "<u4")
         if len(done):
-            yield pa.RecordBatch.from_arrays([pa.array([h.name % count], pa.int32()), pa.array([SPANS], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["bucket", "kind", "slice", "c0", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array([h.name % count], pa.int32()), pa.array([SPANS], pa.int32()), pa.array([h.name]), pa.array([spans.tobytes()], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(3))], names=["bucket", "kind", "slice", "c0", "c1", "c2", "c3"])
         for kind, places in ((INDEX, np.unique(at[~hit])), (PROBE, np.setdiff1d(at[hit], done))):
             if not len(places):
                 continue
@@ -243,16 +256,16 @@ def remove_seen_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "do
                 begin = begin[np.cumsum(inside)[begin] <= 0]
             if not len(begin):
                 continue
-            key, ids = ws.run(begin, begin + window), h.ids[ws.words.doc[begin]]
+            key, check, ids = ws.run(begin, begin + window), ws.check(begin, begin + window), h.ids[ws.words.doc[begin]]
             if kind == INDEX:
-                first = least_of(ids, key)
-                key, ids, begin = key[first], ids[first], begin[first]
-            yield dealt(h.name, key % np.uint64(count), count, [key, ids, begin.astype(np.uint32)], kind)
+                first = least_of(ids, check, key)
+                key, check, ids, begin = key[first], check[first], ids[first], begin[first]
+            yield dealt(h.name, key % np.uint64(count), count, [key, ids, begin.astype(np.uint32), check], kind)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return probed(batches, lambda rows: WindowIndex(rows, window))
 
-    spans = cut(map_arrow(by_bucket(with_answers(slices, found, extend, dealt_schema(3)), count), settle, answers_schema(1)), "windows")
+    spans = cut(map_arrow(by_bucket(with_answers(slices, found, extend, dealt_schema(4)), count), settle, answers_schema(1)), "windows")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept string"
 
     def finish(h: Held, right: pa.Table) -> Iterator[pa.RecordBatch]:
