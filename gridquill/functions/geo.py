@@ -157,3 +157,31 @@ def clip_to_convex(x1: Column, y1: Column, x2: Column, y2: Column, ring: Ring) -
     point = lambda t, a, b: a + t * (b - a)
     part = F.struct(point(low, x1, x2).alias("x1"), point(low, y1, y2).alias("y1"), point(high, x1, x2).alias("x2"), point(high, y1, y2).alias("y2"))
     return F.when(~outside & (low < high) & ((x1 != x2) | (y1 != y2)), part)
+
+
+def clip_to_polygon(x1: Column, y1: Column, x2: Column, y2: Column, rings: Sequence[Ring]) -> Column:
+    """array<struct<x1, y1, x2, y2>> of the parts of a segment inside any polygon, even-odd over its rings.
+
+    The segment is cut where it meets a side; a part is inside if its middle is."""
+    sides = F.array(*(F.struct(*(number(v).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), e))) for e in edges_of(rings)))
+    dx, dy = x2 - x1, y2 - y1
+
+    def cut(e: Column) -> Column:
+        ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
+        across = F.nullif(dx * ey - dy * ex, number(0))
+        t, u = ((e["ax"] - x1) * ey - (e["ay"] - y1) * ex) / across, ((e["ax"] - x1) * dy - (e["ay"] - y1) * dx) / across
+        return F.when((t > 0) & (t < 1) & u.between(0, 1), t)
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(number(0), number(1)), F.filter(F.transform(sides, cut), lambda t: t.isNotNull()))))
+    pairs = F.arrays_zip(F.slice(cuts, 1, F.size(cuts) - 1).alias("a"), F.slice(cuts, 2, F.size(cuts)).alias("b"))
+    at = lambda t: (x1 + t * dx, y1 + t * dy)
+
+    def inside(p: Column) -> Column:
+        mx, my = at((p["a"] + p["b"]) / 2)
+        return F.size(F.filter(sides, lambda e: (e["ay"] != e["by"]) & _crosses(mx, my, e["ax"], e["ay"], e["bx"], e["by"]))) % 2 == 1
+
+    def part(p: Column) -> Column:
+        (a, b), (c, d) = at(p["a"]), at(p["b"])
+        return F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
+
+    return F.when((dx != 0) | (dy != 0), F.transform(F.filter(pairs, inside), part))

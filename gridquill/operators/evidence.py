@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import text as tx
 from gridquill.sources.catalog import SECTIONS
+from gridquill.sources.shared import cut, work_dir
 
 #: Fields of a piece of evidence that slices may lack.
 FIELDS = {"kind": "string", "source": "string", "title": "string", "pub_date": "string", "validation": "string", "temporal": "string", "url": "string", "score": "double", "doc_id": "string", "chunk_id": "string", "adjusted": "boolean", "text": "string"}
@@ -111,18 +112,49 @@ def claim_edges(claimed: DataFrame) -> DataFrame:
     return cites.unionByName(sections).distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, forward: bool = True, max_steps: int = 100) -> DataFrame:
+#: Rounds of one step each before chains are taken in jumps, and the jumps of a round: 2 ** JUMPS steps.
+PLAIN_ROUNDS, JUMPS = 8, 10
+
+
+def reachable(edges: DataFrame, starts: DataFrame, forward: bool = True, max_steps: int | None = None) -> DataFrame:
     """(start, node) of all nodes that edges (src, dst) lead to from each start (start), itself included.
 
-    A recursive query whose every round joins only the nodes that are new; reached nodes of a round are distinct."""
+    A round joins only what the last one has newly reached to the edges, and drops by an anti join what is reached
+    already; so cycles end, and a node with many paths counts once.  Rounds are written, none is kept in the plan.  After
+    PLAIN_ROUNDS nodes with a single successor are left by jumps of 1, 2, 4... steps, so that a chain takes few rounds.
+    Edges and starts with a null are left out; max_steps ends the walk after so many steps."""
     spark = edges.sparkSession
     a, b = ("src", "dst") if forward else ("dst", "src")
-    names = {"e": edges.select(F.col(a).alias("f"), F.col(b).alias("t")).distinct(), "s": starts.select("start").distinct()}
-    return spark.sql(
-        "WITH RECURSIVE walk(start, node, step) MAX RECURSION LEVEL 100 AS ("
-        "SELECT start, start, 0 FROM {s} UNION ALL SELECT w.start, e.t, w.step + 1 FROM walk w JOIN {e} e ON w.node = e.f WHERE w.step < " + str(int(max_steps)) + ") SELECT DISTINCT start, node FROM walk",
-        **names,
-    )
+    root = work_dir(spark, "reachable")
+    steps = cut(edges.select(F.col(a).cast("string").alias("node"), F.col(b).cast("string").alias("next")).where("node is not null and next is not null").distinct(), f"{root}/steps")
+    rounds, jumps = f"{root}/rounds", None
+    starts.select(F.col("start").cast("string").alias("start"), F.col("start").cast("string").alias("node")).where("start is not null").distinct().write.parquet(f"{rounds}/round=0")
+    schema, at = "start string, node string, round int", 0
+    while max_steps is None or at < max_steps:
+        reached = spark.read.schema(schema).parquet(rounds)
+        new = reached.where(F.col("round") == at).join(steps, "node").select("start", F.col("next").alias("node")).distinct()
+        if at >= PLAIN_ROUNDS and max_steps is None:
+            jumps = jumps or chain_jumps(steps, f"{root}/jumps")
+            for k in range(JUMPS):
+                step = jumps.where(F.col("k") == k).select("node", "next")
+                both = F.array_compact(F.array("node", "next"))
+                new = new.join(step, "node", "left").select("start", F.explode(both).alias("node")).distinct()
+        at += 1
+        new.join(reached, ["start", "node"], "left_anti").write.parquet(f"{rounds}/round={at}")
+        if spark.read.schema("start string, node string").parquet(f"{rounds}/round={at}").isEmpty():
+            break
+    return spark.read.schema(schema).parquet(rounds).select("start", "node")
+
+
+def chain_jumps(steps: DataFrame, path: str) -> DataFrame:
+    """(k, node, next): where 2 ** k steps lead from a node, of nodes from which each of these steps is the only one."""
+    spark = steps.sparkSession
+    now = steps.groupBy("node").agg(F.min("next").alias("next"), F.count("*").alias("n")).where("n = 1").select("node", "next")
+    for k in range(JUMPS):
+        now.write.parquet(f"{path}/k={k}")
+        now = spark.read.schema(now.schema).parquet(f"{path}/k={k}")
+        now = now.join(now.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next"))
+    return spark.read.schema("node string, next string, k int").parquet(path)
 
 
 def used_citations(claimed: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -86,13 +86,22 @@ def roads_in_hazard(vertices: DataFrame, cells: DataFrame, grid: Grid, area: Seq
     return filled.where("severity >= 1").join(F.broadcast(totals), how="cross")  # six rows by one
 
 
+def near_segments(vertices: DataFrame, area: Sequence[geo.Ring]) -> DataFrame:
+    """Segments whose bounds meet the area's."""
+    x1, y1, x2, y2 = geo.bounds_of(area)
+    return segments(vertices).where((F.greatest("x1", "x2") >= x1) & (F.least("x1", "x2") <= x2) & (F.greatest("y1", "y2") >= y1) & (F.least("y1", "y2") <= y2))
+
+
 def clip_roads(vertices: DataFrame, ring: geo.Ring) -> DataFrame:
     """(fid, idx, x1, y1, x2, y2): the parts of segments inside a convex ring."""
     part = geo.clip_to_convex(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), ring)
-    near = segments(vertices)
-    x1, y1, x2, y2 = geo.bounds_of([ring])
-    boxed = near.where((F.greatest("x1", "x2") >= x1) & (F.least("x1", "x2") <= x2) & (F.greatest("y1", "y2") >= y1) & (F.least("y1", "y2") <= y2))
-    return boxed.select("fid", "idx", part.alias("part")).where(F.col("part").isNotNull()).select("fid", "idx", "part.*")
+    return near_segments(vertices, [ring]).select("fid", "idx", part.alias("part")).where(F.col("part").isNotNull()).select("fid", "idx", "part.*")
+
+
+def clip_roads_to_area(vertices: DataFrame, area: Sequence[geo.Ring]) -> DataFrame:
+    """(fid, idx, x1, y1, x2, y2): the parts of segments inside any area; a segment that leaves and comes back has several."""
+    parts = geo.clip_to_polygon(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), area)
+    return near_segments(vertices, area).select("fid", "idx", F.explode(parts).alias("part")).select("fid", "idx", "part.*")
 
 
 def road_max_severity(vertices: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
@@ -119,6 +128,20 @@ def identify(places: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     return keyed.join(table, ["__row", "__col"], "left").drop("__row", "__col")
 
 
+def identify_hits(cursors: DataFrame, features: DataFrame, cells: DataFrame, grid: Grid, reach: Grid) -> DataFrame:
+    """(cursor_id, at, layer, name, severity): what lies under each cursor (cursor_id, lon, lat), topmost first.
+
+    Features (ord, layer, fid, name, severity, lon, lat) are hit that share the cursor's cell of the reach grid, those of a
+    higher ord, which are drawn later, above others; the raster's pixel comes last, without a name."""
+    keys = {"__row": geo.grid_row(F.col("lat"), reach.y0, reach.py), "__col": geo.grid_col(F.col("lon"), reach.x0, reach.px)}
+    mine = features.where(F.col("severity").isNotNull()).withColumns(keys).select("__row", "__col", "ord", "fid", "layer", "name", "severity")
+    vector = cursors.withColumns(keys).join(mine, ["__row", "__col"]).select("cursor_id", F.lit(0).alias("kind"), "ord", "fid", "layer", "name", "severity")
+    none = {"ord": F.lit(0), "fid": F.lit(0).cast("long"), "layer": F.lit("raster"), "name": F.lit(None).cast("string")}
+    raster = identify(cursors, cells, grid).where(F.col("pixel").isNotNull()).select("cursor_id", F.lit(1).alias("kind"), *(v.alias(k) for k, v in none.items()), F.col("pixel").alias("severity"))
+    order = Window.partitionBy("cursor_id").orderBy("kind", F.col("ord").desc(), "fid")
+    return vector.unionByName(raster).select("cursor_id", F.row_number().over(order).alias("at"), "layer", "name", "severity")
+
+
 def extent(vertices: DataFrame) -> DataFrame:
     """One row: bounds of all corners."""
     return vertices.agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))

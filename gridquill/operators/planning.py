@@ -6,7 +6,8 @@ precomputed risk raster, level 2 one recomputed from a hazard and weighted vulne
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,3 +138,16 @@ def needed_layers(operation: str, layer: str | None = None) -> list[str]:
     if operation not in READS:
         raise ValueError(f"unknown operation {operation}")
     return [*READS[operation], *([layer] if layer else [])]
+
+
+def dispatch(operations: Mapping[str, Callable[..., DataFrame]], operation: str, **arguments: Any) -> tuple[DataFrame | None, str | None]:
+    """(the operation's result, None), or (None, why there is none): whatever goes wrong, also when the result is first
+    computed, is told as a refusal and no other answer takes its place.  The result is the bounded table of an answer."""
+    try:
+        if operation not in operations:
+            raise ValueError(f"unknown operation {operation}")
+        found = operations[operation](**arguments)
+        rows = found.collect()  # an answer: a row for each layer or class
+        return found.sparkSession.createDataFrame(rows, found.schema), None
+    except Exception as e:
+        return None, f"No data for that request: {str(e).splitlines()[0] if str(e) else type(e).__name__}"

@@ -89,14 +89,27 @@ def search(chunks: DataFrame, query: Sequence[float], k: int = TOP_K, floor: flo
     return top.withColumn("score", F.round("__sim", 4)).drop("__sim")
 
 
-def search_many(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+#: Queries of a block: what one row carries, and what is broadcast at most.
+QUERY_BLOCK = 512
+
+
+def search_many(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, chunk id, score, rank): the k nearest chunks of every query (query_id, vector).
 
-    Queries travel to the chunks as one array, so this is for a stated, bounded set of them; each task keeps
-    the best of its own chunks before anything is shuffled."""
-    table = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", vx.normalised(F.col("vector")).alias("v"))).alias("__q")))
-    scored = chunks.select(F.col(id_col).alias("id"), vx.normalised(F.col(vector_col)).alias("__v")).join(table, how="cross")
-    rows = scored.select("id", F.explode(F.transform("__q", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(vx.dot(F.col("__v"), q["v"]), 4).alias("score")))).alias("r")).select("id", "r.*")
+    Queries are counted and dealt into blocks of about `block`, a row each.  A single block is broadcast; of more, each
+    meets every part of the chunks in a join on the part, so a task holds a block and its own chunks, however many queries
+    there are.  Each task keeps the best of its own chunks before the partial results meet by query."""
+    n = max(1, -(-queries.count() // block))
+    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("__block"), F.struct("query_id", vx.normalised(F.col("vector")).alias("v")).alias("q"))
+    table = dealt.groupBy("__block").agg(F.collect_list("q").alias("__q"))
+    scored = chunks.select(F.col(id_col).alias("id"), vx.normalised(F.col(vector_col)).alias("__v"))
+    if n == 1:
+        both = scored.join(F.broadcast(table), how="cross")  # one row
+    else:
+        parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = scored.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(spread.hint("shuffle_hash"), "__part")
+    rows = both.select("id", F.explode(F.transform("__q", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(vx.dot(F.col("__v"), q["v"]), 4).alias("score")))).alias("r")).select("id", "r.*")
     # A row number with a limit is turned into a partial top-k in front of the shuffle.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -119,6 +132,11 @@ def search_report(chunks: DataFrame, query: Sequence[float], k: int = TOP_K, flo
     return sums.join(F.broadcast(hits), how="cross").select("n_docs", "n_match", "n_hits", decline_note(F.col("n_docs"), F.col("n_match"), F.col("n_hits"), floor).alias("note"))
 
 
+def trace(doc_id: Column, url: Column, archived: Column, prefix: str = "") -> Column:
+    """struct<source_url, archived_copy, doc_id>: where a citation leads; archived_copy is null where no copy is kept."""
+    return F.struct(tx.blank_to_null(url).alias("source_url"), F.when(archived, F.concat(F.lit(prefix), doc_id)).alias("archived_copy"), doc_id.alias("doc_id"))
+
+
 def source_line(n: Column, source: Column, *more: Column) -> Column:
     """[n] source — what else there is."""
     return F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.concat_ws(" — ", F.coalesce(tx.blank_to_null(source), F.lit("unknown source")), *(tx.blank_to_null(m) for m in more)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +70,30 @@ def stale_at(fresh: DataFrame) -> DataFrame:
     """One row: n, n_stale, and the earliest fetch among stale entries, in ISO form."""
     first = F.min(F.when(F.col("stale"), F.col("fetched_at")))
     return fresh.agg(F.count("*").alias("n"), F.count_if("stale").alias("n_stale"), F.date_format(first, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_good_fetch"))
+
+
+#: Words by which a reply tells an option.
+CHOICE_WORDS = {"exposure": ("exposure", "raw", "hazard", "flooded", "expos"), "risk-L1": ("l1", "precomp", "official"), "risk-L2": ("l2", "recomp", "comput", "custom", "weight")}
+
+
+def picked(reply: Column, options: Column) -> Column:
+    """The option that a reply picks: by a leading digit within the options, else the first one whose words it has, else the first."""
+    said = F.lower(F.trim(F.coalesce(reply, F.lit(""))))
+    digit = F.nullif(F.regexp_extract(said, r"^([0-9])", 1), F.lit("")).cast("int")
+    told = F.lit(False)
+    names = lambda o: [((o == name) & said.rlike("|".join(words))) for name, words in CHOICE_WORDS.items()]
+    by_word = F.filter(options, lambda o: functools.reduce(lambda a, b: a | b, names(o), told))
+    return F.when(digit.between(1, F.size(options)), F.get(options, digit - 1)).otherwise(F.coalesce(F.get(by_word, F.lit(0)), F.get(options, F.lit(0))))
+
+
+def pauses(messages: DataFrame) -> DataFrame:
+    """(thread_id, asked, answered, option): every pause of a thread (thread_id, turn, role, content, options) for a choice.
+
+    A message with options asks and pauses the thread; the next user message resumes it with what it picks.  A
+    question that another one follows first is void; one without a reply has a null answered and is awaited still."""
+    order = Window.partitionBy("thread_id").orderBy("turn", "role")
+    asks, says = F.coalesce(F.size("options") > 0, F.lit(False)), F.col("role") == "user"
+    marked = messages.select("thread_id", "turn", "content", "options", asks.alias("asks"), (says & ~asks).alias("says"), "role").where("asks or says")
+    followed = marked.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("turn", "content", "says")))
+    told = followed.where(F.col("asks") & F.coalesce(F.col("next_says"), F.lit(True)))
+    return told.select("thread_id", F.col("turn").alias("asked"), F.col("next_turn").alias("answered"), F.when(F.col("next_turn").isNotNull(), picked(F.col("next_content"), F.col("options"))).alias("option"))

@@ -56,7 +56,7 @@ QUERIES = {f.__name__: f for f in (layer_menu, geometry_kinds, request_arguments
 _SHARED = ", ".join(f"({i}, '{h[1]}', '{h[0]} classes')" for i, h in enumerate(catalog.HAZARDS) if h[1] not in INTERNAL)
 ORACLE_SQL = {
     "layer_menu": f"""WITH shared(ord, layer, d) AS (VALUES {_SHARED}), own AS (SELECT DISTINCT n_regionkey AS t, CASE WHEN n_nationkey % 5 = 0 THEN 99 ELSE n_nationkey + 100 END AS ord, CASE WHEN n_nationkey % 5 = 0 THEN 'hazard_flood' ELSE lower(n_name) END AS layer,
-        CASE WHEN n_nationkey % 5 = 0 THEN 'own flood' ELSE 'own ' || n_nationkey END AS d FROM nation WHERE n_regionkey < 3),
+        CASE WHEN n_nationkey % 5 = 0 THEN 'own flood' ELSE 'own ' || n_nationkey END AS d FROM nation),
         listed AS (SELECT t, ord, layer, d FROM own UNION ALL SELECT t, s.ord, s.layer, s.d FROM (SELECT DISTINCT t FROM own) CROSS JOIN shared s),
         kept AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY t, layer ORDER BY ord DESC) = 1)
         SELECT t AS thread_id, string_agg('- ' || layer || ': ' || d, chr(10) ORDER BY ord, layer) AS menu FROM kept GROUP BY t""",

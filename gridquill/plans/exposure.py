@@ -12,6 +12,8 @@ from gridquill.sources import tables as t
 
 MIN_SEVERITY = 1
 CLIP_BOX = (103.1001, 13.7501, 103.4001, 13.9501)
+#: An area with a notch and a hole.
+NOTCHED = [[(103.0501, 13.7501), (103.4501, 13.7501), (103.4501, 13.9701), (103.2501, 13.8203), (103.0501, 13.9701)], [(103.1501, 13.7701), (103.2001, 13.7701), (103.1701, 13.8101)]]
 VULNERABILITY = {"vuln_a": 0.4, "vuln_b": 0.35, "vuln_coarse": 0.25}
 
 # Parts of the SQL twins.
@@ -91,6 +93,22 @@ def road_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts.groupBy("fid").agg(F.count("*").alias("n_parts"), F.sum(km).alias("km")), 4, "km")
 
 
+def road_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads clipped to a ring that is not convex, with a hole."""
+    parts = overlay.clip_roads_to_area(t.vertices(spark, sf_dir), NOTCHED)
+    km = geo.haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return rounded(parts.groupBy("fid").agg(F.count("*").alias("n_parts"), F.sum(km).alias("km")), 4, "km")
+
+
+def identify_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies under a cursor at each supplier's place: assets of its cell, schools drawn last, and the pixel."""
+    k = F.col("s_suppkey")
+    cursors = t.read(spark, sf_dir, "supplier").select(k.alias("cursor_id"), (F.lit(103.0) + (k % 60 + 0.5) * 0.01).alias("lon"), (F.lit(14.0) - (F.floor(k / 60) % 60 + 0.5) * 0.01).alias("lat"))
+    ord_ = F.when(F.col("layer") == "hospitals", 0).when(F.col("layer") == "buildings", 1).otherwise(2)
+    features = t.assets(spark, sf_dir).select(ord_.alias("ord"), "layer", "fid", "name", F.when(F.col("fid") % 4 != 0, (F.col("fid") % 6).cast("int")).alias("severity"), "lon", "lat")
+    return overlay.identify_hits(cursors, features, hazard(spark, sf_dir), t.FINE, t.FINE)
+
+
 def road_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(overlay.extent(t.vertices(spark, sf_dir)), 6, "min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -154,7 +172,7 @@ def dissolved_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_extent, feature_counts, identify_pixels, mercator_assets,
+        count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_clip_area, road_extent, feature_counts, identify_pixels, identify_features, mercator_assets,
         hazard_window_clip, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area,
     )
 }
@@ -209,6 +227,17 @@ ORACLE_SQL = {
         WHERE (dx <> 0 OR x1 BETWEEN {_X1} AND {_X2}) AND (dy <> 0 OR y1 BETWEEN {_Y1} AND {_Y2}) AND (dx <> 0 OR dy <> 0)),
         q AS (SELECT fid, x1 + lo * dx AS x1, y1 + lo * dy AS y1, x1 + hi * dx AS x2, y1 + hi * dy AS y2 FROM p WHERE lo < hi)
         SELECT fid, count(*) AS n_parts, round(sum({KM}), 4) AS km FROM q GROUP BY fid""",
+    "road_clip_area": f"""WITH {VERTICES}, e(s1, t1, s2, t2) AS (VALUES {", ".join("(" + ", ".join(f"{v!r}::double" for v in x) + ")" for x in geo.edges_of(NOTCHED))}),
+        d AS (SELECT fid, idx, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM segments WHERE x2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)),
+        c AS (SELECT d.*, ((s1 - x1) * (t2 - t1) - (t1 - y1) * (s2 - s1)) / (dx * (t2 - t1) - dy * (s2 - s1)) AS t, ((s1 - x1) * dy - (t1 - y1) * dx) / (dx * (t2 - t1) - dy * (s2 - s1)) AS u FROM d CROSS JOIN e WHERE dx * (t2 - t1) - dy * (s2 - s1) <> 0),
+        ts AS (SELECT fid, idx, x1, y1, dx, dy, t FROM c WHERE t > 0 AND t < 1 AND u BETWEEN 0 AND 1 UNION SELECT fid, idx, x1, y1, dx, dy, unnest([0.0::double, 1.0::double]) FROM d),
+        p AS (SELECT *, lead(t) OVER (PARTITION BY fid, idx ORDER BY t) AS t2 FROM ts), m AS (SELECT *, x1 + (t + t2) / 2 * dx AS mx, y1 + (t + t2) / 2 * dy AS my FROM p WHERE t2 IS NOT NULL),
+        q AS (SELECT fid, x1 + t * dx AS x1, y1 + t * dy AS y1, x1 + t2 * dx AS x2, y1 + t2 * dy AS y2 FROM m WHERE (SELECT count(*) FROM e WHERE (t1 > m.my) <> (t2 > m.my) AND m.mx < (s2 - s1) * (m.my - t1) / (t2 - t1) + s1) % 2 = 1)
+        SELECT fid, count(*) AS n_parts, round(sum({KM}), 4) AS km FROM q GROUP BY fid""",
+    "identify_features": f"""WITH {ASSETS}, cur AS (SELECT s_suppkey AS cursor_id, CAST(floor((14.0::double - (14.0::double - ((s_suppkey // 60) % 60 + 0.5::double) * 0.01::double)) / 0.01::double) AS INT) AS r, CAST(floor((103.0::double + (s_suppkey % 60 + 0.5::double) * 0.01::double - 103.0::double) / 0.01::double) AS INT) AS c FROM supplier),
+        f AS (SELECT CASE layer WHEN 'hospitals' THEN 0 WHEN 'buildings' THEN 1 ELSE 2 END AS ord, layer, fid, name, CAST(fid % 6 AS INT) AS severity, CAST(floor((14.0::double - lat) / 0.01::double) AS INT) AS r, CAST(floor((lon - 103.0::double) / 0.01::double) AS INT) AS c FROM assets WHERE fid % 4 <> 0),
+        h AS (SELECT cursor_id, 0 AS kind, ord, fid, layer, name, severity FROM cur JOIN f USING (r, c) UNION ALL SELECT cursor_id, 1, 0, 0, 'raster', NULL, CAST(floor(v + 0.5) AS INT) FROM cur JOIN {CELLS["hazard"]} k USING (r, c) WHERE v > 0)
+        SELECT cursor_id, CAST(row_number() OVER (PARTITION BY cursor_id ORDER BY kind, ord DESC, fid) AS INT) AS at, layer, name, severity FROM h""",
     "road_extent": f"WITH {VERTICES} SELECT round(min(lon), 6) AS min_lon, round(min(lat), 6) AS min_lat, round(max(lon), 6) AS max_lon, round(max(lat), 6) AS max_lat FROM vertices",
     "feature_counts": f"WITH {ASSETS} SELECT layer, count(*) AS n FROM assets GROUP BY layer",
     "identify_pixels": f"WITH {ASSETS} SELECT fid, CAST(floor(k.v - 0.4 + 0.5) AS INT) AS pixel FROM assets a LEFT JOIN (SELECT * FROM {CELLS['hazard']} WHERE v - 0.4 > 0) k ON k.r = CAST(floor((14.0::double - lat) / 0.01::double) AS INT) AND k.c = CAST(floor((lon - 103.0::double) / 0.01::double) AS INT)",

@@ -18,8 +18,6 @@ K, FLOOR, LABEL, TARGET, LINE = 10, 0.5, 3, 600, r"\n"
 STORED_BELOW, AS_OF = 100, "1997-05"
 #: Coefficients of a stated query vector: component i is cos(i), at unit length by the engine.
 QUERY = [math.cos(i) for i in range(64)]
-#: Documents that the SQL takes for evidence; the queries search all of them.
-EVIDENCE_IDS = range(1, 9)
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +198,13 @@ def used_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.used_citations(ev.claims(t.drafts(spark, sf_dir)), evidence(spark, sf_dir)).select("n", "kind", "used")
 
 
+def document_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document of the library can be found; texts of an even length have an archived copy."""
+    rows = t.library(spark, sf_dir)
+    url = F.when(F.col("row_id") % 4 != 0, F.concat(F.lit("https://example.org/"), F.col("row_id").cast("string"))).otherwise(" ")
+    return rows.select("row_id", rt.trace(F.col("doc_id"), url, F.length("text") % 2 == 0, "archive/").alias("x")).select("row_id", "x.*")
+
+
 def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of pages: scripts, styles and tags taken out.  An extension."""
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
@@ -211,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_ids, dedupe_ingest, chunk_documents, corpus_documents, corpus_count, vector_topk, filtered_vector_topk, relevance_floor_decline, vector_topk_many, source_block, required_provenance, cited_numbers, number_tokens,
-        evidence_union, evidence_stats, evidence_feeds, grouped_sources, sources_text, phantom_citations, uncited_paragraphs, groundedness_report, brief_claims, claim_edges, provenance_reachability, used_citations, page_text_extract,
+        evidence_union, evidence_stats, evidence_feeds, grouped_sources, sources_text, phantom_citations, uncited_paragraphs, groundedness_report, brief_claims, claim_edges, provenance_reachability, used_citations, document_traces, page_text_extract,
     )
 }
 
@@ -228,7 +233,7 @@ _CHUNKS = rf"""RECURSIVE paras AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, i,
  pack AS (SELECT doc_id, 1::BIGINT AS k, 0 AS ord, piece AS now FROM pieces WHERE k = 1
   UNION ALL SELECT p.doc_id, n.k, CASE WHEN length(p.now) + length(n.piece) + 2 <= {TARGET} THEN p.ord ELSE p.ord + 1 END, CASE WHEN length(p.now) + length(n.piece) + 2 <= {TARGET} THEN p.now || chr(10) || chr(10) || n.piece ELSE n.piece END FROM pack p JOIN pieces n ON n.doc_id = p.doc_id AND n.k = p.k + 1),
  chunks AS (SELECT doc_id, ord, arg_max(now, k) AS text FROM pack GROUP BY doc_id, ord)"""
-_DRAFTS = """drafts AS (SELECT doc_id AS draft_id, CASE WHEN doc_id % 3 = 0 THEN '## What history says' ELSE '## The current signal' END || chr(10) || string_split(coalesce(text, ''), chr(10))[1] ||
+_DRAFTS = """drafts AS (SELECT doc_id AS draft_id, CASE WHEN doc_id % 3 = 0 THEN '## What history says' ELSE '## The current signal' END || chr(10) || coalesce(text, '') ||
  CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' [' || doc_id % 12 || ']' WHEN 2 THEN ' [' || doc_id % 9 || ', ' || doc_id % 9 + 1 || ']' WHEN 3 THEN ' [' || doc_id % 5 || '-' || doc_id % 5 + 2 || ']'
  WHEN 4 THEN ' [' || doc_id % 5 || '–' || doc_id % 5 + 1 || ', 7]' WHEN 5 THEN ' [9-4] [1200]' ELSE ' about ' || doc_id % 40 || ',' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '.5 tonnes [2]' END ||
  CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || '## Sources' || chr(10) || 'none' || chr(10) || chr(10) || '## Season timing caveat' || chr(10) || 'plain words only' ELSE chr(10) || chr(10) || '## What''s missing and how to weigh it' || chr(10) || 'nothing much [1]' END AS draft FROM documents)"""
@@ -245,13 +250,18 @@ def _cites_sql(text: str) -> str:
 _BARE = rf"regexp_replace(draft, '\[([\d\s,–\-]+)\]', '', 'g')"
 _TOKENS = lambda x: rf"list_sort(list_distinct(regexp_extract_all(replace({x}, ',', ''), '\d+(?:\.\d+)?')))"
 _TEXT = lambda xs: f"array_to_string({xs}, ',')"
-_EVIDENCE = f"""parts AS (SELECT CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END AS s, doc_id AS rank, 'document' AS kind, source, 'Document ' || doc_id AS title, '1997-05' AS pub_date, NULL AS validation, CASE WHEN doc_id % 2 = 1 THEN 'forecast' ELSE 'retrospective' END AS temporal, CAST(doc_id AS VARCHAR) AS doc_id, NULL::BOOLEAN AS adjusted, substr(text, 1, 200) AS text
-  FROM documents WHERE doc_id BETWEEN {min(EVIDENCE_IDS)} AND {max(EVIDENCE_IDS)}
+# What two searches find among the chunks of all documents, conditions of a month, the calendar.
+_EVIDENCE = f"""{_CHUNKS}, q AS (SELECT {_QUERY} AS v), n AS (SELECT count(*) AS n_vectors FROM embeddings),
+ near AS (SELECT CAST(c.doc_id AS BIGINT) AS doc_id, c.text, d.source, round({_SIM}, 4) AS score, c.doc_id || ':' || c.ord AS chunk_id FROM chunks c JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.doc_id
+  CROSS JOIN n JOIN embeddings e ON e.vec_id = (d.doc_id + c.ord) % n_vectors CROSS JOIN q),
+ hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY score DESC, chunk_id) AS hit FROM near QUALIFY hit <= {rt.TOP_K}),
+ parts AS (SELECT CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END AS s, hit AS rank, 'document' AS kind, source, 'Document ' || doc_id AS title, '1997-05' AS pub_date, NULL AS validation, CASE WHEN doc_id % 2 = 1 THEN 'forecast' ELSE 'retrospective' END AS temporal, CAST(doc_id AS VARCHAR) AS doc_id, NULL::BOOLEAN AS adjusted, text
+  FROM hit
  UNION ALL SELECT 2, 1, 'conditions', 'Crop conditions', 'Global crop conditions', '{AS_OF}', 'multi-agency-consensus', NULL, NULL, NULL, count(*) || ' rows of ' || count(DISTINCT n_name) || ' countries' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE strftime(o_orderdate, '%Y-%m') = '{AS_OF}'
  UNION ALL SELECT 3, 1, 'calendar', 'Crop calendar', 'Zambia maize', NULL, NULL, NULL, NULL, false, 'Main season'),
  ev AS (SELECT CAST(row_number() OVER (ORDER BY s, rank) AS INT) AS n, *, CASE WHEN kind = 'document' THEN temporal ELSE kind END AS feed FROM parts)"""
 _BLOCKS = r"list_filter(list_transform(string_split(draft, chr(10) || chr(10)), lambda b: trim(array_to_string(list_filter(string_split(b, chr(10)), lambda l: NOT starts_with(ltrim(l), '#')), chr(10)))), lambda b: b <> '')"
-_CHECKED = f"""{_DRAFTS}, {_EVIDENCE}, nums AS (SELECT list(n) AS valid, {_TOKENS("string_agg(concat_ws(' ', text, pub_date, title, source), ' ')")} AS numbers FROM ev),
+_CHECKED = f"""{_EVIDENCE}, {_DRAFTS}, nums AS (SELECT list(n) AS valid, {_TOKENS("string_agg(concat_ws(' ', text, pub_date, title, source), ' ')")} AS numbers FROM ev),
  c AS (SELECT draft_id, draft, {_cites_sql("draft")} AS cited, valid, numbers, list_filter({_BLOCKS}, lambda b: NOT regexp_matches(b, '\\[([\\d\\s,–\\-]+)\\]')) AS uncited,
  list_filter({"[" + ", ".join("'" + s.replace("'", "''") + "'" for s in catalog.SECTIONS) + "]"}, lambda s: NOT contains(draft, s)) AS missing, contains(draft, '## Sources') AS own, {_TOKENS(_BARE)} AS said FROM drafts CROSS JOIN nums),
  chk AS (SELECT *, list_filter(cited, lambda n: NOT list_contains(valid, n)) AS phantom, list_filter(said, lambda x: NOT list_contains(numbers, x)) AS unverified FROM c)"""
@@ -279,7 +289,7 @@ ORACLE_SQL = {
     "vector_topk_many": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0)
         SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p QUALIFY rank <= 5""",
     "source_block": """WITH h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
-        SELECT lang, count(*) AS n, string_agg('[' || rank || '] ' || CASE WHEN doc_id % 3 <> 0 AND trim(source) <> '' THEN source ELSE 'unknown source' END || ' — Document ' || doc_id || chr(10) || substr(coalesce(text, ''), 1, 40), chr(10) || chr(10) ORDER BY rank) AS block FROM h WHERE rank <= 5 GROUP BY lang""",
+        SELECT lang, count(*) AS n, string_agg('[' || rank || '] ' || CASE WHEN doc_id % 3 <> 0 AND trim(source) <> '' THEN source ELSE 'unknown source' END || ' — Document ' || doc_id || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS block FROM h WHERE rank <= 5 GROUP BY lang""",
     "required_provenance": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 OR trim(coalesce(source, '')) = '' THEN 'source' END, CASE WHEN doc_id % 4 = 0 THEN 'pub_date' END, CASE WHEN doc_id % 5 = 1 THEN 'temporal' END], lambda x: x IS NOT NULL), ',') AS missing,
         array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'temporal' END, CASE WHEN doc_id % 7 = 0 THEN 'validation' END], lambda x: x IS NOT NULL), ',') AS wrong,
         NOT (doc_id % 3 = 0 OR trim(coalesce(source, '')) = '' OR doc_id % 4 = 0 OR doc_id % 5 <= 1 OR doc_id % 7 = 0) AS ok FROM documents""",
@@ -297,5 +307,8 @@ ORACLE_SQL = {
     "claim_edges": f"WITH {_CLAIMS}, {_EDGES} SELECT draft_id, src, dst FROM edges",
     "provenance_reachability": f"""WITH RECURSIVE {_CLAIMS}, {_EDGES}, named AS (SELECT DISTINCT CASE WHEN starts_with(src, 'claim-') THEN draft_id || '/' || src ELSE src END AS src, CASE WHEN starts_with(dst, 'claim-') THEN draft_id || '/' || dst ELSE dst END AS dst FROM edges),
         walk AS (SELECT s AS start, s AS node FROM (VALUES ('cite-1'), ('cite-7')) AS v(s) UNION SELECT w.start, e.dst FROM walk w JOIN named e ON e.src = w.node) SELECT start, node FROM walk""",
-    "used_citations": f"WITH {_CLAIMS}, {_EVIDENCE} SELECT n, kind, n IN (SELECT unnest(cites) FROM claims WHERE draft_id < 8) AS used FROM ev",
+    "document_traces": f"WITH {_LIB} SELECT row_id, CASE WHEN row_id % 4 <> 0 THEN 'https://example.org/' || row_id END AS source_url, CASE WHEN length(text) % 2 = 0 THEN 'archive/' || doc_id END AS archived_copy, doc_id FROM lib",
+    "page_text_extract": r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+        said AS (SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM bare) SELECT page_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM said""",
+    "used_citations": f"WITH {_EVIDENCE}, {_CLAIMS} SELECT n, kind, n IN (SELECT unnest(cites) FROM claims) AS used FROM ev",
 }

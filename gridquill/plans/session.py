@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquill.operators import session as ss
 from gridquill.sources import tables as t
+from gridquill.sources.shared import work_dir
 from gridquill.streaming import jobs
 
 PRICE_IN, PRICE_OUT = 3e-6, 1.5e-5
@@ -69,15 +67,6 @@ def stale_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.stale_at(ss.freshness(t.blobs(spark, sf_dir), NOW, TTL_HOURS))
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir where that is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def stream_dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream; the table that it leaves."""
     docs = t.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,6 +84,29 @@ def stream_thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest_states(spark, path).select("thread_id", "n", "last_turn", F.md5(F.encode("last_user", "UTF-8")).alias("last_user"), "roles")
 
 
+def asking(messages: DataFrame) -> DataFrame:
+    """Messages of which some assistants' ask for a choice, of two options or of three, and some users' replies pick one in words or by number."""
+    k = F.col("turn") + F.col("thread_id").cast("long")
+    three = F.array(*map(F.lit, ("exposure", "risk-L1", "risk-L2")))
+    options = F.when((F.col("role") == "assistant") & (k % 4 < 2), F.slice(three, 1, F.when(k % 4 == 0, 2).otherwise(3)))
+    reply = F.when(k % 5 == 0, F.lit(" 2)")).when(k % 5 == 1, F.lit("the official one")).when(k % 5 == 2, F.lit("Recompute it")).when(k % 5 == 3, F.lit("3")).otherwise(F.col("content"))
+    return messages.select("thread_id", "turn", "role", F.when(F.col("role") == "user", reply).otherwise(F.col("content")).alias("content"), options.alias("options"))
+
+
+def choice_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pause for a choice, and how it ended."""
+    return ss.pauses(asking(t.messages(spark, sf_dir)))
+
+
+def stream_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream; the pauses that were resumed."""
+    raw = jobs.stream_of(spark, f"{sf_dir}/conversations.parquet", t.read(spark, sf_dir, "conversations").schema)
+    messages = raw.select(F.col("conv_id").cast("string").alias("thread_id"), "turn", "role", F.col("text").alias("content"))
+    path, marks = work_dir(spark, "choices"), work_dir(spark, "marks")
+    jobs.run_now(jobs.choices(asking(messages)), path, marks).awaitTermination()
+    return spark.read.schema(jobs.CHOICE).parquet(path)
+
+
 def stream_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type, worked off as a stream in complete mode.  An extension."""
     events = jobs.stream_of(spark, f"{sf_dir}/events.parquet", t.read(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -110,7 +122,7 @@ def stream_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        usage_cost, last_user_message, thread_history, latest_answer, persisted_geometry, visible_layers, layer_reconcile, grounded_flag, stale_marking, stale_rollup, stream_dedupe_ingest, stream_thread_state, stream_windowed_events,
+        usage_cost, last_user_message, thread_history, latest_answer, persisted_geometry, visible_layers, layer_reconcile, grounded_flag, stale_marking, stale_rollup, stream_dedupe_ingest, stream_thread_state, stream_windowed_events, choice_pauses, stream_choices,
     )
 }
 
@@ -119,7 +131,15 @@ _HISTORY = "count(*) AS n, string_agg(role[1], '' ORDER BY turn, role[1]) AS rol
 _LAST = "last AS (SELECT thread_id, turn, content FROM msgs WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC, content DESC) = 1)"
 _FRESH = f"fresh AS (SELECT user_id AS key, event_id AS entry, ts, epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts) > {int(TTL_HOURS * 3_600_000_000)} AS stale FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
 
+_PAUSES = f"""{_MESSAGES}, m AS (SELECT thread_id, turn, role, turn + conv_id AS k, CASE WHEN role <> 'user' THEN NULL WHEN (turn + conv_id) % 5 = 0 THEN ' 2)' WHEN (turn + conv_id) % 5 = 1 THEN 'the official one' WHEN (turn + conv_id) % 5 = 2 THEN 'Recompute it' WHEN (turn + conv_id) % 5 = 3 THEN '3' ELSE content END AS said FROM msgs),
+ a AS (SELECT *, role = 'assistant' AND k % 4 < 2 AS asks, CASE k % 4 WHEN 0 THEN 2 ELSE 3 END AS n_options FROM m), b AS (SELECT * FROM a WHERE asks OR role = 'user'),
+ c AS (SELECT *, lead(turn) OVER w AS next_turn, lower(trim(lead(said) OVER w)) AS reply, lead(role = 'user') OVER w AS next_says FROM b WINDOW w AS (PARTITION BY thread_id ORDER BY turn, role)),
+ d AS (SELECT *, TRY_CAST(reply[1] AS INT) AS digit, regexp_matches(reply, 'exposure|raw|hazard|flooded|expos') AS w1, regexp_matches(reply, 'l1|precomp|official') AS w2, n_options = 3 AND regexp_matches(reply, 'l2|recomp|comput|custom|weight') AS w3 FROM c WHERE asks AND coalesce(next_says, true)),
+ pauses AS (SELECT thread_id, turn AS asked, next_turn AS answered, CASE WHEN next_turn IS NULL THEN NULL WHEN digit BETWEEN 1 AND n_options THEN ['exposure', 'risk-L1', 'risk-L2'][digit] WHEN w1 THEN 'exposure' WHEN w2 THEN 'risk-L1' WHEN w3 THEN 'risk-L2' ELSE 'exposure' END AS option FROM d)"""
+
 ORACLE_SQL = {
+    "choice_pauses": f"WITH {_PAUSES} SELECT * FROM pauses",
+    "stream_choices": f"WITH {_PAUSES} SELECT * FROM pauses WHERE answered IS NOT NULL",
     "usage_cost": f"""WITH {_MESSAGES}, s AS (SELECT thread_id, count(*) AS n, CAST(sum(CASE WHEN role = 'user' THEN length(content) ELSE 0 END) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN role <> 'user' THEN length(content) ELSE 0 END) AS BIGINT) AS tokens_out FROM msgs GROUP BY thread_id)
         SELECT *, round(tokens_in * {PRICE_IN!r}::double + tokens_out * {PRICE_OUT!r}::double, 6) AS cost FROM s""",
     "last_user_message": f"WITH {_MESSAGES}, {_LAST} SELECT * FROM last",

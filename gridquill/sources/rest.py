@@ -1,8 +1,11 @@
 """A data source for paged JSON services: spark.read.format("paged_json"), a request for each page.
 
-Options: url, page_size, offset_param (resultOffset), size_param (resultRecordCount), attempts, backoff_s, pages
+Options: url (or several mirrors, parted by blanks), page_size, offset_param (resultOffset), size_param (resultRecordCount), attempts, backoff_s, pages
 (how many pages are asked for at once, each by a task of its own; 0: page after page until the service says
 that there is no more).  Rows are (offset, item), item being the JSON text of a feature.
+
+spark.read.format("map_features") reads assets from a service of map data by layer and area: filters on layer, lon and lat reach
+the service as a tag and a box (with spark.sql.python.filterPushdown.enabled).  gazetteer reads a search of places.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from gridquill.functions import geo
 
 #: Statuses after which another attempt may do better.
 BUSY = (429, 500, 502, 503, 504)
@@ -27,21 +33,22 @@ class Rejected(ValueError):
 
 
 def fetch_json(url: str, params: dict[str, object], attempts: int = 3, backoff_s: float = 1.0) -> dict:
-    """One JSON document; refusals raise at once, busy or broken answers are tried again, with waits that double."""
-    whole = f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(params)}"
+    """One JSON document; refusals raise at once.  After busy or broken answers the next mirror is asked, and after the last
+    one all of them again, with waits that double."""
     for attempt in range(attempts):
-        try:
-            with urllib.request.urlopen(whole, timeout=TIMEOUT_S) as reply:
-                found = json.loads(reply.read())
-            if isinstance(found, dict) and "error" in found:
-                raise Rejected(str(found["error"])[:300])
-            return found
-        except urllib.error.HTTPError as e:
-            if e.code not in BUSY:
-                raise Rejected(f"HTTP {e.code}") from None
-            problem: Exception = e
-        except (urllib.error.URLError, TimeoutError, json.JSONDecodeError) as e:
-            problem = e
+        for mirror in url.split():
+            try:
+                with urllib.request.urlopen(f"{mirror}{'&' if '?' in mirror else '?'}{urllib.parse.urlencode(params)}", timeout=TIMEOUT_S) as reply:
+                    found = json.loads(reply.read())
+                if isinstance(found, dict) and "error" in found:
+                    raise Rejected(str(found["error"])[:300])
+                return found
+            except urllib.error.HTTPError as e:
+                if e.code not in BUSY:
+                    raise Rejected(f"HTTP {e.code}") from None
+                problem: Exception = e
+            except (urllib.error.URLError, TimeoutError, json.JSONDecodeError) as e:
+                problem = e
         if attempt + 1 < attempts:
             time.sleep(backoff_s * 2**attempt)
     raise ConnectionError(f"{url} can't be reached: {problem}")
@@ -89,5 +96,75 @@ class PagedJson(DataSource):
         return PagedReader(self.options)
 
 
+#: What the service calls the layers: kinds of elements, key and value of the tag, and which form is asked for.
+MAP_LAYERS = {"roads": (("way",), "highway", None, "geom"), "hospitals": (("node", "way"), "amenity", "hospital", "center"), "schools": (("node", "way"), "amenity", "school", "center"), "buildings": (("way",), "building", None, "center")}
+MAP_SCHEMA = "layer string, fid long, name string, lon double, lat double, line array<struct<lon: double, lat: double>>"
+
+
+def map_query(layer: str, box: tuple[float, float, float, float], timeout_s: int) -> str:
+    """The service's query for a layer in a box (min lon, min lat, max lon, max lat)."""
+    kinds, key, value, form = MAP_LAYERS[layer]
+    tag = f'["{key}"]' if value is None else f'["{key}"="{value}"]'
+    where = f"({box[1]},{box[0]},{box[3]},{box[2]})"
+    return f"[out:json][timeout:{timeout_s}];({''.join(f'{k}{tag}{where};' for k in kinds)});out {form};"
+
+
+class MapReader(DataSourceReader):
+    """A request for each layer; a line stands at its first corner, anything else at its point or centre."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options, self.layers, self.box = dict(options), list(MAP_LAYERS), [-180.0, -90.0, 180.0, 90.0]
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        sides = {("lon", False): 0, ("lat", False): 1, ("lon", True): 2, ("lat", True): 3}
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column == "layer" and isinstance(f, (EqualTo, In)):
+                wanted = [f.value] if isinstance(f, EqualTo) else list(f.value)
+                self.layers = [x for x in self.layers if x in wanted]
+            elif column in ("lon", "lat") and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                upper = isinstance(f, (LessThan, LessThanOrEqual))
+                side = sides[column, upper]
+                self.box[side] = (min if upper else max)(self.box[side], float(f.value))
+            yield f  # Spark applies each again: a box has sides, and a service may answer with more
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(x) for x in self.layers]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        layer, o = partition.value, self.options
+        found = fetch_json(o["url"], {"data": map_query(layer, tuple(self.box), int(o.get("server_timeout_s", 55)))}, int(o.get("attempts", 3)), float(o.get("backoff_s", 1.0)))
+        for e in found.get("elements") or []:
+            line = [(float(p["lon"]), float(p["lat"])) for p in e.get("geometry") or []]
+            at = e if "lat" in e else e.get("center") or ({"lon": line[0][0], "lat": line[0][1]} if len(line) > 1 else {})
+            if at.get("lat") is not None and at.get("lon") is not None:
+                yield layer, e.get("id"), (e.get("tags") or {}).get("name"), float(at["lon"]), float(at["lat"]), line or None
+
+
+class MapFeatures(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "map_features"
+
+    def schema(self) -> str:
+        return MAP_SCHEMA
+
+    def reader(self, schema) -> MapReader:
+        return MapReader(self.options)
+
+
+def gazetteer(items: DataFrame, query: str) -> DataFrame:
+    """The rows of planning.boundaries and planning.centres from items (offset, item), the answers to a search of places."""
+    place = F.from_json("item", "display_name string, class string, type string, lon string, lat string, geojson struct<type: string, coordinates: string>")
+    rows = items.select(F.lit(query).alias("query"), F.col("offset").alias("ord"), place.alias("p"))
+    kind = F.col("p.geojson.type")
+    ring = F.when(kind == "Polygon", F.get(F.from_json("p.geojson.coordinates", "array<array<array<double>>>"), F.lit(0))).when(
+        kind == "MultiPolygon", F.get(F.get(F.from_json("p.geojson.coordinates", "array<array<array<array<double>>>>"), F.lit(0)), F.lit(0))
+    )
+    corners = F.transform(ring, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
+    return rows.select("query", "ord", F.col("p.display_name").alias("name"), "p.class", "p.type", kind.alias("gtype"), F.when(ring.isNotNull(), geo.area_km2(corners)).alias("km2"), F.col("p.lon").cast("double").alias("lon"), F.col("p.lat").cast("double").alias("lat"))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedJson)
+    spark.dataSource.register(MapFeatures)

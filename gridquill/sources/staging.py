@@ -6,16 +6,22 @@ All of it is partitioned Parquet below one root, so writers commit whole partiti
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import re
+import time
+from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquill.operators import raster
+from gridquill.operators.planning import AREA_CAP_KM2
 from gridquill.sources.tables import Grid
 
 #: Cells of a tile's side; tiles are partitions, so a window reads its tiles only.
 TILE = 1024
+#: What may be part of a path.
+IDENTIFIER = r"[A-Za-z0-9_][A-Za-z0-9_\-]{0,99}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,11 +38,9 @@ def staged(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
 
 
 def write_cells(cells: DataFrame, path: str, layer: str, tile: int = TILE) -> None:
-    """A layer's cells, without those of class 0, by layer and tile."""
-    rows = cells.where(F.coalesce(F.col("value") != 0, F.lit(False))).select(
-        "row", "col", F.col("value").cast("double").alias("value"), F.lit(layer).alias("layer"), F.expr(f"row div {tile}").alias("tile_row"), F.expr(f"col div {tile}").alias("tile_col")
-    )
-    rows.repartition("layer", "tile_row", "tile_col").sortWithinPartitions("row", "col").write.mode("append").partitionBy("layer", "tile_row", "tile_col").parquet(path)
+    """A layer's cells, without those of class 0, by layer and tile; what the layer held before is replaced."""
+    rows = cells.where(F.coalesce(F.col("value") != 0, F.lit(False))).select("row", "col", F.col("value").cast("double").alias("value"), F.expr(f"row div {tile}").alias("tile_row"), F.expr(f"col div {tile}").alias("tile_col"))
+    rows.repartition("tile_row", "tile_col").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(f"{path}/layer={quote(layer, safe='')}")
 
 
 def read_cells(spark: SparkSession, path: str, layer: str, grid: Grid | None = None, box: tuple[float, float, float, float] | None = None, tile: int = TILE) -> DataFrame:
@@ -49,8 +53,31 @@ def read_cells(spark: SparkSession, path: str, layer: str, grid: Grid | None = N
     return cells.select("row", "col", "value")
 
 
+def ensure_area(spark: SparkSession, root: str, area_id: str, resolve: Callable[[], DataFrame], layers: Sequence[str], fetch: Callable[[str, DataFrame], DataFrame], cap_km2: float = AREA_CAP_KM2) -> dict[str, DataFrame]:
+    """The boundary (name, km2, how, ...) of an area under "area", and each of its asset layers, kept below root.
+
+    The boundary is resolved once, and only layers that aren't there yet are fetched, each by fetch(layer, boundary).  A
+    drawn area (how is "drawn") beyond the cap is refused before anything is written."""
+    wrong = [x for x in (area_id, *layers) if not re.fullmatch(IDENTIFIER, x)]
+    if wrong:
+        raise ValueError(f"no identifier: {wrong[0]!r}")
+    folder = f"{root}/areas/{area_id}"
+
+    def checked() -> DataFrame:
+        found = resolve()
+        large = found.where((F.col("how") == "drawn") & (F.col("km2") > cap_km2))
+        if not large.isEmpty():
+            raise ValueError(f"a drawn area of more than {cap_km2:g} km2; draw a smaller one")
+        return found
+
+    boundary = staged(spark, f"{folder}/area", checked)
+    return {"area": boundary, **{x: staged(spark, f"{folder}/{x}", lambda x=x: fetch(x, boundary)) for x in layers}}
+
+
 def hazard_clip(spark: SparkSession, root: str, area_id: str, layer: str, cells: DataFrame, grid: Grid, box: tuple[float, float, float, float]) -> DataFrame:
-    """The window of a layer around an area, kept below root for the next request."""
+    """The window of a layer around an area, kept below root for the next request; ids that are no identifiers are refused."""
+    if not (re.fullmatch(IDENTIFIER, area_id) and re.fullmatch(IDENTIFIER, layer)):
+        raise ValueError(f"no identifier: {area_id!r}, {layer!r}")
     return staged(spark, f"{root}/clip/{area_id}/{layer}", lambda: raster.clip_window(cells, grid, box))
 
 
@@ -60,13 +87,54 @@ def recomputed_risk(spark: SparkSession, root: str, area_id: str, hazard: str, w
     return staged(spark, f"{root}/risk/{area_id}/{hazard}-{key}", make)
 
 
-def save_library(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").parquet(path)
+class Conflict(RuntimeError):
+    """Another writer has committed, or is about to commit, the version that this one was going to."""
+
+
+def library_version(spark: SparkSession, path: str) -> int:
+    """The highest committed version of a library, 0 before the first."""
+    return max((v for v, done, _ in _versions(spark, path) if done), default=0)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool, float]]:
+    """(version, committed, when it was claimed) of every claim."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/claims")
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return []
+    claims = [(int(s.getPath().getName()), s.getModificationTime() / 1000) for s in fs.listStatus(root) if s.getPath().getName().isdecimal()]
+    return [(v, exists(spark, f"{path}/version={v}"), at) for v, at in claims]
+
+
+def save_library(chunks: DataFrame, path: str, seen: int | None = None, lease_s: float = 3600.0) -> int:
+    """Commits chunks as the version behind seen, the version that the writer has read (by default the latest), and returns it.
+
+    A writer claims its version by creating a file, which only one can; Conflict if another has done so or has
+    committed since: load again and write again.  A claim that is older than lease_s without a commit is a lost writer's and is passed over.
+    Readers see a version when it is whole."""
+    spark = chunks.sparkSession
+    claims = {v: (done, at) for v, done, at in _versions(spark, path)}
+    latest = max((v for v, (done, _) in claims.items() if done), default=0)
+    if seen is not None and seen != latest:
+        raise Conflict(f"version {latest} has been committed since {seen}")
+    version = latest + 1
+    while version in claims and time.time() - claims[version][1] > lease_s:
+        version += 1
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{version}")
+    try:
+        claim.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(claim, False).close()
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            raise Conflict(f"version {version} is being written") from None
+        raise
+    chunks.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
 
 
 def load_library(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """A library's chunks; ValueError if an id repeats, an embedding is missing or of another size or model."""
-    chunks = spark.read.parquet(path)
+    """The chunks of a library's latest version; ValueError if an id repeats, an embedding is missing or of another size or model."""
+    chunks = spark.read.parquet(f"{path}/version={library_version(spark, path)}")
     checks = [F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids")]
     if "embedding" in chunks.columns:
         checks += [F.count("embedding").alias("embedded"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")]

@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from gridquill.functions import text as tx
+from gridquill.operators.session import CHOICE_WORDS
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -77,6 +78,46 @@ def thread_states(messages: DataFrame) -> DataFrame:
     return messages.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=ThreadState(), outputStructType=THREAD, outputMode="Update", timeMode="None")
 
 
+AWAITING = StructType([StructField("asked", LongType()), StructField("options", ArrayType(StringType()))])
+CHOICE = "thread_id string, asked long, answered long, option string"
+
+
+def pick(reply: str | None, options: list[str]) -> str:
+    """As session.picked."""
+    said = (reply or "").strip(" ").lower()
+    if said[:1].isdecimal() and said[0].isascii() and 1 <= int(said[0]) <= len(options):
+        return options[int(said[0]) - 1]
+    return next((o for o in options if any(w in said for w in CHOICE_WORDS.get(o, ()))), options[0])
+
+
+class ChoiceState(StatefulProcessor):
+    """What a thread awaits: a message with options pauses it, the next user message resumes it, in whichever batch it comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.awaiting = handle.getValueState("awaiting", AWAITING)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        turns = pd.concat(list(rows)).sort_values(["turn", "role"])  # a conversation's turns of one batch
+        found = []
+        for turn, role, content, options in turns[["turn", "role", "content", "options"]].itertuples(index=False):
+            if options is not None and len(options):
+                self.awaiting.update((int(turn), list(options)))
+            elif role == "user" and self.awaiting.exists():
+                asked, open_ = self.awaiting.get()
+                found.append((key[0], asked, int(turn), pick(content, list(open_))))
+                self.awaiting.clear()
+        yield pd.DataFrame(found, columns=["thread_id", "asked", "answered", "option"])
+
+    def close(self) -> None:
+        pass
+
+
+def choices(messages: DataFrame) -> DataFrame:
+    """A stream of CHOICE rows: the pauses of threads (thread_id, turn, role, content, options) as they are resumed; twin of session.pauses."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    return messages.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=ChoiceState(), outputStructType=CHOICE, outputMode="Append", timeMode="None")
+
+
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) by event-time windows; events later than the watermark are dropped.  An extension."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")

@@ -190,6 +190,45 @@ def test_claims_and_graph(spark):
     assert reach("cite-3") == {"cite-3", "claim-2", "section-One"} and "cite-2" in reach("section-One", False)
 
 
+def test_reachable_beyond_toys(spark):
+    """A ladder with very many paths, a long chain, a cycle and a null."""
+    ladder = [(f"{a}{i}", f"{b}{i + 1}") for i in range(14) for a in "xy" for b in "xy"]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(1000)]
+    cycle = [("p", "q"), ("q", "r"), ("r", "p"), ("r", None)]
+    edges = spark.createDataFrame(ladder + chain + cycle, "src string, dst string")
+    starts = spark.createDataFrame([("x0",), ("c0",), ("q",), ("nowhere",), (None,)], "start string")
+    found = evidence.reachable(edges, starts)
+    want = {("x0", "x0"), *(("x0", f"{a}{i}") for i in range(1, 15) for a in "xy"), *(("c0", f"c{i}") for i in range(1001)), *(("q", n) for n in "pqr"), ("nowhere", "nowhere")}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    back = {r["node"] for r in evidence.reachable(edges, spark.createDataFrame([("x14",)], "start string"), False, 2).collect()}
+    assert back == {"x14", "x13", "y13", "x12", "y12"}
+
+
+def test_search_many_in_blocks(spark):
+    vectors = spark.range(60).selectExpr("id as chunk_id", "transform(sequence(1, 4), i -> cast(sin(id * i) as float)) as embedding")
+    queries = vectors.where("chunk_id % 4 = 0").selectExpr("chunk_id as query_id", "embedding as vector")
+    one, many = (sorted(map(tuple, retrieval.search_many(vectors, queries, 3, block=b).collect())) for b in (512, 4))
+    assert one == many and len(one) == 45
+
+
+def test_clip_to_any_polygon(spark):
+    area = [[(0, 0), (10, 0), (10, 10), (5, 2), (0, 10)], [(1, 0.5), (2, 0.5), (1.5, 1)]]
+    rows = [(1, 0, -5.0, 5.0), (1, 1, 15.0, 5.0), (2, 0, 0.5, 0.75), (2, 1, 4.0, 0.75), (3, 0, 20.0, 20.0), (3, 1, 21.0, 21.0), (4, 0, 5.0, 1.0), (4, 1, 5.0, 1.0)]
+    vertices = spark.createDataFrame(rows, "fid int, idx int, lon double, lat double")
+    found = sorted((r["fid"], *(round(r[c], 6) for c in ("x1", "x2"))) for r in overlay.clip_roads_to_area(vertices, area).collect())
+    assert found == [(1, 0.0, 3.125), (1, 6.875, 10.0), (2, 0.5, 1.25), (2, 1.75, 4.0)]
+
+
+def test_dispatch(spark):
+    operations = {"three": lambda n: spark.range(n), "broken": lambda: spark.range(1).selectExpr("raise_error('no cells') as x")}
+    found, why = planning.dispatch(operations, "three", n=3)
+    assert found.count() == 3 and why is None
+    for name, arguments, said in (("four", {}, "unknown operation four"), ("broken", {}, "no cells"), ("three", {"m": 1}, "unexpected")):
+        found, why = planning.dispatch(operations, name, **arguments)
+        assert found is None and why.startswith("No data for that request: ") and said in why
+
+
 def test_evidence(spark):
     docs = spark.createDataFrame([(2, "document", "forecast", "b"), (1, "document", "retrospective", "a")], "rank int, kind string, temporal string, doc_id string")
     cal = spark.createDataFrame([(1, "calendar")], "rank int, kind string")

@@ -66,6 +66,10 @@ def test_cells_by_tile(spark, tmp_path):
     cells = spark.range(40 * 40).selectExpr("cast(id div 40 as int) as row", "cast(id % 40 as int) as col", "cast(id % 3 as double) as value")
     staging.write_cells(cells, path, "hazard", tile=10)
     staging.write_cells(cells.limit(5), path, "other", tile=10)
+    staging.write_cells(cells, path, "odd/na me", tile=10)
+    staging.write_cells(cells.limit(3), path, "odd/na me", tile=10)  # replaces all of it
+    assert staging.read_cells(spark, path, "odd/na me").count() == 2
+    staging.write_cells(cells, path, "hazard", tile=10)
     assert staging.read_cells(spark, path, "hazard").count() == cells.where("value <> 0").count()
     g = Grid(x0=0.0, y0=0.0, px=1.0, py=1.0, width=40)
     part = staging.read_cells(spark, path, "hazard", g, (12.5, -8.5, 14.5, -6.5), tile=10)
@@ -103,6 +107,40 @@ def test_library_checks(spark, tmp_path):
         staging.load_library(spark, good, "other")
 
 
+def test_library_writers(spark, tmp_path):
+    """Of writers that have read the same version one commits; a lost writer's claim is passed over."""
+    path, rows = str(tmp_path / "library"), lambda n: spark.range(n).selectExpr("cast(id as string) as chunk_id")
+    assert staging.library_version(spark, path) == 0
+    seen = staging.save_library(rows(1), path)
+    assert staging.save_library(rows(2), path, seen) == seen + 1
+    with pytest.raises(staging.Conflict):
+        staging.save_library(rows(3), path, seen)
+    assert staging.load_library(spark, path).count() == 2 and staging.library_version(spark, path) == 2
+    (tmp_path / "library" / "claims" / "3").touch()  # a writer that is at work, or lost
+    with pytest.raises(staging.Conflict):
+        staging.save_library(rows(3), path, 2)
+    assert staging.save_library(rows(3), path, 2, lease_s=-1) == 4 and staging.load_library(spark, path).count() == 3
+
+
+def test_ensure_area(spark, tmp_path):
+    calls = []
+
+    def fetch(layer, boundary):
+        calls.append((layer, boundary.first()["name"]))
+        return spark.range(len(calls))
+
+    area = lambda how, km2: lambda: spark.createDataFrame([("somewhere", km2, how)], "name string, km2 double, how string")
+    ask = lambda *layers, area_id="place-1", made=area("nominatim", 9e9): staging.ensure_area(spark, str(tmp_path), area_id, made, layers, fetch)
+    assert set(ask("roads")) == {"area", "roads"} and ask("roads", "schools")["schools"].count() == 2
+    assert ask("roads", "schools")["roads"].count() == 1 and calls == [("roads", "somewhere"), ("schools", "somewhere")]
+    for odd in ({"area_id": "../x"}, {"area_id": "drawn-1", "made": area("drawn", 1500.5)}):
+        with pytest.raises(ValueError):
+            ask("roads", **odd)
+    assert ask(area_id="drawn-2", made=area("drawn", 1500.0))["area"].count() == 1
+    with pytest.raises(ValueError):
+        staging.hazard_clip(spark, str(tmp_path), "a/b", "flood", spark.range(1), None, None)
+
+
 def test_cache(spark, tmp_path):
     path, ok = str(tmp_path / "cache"), lambda t: t.count() > 0
 
@@ -154,3 +192,53 @@ def test_paged_json(spark, service):
         assert sorted((r["offset"], json.loads(r["item"])["id"]) for r in read("/layer", **options).collect()) == [(i, i) for i in range(7)]
     with pytest.raises(Exception, match="no such layer"):
         read("/refused").collect()
+
+
+class Mirror(BaseHTTPRequestHandler):
+    """Busy below /a; below /b it answers with a way, a point and a centre, and keeps what it was asked."""
+
+    asked: list[str] = []
+
+    def do_GET(self):
+        self.send_response(429 if self.path.startswith("/a") else 200)
+        self.end_headers()
+        if self.path.startswith("/b"):
+            Mirror.asked.append(parse_qs(urlparse(self.path).query)["data"][0])
+            line = [{"lon": 1.5, "lat": 2.0}, {"lon": 3.0, "lat": 2.5}]
+            elements = [{"id": 1, "geometry": line}, {"id": 2, "lat": 2.25, "lon": 1.75, "tags": {"name": "x"}}, {"id": 3, "center": {"lat": 9.0, "lon": 1.6}}, {"id": 4, "geometry": line[:1]}, {"id": 5}]
+            self.wfile.write(json.dumps({"elements": elements}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_map_features(spark):
+    """The busy mirror is passed over; layer and box reach the service, and hold for what it answers."""
+    server = HTTPServer(("127.0.0.1", 0), Mirror)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    rest.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = spark.read.format("map_features").options(url=f"{at}/a {at}/b", backoff_s=0.01).load()
+        found = read.where("layer = 'hospitals' and lon >= 1.0 and lon <= 2.0 and lat >= 2.0 and lat <= 3.0")
+        assert sorted((r["layer"], r["fid"], r["name"], r["line"] and len(r["line"])) for r in found.collect()) == [("hospitals", 1, None, 2), ("hospitals", 2, "x", None)]
+        assert set(Mirror.asked) == {'[out:json][timeout:55];(node["amenity"="hospital"](2.0,1.0,3.0,2.0);way["amenity"="hospital"](2.0,1.0,3.0,2.0););out center;'}
+        Mirror.asked.clear()
+        assert {r["layer"] for r in read.where("layer in ('roads', 'buildings')").collect()} == {"roads", "buildings"} and len(set(Mirror.asked)) == 2
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()
+
+
+def test_gazetteer(spark):
+    square = [[[0, 0], [0.1, 0], [0.1, 0.1], [0, 0.1], [0, 0]]]
+    answers = [{"display_name": "Town, Land", "class": "place", "type": "town", "lon": "1.5", "lat": "2"}, {"display_name": "A, B", "class": "boundary", "type": "administrative", "lon": "0", "lat": "0", "geojson": {"type": "Polygon", "coordinates": square}}, {"display_name": "C", "class": "boundary", "type": "administrative", "geojson": {"type": "MultiPolygon", "coordinates": [square, square]}}]
+    items = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(answers)], "offset long, item string")
+    rows = rest.gazetteer(items, "town")
+    found = {r["ord"]: (r["gtype"], r["km2"] and round(r["km2"], 2), r["lon"]) for r in rows.collect()}
+    assert found == {0: (None, None, 1.5), 1: ("Polygon", 119.88, 0.0), 2: ("MultiPolygon", 119.88, None)}
+    from gridquill.operators import planning
+
+    area = planning.areas(rows).first()
+    assert (area["name"], area["how"]) == ("A", "nominatim")
