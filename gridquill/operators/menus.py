@@ -11,7 +11,7 @@ from gridquill.functions import geo
 from gridquill.functions import text as tx
 
 # What is asked for at times and was never taken in.
-UNAVAILABLE = {"homeless": "no homeless-population layer", "population": "no population counts", "evacuation_plan": "no evacuation layer", "ews": "no early-warning layer"}
+UNAVAILABLE = {"homeless": "no homeless-population layer", "population": "WorldPop not wired in", "evacuation_plan": "no evacuation layer", "ews": "no early-warning layer"}
 NO_LAYERS = "No hazard layers are available."
 
 
