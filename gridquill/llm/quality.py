@@ -30,7 +30,7 @@ ROUND = 0.02
 #: Where hinges begin, in standard deviations, and how far a feature counts.
 KNOTS, FAR = (-1.5, -0.75, 0.0, 0.75, 1.5), 5.0
 #: Partial sums of tasks are added up in so many groups before they reach the driver.
-SUM_GROUPS = 32
+SUM_GROUPS = 8
 
 #: Kinds of bytes whose shares are features; later ones win.
 KINDS = np.zeros(256, dtype=np.uint8)
@@ -228,15 +228,19 @@ def added(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = None
         for batch in batches:
             for raw in batch.column(1):
-                total += np.frombuffer(raw.as_buffer())
+                total = np.frombuffer(raw.as_buffer()) + (0 if total is None else total)
+        if total is None:
+            return
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
     parts = map_arrow(rows.select("marked", "x"), part, "part int, sums binary").repartition(SUM_GROUPS, "part")
-    found = map_arrow(parts, add, "part int, sums binary").select("sums").collect()  # SUM_GROUPS rows
-    return np.sum([np.frombuffer(r["sums"]) for r in found], axis=0)
+    out = np.zeros(size)
+    for r in map_arrow(parts, add, "part int, sums binary").select("sums").collect():  # SUM_GROUPS rows at most
+        out += np.frombuffer(r["sums"])
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Scorer:
