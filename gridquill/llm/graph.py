@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not size or (size, check) == seen:
             break
         seen = (size, check)
-        now = cut(small_star(large_star(now)), "edges")
+        now = cut(small_star(large_star(now)), "edges", release=False)  # small; the next step releases them
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
