@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontam, packing, partenum, quality, repeats, secrets, telephony, warc, wavelet
+from . import blocks, decontam, interplay, packing, partenum, quality, repeats, secrets, telephony, variants, warc, wavelet
 from .common import read_table
 from .sql import ORACLE_SQL
 
@@ -68,6 +68,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_classes(read_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -79,4 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_blocks": op9_blocks,
     "op10_jaccard": op10_jaccard,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_variants": op12_variants,
 }

@@ -70,4 +70,38 @@ walk AS (SELECT doc_id, doc_id AS least FROM reps UNION SELECT e.b, w.least FROM
 top AS (SELECT doc_id, min(least) AS c FROM walk GROUP BY doc_id)
 SELECT d.doc_id, coalesce(node.n, 0) AS n_shingles, coalesce(top.c, d.doc_id) AS component_id FROM documents d LEFT JOIN node ON node.doc_id = d.doc_id LEFT JOIN top ON top.doc_id = node.rep"""
 
-ORACLE_SQL = {"op1_warc": OP1, "op5_repeats": OP5, "op7_decontamination": OP7, "op9_blocks": OP9, "op10_jaccard": OP10}
+#: Every order of the letters, every step, from counts of masks.
+OP11 = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * coalesce(list_unique(ws), 0) < 65 * len(ws) AS INT)
++ 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > first, false) AS INT) AS mask
+FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+l(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, CAST(step AS INT), 1) AS f, 1 << (ascii(substr(filter_order, CAST(step AS INT), 1)) - 65) AS bit,
+CAST(coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, CAST(i AS INT), 1)) - 65))), 0) AS INT) AS before FROM orders, range(1, 6) s(step)),
+c AS (SELECT part, filter_order, step, f, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM cells, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM c"""
+
+#: The checksum by a table of 256 remainders; near words meet on the word less a code point, with its place where one is replaced.
+OP12 = f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+r AS (SELECT DISTINCT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS raw, {_lower("raw")} AS run FROM documents) WHERE length(run) >= 7),
+b AS (SELECT doc_id, run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM r),
+k AS (SELECT doc_id, run, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda j: CAST('0x' || substr(h, CAST(2 * j + 1 AS INT), 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+spelt AS (SELECT doc_id, run, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM k),
+occ AS (SELECT doc_id, {_lower("raw")} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS raw FROM documents)),
+v AS (SELECT word, count(*) AS n FROM occ JOIN spelt ON occ.run = spelt.run AND occ.doc_id IS NOT DISTINCT FROM spelt.doc_id WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, n, CAST(i AS INT) AS i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.less UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.less),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n, CASE WHEN top >= 10 * v.n THEN (SELECT min(near) FROM pairs p WHERE p.word = v.word AND p.near_n = top) END AS form FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL) w ON w.word = f.word"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op5_repeats": OP5, "op7_decontamination": OP7, "op9_blocks": OP9, "op10_jaccard": OP10, "op11_filter_audit": OP11, "op12_variants": OP12}
