@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, decontam, interplay, packing, partenum, quality, repeats, secrets, telephony, variants, warc, wavelet
+from . import blocks, decontam, interplay, packing, partenum, quality, repeats, secrets, telephony, toxicity, variants, warc, wavelet
 from .common import read_table
 from .sql import ORACLE_SQL
 
@@ -76,6 +76,11 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -89,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
     "op11_filter_audit": op11_filter_audit,
     "op12_variants": op12_variants,
+    "op13_toxicity": op13_toxicity,
 }
