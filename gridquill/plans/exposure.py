@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import geo
 from gridquill.operators import overlay, raster
-from gridquill.sources import catalog
+from gridquill.sources import catalog, geotiff
 from gridquill.sources import tables as t
+from gridquill.sources.shared import work_dir
 
 MIN_SEVERITY = 1
 CLIP_BOX = (103.1001, 13.7501, 103.4001, 13.9501)
@@ -133,6 +134,13 @@ def hazard_window_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.clip_window(hazard(spark, sf_dir), t.FINE, CLIP_BOX)
 
 
+def geotiff_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window out of a GeoTIFF raster that holds the hazard cells."""
+    path = work_dir(spark, "hazard-tiff")
+    geotiff.write_geotiff(hazard(spark, sf_dir), path, t.FINE, tile=16, block=64, dtype="int8", compression="lzw")
+    return geotiff.read_geotiff(spark, path, t.FINE, CLIP_BOX)
+
+
 def raster_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.stats(raster.clip_window(hazard(spark, sf_dir), t.FINE, CLIP_BOX), nodata=0, stride=2)
 
@@ -173,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_clip_area, road_extent, feature_counts, identify_pixels, identify_features, mercator_assets,
-        hazard_window_clip, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area,
+        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area,
     )
 }
 
@@ -243,6 +251,7 @@ ORACLE_SQL = {
     "identify_pixels": f"WITH {ASSETS} SELECT fid, CAST(floor(k.v - 0.4 + 0.5) AS INT) AS pixel FROM assets a LEFT JOIN (SELECT * FROM {CELLS['hazard']} WHERE v - 0.4 > 0) k ON k.r = CAST(floor((14.0::double - lat) / 0.01::double) AS INT) AND k.c = CAST(floor((lon - 103.0::double) / 0.01::double) AS INT)",
     "mercator_assets": f"WITH {ASSETS} SELECT fid, round(radians(lon) * 6378137, 2) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM assets",
     "hazard_window_clip": f'SELECT r AS "row", c AS col, v AS value FROM {CELLS["hazard"]} WHERE {_WINDOW}',
+    "geotiff_window": f'SELECT r AS "row", c AS col, v AS value FROM {CELLS["hazard"]} WHERE {_WINDOW} AND v <> 0',
     "raster_window_stats": f"SELECT count(*) AS n, min(v) AS vmin, max(v) AS vmax, count(DISTINCT v) AS n_distinct FROM {CELLS['hazard']} WHERE {_WINDOW} AND r % 2 = 0 AND c % 2 = 0 AND v <> 0",
     "regrid_nearest": f'SELECT r AS "row", c AS col, v AS value FROM {REGRID}',
     "combine_l2_risk": f'SELECT r AS "row", c AS col, CAST(v AS DOUBLE) AS value FROM {weighted_sql(VULNERABILITY)}',

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridquill.operators import raster
 from gridquill.operators.planning import AREA_CAP_KM2
+from gridquill.sources import geotiff
 from gridquill.sources.tables import Grid
 
 #: Cells of a tile's side; tiles are partitions, so a window reads its tiles only.
@@ -81,6 +82,16 @@ def hazard_clip(spark: SparkSession, root: str, area_id: str, layer: str, cells:
     return staged(spark, f"{root}/clip/{area_id}/{layer}", lambda: raster.clip_window(cells, grid, box))
 
 
+def geotiff_clip(spark: SparkSession, root: str, area_id: str, layer: str, source: str, grid: Grid, box: tuple[float, float, float, float], compression: str = "lzw") -> DataFrame:
+    """As hazard_clip, from a GeoTIFF source whose tiles around the area alone are opened, and kept as GeoTIFF below root."""
+    if not (re.fullmatch(IDENTIFIER, area_id) and re.fullmatch(IDENTIFIER, layer)):
+        raise ValueError(f"no identifier: {area_id!r}, {layer!r}")
+    path = f"{root}/clip/{area_id}/{layer}"
+    if not exists(spark, path):
+        geotiff.write_geotiff(geotiff.read_geotiff(spark, source, grid, box), path, grid, compression=compression)
+    return geotiff.read_geotiff(spark, path, grid)
+
+
 def recomputed_risk(spark: SparkSession, root: str, area_id: str, hazard: str, weights: dict[str, float], make: Callable[[], DataFrame]) -> DataFrame:
     """A recomputed grid kept below root; its key has the weights, so other weights never get a stale grid."""
     key = hashlib.sha1(",".join(f"{k}={v!r}" for k, v in sorted(weights.items())).encode()).hexdigest()[:12]
