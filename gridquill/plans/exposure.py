@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquill.functions import geo
-from gridquill.operators import overlay, raster
+from gridquill.operators import overlay, polygons, raster
 from gridquill.sources import catalog, geotiff
 from gridquill.sources import tables as t
 from gridquill.sources.shared import work_dir
@@ -177,11 +177,19 @@ def dissolved_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.dissolved_area(hazard(spark, sf_dir), t.FINE), 4, "km2")
 
 
+def class_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.parts(polygons.rings(hazard(spark, sf_dir)))
+
+
+def class_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(polygons.outline_area(polygons.rings(hazard(spark, sf_dir)), t.FINE), 4, "km2")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_clip_area, road_extent, feature_counts, identify_pixels, identify_features, mercator_assets,
-        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area,
+        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area,
     )
 }
 
@@ -219,6 +227,18 @@ _RUNS = f"runs AS (SELECT r, v, min(c) AS c1, max(c) AS c2 FROM (SELECT r, c, v,
 _RECTANGLES = "rects AS (SELECT v, min(r) AS r1, max(r) AS r2, c1, c2 FROM (SELECT *, r - row_number() OVER (PARTITION BY v, c1, c2 ORDER BY r) AS g FROM runs) GROUP BY v, c1, c2, g)"
 _X1, _Y1, _X2, _Y2 = (f"{v!r}::double" for v in CLIP_BOX)
 
+#: Parts of a class by a walk between neighbours, and their corners from the four cells around each lattice point: one cell is a convex
+#: corner, three are one that turns inwards; a part has a hole less than a quarter of the difference of their numbers.
+_PARTS = f"""cell AS (SELECT r, c, CAST(v AS INT) AS v FROM {CELLS["hazard"]} WHERE v BETWEEN 1 AND 5),
+ step AS (SELECT a.v, a.r, a.c, b.r AS r2, b.c AS c2 FROM cell a JOIN cell b ON a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+ walk AS (SELECT v, r, c, r * 1000000 + c AS least FROM cell UNION SELECT s.v, s.r2, s.c2, w.least FROM walk w JOIN step s ON s.v = w.v AND s.r = w.r AND s.c = w.c WHERE w.least < s.r2 * 1000000 + s.c2),
+ part AS (SELECT v, r, c, min(least) AS p FROM walk GROUP BY v, r, c),
+ around AS (SELECT v, p, r + dy AS y, c + dx AS x, dy = dx AS main FROM part, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dy, dx)),
+ corner AS (SELECT v, y, x, count(*) AS n, bool_and(main) OR bool_and(NOT main) AS across FROM around GROUP BY v, y, x),
+ counted AS (SELECT a.v, a.p, count(*) FILTER (WHERE n = 1 OR (n = 2 AND across)) AS convex, count(*) FILTER (WHERE n = 3) AS reflex FROM
+ (SELECT DISTINCT a.v, a.p, a.y, a.x, n, across, CASE WHEN n = 2 AND across THEN a.r END AS which FROM (SELECT v, p, r, c, r + dy AS y, c + dx AS x FROM part, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dy, dx)) a JOIN corner k ON k.v = a.v AND k.y = a.y AND k.x = a.x) a GROUP BY a.v, a.p),
+ sized AS (SELECT v, p, count(*) AS n_cells FROM part GROUP BY v, p)"""
+
 ORACLE_SQL = {
     "count_features": f"WITH {ASSETS} SELECT l.layer, count(a.fid) AS n FROM {LAYERS} LEFT JOIN {inside_sql('assets')} a ON a.layer = l.layer GROUP BY l.layer",
     "count_in_hazard": f"WITH {ASSETS}, {_COUNTS}, {_ZERO} SELECT layer, severity, n, CAST(sum(CASE WHEN severity >= {MIN_SEVERITY} THEN n ELSE 0 END) OVER (PARTITION BY layer) AS BIGINT) AS n_exposed FROM filled",
@@ -261,4 +281,8 @@ ORACLE_SQL = {
     "dissolve_class_runs": f'WITH {_RUNS} SELECT r AS "row", CAST(v AS INT) AS value, c1 AS col_from, c2 AS col_to FROM runs',
     "dissolve_rectangles": f"WITH {_RUNS}, {_RECTANGLES} SELECT CAST(v AS INT) AS value, r1 AS row_from, r2 AS row_to, c1 AS col_from, c2 AS col_to FROM rects",
     "dissolved_area": f"WITH {_RUNS}, {_RECTANGLES} SELECT CAST(v AS INT) AS value, count(*) AS n_parts, round(sum((r2 - r1 + 1) * (c2 - c1 + 1)) * (0.01 * 0.01 * 111.0 * 108.0)::double, 4) AS km2 FROM rects GROUP BY v",
+    "class_polygons": f"""WITH RECURSIVE {_PARTS} SELECT s.v AS value, CAST(s.p // 1000000 AS INT) AS "row", CAST(s.p % 1000000 AS INT) AS col, n_cells, CAST(1 - (convex - reflex) / 4 AS BIGINT) AS n_holes, convex + reflex AS n_vertices
+        FROM sized s JOIN counted k ON k.v = s.v AND k.p = s.p""",
+    "class_polygon_area": f"""WITH RECURSIVE {_PARTS} SELECT s.v AS value, count(*) AS n_polygons, CAST(sum(1 - (convex - reflex) / 4) AS BIGINT) AS n_holes, CAST(sum(convex + reflex) AS BIGINT) AS n_vertices,
+        round(sum(n_cells) * (0.01 * 0.01 * 111.0 * 108.0)::double, 4) AS km2 FROM sized s JOIN counted k ON k.v = s.v AND k.p = s.p GROUP BY s.v""",
 }
