@@ -9,7 +9,7 @@ from gridquill.functions import geo
 from gridquill.operators import overlay, polygons, raster
 from gridquill.sources import catalog, geotiff
 from gridquill.sources import tables as t
-from gridquill.sources.shared import work_dir
+from gridquill.sources.shared import cut, work_dir
 
 MIN_SEVERITY = 1
 CLIP_BOX = (103.1001, 13.7501, 103.4001, 13.9501)
@@ -135,10 +135,10 @@ def hazard_window_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geotiff_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The window out of a GeoTIFF raster that holds the hazard cells."""
+    """The window out of a GeoTIFF raster that holds the hazard cells, staged as a table of cells."""
     path = work_dir(spark, "hazard-tiff")
     geotiff.write_geotiff(hazard(spark, sf_dir), path, t.FINE, tile=16, block=64, dtype="int8", compression="lzw")
-    return geotiff.read_geotiff(spark, path, t.FINE, CLIP_BOX)
+    return cut(geotiff.read_geotiff(spark, path, t.FINE, CLIP_BOX), work_dir(spark, "hazard-window"))
 
 
 def raster_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridquill.operators import session as ss
 from gridquill.sources import tables as t
 from gridquill.sources.shared import work_dir
-from gridquill.streaming import jobs
+from gridquill.streaming import jobs, shelves
 
 PRICE_IN, PRICE_OUT = 3e-6, 1.5e-5
 NOW, TTL_HOURS = "2024-01-31 00:00:00", 36.0
@@ -72,7 +72,7 @@ def stream_dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.read(spark, sf_dir, "documents").select("doc_id", "text")
     path, marks = work_dir(spark, "ingest"), work_dir(spark, "marks")
     jobs.dedupe_ingest(jobs.stream_of(spark, f"{sf_dir}/documents.parquet", t.read(spark, sf_dir, "documents").schema).select(*docs.columns), path, marks).awaitTermination()
-    return spark.read.parquet(path).select("content_id", "row_id")
+    return shelves.library(spark, path).select("content_id", "row_id")
 
 
 def stream_thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from gridquill.functions import text as tx
 from gridquill.operators.session import CHOICE_WORDS
+from gridquill.streaming.shelves import SHELVES, Shelves, add_batch, drop_old_filters
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,24 +26,13 @@ def stream_of(spark: SparkSession, path: str, schema: str | StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def dedupe_ingest(docs: DataFrame, path: str, checkpoint: str, order: str = "doc_id") -> StreamingQuery:
-    """Adds each text of docs (doc_id, text, ...) that the table at path doesn't have to it, once.
-
-    A micro-batch is deduplicated by content, then compared with what is stored by an anti join on the
-    content id alone.  Batches are written to a partition of their own that a repeated batch overwrites, so a
-    restart adds nothing twice."""
+def dedupe_ingest(docs: DataFrame, path: str, checkpoint: str, order: str = "doc_id", shelves: Shelves = SHELVES) -> StreamingQuery:
+    """Adds each text of docs (doc_id, text, ...) that the library at path doesn't have to it, once (see `shelves`); read
+    it with shelves.library.  A batch reads the stored ids of those buckets alone that its filters cannot rule out."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("content_id", tx.content_id(F.col("text")))
-        first = keyed.groupBy("content_id").agg(F.min(order).alias("row_id"), F.min_by("text", order).alias("text"))
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch") != number).select("content_id")
-            first = first.join(stored, "content_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        add_batch(batch, number, path, order, shelves)
+        drop_old_filters(batch.sparkSession, path)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
