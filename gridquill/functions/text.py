@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Forms of citations, numbers, months and names of monthly layers.
 CITATION = r"\[([\d\s,–\-]+)\]"
 NUMBER = r"\d+(?:\.\d+)?"
+#: White space, as patterns have it.
+WHITE = " \t\n\x0b\f\r"
 #: Numbers that a citation range adds to its first one, at most; citation numbers lie below the limit.
 RANGE_SPAN, CITATION_LIMIT = 50, 1000
 MONTHLY = r"^Global_Synthesis_(\d{4})(\d{2})$"
@@ -104,7 +108,7 @@ def blocks(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end, line ends included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def paragraphs(text: Column, separator: str = r"\n\s*\n") -> Column:
@@ -116,30 +120,42 @@ def pieces(paragraph: Column, target: int) -> Column:
     lies in its second half, else at target.  Every cut takes more than half of target, which bounds the steps."""
     steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.length(paragraph) / F.lit(target / 2)).cast("int"), F.lit(1)))
     start = F.struct(paragraph.alias("rest"), F.array().cast("array<string>").alias("done"))
+    done = lambda state: F.filter(F.concat(state["done"], F.array(state["rest"])), lambda p: p != "")
 
     def step(state: Column, _: Column) -> Column:
         rest = state["rest"]
-        head = F.substring(rest, 1, target)
-        # Where the last ". " begins, counted from 0; -1 without one.
-        stop = F.when(F.instr(head, ". ") > 0, target - 1 - F.instr(F.reverse(head), " .")).otherwise(F.lit(-1))
-        at = F.when(stop > target // 2, stop + 1).otherwise(F.lit(target))
-        cut = F.struct(strip(F.substring(rest, at + 1, F.length(rest))).alias("rest"), F.concat(state["done"], F.array(strip(F.substring(rest, F.lit(1), at)))).alias("done"))
+        # How far from the head's end its last ". " begins, counted from 1; 0 without one.
+        behind = F.instr(F.reverse(F.substring(rest, 1, target)), " .")
+        at = named(behind, lambda n: F.when((n > 0) & (target - 1 - n > target // 2), target - n).otherwise(F.lit(target)))
+        # The end of a paragraph has no white space left, so the rest needs a look at its beginning alone.
+        cut = named(at, lambda n: F.struct(F.ltrim(F.substring(rest, n + 1, F.lit(2**31 - 1)), F.lit(WHITE)).alias("rest"), F.concat(state["done"], F.array(strip(F.substring(rest, F.lit(1), n)))).alias("done")))
         return F.when(F.length(rest) > target, cut).otherwise(state)
 
-    end = F.aggregate(steps, start, step)
-    return F.filter(F.concat(end["done"], F.array(end["rest"])), lambda p: p != "")
+    short = F.filter(F.array(paragraph), lambda p: p != "")
+    return F.when(F.length(paragraph) <= target, short).otherwise(F.aggregate(steps, start, step, done))
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def chunks(text: Column, target: int = 1800, separator: str = r"\n\s*\n") -> Column:
-    """Pieces of all paragraphs joined by a blank line, greedily, while a chunk stays within target."""
-    flat = F.flatten(F.transform(paragraphs(text, separator), lambda p: pieces(p, target)))
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
-
-    def step(state: Column, piece: Column) -> Column:
-        now = state["now"]
-        joined = F.struct(F.when(now == "", piece).otherwise(F.concat(now, F.lit("\n\n"), piece)).alias("now"), state["done"].alias("done"))
-        closed = F.struct(piece.alias("now"), F.concat(state["done"], F.array(now)).alias("done"))
-        return F.when((now == "") | (F.length(now) + F.length(piece) + 2 <= target), joined).otherwise(closed)
-
-    end = F.aggregate(flat, start, step)
-    return F.filter(F.concat(end["done"], F.array(end["now"])), lambda c: c != "")
+    """Pieces of all paragraphs joined by a blank line, greedily, while a chunk stays within target.
+
+    The fold adds up lengths and sees no text: it finds where chunks end, and each chunk's pieces are then joined once."""
+
+    def packed(flat: Column) -> Column:
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
+
+        def step(state: Column, size: Column) -> Column:
+            fits = (state["n"] == 0) | (state["size"] + size + 2 <= target)
+            more = F.struct((F.when(state["n"] == 0, F.lit(0)).otherwise(state["size"] + 2) + size).alias("size"), (state["n"] + 1).alias("n"), state["ends"].alias("ends"))
+            fresh = F.struct(size.alias("size"), (state["n"] + 1).alias("n"), F.concat(state["ends"], F.array(state["n"])).alias("ends"))
+            return F.when(fits, more).otherwise(fresh)
+
+        ends = F.aggregate(F.transform(flat, F.length), start, step, lambda state: F.concat(F.array(F.lit(0)), state["ends"], F.array(state["n"])))
+        joined = lambda e: F.transform(F.slice(e, 2, F.size(e)), lambda end, i: F.array_join(F.slice(flat, F.element_at(e, i + 1) + 1, end - F.element_at(e, i + 1)), "\n\n"))
+        return F.when(F.size(flat) > 0, named(ends, joined)).otherwise(F.array().cast("array<string>"))
+
+    return named(F.flatten(F.transform(paragraphs(text, separator), lambda p: pieces(p, target))), packed)

@@ -53,6 +53,18 @@ def chunk(docs: DataFrame, target: int = TARGET, separator: str = r"\n\s*\n") ->
     return exploded.select(F.concat_ws(":", "doc_id", F.col("ord").cast("string")).alias("chunk_id"), *rest, "ord", "text")
 
 
+def chunk_counts(docs: DataFrame, target: int = TARGET, separator: str = r"\n\s*\n") -> DataFrame:
+    """docs without text, with n_chunks, how many chunks chunk() cuts a text into."""
+    return docs.withColumn("n_chunks", F.coalesce(F.size(tx.chunks(F.col("text"), target, separator)), F.lit(0))).drop("text")
+
+
+def pick_chunks(docs: DataFrame, keys: DataFrame, target: int = TARGET, separator: str = r"\n\s*\n") -> DataFrame:
+    """keys (doc_id, ord, ...) with the chunk's text: of all documents only those of the keys, a bounded result of a search, are cut."""
+    wanted = F.broadcast(keys.select("doc_id").distinct())
+    texts = chunk(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), target, separator).select("doc_id", "ord", "text")
+    return keys.join(texts, ["doc_id", "ord"])
+
+
 def documents(chunks: DataFrame, meta: Sequence[str] = ("source",)) -> DataFrame:
     """(doc_id, n_chunks, meta of the first chunk...)."""
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min_by(F.struct(*meta), "ord").alias("m")).select("doc_id", "n_chunks", "m.*")
@@ -89,6 +101,21 @@ def search(chunks: DataFrame, query: Sequence[float], k: int = TOP_K, floor: flo
     return top.withColumn("score", F.round("__sim", 4)).drop("__sim")
 
 
+def search_by(keys: DataFrame, sims: DataFrame, by: str, k: int = TOP_K, id_col: str = "chunk_id", vector_id: str = "vec_id") -> DataFrame:
+    """keys (id, by, vector id, ...) with score and rank: the k nearest of each value of by, as search() orders them.
+
+    sims (vector id, sim) has what each vector scores, so neither vectors nor texts are shuffled; Spark keeps k rows of each
+    value in front of its exchange."""
+    scored = keys.join(sims, vector_id).withColumn("score", F.round("sim", 4)).drop("sim")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc(), id_col))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def similarities(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, sim) of every vector."""
+    return vectors.select(id_col, vx.cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query))).alias("sim"))
+
+
 #: Queries of a block: what one row carries, and what is broadcast at most.
 QUERY_BLOCK = 512
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquill.functions import geo
-from gridquill.operators import overlay, polygons, raster
+from gridquill.operators import areas, overlay, polygons, raster
 from gridquill.sources import catalog, geotiff
 from gridquill.sources import tables as t
 from gridquill.sources.shared import cut, work_dir
@@ -15,6 +15,8 @@ MIN_SEVERITY = 1
 CLIP_BOX = (103.1001, 13.7501, 103.4001, 13.9501)
 #: An area with a notch and a hole.
 NOTCHED = [[(103.0501, 13.7501), (103.4501, 13.7501), (103.4501, 13.9701), (103.2501, 13.8203), (103.0501, 13.9701)], [(103.1501, 13.7701), (103.2001, 13.7701), (103.1701, 13.8101)]]
+#: A star with a notch and a triangular hole, as offsets from an area's corner.
+SHAPE = [[(0.0011, 0.0017), (0.1513, 0.0213), (0.1313, 0.0913), (0.0713, 0.0513), (0.0113, 0.0813)], [(0.0613, 0.0213), (0.1013, 0.0313), (0.0713, 0.0413)]]
 VULNERABILITY = {"vuln_a": 0.4, "vuln_b": 0.35, "vuln_coarse": 0.25}
 
 # Parts of the SQL twins.
@@ -185,11 +187,24 @@ def class_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(polygons.outline_area(polygons.rings(hazard(spark, sf_dir)), t.FINE), 4, "km2")
 
 
+def nation_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An area for each nation: SHAPE moved by its key, so that areas overlap."""
+    k = F.col("n_nationkey")
+    x, y = geo.number(103.0) + (k % 5) * geo.number(0.1), geo.number(13.9) - F.expr("n_nationkey div 5") * geo.number(0.08)
+    ring = lambda corners: F.array(*(F.struct((x + geo.number(dx)).alias("x"), (y + geo.number(dy)).alias("y")) for dx, dy in corners))
+    return t.read(spark, sf_dir, "nation").select(F.col("n_name").alias("area_id"), F.array(*map(ring, SHAPE)).alias("rings"))
+
+
+def count_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hospitals, schools and buildings inside the area of every nation."""
+    return areas.count_by_area(t.assets(spark, sf_dir), nation_areas(spark, sf_dir), ("hospitals", "schools", "buildings"), size=0.02, fan=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_clip_area, road_extent, feature_counts, identify_pixels, identify_features, mercator_assets,
-        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area,
+        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area, count_by_area,
     )
 }
 
@@ -285,4 +300,10 @@ ORACLE_SQL = {
         FROM sized s JOIN counted k ON k.v = s.v AND k.p = s.p""",
     "class_polygon_area": f"""WITH RECURSIVE {_PARTS} SELECT s.v AS value, count(*) AS n_polygons, CAST(sum(1 - (convex - reflex) / 4) AS BIGINT) AS n_holes, CAST(sum(convex + reflex) AS BIGINT) AS n_vertices,
         round(sum(n_cells) * (0.01 * 0.01 * 111.0 * 108.0)::double, 4) AS km2 FROM sized s JOIN counted k ON k.v = s.v AND k.p = s.p GROUP BY s.v""",
+    "count_by_area": f"""WITH {ASSETS}, sides(dx1, dy1, dx2, dy2) AS (VALUES {", ".join("(" + ", ".join(f"{v!r}::double" for v in e) + ")" for e in geo.edges_of(SHAPE))}),
+        spot AS (SELECT n_name AS area_id, 103.0::double + (n_nationkey % 5) * 0.1::double AS x, 13.9::double - (n_nationkey // 5) * 0.08::double AS y FROM nation),
+        e AS (SELECT area_id, x + dx1 AS x1, y + dy1 AS y1, x + dx2 AS x2, y + dy2 AS y2 FROM spot CROSS JOIN sides),
+        hits AS (SELECT area_id, layer, fid FROM assets a JOIN e ON (e.y1 > a.lat) <> (e.y2 > a.lat) AND a.lon < (e.x2 - e.x1) * (a.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY area_id, layer, fid HAVING count(*) % 2 = 1),
+        n AS (SELECT area_id, layer, count(*) AS n FROM hits GROUP BY area_id, layer)
+        SELECT spot.area_id, l.layer, coalesce(n.n, 0) AS n FROM spot CROSS JOIN {LAYERS} LEFT JOIN n ON n.area_id = spot.area_id AND n.layer = l.layer""",
 }

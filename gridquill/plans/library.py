@@ -12,6 +12,7 @@ from gridquill.operators import evidence as ev
 from gridquill.operators import retrieval as rt
 from gridquill.sources import catalog
 from gridquill.sources import tables as t
+from gridquill.sources.shared import cut, work_dir
 
 K, FLOOR, LABEL, TARGET, LINE = 10, 0.5, 3, 600, r"\n"
 #: Documents that a stream or an ingest has seen before; those from here on come in.
@@ -113,21 +114,27 @@ def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(t.drafts(spark, sf_dir).select("draft_id", tx.number_tokens(tx.without_citations(F.col("draft"))).alias("numbers")), "numbers")
 
 
-def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents, each with a vector: embeddings are fewer than chunks, so they are dealt out by (doc_id + ord)."""
-    docs = t.read(spark, sf_dir, "documents").select(
+def cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what evidence says of them."""
+    return t.read(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit("document").alias("kind"), "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("1997-05").alias("pub_date"),
         F.when(F.col("doc_id") % 2 == 1, "forecast").otherwise("retrospective").alias("temporal"),
     )
-    v = t.vectors(spark, sf_dir).select("vec_id", "embedding")
-    dealt = rt.chunk(docs, TARGET, LINE).join(F.broadcast(v.agg(F.count("*").alias("n_vectors"))), how="cross")  # one row
-    return dealt.withColumn("vec_id", (F.col("doc_id").cast("long") + F.col("ord")) % F.nullif("n_vectors", F.lit(0))).join(v, "vec_id")
 
 
-def found_chunks(spark: SparkSession, sf_dir: str, temporal: str) -> DataFrame:
-    """The ranked chunks of a search of one kind, whole; documents without text have none."""
-    top = rt.search(embedded_chunks(spark, sf_dir), QUERY, rt.TOP_K, temporal=temporal)
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy("temporal").orderBy(F.col("score").desc(), "chunk_id")))
+def found_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked chunks of a search of either kind, whole; documents without text have none.
+
+    Chunks of all documents have a vector each: embeddings are fewer than chunks, so they are dealt out by (doc_id + ord).  Chunks are
+    ranked by their keys; texts are cut again for those that are found."""
+    docs = cited_documents(spark, sf_dir)
+    v = t.vectors(spark, sf_dir).select("vec_id", "embedding")
+    counts = cut(rt.chunk_counts(docs, TARGET, LINE), work_dir(spark, "chunk-counts"))  # numbers alone; texts are cut once for them
+    counted = counts.join(F.broadcast(v.agg(F.count("*").alias("n_vectors"))), how="cross")  # one row
+    keys = counted.where("n_chunks > 0").withColumn("ord", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).drop("n_chunks")
+    dealt = keys.withColumn("vec_id", (F.col("doc_id").cast("long") + F.col("ord")) % F.nullif("n_vectors", F.lit(0))).withColumn("chunk_id", F.concat_ws(":", "doc_id", F.col("ord").cast("string")))
+    top = cut(rt.search_by(dealt, rt.similarities(v, QUERY), "temporal"), work_dir(spark, "hits"))
+    return rt.pick_chunks(docs, top, TARGET, LINE)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +144,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     cond = summary.select(F.lit(1).alias("rank"), F.lit("conditions").alias("kind"), F.lit("Crop conditions").alias("source"), F.lit("Global crop conditions").alias("title"), F.lit(AS_OF).alias("pub_date"), F.lit("multi-agency-consensus").alias("validation"), F.format_string("%d rows of %d countries", "n", "countries").alias("text"))
     cal = catalog.calendar(spark).where("country = 'Zambia'").select(F.lit(1).alias("rank"), F.lit("calendar").alias("kind"), F.lit("Crop calendar").alias("source"), F.concat("country", F.lit(" "), "crop").alias("title"), F.lit(False).alias("adjusted"), "season")
     cal = cal.withColumnRenamed("season", "text")
-    return ev.union([found_chunks(spark, sf_dir, "forecast"), found_chunks(spark, sf_dir, "retrospective"), cond, cal])
+    hits = found_chunks(spark, sf_dir)
+    whole = ev.union([hits.where("temporal = 'forecast'"), hits.where("temporal = 'retrospective'"), cond, cal])
+    return cut(whole, work_dir(spark, "evidence"))  # a dozen rows that what follows reads several times
 
 
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
