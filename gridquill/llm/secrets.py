@@ -1,18 +1,19 @@
 """Secret scans with DataFrame functions only: fixed patterns, and a battery of randomness tests.
 
-Beside the patterns, every long token of an encoding's alphabet is tested for looking random:
-chi-squared uniformity over the inferred alphabet, a runs test of the upper against the lower half of
-the alphabet, and the lag-1 serial correlation.  Each test gives the probability that an ordinary token of the same length would
-look as random: of the chi-squared, whose excess in ordinary text grows with the length, and of how near runs and correlation are to
-what chance expects.  The three are combined to one p value by a weighted Cauchy combination, in which a strong pattern
-in runs or correlation outweighs any uniformity; short tokens hardly ever reach a small p.  Within each stratum of lengths the
-Benjamini-Hochberg procedure then bounds the share of ordinary tokens among those that are reported.
+Beside the patterns, every long token of an encoding's alphabet is tested for being no ordinary text, such as a name of several words,
+a slug or a path.  Each test has a p value under ordinary text, conditional on how many letters and digits the token has:
+chi-squared uniformity of its symbols, letters in either case; its runs, which are words, groups of digits and stretches of
+capitals, far more in a random token than in one made of words; and the lag-1 serial correlation of vowels, negative in
+words, which is how often vowels and consonants alternate.  The p values err to the safe side for words of any language
+(the tests hold thousands of ordinary tokens against them) and are combined by Fisher's sum of logarithms.  A token
+that is clearly no chance result, by runs over the halves of its alphabet or by the serial correlation of its symbols, is
+taken for a pattern and never reported.  Within each stratum of lengths the Benjamini-Hochberg procedure bounds the share of
+ordinary tokens among those that are reported.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,13 +39,20 @@ STRETCHES = tuple(rf"[{x}]{{{MIN_TOKEN},}}={{0,2}}" for x in (r"A-Za-z0-9+/", r"
 #: A stretch between separators that has a narrower alphabet than its run.
 NARROW = r"(?:^|[/_\-])(?:" + "|".join(f"[{SYMBOLS[x]}]{{{MIN_TOKEN},}}" for x in ("hex", "HEX", "base32")) + r")(?:$|[/_=\-])"
 #: Sum of the squared shares of symbols in ordinary tokens: of digits alone in hexadecimal, of letters of a language in the others.
-ORDINARY = {"hex": 0.1, "HEX": 0.1, "base32": 0.066, "base64": 0.066, "base64url": 0.066}
-#: Weights of the chi-squared, the runs and the serial correlation in the combined p value.
-WEIGHTS = (0.8, 0.1, 0.1)
-#: Runs and correlation speak against a token without bound, and for it no more than a p value of this.
-FOR_IT = 0.1
-#: Least p value of the chi-squared and least share beyond runs and correlation, so that a clear pattern outweighs any uniformity.
-LEAST_P, LEAST_BEYOND = 1e-15, 1e-30
+ORDINARY_HEX, ORDINARY_LETTERS = 0.1, 0.066
+#: Runs of an ordinary token: a run of one word, of digits, of capitals; how often one ends behind a character, at most, and the
+#: spread of that as a share of the binomial one, words being of more even length than chance.
+PIECES = "[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+PIECE_ENDS, PIECE_SPREAD = 0.27, 0.6
+#: How often neighbouring letters are a vowel and a consonant in ordinary words, at least; letters and pairs that a test needs.
+ALTERNATE, LEAST_LETTERS = 0.5, 8
+VOWELS, CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
+#: Standard deviations from chance by which a token is a pattern.
+PATTERN = 3.5
+#: p values from here on are not looked at for patterns; a rate has to be below.
+WORTH = 0.25
+#: Least p value of a test.
+LEAST_P = 1e-15
 #: p values are counted in bins of their logarithm, BINS_PER_DECADE to a power of ten, down to 10 ** LOWEST; what has no encoding is in the last.
 BINS_PER_DECADE, LOWEST = 20, -16
 LAST_BIN = -LOWEST * BINS_PER_DECADE
@@ -91,33 +99,56 @@ def normal_beyond(x: Column) -> Column:
     return t * F.exp(poly - x * x) / 2
 
 
-def combined(z_text: Column, runs: Column, serial: Column) -> Column:
-    """One p value: z_text is the deviate of the chi-squared among ordinary tokens', runs and serial are absolute deviates from chance."""
-    beyond = normal_beyond(F.abs(z_text))
-    p_text = F.greatest(F.when(z_text < 0, beyond).otherwise(1 - beyond), F.lit(LEAST_P))
-    # tan((1/2 - p) pi) is the cotangent of p pi, and with q = 1 - p less that of q pi.
-    against = lambda z: -F.cot(F.lit(math.pi) * F.least(F.greatest(2 * normal_beyond(z), F.lit(LEAST_BEYOND)), F.lit(1 - FOR_IT)))
-    t = WEIGHTS[0] * F.cot(F.lit(math.pi) * F.least(p_text, F.lit(1 - LEAST_P))) + WEIGHTS[1] * against(runs) + WEIGHTS[2] * against(serial)
-    return F.atan2(F.lit(1.0), t) / math.pi
+def upper_tail(z: Column) -> Column:
+    """The probability that a standard normal deviate is z or more, LEAST_P at least."""
+    beyond = normal_beyond(F.abs(z))
+    return F.greatest(F.when(z > 0, beyond).otherwise(1 - beyond), F.lit(LEAST_P))
+
+
+def combined(*p: Column) -> Column:
+    """One p value by Fisher: minus the sum of three logarithms has a gamma distribution of three."""
+    x = -functools.reduce(lambda a, b: a + b, (F.ln(v) for v in p))
+    # Named once, so that it is computed once.
+    return F.element_at(F.transform(F.array(x), lambda v: F.exp(-v) * (1 + v + v * v / 2)), 1)
 
 
 #: Deviates that stand for no variation at all.
 NO_VARIATION = 99.0
 
 
-def battery(token: Column, encoding: str) -> Column:
-    """struct<text,runs,serial>: text is the deviate of the token's chi-squared among those of ordinary tokens of its length, far
-    below 0 if it is too uniform for one; runs and serial are how far it is from chance, runs by half a run more."""
+def uneven(text: Column, n: Column, symbols: int, squares: float) -> Column:
+    """The deviate of a text's chi-squared over so many symbols among those of ordinary texts of its length; far below 0 if it is too uniform for one."""
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    total = F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.pow((F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"), F.lit(2.0)))
+    off, df = n * F.lit(symbols * squares - 1), symbols - 1
+    return (F.lit(float(symbols)) / n * total - n - df - off) / F.sqrt(2 * (df + 2 * off))
+
+
+def ordinary_p(body: Column, encoding: str) -> Column:
+    """The combined p value of a token, without its padding, under ordinary text."""
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    least = lambda z, enough: F.when(enough, upper_tail(z)).otherwise(F.lit(1.0))
+    plain = F.regexp_replace(body, "[^A-Za-z0-9]", "")
+    steps = F.length(plain).cast("double") - 1
+    ends = count(body, PIECES) - 1
+    runs = least((ends - steps * PIECE_ENDS) / (F.sqrt(steps * (PIECE_ENDS * (1 - PIECE_ENDS))) * PIECE_SPREAD), steps >= 1)
+    if encoding in ("hex", "HEX"):
+        n = F.length(body).cast("double")
+        return combined(upper_tail(-uneven(body, n, 16, ORDINARY_HEX)), runs, F.lit(1.0))
+    letters = F.lower(F.regexp_replace(body, "[^A-Za-z]", ""))
+    n = F.length(letters).cast("double")
+    even = least(-uneven(letters, n, 26, ORDINARY_LETTERS), n >= LEAST_LETTERS)
+    kinds = F.translate(F.lower(plain), VOWELS + CONSONANTS + DIGITS, "v" * len(VOWELS) + "c" * len(CONSONANTS) + "0" * 10)
+    pairs, turns = count(kinds, "(?=[vc][vc])"), count(kinds, "(?=vc|cv)")
+    serial = least((pairs * ALTERNATE - turns - 0.5) / F.sqrt(pairs * (ALTERNATE * (1 - ALTERNATE))), pairs >= LEAST_LETTERS)
+    return combined(even, runs, serial)
+
+
+def pattern(body: Column, encoding: str) -> Column:
+    """Whether runs over the halves of the alphabet or the serial correlation of symbols are too far from chance for a random token."""
     alphabet = ALPHABETS[encoding]
-    k = float(len(alphabet))
-    body = F.regexp_replace(token, "=+$", "")
     n = F.length(body).cast("double")
     chars = F.filter(F.split(body, ""), lambda c: c != "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
-    chi = F.greatest(F.lit(k) / n * squares - n, F.lit(0.0))
-    df = k - 1
-    off = n * F.lit(k * ORDINARY[encoding] - 1)
-    z_text = (chi - df - off) / F.sqrt(2 * (df + 2 * off))
     half = len(alphabet) // 2
     bits = F.translate(body, alphabet, "0" * half + "1" * (len(alphabet) - half))
     ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
@@ -125,31 +156,36 @@ def battery(token: Column, encoding: str) -> Column:
     runs = F.length(F.regexp_replace(F.regexp_replace(bits, "0+", "0"), "1+", "1")).cast("double")
     mean = 2 * ones * zeros / n + 1
     var = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
-    z_runs = F.when(var > 0, (F.abs(runs - mean) + 0.5) / F.sqrt(var)).otherwise(F.lit(NO_VARIATION))
+    z_runs = F.when(var > 0, F.abs(runs - mean) / F.sqrt(var)).otherwise(F.lit(NO_VARIATION))
     value = lambda c: F.instr(F.lit(alphabet), c).cast("double")
     start = F.struct(F.lit(None).cast("double").alias("last"), *(F.lit(0.0).alias(x) for x in ("s", "q", "p")))
 
     def add(a: Column, v: Column) -> Column:
         return F.struct(v.alias("last"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"), (a["p"] + F.coalesce(a["last"] * v, F.lit(0.0))).alias("p"))
 
-    sums = F.aggregate(F.transform(chars, value), start, add)
-    mu = sums["s"] / n
-    spread = sums["q"] / n - mu * mu
-    z_serial = F.when(spread > 0, F.abs((sums["p"] / F.greatest(n - 1, F.lit(1.0)) - mu * mu) / spread * F.sqrt(n))).otherwise(F.lit(NO_VARIATION))
-    return F.struct(z_text.alias("text"), z_runs.alias("runs"), z_serial.alias("serial"))
+    def deviate(t: Column) -> Column:
+        mu = t["s"] / n
+        spread = t["q"] / n - mu * mu
+        return F.when(spread > 0, F.abs((t["p"] / F.greatest(n - 1, F.lit(1.0)) - mu * mu) / spread * F.sqrt(n))).otherwise(F.lit(NO_VARIATION))
+
+    z_serial = F.aggregate(F.transform(chars, value), start, add, deviate)
+    return (z_runs > PATTERN) | (z_serial > PATTERN)
 
 
 def token_tests(token: Column) -> Column:
-    """struct<stratum,bin>: the stratum of lengths and the bin of the combined p value, the last for what has no encoding."""
+    """struct<stratum,bin>: the stratum of lengths and the bin of the combined p value, the last for patterns and what has no encoding."""
+    body = F.regexp_replace(token, "=+$", "")
     kind = encoding_of(token)
-    z = F.lit(None).cast("struct<text:double,runs:double,serial:double>")
+    p = F.lit(None).cast("double")
     for name in ALPHABETS:
-        z = F.when(kind == name, battery(token, name)).otherwise(z)
+        p = F.when(kind == name, ordinary_p(body, name)).otherwise(p)
     place = lambda p: F.least(F.greatest(F.floor((F.log10(p) - LOWEST) * BINS_PER_DECADE), F.lit(0)), F.lit(LAST_BIN - 1)).cast("int")
-    # The tests' results are named once, so that they are computed once.
-    bins = F.transform(F.array(z), lambda t: F.when(t.isNotNull(), place(combined(t["text"], t["runs"], t["serial"]))))
-    body = F.length(F.regexp_replace(token, "=+$", ""))
-    return F.struct(F.floor(F.log2(body.cast("double")) * 2).cast("int").alias("stratum"), F.coalesce(F.element_at(bins, 1), F.lit(LAST_BIN)).alias("bin"))
+    # Only what may be reported at any rate below WORTH is looked at for patterns.
+    odd = F.lit(False)
+    for name in ALPHABETS:
+        odd = F.when(kind == name, pattern(body, name)).otherwise(odd)
+    bins = F.transform(F.array(p), lambda v: F.when(v.isNull(), F.lit(LAST_BIN)).when((v < WORTH) & odd, F.lit(LAST_BIN)).otherwise(place(v)))
+    return F.struct(F.floor(F.log2(F.length(body).cast("double")) * 2).cast("int").alias("stratum"), F.element_at(bins, 1).alias("bin"))
 
 
 def stretches(run: Column) -> Column:
@@ -182,8 +218,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_chars, base and spans, arrays of struct<start,kind,end> in order
     of (start, kind), kind an index into KINDS, ends exclusive, in code points; keep: further input
     columns to carry, as keep_<name>.  base has the fixed patterns' spans, spans those and the tokens
-    that look random.  A null text is empty and has none; repeated rows each get their spans; an empty
+    that look random.  rate, below WORTH, bounds the share of ordinary tokens among these.  A null text is empty and has none; repeated rows each get their spans; an empty
     table gives no rows."""
+    if not 0 < rate < WORTH:
+        raise ValueError(f"a rate between 0 and {WORTH}")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     spans = rows.select(

@@ -57,29 +57,43 @@ def test_random_tokens_are_found(spark):
 
 
 def plain_p(token):
-    """The combined p value of a token, by the formulas with exact normal tails; None without an encoding."""
+    """The combined p value of a token, by the formulas with exact normal tails; 1 for a pattern, None without an encoding."""
     body = token.rstrip("=")
     name = next((k for k in secrets.ALPHABETS if set(body) <= set(secrets.ALPHABETS[k])), None)
     if name is None:
         return None
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-15)
+
+    def uniform(text, symbols, squares):
+        n, df = len(text), symbols - 1
+        chi = sum(text.count(c) ** 2 for c in set(text)) * symbols / n - n
+        off = n * (symbols * squares - 1)
+        return tail(-(chi - df - off) / math.sqrt(2 * (df + 2 * off)))
+
+    plain = re.sub("[^A-Za-z0-9]", "", body)
+    ends = len(re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", body)) - 1
+    steps = len(plain) - 1
+    runs = tail((ends - 0.27 * steps) / (0.6 * math.sqrt(steps * 0.27 * 0.73))) if steps >= 1 else 1.0
+    if name in ("hex", "HEX"):
+        ps = [uniform(body, 16, 0.1), runs]
+    else:
+        letters = re.sub("[^a-z]", "", body.lower())
+        kinds = ["v" if c in "aeiouy" else "c" if c.isalpha() else "0" for c in plain.lower()]
+        pairs = [(a, b) for a, b in itertools.pairwise(kinds) if "0" not in (a, b)]
+        turns = sum(a != b for a, b in pairs)
+        ps = [uniform(letters, 26, 0.066) if len(letters) >= 8 else 1.0, runs, tail((len(pairs) / 2 - turns - 0.5) / math.sqrt(len(pairs) / 4)) if len(pairs) >= 8 else 1.0]
+    x = -sum(map(math.log, ps))
+    p = math.exp(-x) * (1 + x + x * x / 2)
     alphabet, n = secrets.ALPHABETS[name], len(body)
-    k, values = len(alphabet), [alphabet.index(c) for c in body]
-    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
-    off = n * (k * secrets.ORDINARY[name] - 1)
-    z = (chi - (k - 1) - off) / math.sqrt(2 * (k - 1 + 2 * off))
-    beyond = lambda x: math.erfc(x / math.sqrt(2)) / 2
-    bits = [v >= k // 2 for v in values]
-    ones, runs = sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:]))
+    values = [alphabet.index(c) for c in body]
+    bits = [v >= len(alphabet) // 2 for v in values]
+    ones, found = sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:]))
     mean = 2 * ones * (n - ones) / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
-    z_runs = (abs(runs - mean) + 0.5) / math.sqrt(var) if var > 0 else secrets.NO_VARIATION
     mu = sum(values) / n
     spread = sum(v * v for v in values) / n - mu * mu
-    serial = abs((sum(a * b for a, b in zip(values, values[1:])) / (n - 1) - mu * mu) / spread * math.sqrt(n)) if spread > 0 else secrets.NO_VARIATION
-    cot = lambda p: 1 / math.tan(math.pi * p)
-    against = lambda x: -cot(min(max(2 * beyond(x), secrets.LEAST_BEYOND), 1 - secrets.FOR_IT))
-    t = secrets.WEIGHTS[0] * cot(min(max(beyond(-z), secrets.LEAST_P), 1 - secrets.LEAST_P)) + secrets.WEIGHTS[1] * against(z_runs) + secrets.WEIGHTS[2] * against(serial)
-    return math.atan2(1, t) / math.pi
+    odd = var <= 0 or abs(found - mean) / math.sqrt(var) > 3.5 or spread <= 0 or abs((sum(a * b for a, b in zip(values, values[1:])) / (n - 1) - mu * mu) / spread * math.sqrt(n)) > 3.5
+    return 1.0 if odd and p < 0.25 else p
 
 
 def some_tokens():
@@ -96,7 +110,7 @@ def test_combined_p(spark):
     got = {r["t"]: r["x"]["bin"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.token_tests(F.col("t")).alias("x")).collect()}
     for t in tokens:
         p = plain_p(t)
-        assert p is not None and abs(got[t] - min(max((math.log10(p) - secrets.LOWEST) * secrets.BINS_PER_DECADE, 0), secrets.LAST_BIN - 1)) <= 4, t
+        assert p is not None and abs(got[t] - min(max((math.log10(p) - secrets.LOWEST) * secrets.BINS_PER_DECADE, 0), secrets.LAST_BIN)) <= 4, t
     none = spark.range(1).select(secrets.token_tests(F.lit("a+b-c_d/" * 4)).alias("x")).first()["x"]
     assert none["bin"] == secrets.LAST_BIN
 
