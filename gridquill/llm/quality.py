@@ -1,16 +1,18 @@
 """A quality classifier learned from trusted positives and unlabelled text: non-negative PU risk.
 
-The positive class' share of the corpus, its prior p, is estimated from the labelled rows of the learning
-fold.  With it the risk of a scorer f under a loss l is  p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]): what
-negatives cost is what unlabelled text costs less the positives in it, and never less than nothing.  Where it falls below that, the
-descent goes the other way, as the method has it, so what is minimised there is its distance from nothing.
-With the logistic loss the parts are convex in the weights of f, a sum of hinges over counts that a scan of the
-bytes gives: shares of kinds of bytes, lengths, repetition of words and lines.  So some Newton steps minimise it, the
-corner at nothing rounded, each a sum over all positives and all unlabelled documents that tasks add up.
+The positive class' share of the corpus, its prior p, is estimated from the labelled rows of the learning fold as their share
+of ones: right where labels are a random sample of the corpus, else it can be given.  With it the risk of a scorer f under a loss l is
+p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]): what negatives cost is what unlabelled text costs less the positives in
+it, and never less than nothing.  The fit sees all rows in each step, so it takes no turn back where a batch's estimate falls below
+nothing, as descents over batches do; there the maximum and its slope are 0.  With the logistic loss the parts are convex in
+the weights of f, a sum of hinges over counts that a scan of the bytes gives: shares of kinds of bytes, lengths,
+repetition of words and lines.  So some Newton steps minimise it, the maximum rounded by ROUND at its corner, each a sum over
+all positives and all unlabelled documents that tasks add up.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -24,9 +26,9 @@ from . import textscan as T
 from .common import cut, map_arrow
 
 #: Weight of the squared weights in the risk, evaluations of the risk at most, and the gain under which the fit ends.
-RIDGE, MOST_EVALUATIONS, LEAST_GAIN = 1e-3, 20, 1e-5
-#: How far the corner at nothing is rounded.
-ROUND = 0.02
+RIDGE, MOST_EVALUATIONS, LEAST_GAIN = 1e-3, 30, 1e-4
+#: How far the corner at nothing is rounded: the risk is too high by no more than ln 2 times this.
+ROUND = 0.01
 #: Where hinges begin, in standard deviations, and how far a feature counts.
 KNOTS, FAR = (-1.5, -0.75, 0.0, 0.75, 1.5), 5.0
 #: Partial sums of tasks are added up in so many groups before they reach the driver.
@@ -140,7 +142,7 @@ def risk_of(t: Sums, w: np.ndarray, prior: float) -> tuple[float, float]:
     """(the risk, its corner rounded and with its ridge, what negatives cost)."""
     negative = t.cost_un / t.n_un - prior * t.cost_pos / t.n_pos
     positive = (t.cost_pos - t.x_pos @ w) / t.n_pos  # the loss of being positive is that of being negative less f
-    return float(prior * positive + np.hypot(negative, ROUND) + RIDGE / 2 * (w @ w)), float(negative)
+    return float(prior * positive + ROUND * np.logaddexp(0, negative / ROUND) + RIDGE / 2 * (w @ w)), float(negative)
 
 
 def symmetric(half: np.ndarray, d: int) -> np.ndarray:
@@ -150,16 +152,17 @@ def symmetric(half: np.ndarray, d: int) -> np.ndarray:
 
 
 def minimise(start: Scorer, prior: float, evaluate: Callable[[Scorer], Sums]) -> Scorer:
-    """Newton steps on the risk, without curvature that is not convex, each accepted if it lowers the risk, else shortened."""
+    """Newton steps on the risk, each accepted if it lowers the risk, else shortened.  Warns if the last one still gains LEAST_GAIN."""
     best, t = start, evaluate(start)
     risk, negative = risk_of(t, best.w, prior)
     d, share = len(start.w), 1.0
     for _ in range(MOST_EVALUATIONS):
-        way = negative / np.hypot(negative, ROUND)  # 1 where negatives cost something, -1 where the descent goes the other way
+        # The slope of the rounded maximum: 1 where negatives cost something, 0 where they would cost less than nothing.
+        way = 1 / (1 + np.exp(-np.clip(negative / ROUND, -50, 50)))
         cost = t.slope_un / t.n_un - prior * t.slope_pos / t.n_pos
         slope = prior * (t.slope_pos - t.x_pos) / t.n_pos + way * cost + RIDGE * best.w
-        curve = prior * (1 - way) * symmetric(t.curve_pos, d) / t.n_pos + max(way, 0) * symmetric(t.curve_un, d) / t.n_un
-        curve += (1 - way**2) / np.hypot(negative, ROUND) * np.outer(cost, cost) + RIDGE * np.eye(d)
+        curve = prior * (1 - way) * symmetric(t.curve_pos, d) / t.n_pos + way * symmetric(t.curve_un, d) / t.n_un
+        curve += way * (1 - way) / ROUND * np.outer(cost, cost) + RIDGE * np.eye(d)
         step = np.linalg.solve(curve, slope)
         tried = best._replace(w=best.w - share * step)
         found = evaluate(tried)
@@ -167,12 +170,13 @@ def minimise(start: Scorer, prior: float, evaluate: Callable[[Scorer], Sums]) ->
         if new < risk:
             gain, best, t, risk, negative = risk - new, tried, found, new, at
             if gain < LEAST_GAIN:
-                break
+                return best
             share = min(1.0, share * 2)
         elif share * float(slope @ step) < LEAST_GAIN:
-            break
+            return best
         else:
             share /= 4
+    warnings.warn(f"the fit has not converged after {MOST_EVALUATIONS} evaluations; the risk is {risk:.4f}", RuntimeWarning, stacklevel=2)
     return best
 
 
@@ -243,11 +247,14 @@ def added(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray],
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Scorer:
-    """Fits a scorer on all positives and all documents, labelled or not, of the learning fold."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, prior: float | None = None) -> Scorer:
+    """Fits a scorer on all positives and all documents, labelled or not, of the learning fold.  prior: the share of positives in the
+    corpus; without it that among the labelled rows."""
     fold = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    n, ones = fold.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
-    prior = min(max((ones + 1) / (n + 2), 0.01), 0.99)
+    if prior is None:
+        n, ones = fold.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
+        prior = (ones + 1) / (n + 2)
+    prior = min(max(prior, 0.01), 0.99)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("marked")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     unlabelled = cut(feature_rows(rows), "features")
     trusted = fold.where("label = 1").select("doc_id").distinct()
@@ -259,13 +266,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return minimise(start, prior, lambda scorer: Sums.of(added(both, lambda x, marked: sums_of(scorer, x, marked).flat(), Sums.size(d)), d))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per input row: doc_id, held_out, score in 0..1 and predicted (1 from 0.5 on); keep: further columns to carry along.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), prior: float | None = None) -> DataFrame:
+    """Per input row: doc_id, held_out, score in 0..1 and predicted (1 from 0.5 on); keep: further columns to carry along; prior: the share
+    of positives in the corpus, by default that among the labelled rows, which has to be a random sample then.
 
     Only the text goes into a score.  A null text is empty and is scored like one; a null id is never learned
     from and not held out; rows that repeat are scored alike; without labels every score is the prior; an empty
     table gives no rows."""
-    scorer = learn(docs, labels, id_col, text_col, label_col)
+    scorer = learn(docs, labels, id_col, text_col, label_col, prior)
     others = [c for c in keep if c != text_col]  # the text itself goes to the workers once
     carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in others))
     dropped = {"text"} if text_col not in keep else set()

@@ -184,7 +184,7 @@ def plain_risk(w, inputs, marked, prior):
         if m:
             gains.append(math.log1p(math.exp(-abs(f))) + max(-f, 0))  # of being positive
     mean = lambda v: sum(v) / len(v)
-    return prior * mean(gains) + math.hypot(mean(costs[0]) - prior * mean(costs[1]), quality.ROUND) + quality.RIDGE / 2 * float(w @ w)
+    return prior * mean(gains) + max(0.0, mean(costs[0]) - prior * mean(costs[1])) + quality.RIDGE / 2 * float(w @ w)
 
 
 def test_quality_is_the_minimum(spark):
@@ -210,9 +210,9 @@ def test_quality_is_the_minimum(spark):
     for _ in range(4000):
         gp, gu = 1 / (1 + np.exp(-p @ down)), 1 / (1 + np.exp(-u @ down))
         negative = np.logaddexp(0, u @ down).mean() - prior * np.logaddexp(0, p @ down).mean()
-        slope = prior * ((gp - 1) @ p) / len(p) + negative / math.hypot(negative, quality.ROUND) * (gu @ u / len(u) - prior * (gp @ p) / len(p)) + quality.RIDGE * down
+        slope = prior * ((gp - 1) @ p) / len(p) + (negative > 0) * (gu @ u / len(u) - prior * (gp @ p) / len(p)) + quality.RIDGE * down
         down = down - step * slope
-    assert at <= plain_risk(down, inputs, marked, prior) + 2e-3
+    assert at <= plain_risk(down, inputs, marked, prior) + 2e-3 + math.log(2) * quality.ROUND
     assert np.mean(np.abs(1 / (1 + np.exp(-scorer.inputs(x) @ down)) - np.array([got[i] for i in ids]))) < 0.1
 
 
@@ -226,6 +226,27 @@ def test_risk_of_two_clouds():
     assert np.mean(scorer.scores(bad[300:]) < 0.5) > 0.9 and np.mean(scorer.scores(good) >= 0.5) > 0.9
 
 
+def test_a_fit_that_does_not_converge_says_so(monkeypatch):
+    monkeypatch.setattr(quality, "MOST_EVALUATIONS", 1)
+    rng = np.random.default_rng(0)
+    x, marked = rng.gamma(4, 1, (60, quality.N_FEATURES)), np.array([1] * 20 + [0] * 40)
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        quality.minimise(quality.begin(quality.moments_of(x), 0.5), 0.5, lambda s: quality.sums_of(s, x, marked))
+
+
+def test_the_risk_is_never_below_that_of_positives():
+    """Where unlabelled text would cost less than its positives, negatives cost nothing and do not pull the fit back."""
+    rng = np.random.default_rng(1)
+    good = rng.gamma(4, 1, (200, quality.N_FEATURES))
+    x, marked = np.concatenate([good, good[:150]]), np.array([1] * 200 + [0] * 150)
+    start = quality.begin(quality.moments_of(good), 0.9)
+    scorer = quality.minimise(start, 0.9, lambda s: quality.sums_of(s, x, marked))
+    t = quality.sums_of(scorer, x, marked)
+    risk, negative = quality.risk_of(t, scorer.w, 0.9)
+    positive = 0.9 * (t.cost_pos - t.x_pos @ scorer.w) / t.n_pos
+    assert risk >= positive and abs(risk - positive - max(0.0, negative) - quality.RIDGE / 2 * (scorer.w @ scorer.w)) <= math.log(2) * quality.ROUND + 1e-9
+
+
 def least_padding(lengths, buckets):
     """By trying every choice of boundaries."""
     kinds = sorted(set(lengths))
