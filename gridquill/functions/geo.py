@@ -96,6 +96,20 @@ def area_km2(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, F.abs(total) / 2 * number(KM_NORTH) * number(KM_EAST)).otherwise(number(0))
 
 
+def polygon_km2(rings: Column) -> Column:
+    """Planar area of an array of rings, the first a shell and the others its holes."""
+    holes = F.aggregate(F.transform(F.slice(rings, 2, F.size(rings)), area_km2), number(0), lambda a, v: a + v)
+    return F.when(F.size(rings) > 0, F.greatest(area_km2(F.get(rings, F.lit(0))) - holes, number(0))).otherwise(number(0))
+
+
+def segment_distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Squared distance of a point to a segment, which may be a point, in the units of the coordinates."""
+    dx, dy = x2 - x1, y2 - y1
+    along = F.least(F.greatest(F.coalesce(((px - x1) * dx + (py - y1) * dy) / F.nullif(dx * dx + dy * dy, number(0)), number(0)), number(0)), number(1))
+    ox, oy = px - (x1 + along * dx), py - (y1 + along * dy)
+    return ox * ox + oy * oy
+
+
 def radius_box(lon: Column, lat: Column, km: float = 12.0) -> Column:
     """struct<min_lon, min_lat, max_lon, max_lat> around a point; its width follows the latitude."""
     dlat = number(km / KM_NORTH)

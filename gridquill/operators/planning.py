@@ -6,9 +6,11 @@ precomputed risk raster, level 2 one recomputed from a hazard and weighted vulne
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +131,25 @@ def areas(gazetteer: DataFrame, cap: float = AREA_CAP_KM2, km: float = 12.0) ->
     return both.select("query", F.coalesce("b_name", "name").alias("name"), F.when(named, HOW[0]).otherwise(HOW[1]).alias("how"), "km2", F.when(~named, box).alias("box")).select("query", "name", "how", "km2", "box.*")
 
 
+def corrections(gazetteer: DataFrame, cap: float = AREA_CAP_KM2) -> DataFrame:
+    """(query, canonical): for each query without a boundary under the cap the name of what was found, where that is another."""
+    named = centres(gazetteer).join(boundaries(gazetteer, cap).select("query"), "query", "left_anti").select("query", F.col("name").alias("canonical"))
+    return named.where(F.lower(F.trim("canonical")) != F.lower(F.trim("query")))
+
+
+def areas_with_retry(gazetteer: DataFrame, search: Callable[[DataFrame], DataFrame], cap: float = AREA_CAP_KM2, km: float = 12.0) -> DataFrame:
+    """As areas, with corrected, the name that was searched for in a query's stead, or null.
+
+    What finds no boundary is searched for once more by the name that it was recognised as: search gets (query), those names, and
+    gives their rows of the gazetteer.  Their boundary counts, else their centre; a name that finds nothing changes nothing."""
+    names = corrections(gazetteer, cap)
+    again = areas(search(names.select(F.col("canonical").alias("query")).distinct()), cap, km)
+    fields = [c for c in again.columns if c != "query"]
+    second = names.join(again.withColumnRenamed("query", "canonical"), "canonical").select("query", F.struct(*fields).alias("second"), "canonical")
+    both = areas(gazetteer, cap, km).join(second, "query", "left")
+    return both.select("query", *(F.when(F.col("second").isNotNull(), F.col(f"second.{c}")).otherwise(F.col(c)).alias(c) for c in fields), F.col("canonical").alias("corrected"))
+
+
 #: What each operation reads besides the area.
 READS: dict[str, Sequence[str]] = {"roads_in_hazard": ("roads",), "count_features": (), "count_in_hazard": ()}
 
@@ -140,14 +161,32 @@ def needed_layers(operation: str, layer: str | None = None) -> list[str]:
     return [*READS[operation], *([layer] if layer else [])]
 
 
-def dispatch(operations: Mapping[str, Callable[..., DataFrame]], operation: str, **arguments: Any) -> tuple[DataFrame | None, str | None]:
-    """(the operation's result, None), or (None, why there is none): whatever goes wrong, also when the result is first
-    computed, is told as a refusal and no other answer takes its place.  The result is the bounded table of an answer."""
+class Refused(ValueError):
+    """What an operation raises when a request cannot be answered."""
+
+
+#: Rows of an answer at most.
+ANSWER_ROWS = 10_000
+
+
+def dispatch(operations: Mapping[str, Callable[..., DataFrame]], operation: str, most: int = ANSWER_ROWS, **arguments: Any) -> tuple[DataFrame | None, str | None]:
+    """(the operation's result, None), or (None, why there is none).
+
+    A refusal is told and no other answer takes its place: an unknown operation, arguments that it doesn't take or refuses
+    (Refused, ValueError), a service that rejects a request or can't be reached, and what Spark reports when the result is first computed.
+    Other errors are bugs and raise.  No more than `most` rows and one come to the driver; a result with more is refused."""
+    told = lambda e: f"No data for that request: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+    if operation not in operations:
+        return None, told(Refused(f"unknown operation {operation}"))
+    try:
+        inspect.signature(operations[operation]).bind(**arguments)
+    except TypeError as e:
+        return None, told(e)
     try:
-        if operation not in operations:
-            raise ValueError(f"unknown operation {operation}")
         found = operations[operation](**arguments)
-        rows = found.collect()  # an answer: a row for each layer or class
+        rows = found.limit(most + 1).collect()
+        if len(rows) > most:
+            raise Refused(f"more than {most} rows; ask for less")
         return found.sparkSession.createDataFrame(rows, found.schema), None
-    except Exception as e:
-        return None, f"No data for that request: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+    except (ValueError, ConnectionError, PySparkException) as e:
+        return None, told(e)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import geo
 from gridquill.operators import areas, overlay, polygons, raster
-from gridquill.sources import catalog, geotiff
+from gridquill.sources import buckets, catalog, geotiff
 from gridquill.sources import tables as t
 from gridquill.sources.shared import cut, work_dir
 
@@ -17,6 +17,8 @@ CLIP_BOX = (103.1001, 13.7501, 103.4001, 13.9501)
 NOTCHED = [[(103.0501, 13.7501), (103.4501, 13.7501), (103.4501, 13.9701), (103.2501, 13.8203), (103.0501, 13.9701)], [(103.1501, 13.7701), (103.2001, 13.7701), (103.1701, 13.8101)]]
 #: A star with a notch and a triangular hole, as offsets from an area's corner.
 SHAPE = [[(0.0011, 0.0017), (0.1513, 0.0213), (0.1313, 0.0913), (0.0713, 0.0513), (0.0113, 0.0813)], [(0.0613, 0.0213), (0.1013, 0.0313), (0.0713, 0.0413)]]
+#: Degrees around a cursor: a cell's own assets and those of the cells at two sides.
+REACH = 0.0085
 VULNERABILITY = {"vuln_a": 0.4, "vuln_b": 0.35, "vuln_coarse": 0.25}
 
 # Parts of the SQL twins.
@@ -104,12 +106,12 @@ def road_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identify_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies under a cursor at each supplier's place: assets of its cell, schools drawn last, and the pixel."""
+    """What lies under a cursor at each supplier's place: assets within reach of it, schools drawn last, and the pixel."""
     k = F.col("s_suppkey")
     cursors = t.read(spark, sf_dir, "supplier").select(k.alias("cursor_id"), (F.lit(103.0) + (k % 60 + 0.5) * 0.01).alias("lon"), (F.lit(14.0) - (F.floor(k / 60) % 60 + 0.5) * 0.01).alias("lat"))
     ord_ = F.when(F.col("layer") == "hospitals", 0).when(F.col("layer") == "buildings", 1).otherwise(2)
     features = t.assets(spark, sf_dir).select(ord_.alias("ord"), "layer", "fid", "name", F.when(F.col("fid") % 4 != 0, (F.col("fid") % 6).cast("int")).alias("severity"), "lon", "lat")
-    return overlay.identify_hits(cursors, features, hazard(spark, sf_dir), t.FINE, t.FINE)
+    return overlay.identify_hits(cursors, features, hazard(spark, sf_dir), t.FINE, REACH)
 
 
 def road_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +189,26 @@ def class_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(polygons.outline_area(polygons.rings(hazard(spark, sf_dir)), t.FINE), 4, "km2")
 
 
+def stored(spark: SparkSession, **layers: DataFrame) -> dict[str, str]:
+    """Layers as bucketed tables, under names of their own."""
+    path = work_dir(spark, "layers")
+    names = {name: f"{name}_{path[-32:]}" for name in layers}
+    for name, cells in layers.items():
+        buckets.store_layer(cells, names[name], f"{path}/{name}", 8)
+    return names
+
+
+def stored_l2_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recomputed risk over stored layers."""
+    names = stored(spark, hazard=hazard(spark, sf_dir), **fine_layers(spark, sf_dir))
+    return buckets.combine_risk(spark, names.pop("hazard"), names, VULNERABILITY)
+
+
+def stored_grid_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = stored(spark, ours=recomputed(spark, sf_dir), other=t.cells(spark, sf_dir, "risk_l1"))
+    return raster.agreement(buckets.compare(spark, names["ours"], names["other"]))
+
+
 def nation_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An area for each nation: SHAPE moved by its key, so that areas overlap."""
     k = F.col("n_nationkey")
@@ -204,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_clip_area, road_extent, feature_counts, identify_pixels, identify_features, mercator_assets,
-        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area, count_by_area,
+        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area, count_by_area, stored_l2_risk, stored_grid_agreement,
     )
 }
 
@@ -277,9 +299,11 @@ ORACLE_SQL = {
         p AS (SELECT *, lead(t) OVER (PARTITION BY fid, idx ORDER BY t) AS t2 FROM ts), m AS (SELECT *, x1 + (t + t2) / 2 * dx AS mx, y1 + (t + t2) / 2 * dy AS my FROM p WHERE t2 IS NOT NULL),
         q AS (SELECT fid, x1 + t * dx AS x1, y1 + t * dy AS y1, x1 + t2 * dx AS x2, y1 + t2 * dy AS y2 FROM m WHERE (SELECT count(*) FROM e WHERE (t1 > m.my) <> (t2 > m.my) AND m.mx < (s2 - s1) * (m.my - t1) / (t2 - t1) + s1) % 2 = 1)
         SELECT fid, count(*) AS n_parts, round(sum({KM}), 4) AS km FROM q GROUP BY fid""",
-    "identify_features": f"""WITH {ASSETS}, cur AS (SELECT s_suppkey AS cursor_id, CAST(floor((14.0::double - (14.0::double - ((s_suppkey // 60) % 60 + 0.5::double) * 0.01::double)) / 0.01::double) AS INT) AS r, CAST(floor((103.0::double + (s_suppkey % 60 + 0.5::double) * 0.01::double - 103.0::double) / 0.01::double) AS INT) AS c FROM supplier),
-        f AS (SELECT CASE layer WHEN 'hospitals' THEN 0 WHEN 'buildings' THEN 1 ELSE 2 END AS ord, layer, fid, name, CAST(fid % 6 AS INT) AS severity, CAST(floor((14.0::double - lat) / 0.01::double) AS INT) AS r, CAST(floor((lon - 103.0::double) / 0.01::double) AS INT) AS c FROM assets WHERE fid % 4 <> 0),
-        h AS (SELECT cursor_id, 0 AS kind, ord, fid, layer, name, severity FROM cur JOIN f USING (r, c) UNION ALL SELECT cursor_id, 1, 0, 0, 'raster', NULL, CAST(floor(v + 0.5) AS INT) FROM cur JOIN {CELLS["hazard"]} k USING (r, c) WHERE v > 0)
+    "identify_features": f"""WITH {ASSETS}, cur AS (SELECT s_suppkey AS cursor_id, 103.0::double + (s_suppkey % 60 + 0.5::double) * 0.01::double AS x, 14.0::double - ((s_suppkey // 60) % 60 + 0.5::double) * 0.01::double AS y FROM supplier),
+        f AS (SELECT CASE layer WHEN 'hospitals' THEN 0 WHEN 'buildings' THEN 1 ELSE 2 END AS ord, layer, fid, name, CAST(fid % 6 AS INT) AS severity, lon, lat FROM assets WHERE fid % 4 <> 0),
+        p AS (SELECT cursor_id, CAST(floor((14.0::double - y) / 0.01::double) AS INT) AS r, CAST(floor((x - 103.0::double) / 0.01::double) AS INT) AS c FROM cur),
+        h AS (SELECT cursor_id, 0 AS kind, ord, fid, layer, name, severity FROM cur JOIN f ON (x - lon) * (x - lon) + (y - lat) * (y - lat) <= {REACH} * {REACH}
+        UNION ALL SELECT cursor_id, 1, 0, 0, 'raster', NULL, CAST(floor(v + 0.5) AS INT) FROM p JOIN {CELLS["hazard"]} k USING (r, c) WHERE v > 0)
         SELECT cursor_id, CAST(row_number() OVER (PARTITION BY cursor_id ORDER BY kind, ord DESC, fid) AS INT) AS at, layer, name, severity FROM h""",
     "road_extent": f"WITH {VERTICES} SELECT round(min(lon), 6) AS min_lon, round(min(lat), 6) AS min_lat, round(max(lon), 6) AS max_lon, round(max(lat), 6) AS max_lat FROM vertices",
     "feature_counts": f"WITH {ASSETS} SELECT layer, count(*) AS n FROM assets GROUP BY layer",
@@ -307,3 +331,4 @@ ORACLE_SQL = {
         n AS (SELECT area_id, layer, count(*) AS n FROM hits GROUP BY area_id, layer)
         SELECT spot.area_id, l.layer, coalesce(n.n, 0) AS n FROM spot CROSS JOIN {LAYERS} LEFT JOIN n ON n.area_id = spot.area_id AND n.layer = l.layer""",
 }
+ORACLE_SQL |= {"stored_l2_risk": ORACLE_SQL["combine_l2_risk"], "stored_grid_agreement": ORACLE_SQL["grid_agreement"]}

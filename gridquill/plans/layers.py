@@ -121,6 +121,21 @@ def area_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(planning.areas(gazetteer(spark, sf_dir), cap=20.0), 6, "min_lon", "min_lat", "max_lon", "max_lat")
 
 
+def area_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of nations, those without a small boundary by a second search under the name of their best settlement."""
+
+    def search(names: DataFrame) -> DataFrame:
+        k = F.col("c_custkey")
+        known = t.read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(
+            F.col("c_name").alias("query"), k.alias("ord"), F.concat("c_name", F.lit(" again, there")).alias("name"), F.lit("boundary").alias("class"), F.lit("administrative").alias("type"), F.lit("MultiPolygon").alias("gtype"),
+            ((k * 53) % 40).cast("double").alias("km2"), (k % 30).cast("double").alias("lon"), (k % 20).cast("double").alias("lat"),
+        )
+        return known.join(names, "query", "left_semi")
+
+    found = planning.areas_with_retry(gazetteer(spark, sf_dir), search, cap=10.0)
+    return rounded(found, 6, "min_lon", "min_lat", "max_lon", "max_lat")
+
+
 def place_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.read(spark, sf_dir, "part")
     name = F.concat(F.lit(" The "), "p_name", F.lit(" & Co. / "), "p_brand", F.lit("!"))
@@ -133,7 +148,7 @@ def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "part").select("p_partkey", tx.share_file_id(url).alias("file_id"))
 
 
-QUERIES = {f.__name__: f for f in (raster_contract_check, contract_roll_up, upload_gate, layer_plan, l2_missing_inputs, answer_options, option_choices, resolve_layer_names, boundary_candidates, best_center, area_resolution, place_slugs, share_links)}
+QUERIES = {f.__name__: f for f in (raster_contract_check, contract_roll_up, upload_gate, layer_plan, l2_missing_inputs, answer_options, option_choices, resolve_layer_names, boundary_candidates, best_center, area_resolution, area_retries, place_slugs, share_links)}
 
 _sql = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}::double"
 _VALUES = lambda rows: ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
@@ -190,6 +205,11 @@ ORACLE_SQL = {
     "area_resolution": f"""WITH {_GAZETTEER}, {_BEST(20)}, {_CENTRES} SELECT c.query, coalesce(b.name, c.name) AS name, CASE WHEN b.name IS NULL THEN 'radius_box' ELSE 'nominatim' END AS how, b.km2,
         CASE WHEN b.name IS NULL THEN round(lon - 12 / (111 * greatest(cos(radians(lat)), 0.01)), 6) END AS min_lon, CASE WHEN b.name IS NULL THEN round(lat - 12.0::double / 111, 6) END AS min_lat,
         CASE WHEN b.name IS NULL THEN round(lon + 12 / (111 * greatest(cos(radians(lat)), 0.01)), 6) END AS max_lon, CASE WHEN b.name IS NULL THEN round(lat + 12.0::double / 111, 6) END AS max_lat FROM centres c LEFT JOIN bounds b USING (query)""",
+    "area_retries": f"""WITH {_GAZETTEER}, {_BEST(10)}, {_CENTRES}, again AS (SELECT c_name AS canonical, c_name || ' again' AS name, CAST((c_custkey * 53) % 40 AS DOUBLE) AS km2, CAST(c_custkey % 30 AS DOUBLE) AS lon, CAST(c_custkey % 20 AS DOUBLE) AS lat FROM customer WHERE c_custkey % 3 <> 0),
+        x AS (SELECT c.query, c.name AS canonical, b.name AS b_name, b.km2 AS b_km2, c.lon, c.lat, a.name AS a_name, a.km2 AS a_km2, a.lon AS a_lon, a.lat AS a_lat, b.name IS NULL AND a.name IS NOT NULL AS retried FROM centres c LEFT JOIN bounds b USING (query) LEFT JOIN again a ON a.canonical = c.name),
+        y AS (SELECT query, CASE WHEN retried THEN a_name ELSE coalesce(b_name, canonical) END AS name, CASE WHEN retried THEN CASE WHEN a_km2 <= 10 THEN a_km2 END ELSE b_km2 END AS km2, CASE WHEN retried THEN a_lon ELSE lon END AS lon, CASE WHEN retried THEN a_lat ELSE lat END AS lat, CASE WHEN retried THEN canonical END AS corrected FROM x)
+        SELECT query, name, CASE WHEN km2 IS NULL THEN 'radius_box' ELSE 'nominatim' END AS how, km2, CASE WHEN km2 IS NULL THEN round(lon - 12 / (111 * greatest(cos(radians(lat)), 0.01)), 6) END AS min_lon, CASE WHEN km2 IS NULL THEN round(lat - 12.0::double / 111, 6) END AS min_lat,
+        CASE WHEN km2 IS NULL THEN round(lon + 12 / (111 * greatest(cos(radians(lat)), 0.01)), 6) END AS max_lon, CASE WHEN km2 IS NULL THEN round(lat + 12.0::double / 111, 6) END AS max_lat, corrected FROM y""",
     "place_slugs": """SELECT p_partkey, regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS place, regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS layer, '_' AS nothing
         FROM (SELECT p_partkey, ' The ' || p_name || ' & Co. / ' || p_brand || '!' AS n FROM part)""",
     "share_links": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a' || p_partkey WHEN 1 THEN 'b' || p_partkey END AS file_id FROM part",

@@ -12,6 +12,7 @@ from gridquill.streaming import jobs, shelves
 
 PRICE_IN, PRICE_OUT = 3e-6, 1.5e-5
 NOW, TTL_HOURS = "2024-01-31 00:00:00", 36.0
+STREAM_TTL_HOURS, LATE_MINUTES = 2.0, 10
 
 
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,15 @@ def stream_dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelves.library(spark, path).select("content_id", "row_id")
 
 
+def stream_stale_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches as a stream; the entries that had grown too old when it ended."""
+    raw = jobs.stream_of(spark, f"{sf_dir}/events.parquet", t.read(spark, sf_dir, "events").schema)
+    blobs = raw.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("entry"), F.col("ts").alias("fetched_at"))
+    path, marks = work_dir(spark, "stale"), work_dir(spark, "marks")
+    jobs.run_now(jobs.stale_marks(blobs, STREAM_TTL_HOURS), path, marks).awaitTermination()
+    return spark.read.schema(jobs.STALE).parquet(path).select("key", "entry", F.unix_micros("fetched_at").alias("fetched_us"))
+
+
 def stream_thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream; the state of each thread at its end."""
     raw = jobs.stream_of(spark, f"{sf_dir}/conversations.parquet", t.read(spark, sf_dir, "conversations").schema)
@@ -122,7 +132,7 @@ def stream_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        usage_cost, last_user_message, thread_history, latest_answer, persisted_geometry, visible_layers, layer_reconcile, grounded_flag, stale_marking, stale_rollup, stream_dedupe_ingest, stream_thread_state, stream_windowed_events, choice_pauses, stream_choices,
+        usage_cost, last_user_message, thread_history, latest_answer, persisted_geometry, visible_layers, layer_reconcile, grounded_flag, stale_marking, stale_rollup, stream_dedupe_ingest, stream_stale_marks, stream_thread_state, stream_windowed_events, choice_pauses, stream_choices,
     )
 }
 
@@ -153,6 +163,8 @@ ORACLE_SQL = {
     "grounded_flag": "SELECT o_orderkey, contains(CAST(o_orderkey AS VARCHAR), CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + 1 END AS VARCHAR)) AS grounded FROM orders",
     "stale_marking": f"WITH {_FRESH} SELECT key, entry, stale FROM fresh",
     "stale_rollup": f"WITH {_FRESH} SELECT count(*) AS n, count(*) FILTER (WHERE stale) AS n_stale, strftime(min(ts) FILTER (WHERE stale), '%Y-%m-%dT%H:%M:%SZ') AS last_good_fetch FROM fresh",
+    "stream_stale_marks": f"""WITH latest AS (SELECT user_id AS key, event_id AS entry, epoch_us(ts) AS fetched_us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT CAST(key AS BIGINT) AS key, CAST(entry AS BIGINT) AS entry, fetched_us FROM latest WHERE fetched_us // 1000 + {int(STREAM_TTL_HOURS * 3_600_000)} + 1 <= (SELECT max(epoch_us(ts)) // 1000 - {LATE_MINUTES * 60_000} FROM events)""",
     "stream_dedupe_ingest": "SELECT substr(sha1(text), 1, 16) AS content_id, min(doc_id) AS row_id FROM documents GROUP BY 1",
     "stream_thread_state": f"WITH {_MESSAGES}, {_LAST} SELECT m.thread_id, {_HISTORY.replace('role[1]', 'm.role[1]').replace('ORDER BY turn', 'ORDER BY m.turn')}, max(m.turn) AS last_turn, md5(any_value(l.content)) AS last_user FROM msgs m LEFT JOIN last l ON l.thread_id = m.thread_id GROUP BY m.thread_id",
     "stream_windowed_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -107,6 +107,51 @@ def choices(messages: DataFrame) -> DataFrame:
     return messages.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=ChoiceState(), outputStructType=CHOICE, outputMode="Append", timeMode="None")
 
 
+FETCHED = StructType([StructField("entry", LongType()), StructField("fetched", LongType())])
+STALE = "key long, entry long, fetched_at timestamp, due timestamp"
+
+
+class Freshness(StatefulProcessor):
+    """The last entry of a key, and a timer for when it is too old.  A later fetch moves the timer; when it goes off, the key is stale."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", FETCHED)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = tuple(self.last.get()) if self.last.exists() else None
+        best = known
+        for part in rows:
+            for entry, fetched in zip(part["entry"], part["fetched_us"]):
+                if best is None or (int(fetched), int(entry)) > (best[1], best[0]):
+                    best = (int(entry), int(fetched))
+        if best is not None and best != known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update(best)
+            # A millisecond more than the age at which it is too old: timers know no finer time.
+            self.handle.registerTimer(best[1] // 1000 + self.ttl_ms + 1)
+        yield pd.DataFrame({"key": [], "entry": [], "fetched_us": [], "due_ms": []})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        entry, fetched = self.last.get()
+        yield pd.DataFrame({"key": [key[0]], "entry": [entry], "fetched_us": [fetched], "due_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_marks(blobs: DataFrame, ttl_hours: float, late: str = "10 minutes") -> DataFrame:
+    """A stream of STALE rows: an entry of blobs (key, entry, fetched_at), the last of its key, when the stream's time, `late` behind the latest
+    fetch, has passed its time to live; twin of session.freshness.  A key that is fetched anew and grows old again is marked again."""
+    blobs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    timed = blobs.select("key", "entry", F.col("fetched_at").cast("timestamp").alias("fetched_at")).withColumn("fetched_us", F.unix_micros("fetched_at")).withWatermark("fetched_at", late)
+    found = timed.groupBy("key").transformWithStateInPandas(statefulProcessor=Freshness(int(ttl_hours * 3_600_000)), outputStructType="key long, entry long, fetched_us long, due_ms long", outputMode="Append", timeMode="EventTime")
+    return found.select("key", "entry", F.timestamp_micros("fetched_us").alias("fetched_at"), F.timestamp_millis("due_ms").alias("due"))
+
+
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) by event-time windows; events later than the watermark are dropped.  An extension."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")

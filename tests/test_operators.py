@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,9 +228,51 @@ def test_dispatch(spark):
     operations = {"three": lambda n: spark.range(n), "broken": lambda: spark.range(1).selectExpr("raise_error('no cells') as x")}
     found, why = planning.dispatch(operations, "three", n=3)
     assert found.count() == 3 and why is None
-    for name, arguments, said in (("four", {}, "unknown operation four"), ("broken", {}, "no cells"), ("three", {"m": 1}, "unexpected")):
+    for name, arguments, said in (("four", {}, "unknown operation four"), ("broken", {}, "no cells"), ("three", {"m": 1}, "unexpected|missing")):
         found, why = planning.dispatch(operations, name, **arguments)
-        assert found is None and why.startswith("No data for that request: ") and said in why
+        assert found is None and why.startswith("No data for that request: ") and re.search(said, why)
+    found, why = planning.dispatch(operations, "three", most=2, n=3)
+    assert found is None and "more than 2 rows" in why
+    with pytest.raises(ZeroDivisionError):  # a bug is no refusal
+        planning.dispatch({"bug": lambda: 1 // 0}, "bug")
+
+
+def test_near_features(spark):
+    r = random.Random(3)
+    points = [(i, 1, f"p{i}", r.uniform(-1, 1), r.uniform(-1, 1), None) for i in range(200)]
+    lines = [(1000 + i, 2, f"l{i}", 0.0, 0.0, [(r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(r.randint(2, 4))]) for i in range(30)]
+    features = spark.createDataFrame([(o, "x", f, n, 1, x, y, line) for f, o, n, x, y, line in points + lines], "ord int, layer string, fid long, name string, severity int, lon double, lat double, line array<struct<lon: double, lat: double>>")
+    cursors = [(i, r.uniform(-1, 1), r.uniform(-1, 1)) for i in range(80)]
+
+    def distance(px, py, line):
+        best = 9e9
+        for (x1, y1), (x2, y2) in zip(line, line[1:]) if len(line) > 1 else [(line[0], line[0])]:
+            d2 = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            t = min(max(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / d2, 0), 1) if d2 else 0
+            best = min(best, math.hypot(px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1)))
+        return best
+
+    for reach in (0.03, 0.2):
+        found = overlay.near_features(spark.createDataFrame(cursors, "cursor_id long, lon double, lat double"), features, reach)
+        want = sorted((c, f) for c, px, py in cursors for f, _, _, x, y, line in points + lines if distance(px, py, line or [(x, y)]) <= reach)
+        assert sorted((q["cursor_id"], q["fid"]) for q in found.collect()) == want
+
+
+def test_a_second_search_by_the_name_that_was_recognised(spark):
+    schema = "query string, ord long, name string, class string, type string, gtype string, km2 double, lon double, lat double"
+    rows = [("Batambang", 0, "Battambang, X", "place", "city", "Point", None, 103.0, 13.0), ("Town", 0, "town, X", "place", "town", "Point", None, 1.0, 2.0), ("Big", 0, "Big, X", "boundary", "administrative", "Polygon", 9000.0, 5.0, 5.0), ("Big", 1, "Bigger place", "place", "city", "Point", None, 6.0, 6.0), ("Lost", 0, "Elsewhere, X", "place", "village", "Point", None, 7.0, 7.0)]
+    second = [("Battambang", 0, "Battambang, Y", "boundary", "administrative", "Polygon", 120.0, 103.0, 13.0), ("Bigger place", 0, "Bigger place, Y", "place", "city", "Point", None, 60.0, 6.0)]
+    asked = []
+
+    def search(names):
+        asked.extend(sorted(r["query"] for r in names.collect()))
+        return spark.createDataFrame(second, schema).join(names, "query", "left_semi")
+
+    found = {r["query"]: r for r in planning.areas_with_retry(spark.createDataFrame(rows, schema), search).collect()}
+    assert asked == ["Battambang", "Bigger place", "Elsewhere"]
+    assert (found["Batambang"]["name"], found["Batambang"]["km2"], found["Batambang"]["corrected"]) == ("Battambang", 120.0, "Battambang")
+    assert (found["Big"]["how"], found["Big"]["corrected"], round(found["Big"]["min_lon"])) == ("radius_box", "Bigger place", 60)
+    assert (found["Town"]["corrected"], found["Lost"]["corrected"], found["Lost"]["name"]) == (None, None, "Elsewhere")
 
 
 def test_evidence(spark):

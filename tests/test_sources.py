@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import threading
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -237,8 +238,58 @@ def test_gazetteer(spark):
     items = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(answers)], "offset long, item string")
     rows = rest.gazetteer(items, "town")
     found = {r["ord"]: (r["gtype"], r["km2"] and round(r["km2"], 2), r["lon"]) for r in rows.collect()}
-    assert found == {0: (None, None, 1.5), 1: ("Polygon", 119.88, 0.0), 2: ("MultiPolygon", 119.88, None)}
+    assert found == {0: (None, None, 1.5), 1: ("Polygon", 119.88, 0.0), 2: ("MultiPolygon", 239.76, None)}
+    hole = [[[0.02, 0.02], [0.04, 0.02], [0.04, 0.07], [0.02, 0.07]]]
+    more = [{"geojson": {"type": "Polygon", "coordinates": square + hole}}, {"geojson": {"type": "MultiPolygon", "coordinates": [square + hole, hole]}}, {"geojson": {"type": "MultiPolygon", "coordinates": []}}]
+    again = rest.gazetteer(spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(more)], "offset long, item string"), "x")
+    assert [round(r["km2"], 2) for r in again.orderBy("ord").collect()] == [107.89, 119.88, 0.0]
     from gridquill.operators import planning
 
     area = planning.areas(rows).first()
-    assert (area["name"], area["how"]) == ("A", "nominatim")
+    assert (area["name"], area["how"]) == ("C", "nominatim")  # both parts of it count
+
+
+class Small(BaseHTTPRequestHandler):
+    """Refuses boxes that are wider than 1, half of them by a remark; has a road through each of them and one that crosses the middle."""
+
+    sizes: list[float] = []
+
+    def do_GET(self):
+        asked = parse_qs(urlparse(self.path).query)["data"][0]
+        south, west, north, east = map(float, re.search(r"\(([-\d.]+),([-\d.]+),([-\d.]+),([-\d.]+)\)", asked).groups())
+        Small.sizes.append(east - west)
+        refused = east - west > 1
+        self.send_response(413 if refused and south < 2 else 200)
+        self.end_headers()
+        if refused:
+            self.wfile.write(json.dumps({"remark": "runtime error: Query timed out", "elements": [{"type": "way", "id": 99, "geometry": [{"lon": 1, "lat": 1}, {"lon": 2, "lat": 2}]}]}).encode())
+            return
+        lines = {1: [(-1.0, 2.0), (5.0, 2.0)], 2: [(0.2, 0.2), (0.3, 0.3)], 3: [(3.7, 3.7), (9.0, 9.0)], 4: [(8.0, 8.0), (9.0, 9.0)]}
+        met = {i: v for i, v in lines.items() if min(x for x, _ in v) <= east and max(x for x, _ in v) >= west and min(y for _, y in v) <= north and max(y for _, y in v) >= south}
+        self.wfile.write(json.dumps({"elements": [{"type": "way", "id": i, "geometry": [{"lon": x, "lat": y} for x, y in v]} for i, v in met.items()]}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_large_areas_are_asked_for_in_parts(spark):
+    """Roads that start outside and run into the box are kept; refused boxes are quartered; each feature comes once."""
+    server = HTTPServer(("127.0.0.1", 0), Small)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rest.register(spark)
+    options = {"url": f"http://127.0.0.1:{server.server_port}/x", "backoff_s": 0.01}
+    with pytest.raises(ValueError, match="filterPushdown"):
+        rest.map_layer(spark, layer="roads", box=(0.0, 0.0, 4.0, 4.0), **options)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for parts in (1, 3):
+            Small.sizes.clear()
+            found = rest.map_layer(spark, layer="roads", box=(0.0, 0.0, 4.0, 4.0), parts=parts, **options)
+            assert sorted((r["fid"], r["min_lon"], r["max_lat"], len(r["line"])) for r in found.collect()) == [(1, -1.0, 2.0, 2), (2, 0.2, 0.3, 2), (3, 3.7, 9.0, 2)]
+            assert max(Small.sizes) == pytest.approx(4.0 / parts) and min(Small.sizes) <= 1
+        with pytest.raises(Exception, match="413|remark|timed out"):
+            rest.map_layer(spark, layer="roads", box=(0.0, 0.0, 4.0, 4.0), splits=1, **options).collect()
+        assert rest.map_layer(spark, layer="parks", box=(0.0, 0.0, 4.0, 4.0), **options).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        server.shutdown()
