@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import geo
 from gridquill.operators import areas, overlay, polygons, raster
-from gridquill.sources import buckets, catalog, geotiff
+from gridquill.sources import buckets, catalog, geotiff, pyramid
 from gridquill.sources import tables as t
 from gridquill.sources.shared import cut, work_dir
 
@@ -189,6 +189,13 @@ def class_polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(polygons.outline_area(polygons.rings(hazard(spark, sf_dir)), t.FINE), 4, "km2")
 
 
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each class in a window, from the tiles inside it and the cells at its border."""
+    path, shape = work_dir(spark, "pyramid"), pyramid.Shape(2, 2, 3)
+    pyramid.write_pyramid(hazard(spark, sf_dir), path, shape)
+    return pyramid.window_counts(spark, path, raster.window_range(t.FINE, CLIP_BOX), shape)
+
+
 def stored(spark: SparkSession, **layers: DataFrame) -> dict[str, str]:
     """Layers as bucketed tables, under names of their own."""
     path = work_dir(spark, "layers")
@@ -226,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         count_features, count_in_hazard, roads_in_hazard, asset_severity_tags, road_max_severity, severity_metric_payload, road_clip, road_clip_area, road_extent, feature_counts, identify_pixels, identify_features, mercator_assets,
-        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area, count_by_area, stored_l2_risk, stored_grid_agreement,
+        hazard_window_clip, geotiff_window, raster_window_stats, regrid_nearest, combine_l2_risk, grid_agreement, grid_confusion, best_weights, dissolve_class_runs, dissolve_rectangles, dissolved_area, class_polygons, class_polygon_area, count_by_area, window_counts, stored_l2_risk, stored_grid_agreement,
     )
 }
 
@@ -331,4 +338,5 @@ ORACLE_SQL = {
         n AS (SELECT area_id, layer, count(*) AS n FROM hits GROUP BY area_id, layer)
         SELECT spot.area_id, l.layer, coalesce(n.n, 0) AS n FROM spot CROSS JOIN {LAYERS} LEFT JOIN n ON n.area_id = spot.area_id AND n.layer = l.layer""",
 }
+ORACLE_SQL["window_counts"] = f"SELECT v AS value, count(*) AS n FROM {CELLS['hazard']} WHERE {_WINDOW} GROUP BY v"
 ORACLE_SQL |= {"stored_l2_risk": ORACLE_SQL["combine_l2_risk"], "stored_grid_agreement": ORACLE_SQL["grid_agreement"]}

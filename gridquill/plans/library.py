@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import text as tx
 from gridquill.operators import evidence as ev
+from gridquill.operators import pruned
 from gridquill.operators import retrieval as rt
 from gridquill.sources import catalog
 from gridquill.sources import tables as t
@@ -80,6 +81,13 @@ def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.search_many(v, queries, 5, "vec_id").withColumnRenamed("id", "vec_id")
 
 
+def vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vector_topk_many, by lists that distances allow to skip."""
+    v = t.vectors(spark, sf_dir)
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return pruned.search_many_pruned(v, queries, 5).withColumnRenamed("id", "vec_id")
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits without vectors: of each language the documents by length, longest first."""
     rows = t.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
@@ -224,7 +232,7 @@ def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_ids, dedupe_ingest, chunk_documents, corpus_documents, corpus_count, vector_topk, filtered_vector_topk, relevance_floor_decline, vector_topk_many, source_block, required_provenance, cited_numbers, number_tokens,
+        document_ids, dedupe_ingest, chunk_documents, corpus_documents, corpus_count, vector_topk, filtered_vector_topk, relevance_floor_decline, vector_topk_many, vector_topk_pruned, source_block, required_provenance, cited_numbers, number_tokens,
         evidence_union, evidence_stats, evidence_feeds, grouped_sources, sources_text, phantom_citations, uncited_paragraphs, groundedness_report, brief_claims, claim_edges, provenance_reachability, used_citations, document_traces, page_text_extract,
     )
 }
@@ -321,3 +329,4 @@ ORACLE_SQL = {
         said AS (SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM bare) SELECT page_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM said""",
     "used_citations": f"WITH {_EVIDENCE}, {_CLAIMS} SELECT n, kind, n IN (SELECT unnest(cites) FROM claims) AS used FROM ev",
 }
+ORACLE_SQL["vector_topk_pruned"] = ORACLE_SQL["vector_topk_many"]

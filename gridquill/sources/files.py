@@ -89,25 +89,27 @@ def pdf_text(raw: bytes) -> str:
 READERS = {"txt": lambda b: b.decode("utf-8", "replace"), "md": lambda b: b.decode("utf-8", "replace"), "docx": docx_text, "pdf": pdf_text}
 
 
+def document_text(name: str, raw: bytes) -> tuple[str | None, str | None]:
+    """(text, None), or (None, what is wrong with the file)."""
+    reader = READERS.get(name.rsplit(".", 1)[-1].lower())
+    if reader is None:
+        return None, "unsupported file type"
+    try:
+        text = reader(raw)
+    except Exception as e:  # whatever a broken file makes a parser raise
+        return None, f"unreadable: {e}"
+    return (text, None) if len(text.strip()) >= MIN_TEXT else (None, "no text in it")
+
+
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, n_bytes, text, error) of every file below path: txt, md, docx and, with a reader installed, pdf.
 
     A file that can't be read, is of another kind, larger than MAX_FILE or holds under MIN_TEXT characters has an error
     and no text; it doesn't fail the others."""
 
-    def extract(name: str, raw: bytes) -> tuple[str | None, str | None]:
-        reader = READERS.get(name.rsplit(".", 1)[-1].lower())
-        if reader is None:
-            return None, "unsupported file type"
-        try:
-            text = reader(raw)
-        except Exception as e:  # whatever a broken file makes a parser raise
-            return None, f"unreadable: {e}"
-        return (text, None) if len(text.strip()) >= MIN_TEXT else (None, "no text in it")
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, n, *(extract(p, raw) if n <= MAX_FILE else (None, "too large"))) for p, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            rows = [(p, n, *(document_text(p, raw) if n <= MAX_FILE else (None, "too large"))) for p, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "n_bytes", "text", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
