@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import cut, map_arrow, merged, partitions, texts
+from . import common
+from .common import cut, give_back, merged, partitions, texts
 from .graph import components
 
 #: Members of a block, about; a task holds two.
@@ -49,6 +50,18 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """As common.map_arrow, by workers that give back what a task has freed: tasks of several steps follow each other in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return common.map_arrow(df, run, schema)
+
+
 class Bands:
     """Size bands, and for each group (a band with the one below it) the parts, their subparts and the slack."""
 
