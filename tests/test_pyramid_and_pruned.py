@@ -83,3 +83,14 @@ def test_vector_query(spark, name):
 
 def test_window_query(spark):
     assert_same(exposure.QUERIES["window_counts"](spark, DATA), exposure.ORACLE_SQL["window_counts"])
+
+
+def test_folders_stay_few_however_small_tiles_are(spark, tmp_path):
+    cells = spark.range(90_000).selectExpr("cast(id div 30 as int) as row", "cast(id % 30 as int) as col", "cast(id % 5 as double) as value")
+    path, shape = str(tmp_path / "pyramid"), pyramid.Shape(2, 2, 3)
+    pyramid.write_pyramid(cells, path, shape)
+    assert len(list((tmp_path / "pyramid" / "cells").glob("**/tile_col=*"))) <= 1.2 * pyramid.FOLDERS
+    for r1, r2, c1, c2 in ((3, 2001, 1, 27), (17, 18, 0, 40), (-5, 4000, -5, 40)):
+        found = pyramid.window_counts(spark, path, (r1, r2, c1, c2), shape)
+        want = cells.where(f"row between {r1} and {r2} and col between {c1} and {c2}").groupBy("value").count()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
