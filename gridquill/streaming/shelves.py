@@ -4,6 +4,9 @@ Contents lie by batch and bucket, a bucket being a part of the range of content
 which ids of a batch the library may have; only the buckets of these are read, and only their ids, to see which it has.  What a batch
 leaves, its contents and the filters with its ids in, is written under the batch's number: a repeated batch overwrites
 both and starts from the filters of the one before, so a restart adds nothing twice.
+
+Batches come in any order of their rows.  One that has a stored content under a smaller row id leaves that id beside the contents,
+and a content's row id is the smallest of all.
 """
 
 from __future__ import annotations
@@ -56,6 +59,10 @@ def state_path(path: str) -> str:
     return f"{path.rstrip('/')}.filters"
 
 
+def smaller_path(path: str) -> str:
+    return f"{path.rstrip('/')}.smaller"
+
+
 def filters_before(spark: SparkSession, path: str, number: int) -> DataFrame:
     """(bucket, bits) as the last batch before this one left them."""
     for earlier in range(number - 1, -1, -1):
@@ -87,11 +94,11 @@ def with_marks(ids: DataFrame, filters: DataFrame, shelves: Shelves) -> DataFram
 
 
 def stored_ids(spark: SparkSession, path: str, buckets: list[int], before: int) -> DataFrame:
-    """(content_id) of the batches before this one in some buckets; other folders are not listed as input, other columns not read."""
+    """(content_id, row_id) of the batches before this one in some buckets; other folders are not listed as input, texts not read."""
     folders = [f"{path}/batch={n}/bucket={b}" for n, b in held(spark, path) if n < before and b in set(buckets)]
     if not folders:
-        return spark.createDataFrame([], "content_id string")
-    return spark.read.schema(CONTENTS).parquet(*folders).select("content_id")
+        return spark.createDataFrame([], "content_id string, row_id long")
+    return spark.read.schema(CONTENTS).parquet(*folders).select("content_id", "row_id")
 
 
 def held(spark: SparkSession, path: str) -> Iterator[tuple[int, int]]:
@@ -116,10 +123,16 @@ def add_batch(batch: DataFrame, number: int, path: str, order: str = "doc_id", s
         asked = maybe_stored(ids, filters, shelves).persist()
         try:
             buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # the number of buckets at most
-            stored = stored_ids(spark, path, buckets, number)
-            seen = asked.join(stored.withColumnRenamed("content_id", "stored"), F.col("content_id").eqNullSafe(F.col("stored")), "left_semi").select(F.col("content_id").alias("seen"))
-            new = first.join(seen, F.col("content_id").eqNullSafe(F.col("seen")), "left_anti") if buckets else first
-            new.repartition("bucket").select("content_id", "row_id", "text", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+            stored = stored_ids(spark, path, buckets, number).select(F.col("content_id").alias("seen"), F.col("row_id").alias("stored_row"))
+            seen = asked.join(stored, F.col("content_id").eqNullSafe(F.col("seen"))).select("seen", "stored_row").persist()
+            try:
+                known = F.col("content_id").eqNullSafe(F.col("seen"))
+                smaller = first.join(seen, known).where("row_id < stored_row or (row_id is not null and stored_row is null)").select("content_id", "row_id")
+                smaller.write.mode("overwrite").parquet(f"{smaller_path(path)}/batch={number}")
+                new = first.join(seen, known, "left_anti") if buckets else first
+                new.repartition("bucket").select("content_id", "row_id", "text", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+            finally:
+                seen.unpersist()
             with_marks(ids, filters, shelves).write.mode("overwrite").parquet(f"{state_path(path)}/batch={number}")
         finally:
             asked.unpersist()
@@ -128,11 +141,20 @@ def add_batch(batch: DataFrame, number: int, path: str, order: str = "doc_id", s
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
-    """(content_id, row_id, text, batch) of everything that has been added."""
+    """(content_id, row_id, text, batch) of everything that has been added; row_id is the smallest that a content came with."""
     numbers = sorted({n for n, _ in held(spark, path)})
     if not numbers:
         return spark.createDataFrame([], f"{CONTENTS}, batch int")
-    return spark.read.schema(f"{CONTENTS}, batch int, bucket int").option("basePath", path).parquet(*(f"{path}/batch={n}" for n in numbers)).drop("bucket")
+    rows = spark.read.schema(f"{CONTENTS}, batch int, bucket int").option("basePath", path).parquet(*(f"{path}/batch={n}" for n in numbers)).drop("bucket")
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(smaller_path(path))
+    left = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/_SUCCESS"))
+    if not left:
+        return rows
+    smaller = spark.read.schema("content_id string, row_id long").parquet(*(s.getPath().getParent().toString() for s in left))
+    least = smaller.groupBy(F.col("content_id").alias("__id")).agg(F.min("row_id").alias("__row"))
+    found = rows.join(least, F.col("content_id").eqNullSafe(F.col("__id")), "left")
+    return found.select("content_id", F.least("row_id", "__row").alias("row_id"), "text", "batch")
 
 
 def drop_old_filters(spark: SparkSession, path: str, keep: int = 2) -> None:

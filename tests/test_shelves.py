@@ -43,6 +43,13 @@ def test_each_text_once_whatever_the_batches(spark, tmp_path):
     assert held(spark, path) == sorted(expected)
 
 
+def test_row_ids_are_the_smallest_in_whatever_order_batches_come(spark, tmp_path):
+    path = str(tmp_path / "library")
+    for n, rows in enumerate(([(7, "x", "e"), (8, None, "e")], [(5, "x", "e"), (9, "y", "e")], [(3, None, "e"), (4, "y", "e")], [(6, "x", "e")], [(2, "x", "e")])):
+        shelves.add_batch(docs(spark, rows), n, path, shelves=FEW)
+    assert held(spark, path) == sorted([(2, "x"), (3, None), (4, "y")])
+
+
 def test_only_buckets_that_may_have_an_id_are_read(spark, tmp_path):
     path = str(tmp_path / "library")
     shelves.add_batch(docs(spark, [(i, f"text {i}", "e") for i in range(200)]), 0, path, shelves=shelves.Shelves(16, 1 << 16, 7))
