@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridquill.functions import vectors as vx
+from gridquill.operators import nearest
 from gridquill.operators.retrieval import TOP_K
 from gridquill.sources.shared import cut, work_dir
 
@@ -59,7 +60,7 @@ def index(vectors: DataFrame, centres: np.ndarray, id_col: str = "vec_id", vecto
 
 def search_pruned(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
     """((query_id, id, score, rank), (lists, skipped, vectors, compared)): the k nearest of every query (query_id, vector), and how much was
-    looked at.  indexed is a written table; queries and lists meet vectors in equi-joins on the list."""
+    looked at.  indexed is a written table; queries meet the vectors of a list by the list's parts, and a task hands on the best alone."""
     spark = indexed.sparkSession
     path = work_dir(spark, "pruned")
     lists = indexed.groupBy("list").agg(F.max("far").alias("most"), F.min("far").alias("least"), F.count("*").alias("n"))
@@ -69,19 +70,27 @@ def search_pruned(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k
     known = near.join(F.broadcast(lists), "list")
     order = Window.partitionBy("query_id").orderBy("away", "list")
     plan = cut(known.withColumn("turn", F.row_number().over(order)), f"{path}/plan")
-    scored = lambda pairs: pairs.select("query_id", "id", F.round(vx.dot(F.col("v"), F.col("q")), 4).alias("score"))
-    first = cut(scored(plan.where("turn = 1").join(indexed, "list")), f"{path}/first")
+    # Lists are cut into parts and queries into blocks, so that a task holds a part and a block at most.
+    blocks = max(1, -(-queries.count() // nearest.QUERY_BLOCK))
+    sizes = lists.select("list", F.ceil(F.col("n") / nearest.VECTOR_BLOCK).cast("int").alias("parts"))
+    cells = indexed.join(F.broadcast(sizes), "list").withColumn("part", nearest.dealt("id", F.col("parts"))).select("*", nearest.every("block", blocks))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        asked = pairs.join(F.broadcast(sizes), "list").withColumn("block", nearest.dealt("query_id", blocks)).select("*", nearest.every("part", F.col("parts")))
+        return nearest.meet(cells, asked, ["list", "part", "block"], k)
+
+    first = cut(scored(plan.where("turn = 1").withColumn("reach", F.lit(None).cast("double"))), f"{path}/first")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     floor = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     # A score above the floor needs a distance below this; without k scores nothing is too far.
     reach = F.when(F.col("floor").isNull(), F.lit(2.0)).otherwise(distance(F.col("floor") - SLACK)) + 1e-9
     rest = plan.where("turn > 1").join(floor, "query_id", "left").withColumn("reach", reach)
     open_ = cut(rest.where((F.col("away") - F.col("most") <= F.col("reach")) & (F.col("least") - F.col("away") <= F.col("reach"))), f"{path}/open")
-    more = cut(scored(open_.join(indexed, "list").where(F.abs(F.col("away") - F.col("far")) <= F.col("reach"))), f"{path}/more")
-    top = first.unionByName(more).withColumn("rank", rank).where(F.col("rank") <= k)
+    more = cut(scored(open_), f"{path}/more")
+    top = first.unionByName(more).drop("compared").withColumn("rank", rank).where(F.col("rank") <= k)
     sums = plan.agg(F.count("*").alias("lists"), F.sum("n").alias("vectors"), F.count_if(F.col("turn") == 1).alias("__first"))
     seen = open_.agg(F.count("*").alias("__open"))
-    compared = first.unionByName(more).agg(F.count("*").alias("compared"))
+    compared = first.unionByName(more).agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
     report = sums.join(F.broadcast(seen), how="cross").join(F.broadcast(compared), how="cross")  # a row each
     return top, report.select("lists", (F.col("lists") - F.col("__first") - F.col("__open")).alias("skipped"), "vectors", "compared")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import text as tx
 from gridquill.functions import vectors as vx
+from gridquill.operators import nearest
 
 TOP_K, MOST_K, FLOOR, TARGET = 5, 50, 0.5, 1800
 
@@ -116,27 +117,18 @@ def similarities(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_
     return vectors.select(id_col, vx.cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query))).alias("sim"))
 
 
-#: Queries of a block: what one row carries, and what is broadcast at most.
-QUERY_BLOCK = 512
-
-
-def search_many(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def search_many(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = nearest.QUERY_BLOCK) -> DataFrame:
     """(query_id, chunk id, score, rank): the k nearest chunks of every query (query_id, vector).
 
-    Queries are counted and dealt into blocks of about `block`, a row each.  A single block is broadcast; of more, each
-    meets every part of the chunks in a join on the part, so a task holds a block and its own chunks, however many queries
-    there are.  Each task keeps the best of its own chunks before the partial results meet by query."""
-    n = max(1, -(-queries.count() // block))
-    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("__block"), F.struct("query_id", vx.normalised(F.col("vector")).alias("v")).alias("q"))
-    table = dealt.groupBy("__block").agg(F.collect_list("q").alias("__q"))
-    scored = chunks.select(F.col(id_col).alias("id"), vx.normalised(F.col(vector_col)).alias("__v"))
-    if n == 1:
-        both = scored.join(F.broadcast(table), how="cross")  # one row
-    else:
-        parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        both = scored.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(spread.hint("shuffle_hash"), "__part")
-    rows = both.select("id", F.explode(F.transform("__q", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(vx.dot(F.col("__v"), q["v"]), 4).alias("score")))).alias("r")).select("id", "r.*")
+    Queries are counted and dealt into blocks of about `block`, chunks into parts, and every block meets every part in a task of its
+    own, which holds no more than these two, however many there are of either.  Each keeps the best of its own chunks
+    before the partial results meet by query."""
+    blocks = max(1, -(-queries.count() // block))
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // nearest.VECTOR_BLOCK))
+    none = F.lit(None).cast("double")
+    mine = chunks.select(F.col(id_col).alias("id"), vx.normalised(F.col(vector_col)).alias("v"), none.alias("far"), nearest.dealt(id_col, parts).alias("part"))
+    asked = queries.select("query_id", vx.normalised(F.col("vector")).alias("q"), none.alias("away"), none.alias("reach"), nearest.dealt("query_id", blocks).alias("block"))
+    rows = nearest.meet(mine.select("*", nearest.every("block", blocks)), asked.select("*", nearest.every("part", parts)), ["part", "block"], k).drop("compared")
     # A row number with a limit is turned into a partial top-k in front of the shuffle.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -7,7 +7,11 @@ import random
 import numpy as np
 import pytest
 
-from gridquill.operators import pruned, retrieval
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gridquill.functions import vectors as vx
+from gridquill.operators import nearest, pruned, retrieval
 from gridquill.plans import exposure, library
 from gridquill.sources import pyramid
 from tests.conftest import DATA, assert_same, plan
@@ -94,3 +98,25 @@ def test_folders_stay_few_however_small_tiles_are(spark, tmp_path):
         found = pyramid.window_counts(spark, path, (r1, r2, c1, c2), shape)
         want = cells.where(f"row between {r1} and {r2} and col between {c1} and {c2}").groupBy("value").count()
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_hand_on_the_best_alone(spark):
+    """Copies, nulls, other lengths and ties, in several parts, against every pair scored by itself; no task hands on more than k of a query."""
+    r = np.random.default_rng(6)
+    made = [[float(x) for x in r.normal(size=8)] for _ in range(150)] + [[0.5] * 8] * 60 + [None, [1.0, 2.0], [1.0] * 7 + [None]]
+    v = spark.createDataFrame(list(enumerate(made)), "vec_id long, embedding array<double>")
+    queries = v.where("vec_id % 10 = 0 or vec_id > 208").selectExpr("vec_id as query_id", "embedding as vector")
+    pairs = queries.crossJoin(v).select("query_id", F.col("vec_id").alias("id"), F.round(vx.cosine(F.col("vector"), F.col("embedding")), 4).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    want = sorted(map(tuple, pairs.withColumn("rank", rank).where("rank <= 5").collect()), key=repr)
+    for block in (512, 7):
+        assert sorted(map(tuple, retrieval.search_many(v, queries, 5, "vec_id", block=block).select("query_id", "id", "score", "rank").collect()), key=repr) == want
+    none, one = F.lit(None).cast("double"), F.lit(0)
+    met = nearest.meet(v.select("vec_id", F.col("vec_id").alias("id"), vx.normalised(F.col("embedding")).alias("v"), none.alias("far"), one.alias("part")), queries.select("query_id", vx.normalised(F.col("vector")).alias("q"), none.alias("away"), none.alias("reach"), one.alias("part")), ["part"], 5)
+    assert met.count() == 5 * queries.count() and met.agg(F.sum("compared")).first()[0] == queries.count() * len(made)
+
+
+def test_rounding_is_sparks(spark):
+    values = [0.00005, 0.12345, -0.12345, 0.99995, 1.00005, 0.33335000000000004, 0.3333499999999999, -1.0, 0.0, 0.70705]
+    want = [x[0] for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(F.round("x", 4)).collect()]
+    assert list(nearest.rounded(np.array(values))) == want
