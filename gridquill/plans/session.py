@@ -113,8 +113,8 @@ def stream_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = jobs.stream_of(spark, f"{sf_dir}/conversations.parquet", t.read(spark, sf_dir, "conversations").schema)
     messages = raw.select(F.col("conv_id").cast("string").alias("thread_id"), "turn", "role", F.col("text").alias("content"))
     path, marks = work_dir(spark, "choices"), work_dir(spark, "marks")
-    jobs.run_now(jobs.choices(asking(messages)), path, marks).awaitTermination()
-    return spark.read.schema(jobs.CHOICE).parquet(path)
+    jobs.run_now_by_batch(jobs.choices(asking(messages)), path, marks).awaitTermination()
+    return jobs.resumed_choices(spark, path)
 
 
 def stream_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:

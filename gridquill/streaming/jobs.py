@@ -10,12 +10,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gridquill.operators.session import CHOICE_WORDS
+from gridquill.operators.session import CHOICE_WORDS, picked
 from gridquill.streaming.shelves import SHELVES, Shelves, add_batch, drop_old_filters
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,74 +37,43 @@ def dedupe_ingest(docs: DataFrame, path: str, checkpoint: str, order: str = "doc
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = StructType([StructField("n", LongType()), StructField("last_turn", LongType()), StructField("last_user", StringType()), StructField("roles", StringType())])
-THREAD = "thread_id string, n long, last_turn long, last_user string, roles string"
-
-
-class ThreadState(StatefulProcessor):
-    """A thread's turns so far: how many, the latest, the latest user message, the roles in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("thread", STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, last, said, roles = self.state.get() if self.state.exists() else (0, -1, None, "")
-        for part in rows:
-            for turn, role, content in part.sort_values("turn")[["turn", "role", "content"]].itertuples(index=False):
-                n, last, roles = n + 1, max(last, int(turn)), roles + role[:1]
-                said = content if role == "user" else said
-        self.state.update((n, last, said, roles))
-        yield pd.DataFrame({"thread_id": [key[0]], "n": [n], "last_turn": [last], "last_user": [said], "roles": [roles]})
-
-    def close(self) -> None:
-        pass
-
-
 def thread_states(messages: DataFrame) -> DataFrame:
-    """A stream of THREAD rows: the state of each thread (thread_id, turn, role, content) after every batch
-    that has messages of it."""
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    return messages.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=ThreadState(), outputStructType=THREAD, outputMode="Update", timeMode="None")
+    """A stream of (thread_id, n, last_turn, last_user, roles): the state of each thread (thread_id, turn, role, content) after every batch
+    that has messages of it: how many turns, the latest, the latest user message, the roles in order.
 
-
-AWAITING = StructType([StructField("asked", LongType()), StructField("options", ArrayType(StringType()))])
-CHOICE = "thread_id string, asked long, answered long, option string"
-
-
-def pick(reply: str | None, options: list[str]) -> str:
-    """As session.picked."""
-    said = (reply or "").strip(" ").lower()
-    if said[:1].isdecimal() and said[0].isascii() and 1 <= int(said[0]) <= len(options):
-        return options[int(said[0]) - 1]
-    return next((o for o in options if any(w in said for w in CHOICE_WORDS.get(o, ()))), options[0])
+    Kept is a turn's number and role, and one message, so turns may come in any order; no thread costs a call of Python."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    says = F.col("role") == "user"
+    turns = F.collect_list(F.struct("turn", F.substring("role", 1, 1).alias("initial")))
+    last = F.max_by(F.when(says, F.col("content")), F.when(says, F.struct("turn", "content")))
+    held = messages.groupBy("thread_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"), last.alias("last_user"), turns.alias("turns"))
+    return held.select("thread_id", "n", "last_turn", "last_user", F.array_join(F.transform(F.array_sort("turns"), lambda x: x["initial"]), "").alias("roles"))
 
 
-class ChoiceState(StatefulProcessor):
-    """What a thread awaits: a message with options pauses it, the next user message resumes it, in whichever batch it comes."""
+def gist(reply: Column) -> Column:
+    """As much of a reply as session.picked reads: a leading digit and the words it has, not its text."""
+    said = F.lower(F.trim(F.coalesce(reply, F.lit(""))))
+    words = sorted({w for words in CHOICE_WORDS.values() for w in words})
+    return F.concat_ws(" ", F.nullif(F.regexp_extract(said, r"^([0-9])", 1), F.lit("")), *(F.when(F.contains(said, F.lit(w)), F.lit(w)) for w in words))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.awaiting = handle.getValueState("awaiting", AWAITING)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(list(rows)).sort_values(["turn", "role"])  # a conversation's turns of one batch
-        found = []
-        for turn, role, content, options in turns[["turn", "role", "content", "options"]].itertuples(index=False):
-            if options is not None and len(options):
-                self.awaiting.update((int(turn), list(options)))
-            elif role == "user" and self.awaiting.exists():
-                asked, open_ = self.awaiting.get()
-                found.append((key[0], asked, int(turn), pick(content, list(open_))))
-                self.awaiting.clear()
-        yield pd.DataFrame(found, columns=["thread_id", "asked", "answered", "option"])
+def choices(messages: DataFrame) -> DataFrame:
+    """A stream of (thread_id, resumed), an array of (asked, answered, option): the pauses of each thread (thread_id, turn, role, content, options)
+    that have been resumed, after every batch that has messages of it; twin of session.pauses.
 
-    def close(self) -> None:
-        pass
+    Kept are a thread's questions and the gist of its replies, so turns may come in any order; read it with resumed_choices."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    asks, says = F.coalesce(F.size("options") > 0, F.lit(False)), F.coalesce(F.col("role") == "user", F.lit(False))
+    kept = messages.where(asks | says).select("thread_id", F.struct("turn", "role", F.when(asks, F.col("options")).alias("options"), F.when(~asks, gist(F.col("content"))).alias("reply")).alias("m"))
+    held = kept.groupBy("thread_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    pairs = F.zip_with(F.slice("m", 1, F.size("m") - 1), F.slice("m", 2, F.size("m")), lambda a, b: F.struct(a["turn"].alias("asked"), b["turn"].alias("answered"), a["options"].alias("options"), b["reply"].alias("reply")))
+    resumed = F.filter(pairs, lambda p: p["options"].isNotNull() & p["reply"].isNotNull())
+    return held.select("thread_id", F.transform(resumed, lambda p: F.struct(p["asked"].alias("asked"), p["answered"].alias("answered"), picked(p["reply"], p["options"]).alias("option"))).alias("resumed"))
 
 
-def choices(messages: DataFrame) -> DataFrame:
-    """A stream of CHOICE rows: the pauses of threads (thread_id, turn, role, content, options) as they are resumed; twin of session.pauses."""
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    return messages.groupBy("thread_id").transformWithStateInPandas(statefulProcessor=ChoiceState(), outputStructType=CHOICE, outputMode="Append", timeMode="None")
+def resumed_choices(spark: SparkSession, path: str) -> DataFrame:
+    """(thread_id, asked, answered, option): what the batches at path know of each thread in the end."""
+    return latest_states(spark, path).select("thread_id", F.explode("resumed").alias("p")).select("thread_id", "p.asked", "p.answered", "p.option")
 
 
 FETCHED = StructType([StructField("entry", LongType()), StructField("fetched", LongType())])
