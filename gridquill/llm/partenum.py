@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textscan as T
 from . import common
 from .common import cut, give_back, merged, partitions, texts
-from .graph import components
+from .graph import components, forests, stars
 
 #: Members of a block, about; a task holds two.
 BLOCK = 1024
@@ -224,7 +224,7 @@ def packed_heads(sig: np.ndarray, node: np.ndarray, count: int) -> pa.RecordBatc
 
 
 def tied(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """(a, b): each node that shares a signature with others is tied to the least of them.
+    """(a, b): each node that shares a signature with others is tied to the least of those that a bucket's signatures connect.
 
     emit makes packed_heads of a task's batches.  Signatures travel packed, a row for each bucket of signatures and
     batch; a signature that many sets of a batch share leaves it once, its edges made on the spot."""
@@ -241,9 +241,9 @@ def tied(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch], int], Iterator
                 both = np.concatenate(mine)
                 _, a, b = star_edges(np.ascontiguousarray(both[:, 0]).view(np.uint64), np.ascontiguousarray(both[:, 1]))
                 edges.append(np.stack([a, b], axis=1))
-            out = np.unique(np.concatenate(edges), axis=0)
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in (0, 1)], names=["a", "b"])
+            node, least = stars(*np.concatenate(edges).T)
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["a", "b"])
 
     packed = map_arrow(df, lambda batches: emit(batches, count), "bucket int, pairs binary, edges boolean")
     dealt = packed.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -251,7 +251,7 @@ def tied(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch], int], Iterator
 
 
 def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): each set that shares a PartEnum signature with others is tied to the least of them."""
+    """(a, b): edges that connect what shares a PartEnum signature."""
 
     def emit(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
         pow_ = T.Powers()
@@ -316,22 +316,24 @@ def shingle_counts(found: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             total += np.bincount((unpacked(batch)[1] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        parts = total.reshape(-1, CHUNK)
+        parts = np.minimum(total, 2**32 - 1).astype("<u4").reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["chunk", "counts"])
+            at = [np.flatnonzero(parts[i]) for i in some]
+            columns = [pa.array(some.astype(np.int32)), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([parts[i][x].tobytes() for i, x in zip(some, at)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "at", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw.as_buffer(), dtype=np.int64)
+            for chunk, at, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                sums.setdefault(chunk, np.zeros(CHUNK, dtype=np.int64))[np.frombuffer(at.as_buffer(), dtype="<u2")] += np.frombuffer(raw.as_buffer(), dtype="<u4")
         for chunk, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    packed = map_arrow(found, count, "chunk int, counts binary").repartition(min(partitions(found.sparkSession), COUNTERS // CHUNK), "chunk")
+    packed = map_arrow(found, count, "chunk int, at binary, counts binary").repartition(min(partitions(found.sparkSession), COUNTERS // CHUNK), "chunk")
     out = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.uint32)
-    for r in map_arrow(packed, add, "chunk int, counts binary").toLocalIterator():
+    for r in map_arrow(packed, add, "chunk int, counts binary").collect():  # one job; an iterator makes one of each partition
         out[r["chunk"]] = np.frombuffer(r["counts"], dtype="<u4")
     return out.reshape(-1)
 
@@ -511,16 +513,16 @@ def split_large(sets: DataFrame, members: DataFrame, num: int, den: int) -> Data
     edges = cut(prefix_edges(found, num, den), "prefixes")
     sketched = cut(sketch_rows(found, num, den), "sketches")
     near = cut(alike(edges.where("not sure").select("a", "b").distinct(), sketched, num, den), "near")
-    tied_ = edges.where("sure").select("a", "b").distinct()
-    parts = components(tied_.unionByName(near.select("a", "b"))).select("node", F.col("label").alias("cluster"))
+    tied_ = edges.where("sure").select("a", "b")
+    parts = components(forests(tied_.unionByName(near.select("a", "b")))).select("node", F.col("label").alias("cluster"))
     small = plain.join(big.select("node"), "node", "left_anti")
     huge = cut(parts.join(large_of(parts, BLOCK), "cluster", "left_semi"), "huge-clusters")
     if huge.isEmpty():
         return cut(small.unionByName(parts.withColumn("comp", F.col("node"))), "members")
     mine = huge.select(F.col("node").alias("b"))
-    choices = alike(tied_.join(mine, "b", "left_semi"), sketched, num, den).unionByName(near.join(mine, "b", "left_semi"))
+    choices = alike(tied_.distinct().join(mine, "b", "left_semi"), sketched, num, den).unionByName(near.join(mine, "b", "left_semi"))
     best = choices.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    comps = components(verified(cut(best, "ties"), sets, num, den)).withColumnRenamed("label", "comp")
+    comps = components(forests(cut(verified(cut(best, "ties"), sets, num, den), "tied"))).withColumnRenamed("label", "comp")
     named = parts.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
     return cut(small.unionByName(named), "members")
 
@@ -616,14 +618,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     an empty table gives no rows."""
     rows = texts(docs, id_col, text_col)
     known = cut(nodes(rows, n), "sets")
-    candidates = components(candidate_edges(rows, n, num, den))
+    candidates = components(forests(cut(candidate_edges(rows, n, num, den), "candidates")))
     worded = known.where(F.col("node").isNotNull())
     reps = worded.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = cut(candidates.select("node", F.col("label").alias("cluster")).join(reps, "node"), "members")
     sets = candidate_sets(rows, members, n)
     placed = split_large(sets, members, num, den)
     joined = placed.where(F.col("comp") != F.col("node")).select(F.col("comp").alias("a"), F.col("node").alias("b"))
-    found = components(links(sets, placed, num, den).unionByName(joined))
+    found = components(forests(cut(links(sets, placed, num, den), "links").unionByName(joined)))
     # The least id of a class by way of its sets, then of each set; documents without words meet nothing.
     in_class = reps.join(found, "node")
     least = in_class.groupBy(F.bitwise_not("label").alias("turned")).agg(F.min("doc_id").alias("least")).select(F.bitwise_not("turned").alias("label"), "least")
