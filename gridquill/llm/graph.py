@@ -34,24 +34,29 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return name[moved], name[label[moved]]
 
 
+def combined(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of parts, each two rows of nodes: HELD edges at a time become the stars of the components that they make."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*np.concatenate(held, axis=1))], names=["a", "b"])
+
+    for part in parts:
+        held.append(part)
+        size += part.shape[1]
+        if size >= HELD:
+            yield made()
+            held, size = [], 0
+    if size:
+        yield made()
+
+
 def forests(edges: DataFrame) -> DataFrame:
     """(a, b): the edges that a task reads, HELD at a time, become the stars of the components that they make: as a
     combiner before a shuffle, it leaves an edge for each node of a task at most, and short ways between them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*np.concatenate(held, axis=1))], names=["a", "b"])
-
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy() for i in (0, 1)]))
-            size += batch.num_rows
-            if size >= HELD:
-                yield made()
-                held, size = [], 0
-        if size:
-            yield made()
+        yield from combined(np.stack([batch.column(i).to_numpy() for i in (0, 1)]) for batch in batches)
 
     return map_arrow(edges.select("a", "b"), task, "a long, b long")
 

@@ -9,7 +9,9 @@ nothing, so they give no signature.  Of a set with slack thin parts or fewer, th
 that agrees isn't thin; sets with more are split once more by another hash, and so is any partner that they'd be missed
 by.  So no pair is lost, whatever the sizes.
 
-Sets that share a signature make candidate clusters; a large one is split by prefixes of rare shingles, which parts
+Sets that share a signature make candidate clusters.  Near copies share hundreds, dealt over as many buckets; so sets are
+first tied by LEADS signatures of each, and then all signatures are matched under the names of the groups that these make:
+a group's own links are not made again in every bucket.  A large cluster is split by prefixes of rare shingles, which parts
 sets that only share a passage.  The sets of candidates are written once, as packed hashes.  A cluster that fits a block of sets goes to one task.
 Of a larger one every set is first held against the most alike of those that it was tied to, which mostly joins near copies to
 one component; then only the sets outside of the largest component are compared with all others, block by block.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textscan as T
 from . import common
 from .common import cut, give_back, merged, partitions, texts
-from .graph import components, forests, stars
+from .graph import combined, components, forests
 
 #: Members of a block, about; a task holds two.
 BLOCK = 1024
@@ -39,6 +41,8 @@ BLOCK = 1024
 SUBPARTS = 3
 #: Splits by another hash before empty parts give signatures after all.
 LEVELS = 6
+#: Signatures of a set, those of least hash, that tie near copies before all are matched.
+LEADS = 8
 #: Candidate documents whose ids are broadcast at most; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Clusters of more sets than this are split by their rarest shingles before pairs are looked at.
@@ -181,8 +185,21 @@ def enumerated(doc: np.ndarray, h: np.ndarray, ids: np.ndarray, group: np.ndarra
     return np.concatenate(sig), np.concatenate(at), np.bincount(part_doc, thin, docs).astype(np.int64)[ids]
 
 
-def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node): node names a distinct set, null for a document without words."""
+def leading(sig: np.ndarray, at: np.ndarray, docs: int) -> list[bytes]:
+    """Of each document up to LEADS of its distinct signatures, those whose hashes are least: sets that share many share one of these."""
+    spread = T.mix(sig + GOLDEN)
+    order = np.lexsort((spread, at))
+    sig, at = sig[order], at[order]
+    new = np.ones(len(sig), dtype=bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])
+    sig, at = sig[new], at[new]
+    count = np.bincount(at, minlength=docs)
+    cuts = np.cumsum(count) - count
+    return [sig[c : c + min(k, LEADS)].tobytes() for c, k in zip(cuts, count)]
+
+
+def nodes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, node, leads): node names a distinct set, null for a document without words; leads are its leading signatures, packed."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pow_ = T.Powers()
@@ -192,9 +209,10 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
                 doc, h = shingle_rows(s, n, pow_)
                 sizes = np.bincount(doc, minlength=k)
                 node = pa.array(set_hashes(doc, h, k).view(np.int64), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, k), pa.array(sizes.astype(np.int64)), node], names=["doc_id", "n_shingles", "node"])
+                leads = pa.array(leading(*signatures(doc, h, k, num, den), k), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, k), pa.array(sizes.astype(np.int64)), node, leads], names=["doc_id", "n_shingles", "node", "leads"])
 
-    return map_arrow(docs, task, "doc_id long, n_shingles long, node long")
+    return map_arrow(docs, task, "doc_id long, n_shingles long, node long, leads binary")
 
 
 def star_edges(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,46 +242,79 @@ def packed_heads(sig: np.ndarray, node: np.ndarray, count: int) -> pa.RecordBatc
 
 
 def tied(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """(a, b): each node that shares a signature with others is tied to the least of those that a bucket's signatures connect.
+    """(a, b): each node that shares a signature with others is tied to the least of those that a task's signatures connect.
 
     emit makes packed_heads of a task's batches.  Signatures travel packed, a row for each bucket of signatures and
     batch; a signature that many sets of a batch share leaves it once, its edges made on the spot."""
     count = 4 * partitions(df.sparkSession)
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table in merged(batches, "bucket"):
             made = table.column("edges").to_pylist()
             pairs = [np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2) for x in table.column("pairs")]
-            edges = [p for p, e in zip(pairs, made) if e]
+            yield from (p.T for p, e in zip(pairs, made) if e)
             # One table holds whole buckets, perhaps several; a signature is in one bucket only.
             mine = [p for p, e in zip(pairs, made) if not e]
             if mine:
                 both = np.concatenate(mine)
                 _, a, b = star_edges(np.ascontiguousarray(both[:, 0]).view(np.uint64), np.ascontiguousarray(both[:, 1]))
-                edges.append(np.stack([a, b], axis=1))
-            node, least = stars(*np.concatenate(edges).T)
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["a", "b"])
+                yield np.stack([a, b])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from combined(edges(batches))
 
     packed = map_arrow(df, lambda batches: emit(batches, count), "bucket int, pairs binary, edges boolean")
     dealt = packed.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, match, "a long, b long")
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): edges that connect what shares a PartEnum signature."""
+def lead_edges(known: DataFrame) -> DataFrame:
+    """(a, b): edges that connect what shares a leading signature, LEADS for each row at most; known: rows of nodes."""
+
+    def emit(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)]
+                yield packed_heads(np.concatenate(raw), np.repeat(batch.column(0).to_numpy(), [len(x) for x in raw]), count)
+
+    return tied(known.where(F.col("node").isNotNull()).select("node", "leads"), emit)
+
+
+def candidate_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): edges that connect what shares a PartEnum signature; a set that its leading signatures have tied goes by its group's name.
+
+    groups: (doc_id, set, group), a row for an id at most; it holds for those of the id's rows whose text makes that set."""
+    named = groups.select(F.col("doc_id").alias("grouped"), "set", "group")
+    if groups.count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
+    rows = docs.join(named, F.col("doc_id") == F.col("grouped"), "left").select("text", "set", "group")
 
     def emit(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
         pow_ = T.Powers()
         for batch in batches:
-            for s in T.slices(batch.column(1)):
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            set_, group = (batch.column(i).fill_null(0).to_numpy() for i in (1, 2))
+            for s in T.slices(batch.column(0)):
                 k = len(s.starts)
+                here = slice(s.first, s.first + k)
                 doc, h = shingle_rows(s, n, pow_)
                 if len(doc):
                     sig, at = signatures(doc, h, k, num, den)
-                    yield packed_heads(sig, set_hashes(doc, h, k).view(np.int64)[at], count)
+                    node = set_hashes(doc, h, k).view(np.int64)
+                    node = np.where(known[here] & (set_[here] == node), group[here], node)
+                    yield packed_heads(sig, node[at], count)
+
+    return tied(rows, emit)
+
 
-    return tied(docs, emit)
+def candidate_clusters(docs: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, label): the clusters of what shares PartEnum signatures; known: nodes of docs, written."""
+    leads = cut(components(forests(cut(lead_edges(known), "leads"))).where("label <> node"), "groups")
+    of_docs = known.where(F.col("doc_id").isNotNull()).join(F.broadcast(leads) if leads.count() <= BROADCAST_IDS else leads, "node")
+    # Rows may share an id: the least of their sets goes by its group's name, others by their own, so that no row is joined twice.
+    groups = cut(of_docs.groupBy("doc_id").agg(F.min(F.struct("node", "label")).alias("of")).select("doc_id", F.col("of.node").alias("set"), F.col("of.label").alias("group")), "groups")
+    found = cut(candidate_edges(docs, groups, n, num, den), "candidates")
+    return components(forests(found.unionByName(leads.select(F.col("label").alias("a"), F.col("node").alias("b")))))
 
 
 def candidate_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -617,8 +668,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     none and stays alone.  Repeated rows each give a row; a null id stays null and names no class;
     an empty table gives no rows."""
     rows = texts(docs, id_col, text_col)
-    known = cut(nodes(rows, n), "sets")
-    candidates = components(forests(cut(candidate_edges(rows, n, num, den), "candidates")))
+    known = cut(nodes(rows, n, num, den), "sets")
+    candidates = candidate_clusters(rows, known, n, num, den)
     worded = known.where(F.col("node").isNotNull())
     reps = worded.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = cut(candidates.select("node", F.col("label").alias("cluster")).join(reps, "node"), "members")
