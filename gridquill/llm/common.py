@@ -31,20 +31,24 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs at once instead of at some later collection of garbage.
+    The session holds on to the plan that it ran last, so a job of one row takes that place first."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, purpose: str, release: bool = True, **options: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a lineage that ends in
-    committed files, which no lost executor takes along.  release: lets Spark's cleaner drop the
-    shuffle files of the finished job at once instead of at some later collection of garbage.  The session holds on to the
-    plan that it ran last, so a job of one row takes that place first."""
+    committed files, which no lost executor takes along.  release: the shuffle files of the finished job go at once."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.options(**options).parquet(path)
     schema = df.schema
     del df
     if release:
-        spark.range(1).write.format("noop").mode("overwrite").save()
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        let_go(spark)
     return spark.read.schema(schema).parquet(path)
 
 

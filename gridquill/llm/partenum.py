@@ -11,10 +11,12 @@ by.  So no pair is lost, whatever the sizes.
 
 Sets that share a signature make candidate clusters.  Near copies share hundreds, dealt over as many buckets; so sets are
 first tied by LEADS signatures of each, and then all signatures are matched under the names of the groups that these make:
-a group's own links are not made again in every bucket.  A large cluster is split by prefixes of rare shingles, which parts
-sets that only share a passage.  The sets of candidates are written once, as packed hashes.  A cluster that fits a block of sets goes to one task.
+a group's own links are not made again in every bucket.  Signatures outweigh the texts, so they are matched in PASSES, each with
+its part of them.  A large cluster is split by prefixes of rare shingles, which parts sets that only share a passage; where that leaves
+huge ones, shingles that many of its prefixes have are put last in the order, and it is split anew.
+The sets of candidates are not written: their hashes outweigh the texts as well, so each step makes them of the texts anew.  A cluster that fits a block of sets goes to one task.
 Of a larger one every set is first held against the most alike of those that it was tied to, which mostly joins near copies to
-one component; then only the sets outside of the largest component are compared with all others, block by block.
+one component; then only the sets outside of the largest component are compared with all others, block by block, in rounds that each move a set about once.
 Within a task pairs already connected are skipped, a byte sketch of the parts rules out
 most others by a lower bound of their difference, and the rest are intersected.  Only a spanning forest of the
 links leaves a task, never all pairs.
@@ -23,16 +25,17 @@ links leaves a task, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
 from . import common
-from .common import cut, give_back, merged, partitions, texts
+from .common import cut, give_back, let_go, merged, partitions, texts
 from .graph import combined, components, forests
 
 #: Members of a block, about; a task holds two.
@@ -43,6 +46,8 @@ SUBPARTS = 3
 LEVELS = 6
 #: Signatures of a set, those of least hash, that tie near copies before all are matched.
 LEADS = 8
+#: Parts of all signatures that are matched one after the other; the disk that they take is that of one.
+PASSES = 3
 #: Candidate documents whose ids are broadcast at most; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Clusters of more sets than this are split by their rarest shingles before pairs are looked at.
@@ -51,6 +56,12 @@ LARGE = BLOCK
 PAIRED = 8
 #: Counters of shingles, and how many of them travel together.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: How often a cluster is split while huge ones have more sets than ANEW, and how many prefixes may have a shingle that does not go last the next time.
+SPLITS, ANEW, COMMON = 4, 16 * BLOCK, 3
+#: Sets that a round of blocks moves, if that is more than all that there are.
+MOVED = 100_000
+#: Ranges of signatures, and bits for each, that say which of them are common.
+RANGES, RANGE_BITS = 1 << 10, 1 << 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +125,8 @@ def shingle_rows(s: T.Slice, n: int, pow_: T.Powers) -> tuple[np.ndarray, np.nda
         if len(few):
             short = T.mix(T.ngrams(w.hash, size)[begin[few]] + np.uint64(size))
             doc, h = np.concatenate([doc, few]), np.concatenate([h, short])
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(per) <= 1 << 16 else np.int64), kind="stable")]  # numpy sorts 16 bits by radix
     doc, h = doc[order], h[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -227,15 +239,33 @@ def star_edges(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.stack([sig[head].view(np.int64), node[head]], axis=1), edges[:, 0], edges[:, 1]
 
 
+#: Bytes of a signature that travel with a node; bits of the others deal it to its bucket.  Signatures that agree in both are matched, which may only add candidates.
+SIG_BYTES = 5
+
+
+def narrow(pairs: np.ndarray) -> bytes:
+    """(signature, node) rows in SIG_BYTES + 8 bytes each."""
+    raw = np.ascontiguousarray(pairs, dtype="<i8").view(np.uint8)
+    return np.concatenate([raw[:, :SIG_BYTES], raw[:, 8:]], axis=1).tobytes()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    """The (signature, node) rows of narrow; of the signatures what it has kept."""
+    kept = np.frombuffer(raw, dtype=np.uint8).reshape(-1, SIG_BYTES + 8)
+    out = np.zeros((len(kept), 16), dtype=np.uint8)
+    out[:, :SIG_BYTES], out[:, 8:] = kept[:, :SIG_BYTES], kept[:, SIG_BYTES:]
+    return out.view("<i8")
+
+
 def packed_heads(sig: np.ndarray, node: np.ndarray, count: int) -> pa.RecordBatch:
     """(signature, node) pairs as a row for each bucket of signatures, and the edges they make on the spot in one more."""
     heads, a, b = star_edges(sig, node)
-    bucket = (heads[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(count)
+    bucket = (heads[:, 0].view(np.uint64) >> np.uint64(8 * SIG_BYTES)) % np.uint64(count)
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
     heads, bucket = heads[order], bucket[order].astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange(count + 1))
     some = np.flatnonzero(np.diff(cuts))
-    rows = [(int(i), np.ascontiguousarray(heads[cuts[i] : cuts[i + 1]]).tobytes(), False) for i in some]
+    rows = [(int(i), narrow(heads[cuts[i] : cuts[i + 1]]), False) for i in some]
     if len(a):
         rows.append((int(bucket[0]), np.stack([a, b], axis=1).tobytes(), True))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.bool_()))], names=["bucket", "pairs", "edges"])
@@ -244,27 +274,30 @@ def packed_heads(sig: np.ndarray, node: np.ndarray, count: int) -> pa.RecordBatc
 def tied(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
     """(a, b): each node that shares a signature with others is tied to the least of those that a task's signatures connect.
 
-    emit makes packed_heads of a task's batches.  Signatures travel packed, a row for each bucket of signatures and
+    emit makes packed_heads of a task's batches; where it makes just those of one of emit.passes, their buckets and tasks are as many fewer.  Signatures travel packed, a row for each bucket of signatures and
     batch; a signature that many sets of a batch share leaves it once, its edges made on the spot."""
-    count = 4 * partitions(df.sparkSession)
+    parts = -(-partitions(df.sparkSession) // getattr(emit, "passes", 1))
+    count = 4 * parts
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table in merged(batches, "bucket"):
             made = table.column("edges").to_pylist()
-            pairs = [np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2) for x in table.column("pairs")]
-            yield from (p.T for p, e in zip(pairs, made) if e)
-            # One table holds whole buckets, perhaps several; a signature is in one bucket only.
-            mine = [p for p, e in zip(pairs, made) if not e]
+            raw, bucket = table.column("pairs").to_pylist(), table.column("bucket").to_pylist()
+            yield from (np.frombuffer(x, dtype=np.int64).reshape(-1, 2).T for x, e in zip(raw, made) if e)
+            # One table holds whole buckets, perhaps several; what travels of a signature tells it from others of its bucket.
+            mine = [wide(x) for x, e in zip(raw, made) if not e]
             if mine:
                 both = np.concatenate(mine)
-                _, a, b = star_edges(np.ascontiguousarray(both[:, 0]).view(np.uint64), np.ascontiguousarray(both[:, 1]))
+                of = np.repeat([k for k, e in zip(bucket, made) if not e], [len(x) for x in mine])
+                sig = np.ascontiguousarray(both[:, 0]).view(np.uint64) | (of.astype(np.uint64) << np.uint64(8 * SIG_BYTES))
+                _, a, b = star_edges(sig, np.ascontiguousarray(both[:, 1]))
                 yield np.stack([a, b])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from combined(edges(batches))
 
     packed = map_arrow(df, lambda batches: emit(batches, count), "bucket int, pairs binary, edges boolean")
-    dealt = packed.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, match, "a long, b long")
 
 
@@ -280,13 +313,12 @@ def lead_edges(known: DataFrame) -> DataFrame:
     return tied(known.where(F.col("node").isNotNull()).select("node", "leads"), emit)
 
 
-def candidate_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): edges that connect what shares a PartEnum signature; a set that its leading signatures have tied goes by its group's name.
+def candidate_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int, turn: int, passes: int) -> DataFrame:
+    """(a, b): edges that connect what shares a PartEnum signature of this turn of passes; a set that its leading signatures have tied goes by its group's name.
 
     groups: (doc_id, set, group), a row for an id at most; it holds for those of the id's rows whose text makes that set."""
     named = groups.select(F.col("doc_id").alias("grouped"), "set", "group")
-    if groups.count() <= BROADCAST_IDS:
-        named = F.broadcast(named)
+    named = F.broadcast(named) if groups.count() <= BROADCAST_IDS else named.hint("shuffle_hash")  # texts are not sorted
     rows = docs.join(named, F.col("doc_id") == F.col("grouped"), "left").select("text", "set", "group")
 
     def emit(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
@@ -300,10 +332,13 @@ def candidate_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: i
                 doc, h = shingle_rows(s, n, pow_)
                 if len(doc):
                     sig, at = signatures(doc, h, k, num, den)
+                    now = np.flatnonzero(sig % np.uint64(passes) == turn)
                     node = set_hashes(doc, h, k).view(np.int64)
                     node = np.where(known[here] & (set_[here] == node), group[here], node)
-                    yield packed_heads(sig, node[at], count)
+                    if len(now):
+                        yield packed_heads(sig[now], node[at[now]], count)
 
+    emit.passes = passes
     return tied(rows, emit)
 
 
@@ -313,60 +348,81 @@ def candidate_clusters(docs: DataFrame, known: DataFrame, n: int, num: int, den:
     of_docs = known.where(F.col("doc_id").isNotNull()).join(F.broadcast(leads) if leads.count() <= BROADCAST_IDS else leads, "node")
     # Rows may share an id: the least of their sets goes by its group's name, others by their own, so that no row is joined twice.
     groups = cut(of_docs.groupBy("doc_id").agg(F.min(F.struct("node", "label")).alias("of")).select("doc_id", F.col("of.node").alias("set"), F.col("of.label").alias("group")), "groups")
-    found = cut(candidate_edges(docs, groups, n, num, den), "candidates")
-    return components(forests(found.unionByName(leads.select(F.col("label").alias("a"), F.col("node").alias("b")))))
+    turns = [cut(candidate_edges(docs, groups, n, num, den, turn, PASSES), "candidates") for turn in range(PASSES)]
+    return components(forests(reduce(DataFrame.unionByName, turns).unionByName(leads.select(F.col("label").alias("a"), F.col("node").alias("b")))))
 
 
-def candidate_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(node, size, shingles), once for each of members (node, doc_id): the packed hashes, in order, of the set of the document that stands for it."""
-    chosen = members.select(F.col("doc_id").alias("member"), "node")
-    if members.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    texts_ = docs.join(chosen, F.col("doc_id") == F.col("member")).select("node", "text")
+def shingled(texts_: pa.Array, node: np.ndarray, n: int, pow_: T.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mine, cuts, hashes): the sets of texts, in order, and which of them are the set that node names: rows may share an id but not the text."""
+    mine, sizes, hashes = [np.zeros(0, bool)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
+    for s in T.slices(texts_):
+        k = len(s.starts)
+        doc, h = shingle_rows(s, n, pow_)
+        mine.append(set_hashes(doc, h, k).view(np.int64) == node[s.first : s.first + k])
+        sizes.append(np.bincount(doc, minlength=k))
+        hashes.append(h)
+    return np.concatenate(mine), np.cumsum(np.concatenate(sizes)), np.concatenate(hashes)
+
+
+#: Of a batch: its rows that count, and (cuts, hashes) of their sets.
+Unpack = Callable[[pa.RecordBatch], tuple[pa.RecordBatch, np.ndarray, np.ndarray]]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pow_ = T.Powers()
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            for s in T.slices(batch.column(1)):
-                k = len(s.starts)
-                doc, h = shingle_rows(s, n, pow_)
-                sizes = np.bincount(doc, minlength=k)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                # Rows that share the document's id but not its text are left out, and repeats of it within the slice.
-                mine = np.flatnonzero(set_hashes(doc, h, k).view(np.int64) == node[s.first : s.first + k])
-                mine = mine[np.unique(node[s.first + mine], return_index=True)[1]]
-                if len(mine):
-                    raw = pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in mine], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(node[s.first + mine]), pa.array(sizes[mine].astype(np.int64)), raw], names=["node", "size", "shingles"])
 
-    sets = cut(map_arrow(texts_, task, "node long, size long, shingles binary"), "candidate-sets")
-    return cut(sets.dropDuplicates(["node"]), "candidate-sets") if sets.count() > members.count() else sets
+def of_texts(n: int) -> Unpack:
+    """Of batches of (node, text, ...)."""
+    pow_ = T.Powers()
 
+    def unpack(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        mine, cuts, h = shingled(batch.column(1), batch.column(0).to_numpy(), n, pow_)
+        sizes = np.diff(cuts)
+        return batch.filter(pa.array(mine)), np.concatenate([[0], np.cumsum(sizes[mine])]), h[np.repeat(mine, sizes)]
 
-def of_members(sets: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
-    """The sets of members, with columns of theirs."""
-    few = members.count() <= BROADCAST_IDS
-    mine = members.select("node", *columns)
-    found = sets.join(F.broadcast(mine) if few else mine, "node").select("node", "size", "shingles", *columns)
-    return found if few else cut(found, "member-sets")
+    return unpack
 
 
-def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(cuts, hashes) of the sets in a batch of (node, size, shingles, ...)."""
+def unpacked(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Of a batch of (node, size, shingles, ...), where sets are packed hashes."""
     sizes = batch.column(1).to_numpy()
     raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
-    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(raw) if raw else np.zeros(0, np.uint64)
+    return batch, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(raw) if raw else np.zeros(0, np.uint64)
+
+
+def standing(docs: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """(node, text, columns): of members (node, doc_id, ...) the rows of docs that have the ids, those with other texts as well."""
+    mine = members.select(F.col("doc_id").alias("member"), "node", *columns)
+    mine = F.broadcast(mine) if members.count() <= BROADCAST_IDS else mine.hint("shuffle_hash")  # texts are not sorted
+    return docs.select(F.col("doc_id").alias("of"), "text").join(mine, F.col("of") == F.col("member")).select("node", "text", *columns)
 
 
-def shingle_counts(found: DataFrame) -> np.ndarray:
-    """How often shingles come in (node, size, shingles) rows, by COUNTERS buckets of their hashes: 4 bytes a bucket, whatever
+def held(docs: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """As standing; where that takes a shuffle of all texts, those of members are written, for several steps read them."""
+    found = standing(docs, members, *columns)
+    return found if members.count() <= BROADCAST_IDS else cut(found, "member-texts", compression="zstd")
+
+
+def once(docs: DataFrame, known: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """docs, or where a row that stands for one of members is repeated, just one row for each of members."""
+    repeated = known.groupBy("node", "doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.join(members, ["node", "doc_id"], "left_semi").isEmpty():
+        return docs
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = of_texts(n)
+        for batch in batches:
+            yield unpack(batch)[0]
+
+    rows = map_arrow(standing(docs, members, "doc_id"), task, "node long, text string, doc_id long")
+    return cut(rows.dropDuplicates(["node"]).select("doc_id", "text"), "repeated-rows")
+
+
+def shingle_counts(found: DataFrame, unpack: Unpack = unpacked) -> np.ndarray:
+    """How often shingles come in the rows of found, by COUNTERS buckets of their hashes: 4 bytes a bucket, whatever
     the input's size.  Shingles of one bucket count together, which makes some look less rare than they are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            total += np.bincount((unpacked(batch)[1] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount((unpack(batch)[2] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
         parts = np.minimum(total, 2**32 - 1).astype("<u4").reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         if len(some):
@@ -386,6 +442,7 @@ def shingle_counts(found: DataFrame) -> np.ndarray:
     out = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.uint32)
     for r in map_arrow(packed, add, "chunk int, counts binary").collect():  # one job; an iterator makes one of each partition
         out[r["chunk"]] = np.frombuffer(r["counts"], dtype="<u4")
+    let_go(found.sparkSession)
     return out.reshape(-1)
 
 
@@ -453,37 +510,80 @@ def tied_or_paired(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Ite
     return map_arrow(dealt, match, "a long, b long, sure boolean")
 
 
-def prefix_edges(found: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, sure) among (node, size, shingles, cluster) rows: sets of a cluster that share one of their rarest shingles.
+def common_signatures(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """A bit for each of RANGES * RANGE_BITS stretches of signatures: whether it has one that more than COMMON nodes have.
 
-    Linked sets share num/den of the larger one's shingles, so under any order of the shingles they share one of the
-    first that a set has more than it may lack; ordered by rarity, a passage that many texts share comes last."""
-    counts = found.sparkSession.sparkContext.broadcast(shingle_counts(found))  # COUNTERS numbers
+    emit makes (signature, node) pairs, each once.  A task counts whole ranges of signatures; 8 MB reach the driver at most."""
+    bits = np.uint64(RANGE_BITS - 1)
+    at = np.uint64(64 - (RANGES * RANGE_BITS).bit_length() + 1)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, cluster = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            cuts, h = unpacked(batch)
-            sizes = np.diff(cuts)
-            owner = np.repeat(np.arange(len(node)), sizes)
-            order = np.lexsort((h, counts.value[(h >> np.uint64(44)).astype(np.int64)], owner))
-            rank = np.arange(len(h)) - np.repeat(cuts[:-1], sizes)
-            first = rank < (sizes - (sizes * num + den - 1) // den + 1)[owner]
-            who = owner[first]
-            yield T.mix(h[order][first] ^ T.mix(cluster[who].view(np.uint64))), node[who]
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, _ in emit(batches):
+            sig = np.sort(sig)
+            cuts = np.searchsorted(sig, np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
+            cuts = np.append(cuts, len(sig))
+            rows = [(int(i), sig[cuts[i] : cuts[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(cuts))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))] if rows else [pa.array([], pa.int32()), pa.array([], pa.binary())], names=["range", "signatures"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in merged(batches, "range"):
+            sig, times = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("signatures")]), return_counts=True)
+            sig = sig[times > COMMON]
+            range_ = (sig >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+            for i in np.unique(range_):
+                flags = np.zeros(RANGE_BITS, dtype=bool)
+                flags[((sig[range_ == i] >> at) & bits).astype(np.int64)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["range", "flags"])
+
+    sent = map_arrow(df, send, "range int, signatures binary").repartition(partitions(df.sparkSession), "range").sortWithinPartitions("range")
+    out = np.zeros((RANGES, RANGE_BITS // 8), dtype=np.uint8)
+    for r in map_arrow(sent, count, "range int, flags binary").collect():
+        out[r["range"]] = np.frombuffer(r["flags"], dtype=np.uint8)
+    let_go(df.sparkSession)
+    return out.reshape(-1)
 
-    return tied_or_paired(found, emit)
 
+def prefix_edges(found: DataFrame, num: int, den: int, unpack: Unpack, again: bool) -> DataFrame:
+    """(a, b, sure) among rows (node, text, cluster): sets of a cluster that share one of their rarest shingles.
 
-def sketch_rows(found: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, size, sketch) of (node, size, shingles, ...) rows: a byte for each of a power of two of parts, more than
+    Linked sets share num/den of the larger one's shingles, so under any order of the shingles they share one of the
+    first that a set has more than it may lack; ordered by rarity, a passage that many texts share comes last.  Counters tell
+    rare shingles from others only while they are many more than common shingles; so again puts those last that, by the counters alone, more than COMMON prefixes of a cluster have."""
+    context = found.sparkSession.sparkContext
+    counts = context.broadcast(shingle_counts(found, unpack))  # COUNTERS numbers
+    at = np.uint64(64 - (RANGES * RANGE_BITS).bit_length() + 1)
+
+    def prefixes(common: Broadcast[np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for whole in batches:
+                batch, cuts, h = unpack(whole)
+                if not batch.num_rows:
+                    continue
+                node, cluster = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                sizes = np.diff(cuts)
+                owner = np.repeat(np.arange(len(node)), sizes)
+                sig = T.mix(h ^ T.mix(cluster.view(np.uint64))[owner])
+                seen = counts.value[(h >> np.uint64(44)).astype(np.int64)].astype(np.int64)
+                if common is not None:
+                    bit = (sig >> at).astype(np.int64)
+                    seen += ((common.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(np.int64) << 32
+                order = np.lexsort((h, seen, owner))
+                rank = np.arange(len(h)) - np.repeat(cuts[:-1], sizes)
+                first = rank < (sizes - (sizes * num + den - 1) // den + 1)[owner]
+                yield sig[order][first], node[owner[first]]
+
+        return emit
+
+    return tied_or_paired(found, prefixes(context.broadcast(common_signatures(found, prefixes(None))) if again else None))
+
+
+def sketch_rows(found: DataFrame, num: int, den: int, unpack: Unpack) -> DataFrame:
+    """(node, size, sketch) of rows of found: a byte for each of a power of two of parts, more than
     may differ between linked sets; a wider sketch folds into a narrower one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts, h = unpacked(batch)
+        for whole in batches:
+            batch, cuts, h = unpack(whole)
             sizes = np.diff(cuts)
             most = sizes * 2 * (den - num) // (den + num)
             width = np.array([1 << min(max(6, int(m + m // 4 + 4).bit_length()), 12) for m in most], dtype=np.int64)
@@ -493,7 +593,7 @@ def sketch_rows(found: DataFrame, num: int, den: int) -> DataFrame:
             flat = np.zeros(int(width.sum()), dtype=np.uint8)
             np.bitwise_xor.at(flat, base[owner] + (x & (width[owner] - 1).astype(np.uint64)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
             sketch = [flat[b : b + w].tobytes() for b, w in zip(base, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch, pa.binary())], names=["node", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sketch, pa.binary())], names=["node", "size", "sketch"])
 
     return map_arrow(found, task, "node long, size long, sketch binary")
 
@@ -529,17 +629,20 @@ def shares(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(x) + len(y) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The (a, b) of pairs that are linked; a set that many pairs have meets them in a join that Spark splits where it is skewed."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pow_ = T.Powers()
         for batch in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
-            kept = pa.array([shares(p, q, num, den) for p, q in zip(x, y)], pa.bool_())
+            (mine_a, at_a, x), (mine_b, at_b, y) = (shingled(batch.column(c + 2), batch.column(c).to_numpy(), n, pow_) for c in (0, 1))
+            kept = pa.array([bool(mine_a[i] and mine_b[i]) and shares(x[at_a[i] : at_a[i + 1]], y[at_b[i] : at_b[i + 1]], num, den) for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    asked = members.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    rows = standing(docs, cut(asked.select("node", "doc_id"), "asked"))
+    side = lambda c: rows.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return map_arrow(both, task, "a long, b long")
 
 
@@ -549,33 +652,41 @@ def large_of(members: DataFrame, most: int) -> DataFrame:
     return sized.where(F.col("members") > most).select(F.bitwise_not("turned").alias("cluster"))
 
 
-def split_large(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """members (node, cluster) with comp: clusters of more than LARGE sets split by prefix_edges, and of those that still have more than BLOCK the components that links found at once make.
+def split_large(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """members (node, doc_id, cluster) with comp: clusters of more than LARGE sets split by prefix_edges, and of those that still have more than BLOCK the components that links found at once make.
 
     Texts that share a passage share signatures that hold little else, and through them most of a corpus
     may hang together; what shares none of its rarest shingles, or shares some but differs too much by its
-    sketch, is parted here, and no link is lost.  Then each set of a cluster beyond a block is held against the one, of those that it is
-    tied to, whose sketch differs least."""
-    plain = members.select("node", "cluster", F.col("node").alias("comp"))
-    big = cut(members.join(large_of(members, LARGE), "cluster", "left_semi").select("node", "cluster"), "large-clusters")
+    sketch, is parted here, and no link is lost.  What is huge still is split anew, SPLITS times in all at most and while it shrinks, with what was common in its prefixes last.
+    Then each set of a cluster beyond a block is held against the one, of those that it is tied to, whose sketch differs least."""
+    unpack = of_texts(n)
+    ids = members.select("node", "doc_id")
+    plain = members.select("node", "doc_id", "cluster", F.col("node").alias("comp"))
+    big = cut(members.join(large_of(members, LARGE), "cluster", "left_semi").select("node", "doc_id", "cluster"), "large-clusters")
     if big.isEmpty():
         return plain
-    found = of_members(sets, big, "cluster")
-    edges = cut(prefix_edges(found, num, den), "prefixes")
-    sketched = cut(sketch_rows(found, num, den), "sketches")
-    near = cut(alike(edges.where("not sure").select("a", "b").distinct(), sketched, num, den), "near")
-    tied_ = edges.where("sure").select("a", "b")
-    parts = components(forests(tied_.unionByName(near.select("a", "b")))).select("node", F.col("label").alias("cluster"))
-    small = plain.join(big.select("node"), "node", "left_anti")
-    huge = cut(parts.join(large_of(parts, BLOCK), "cluster", "left_semi"), "huge-clusters")
-    if huge.isEmpty():
-        return cut(small.unionByName(parts.withColumn("comp", F.col("node"))), "members")
+    done = [plain.join(big.select("node"), "node", "left_anti")]
+    found = held(docs, big, "cluster")
+    sketched = cut(sketch_rows(found, num, den, unpack), "sketches")
+    for turn in range(SPLITS):
+        edges = cut(prefix_edges(found, num, den, unpack, turn > 0), "prefixes")
+        near = cut(alike(edges.where("not sure").select("a", "b").distinct(), sketched, num, den), "near")
+        tied_ = edges.where("sure").select("a", "b")
+        parts = cut(components(forests(tied_.unionByName(near.select("a", "b")))).select("node", F.col("label").alias("cluster")).join(ids, "node"), "parts")
+        huge = cut(parts.join(large_of(parts, BLOCK), "cluster", "left_semi"), "huge-clusters")
+        done.append(parts.join(huge.select("node"), "node", "left_anti").withColumn("comp", F.col("node")))
+        before, left = big.count(), huge.count()
+        if not left:
+            return cut(reduce(DataFrame.unionByName, done), "members")
+        if left <= ANEW or turn == SPLITS - 1 or turn and 10 * left > 9 * before:
+            break
+        big, found = huge, held(docs, huge, "cluster")
     mine = huge.select(F.col("node").alias("b"))
     choices = alike(tied_.distinct().join(mine, "b", "left_semi"), sketched, num, den).unionByName(near.join(mine, "b", "left_semi"))
     best = choices.groupBy("b").agg(F.min(F.struct("unlike", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    comps = components(forests(cut(verified(cut(best, "ties"), sets, num, den), "tied"))).withColumnRenamed("label", "comp")
-    named = parts.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
-    return cut(small.unionByName(named), "members")
+    comps = components(forests(cut(verified(cut(best, "ties"), docs, ids, n, num, den), "tied"))).withColumnRenamed("label", "comp")
+    done.append(huge.join(comps, "node", "left").select("node", "doc_id", "cluster", F.coalesce("comp", "node").alias("comp")))
+    return cut(reduce(DataFrame.unionByName, done), "members")
 
 
 def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -621,7 +732,7 @@ def forest(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, num: int,
 
 
 def placed_in_blocks(members: DataFrame) -> DataFrame:
-    """members (node, cluster, comp) with block and the range first..last of blocks to meet: all of a cluster's sets in one block where they fit.
+    """members (node, doc_id, cluster, comp) with block and the range first..last of blocks to meet: all of a cluster's sets in one block where they fit.
     Of others those outside of the largest component fill the first blocks and meet all; those in it come behind and meet the first
     ones only, so a cluster that is one component goes nowhere."""
     comps = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
@@ -632,32 +743,44 @@ def placed_in_blocks(members: DataFrame) -> DataFrame:
     zero = F.lit(0)
     block = F.when(whole, zero).when(inside, F.col("outer") + deal(F.col("inner"))).otherwise(deal(F.col("outer")))
     last = F.when(whole, zero).when(inside, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
-    return members.join(main, "cluster").select("node", "cluster", "comp", block.alias("block"), last.alias("last")).where("last >= 0")
+    return members.join(main, "cluster").select("node", "doc_id", "cluster", "comp", block.alias("block"), last.alias("last")).where("last >= 0")
 
 
-def links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b): links that connect all sets of each cluster which links connect at all and which comp doesn't join.
 
-    members: (node, cluster, comp)."""
-    found = of_members(sets, cut(placed_in_blocks(members), "blocks"), "cluster", "comp", "block", "last")
-    tasks = found.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")).select(
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).alias("second"), "node", "comp", "shingles"
-    )
-    tasks = tasks.repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task")
+    members: (node, doc_id, cluster, comp).  Each two blocks meet in one of so many rounds that a round moves a set once, on the average, or MOVED sets in all."""
+    placed = cut(placed_in_blocks(members), "blocks")
+    sets, moves = placed.agg(F.count("*"), F.sum(F.col("last") + 1)).first()
+    rounds = -(-(moves or 0) // max(sets, MOVED))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pow_ = T.Powers()
         for table in merged(batches, "task"):
             key = table.column("task").to_numpy()
             for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
                 mine = table.slice(int(part[0]), len(part))
                 node = mine.column("node").to_numpy()
-                packed = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in mine.column("shingles")]
-                pairs = forest(packed, mine.column("comp").to_numpy(), mine.column("second").to_numpy(zero_copy_only=False), num, den)
+                right, cuts, h = shingled(mine.column("text"), node, n, pow_)
+                at = np.flatnonzero(right)
+                if len(at) < 2:
+                    continue
+                comp, second = mine.column("comp").to_numpy(), mine.column("second").to_numpy(zero_copy_only=False)
+                pairs = forest([h[cuts[i] : cuts[i + 1]] for i in at], comp[at], second[at], num, den)
                 if pairs:
-                    at = np.array(pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at[:, i]]) for i in (0, 1)], names=["a", "b"])
+                    found = at[np.array(pairs)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[found[:, i]]) for i in (0, 1)], names=["a", "b"])
+
+    def met(turn: int) -> DataFrame:
+        others = F.filter(F.sequence(F.lit(0), F.col("last")), lambda x: F.pmod(x + F.col("block"), F.lit(rounds)) == turn)
+        now = cut(placed.withColumn("others", others).where(F.size("others") > 0), "round") if rounds > 1 else placed.withColumn("others", others)
+        tasks = standing(docs, now, "cluster", "comp", "block", "others").select("*", F.explode("others").alias("other")).select(
+            F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).alias("second"), "node", "comp", "text"
+        )
+        tasks = tasks.repartition(partitions(docs.sparkSession), "task").sortWithinPartitions("task")
+        return cut(map_arrow(tasks, verify, "a long, b long"), "links")
 
-    return map_arrow(tasks, verify, "a long, b long")
+    return reduce(DataFrame.unionByName, [met(turn) for turn in range(max(rounds, 1))])
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -673,10 +796,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     worded = known.where(F.col("node").isNotNull())
     reps = worded.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = cut(candidates.select("node", F.col("label").alias("cluster")).join(reps, "node"), "members")
-    sets = candidate_sets(rows, members, n)
-    placed = split_large(sets, members, num, den)
+    rows = once(rows, worded, members, n)
+    placed = split_large(rows, members, n, num, den)
     joined = placed.where(F.col("comp") != F.col("node")).select(F.col("comp").alias("a"), F.col("node").alias("b"))
-    found = components(forests(cut(links(sets, placed, num, den), "links").unionByName(joined)))
+    found = components(forests(links(rows, placed, n, num, den).unionByName(joined)))
     # The least id of a class by way of its sets, then of each set; documents without words meet nothing.
     in_class = reps.join(found, "node")
     least = in_class.groupBy(F.bitwise_not("label").alias("turned")).agg(F.min("doc_id").alias("least")).select(F.bitwise_not("turned").alias("label"), "least")
